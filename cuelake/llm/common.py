@@ -31,7 +31,7 @@ def text_bytes(column: str = "text"):
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str) -> DataFrame:
     """Rows to rows inside Arrow batches. ``make`` runs once a task and returns the row function, so that
     tables are built once; batches are cut to a bounded number of bytes before they become Python objects."""
-    arrow = arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches):
         handle = make()
@@ -43,11 +43,36 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]]
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def append_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dict]], added: str, source: str = "text") -> DataFrame:
+    """All columns of ``df`` and the ``added`` ones (DDL; a clashing column of ``df`` gives way), made from the UTF-8
+    bytes of one text column, null being empty. ``make`` runs once a task; its function gets a block of texts."""
+    names = [x.name for x in parsed(added)]
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
+    full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [added])
+    arrow, text = arrow_schema(full), df.columns.index(source)
+
+    def run(batches):
+        handle = make()
+        for batch in batches:
+            for part in blocks(batch):
+                found = handle([x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()])
+                kept = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)]
+                extra = [pa.array(found[n], arrow.field(len(kept) + k).type) for k, n in enumerate(names)]
+                yield pa.RecordBatch.from_arrays([*kept, *extra], schema=arrow)
+
+    return df.mapInArrow(run, full)
+
+
+def parsed(schema: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(schema)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(parsed(schema))
 
 
 def blocks(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
