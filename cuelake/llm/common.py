@@ -57,7 +57,10 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dic
             for part in blocks(batch):
                 found = handle([x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()])
                 kept = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)]
-                extra = [pa.array(found[n], arrow.field(len(kept) + k).type) for k, n in enumerate(names)]
+                extra = [
+                    found[n].cast(arrow.field(len(kept) + k).type) if isinstance(found[n], pa.Array) else pa.array(found[n], arrow.field(len(kept) + k).type)
+                    for k, n in enumerate(names)
+                ]
                 yield pa.RecordBatch.from_arrays([*kept, *extra], schema=arrow)
 
     return df.mapInArrow(run, full)

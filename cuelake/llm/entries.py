@@ -23,6 +23,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.unigram import round_trip_report
+
+    return round_trip_report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.decontam import contamination_report
 
@@ -32,6 +44,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
+    "op5_quality": op5_quality,
+    "op9_unigram": op9_unigram,
     "op10_decontamination": op10_decontamination,
 }
 
