@@ -29,6 +29,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.pii import personal_data_report
+
+    return personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def op9_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.unigram import round_trip_report
 
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
     "op5_quality": op5_quality,
+    "op6_personal_data": op6_personal_data,
     "op9_unigram": op9_unigram,
     "op10_decontamination": op10_decontamination,
 }
