@@ -23,6 +23,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.language import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.quality import quality_report
 
@@ -35,6 +41,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.htmltext import page_report
+
+    return page_report(table(spark, sf_dir, "pages"))
+
+
 def op9_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.unigram import round_trip_report
 
@@ -50,8 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
     "op5_quality": op5_quality,
     "op6_personal_data": op6_personal_data,
+    "op7_main_text": op7_main_text,
     "op9_unigram": op9_unigram,
     "op10_decontamination": op10_decontamination,
 }
