@@ -47,6 +47,12 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_report(table(spark, sf_dir, "pages"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.repeats import repeat_report
+
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op9_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.unigram import round_trip_report
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_personal_data": op6_personal_data,
     "op7_main_text": op7_main_text,
+    "op8_repeats": op8_repeats,
     "op9_unigram": op9_unigram,
     "op10_decontamination": op10_decontamination,
 }
