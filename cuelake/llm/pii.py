@@ -342,7 +342,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in its text replaced by its kind in angle brackets; overlapping spans as one."""
+    """``docs`` with every span in its text replaced by its kind in angle brackets, overlapping spans as one; of a changed
+    text, n_chars (if there) is counted anew."""
     found = personal_data(docs)
     names = docs.columns
     spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -356,7 +357,11 @@ def masked(docs: DataFrame) -> DataFrame:
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
     last = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
     clean = F.aggregate(spans, begun, step, last)
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).select(*names)
+    found = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    if "n_chars" in names:
+        size = F.length("text").cast(found.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, size).otherwise(F.col("n_chars")))
+    return found.select(*names)
 
 
 def personal_data_report(docs: DataFrame) -> DataFrame:

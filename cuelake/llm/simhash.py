@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import blocks, components, text_bytes, written
+from cuelake.llm.common import append_columns, components, text_bytes, written
 
 SHINGLE, DISTANCE = 4, 4
 #: First bit and width of each segment.
@@ -60,16 +60,12 @@ def fingerprint(text: bytes) -> int:
 
 
 def with_fingerprint(docs: DataFrame, name: str = "fp") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """All columns but the text, and the fingerprint as a signed 64-bit integer."""
 
-    def run(batches):
-        for batch in batches:
-            for part in blocks(batch):
-                texts = part.column(1).to_pylist()
-                made = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made)], names=["doc_id", name])
+    def make():
+        return lambda block: {name: np.fromiter(map(fingerprint, block), np.uint64, len(block)).view(np.int64)}
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, f"doc_id long, {name} long")
+    return append_columns(docs, make, f"{name} long").drop("text")
 
 
 @functools.cache
@@ -240,13 +236,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts have fingerprint 0 and link as any other. A null doc_id is kept and never the smallest;
     component_id is null where all are. Repeated rows give repeated rows. Other columns are not read.
     """
-    prints = written(with_fingerprint(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    prints = written(with_fingerprint(docs.select(F.col("doc_id").cast("long"), text_bytes())))
+    named = _groups(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _groups(distinct: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for distinct fingerprints with the smallest doc_id of each (low)."""
     tree = components(links(distinct.select("fp")))
     member = distinct.join(tree, distinct.fp == tree.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     group = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(group, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return member.join(group, "root").select("fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id (nulls last), of rows with
+    that id the one with the smallest hash of all columns; rows that agree in everything count once."""
+    names = docs.columns
+    marked = docs.withColumn("_mark", F.xxhash64(*names))
+    prints = written(with_fingerprint(marked.select("doc_id", "_mark", text_bytes())))
+    named = _groups(prints.groupBy("fp").agg(F.min("doc_id").alias("low"))).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_mark")
+    first = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("x"))
+    kept = first.select(F.col("x.doc_id").alias("_id"), F.col("x._mark").alias("_kept"))
+    rows = marked.join(kept, (F.col("_mark") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return rows.dropDuplicates(["_mark", "doc_id"]).select(*names)
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
