@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,44 +18,71 @@ EPS, SLACK = 0.5, 0.001
 VALUES = {"CUE": ("PRE", "POST", "ONCE"), "X-SNAP": ("IN", "OUT"), "X-RESTRICT": ("SKIP", "JUMP")}
 
 
-@dataclass
 class HlsAnalysis:
-    headers: DataFrame
-    segments: DataFrame
-    markers: DataFrame
-    breaks: DataFrame
-    interstitials: DataFrame
-    findings: DataFrame
-    stats: DataFrame
-    verdicts: DataFrame
+    """The tables of an analysis of media playlists (doc_id, body), each planned when it is first asked for. The parsed
+    tables feed most others and are persisted; ``release`` gives them up."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return hls.lines(self.docs).persist()  # else its regular expressions run once for each use of an attribute
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return hls.segments(self.tokens).persist()
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        return hls.headers(self.tokens).persist()
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        return decoded(hls.markers(self.tokens, self.segments)).persist()
+
+    @cached_property
+    def _broken(self) -> tuple[DataFrame, DataFrame]:
+        return breaks_of(self.markers, self.segments, self.headers)
+
+    @property
+    def breaks(self) -> DataFrame:
+        return self._broken[0]
+
+    @cached_property
+    def interstitials(self) -> DataFrame:
+        return interstitials_of(self.markers)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        breaks, points = self._broken
+        return (
+            _header_rules(self.headers, self.segments, self.markers)
+            .unionByName(_segment_rules(self.segments, self.headers))
+            .unionByName(_marker_rules(self.markers, self.headers))
+            .unionByName(_daterange_ids(self.markers))
+            .unionByName(_interstitial_rules(self.interstitials))
+            .unionByName(_break_rules(breaks))
+            .unionByName(_unpaired_types(breaks, self.markers))
+            .unionByName(_point_rules(points, self.headers))
+            .unionByName(_playlist_rules(breaks, points, self.segments))
+        )
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return stats_of(self.docs, self.headers, self.segments, self.markers, self.breaks)
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return verdicts(self.docs, self.findings)
 
     def release(self) -> None:
-        for table in (self.headers, self.segments, self.markers):
+        for table in (self.tokens, self.headers, self.segments, self.markers):
             table.unpersist()
 
 
 def analyse(docs: DataFrame) -> HlsAnalysis:
-    """Everything about media playlists (doc_id, body). The parsed tables feed most others and are persisted on first
-    use; ``release`` gives them up."""
-    tokens = hls.lines(docs)
-    segments = hls.segments(tokens).persist()
-    headers = hls.headers(tokens).persist()
-    markers = decoded(hls.markers(tokens, segments)).persist()
-    breaks, points = breaks_of(markers, segments, headers)
-    interstitials = interstitials_of(markers)
-    found = (
-        _header_rules(headers, segments, markers)
-        .unionByName(_segment_rules(segments, headers))
-        .unionByName(_marker_rules(markers, headers))
-        .unionByName(_daterange_ids(markers))
-        .unionByName(_interstitial_rules(interstitials))
-        .unionByName(_break_rules(breaks))
-        .unionByName(_unpaired_types(breaks, markers))
-        .unionByName(_point_rules(points, headers))
-        .unionByName(_playlist_rules(breaks, points, segments))
-    )
-    stats = stats_of(docs, headers, segments, markers, breaks)
-    return HlsAnalysis(headers, segments, markers, breaks, interstitials, found, stats, verdicts(docs, found))
+    return HlsAnalysis(docs)
 
 
 def decoded(markers: DataFrame) -> DataFrame:
