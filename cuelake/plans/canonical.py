@@ -354,7 +354,7 @@ def upid_validate(spark, sf_dir):
 
 
 @query(
-    """SELECT family, count(*) AS parts FROM (SELECT CASE WHEN c LIKE 'avc%' THEN 'avc' WHEN c LIKE 'mp4a%' THEN 'aac' WHEN c LIKE 'ec-3%' THEN 'eac3' ELSE regexp_extract(c, '^[^.]*') END AS family
+    """SELECT family, count(*) AS parts FROM (SELECT CASE WHEN c LIKE 'avc1%' THEN 'h264' ELSE regexp_extract(c, '^[^.]*') END AS family
 FROM (SELECT CASE p_size % 4 WHEN 0 THEN 'avc1.64001f' WHEN 1 THEN 'mp4a.40.2' WHEN 2 THEN 'ec-3' ELSE lower(p_brand) || '.x' END AS c FROM part)) GROUP BY family"""
 )
 def codec_families(spark, sf_dir):
