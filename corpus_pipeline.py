@@ -38,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the ids of their pieces, and whether decoding them gives the text back."""
     ship(spark)
-    found = unigram.decode(unigram.encode(docs))
+    found = unigram.encode(docs, check=True)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return found.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
 

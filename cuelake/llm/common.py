@@ -43,7 +43,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]]
     return df.mapInArrow(run, schema)
 
 
-def append_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dict]], added: str, source: str = "text") -> DataFrame:
+def append_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dict]], added: str, source: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``df`` and the ``added`` ones (DDL; a clashing column of ``df`` gives way), made from the UTF-8
     bytes of one text column, null being empty. ``make`` runs once a task; its function gets a block of texts."""
     names = [x.name for x in parsed(added)]
@@ -54,7 +54,7 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dic
     def run(batches):
         handle = make()
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, most):
                 found = handle([x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()])
                 kept = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)]
                 extra = [

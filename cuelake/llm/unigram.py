@@ -23,7 +23,9 @@ from cuelake.llm.common import append_columns
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Split words of which the encoding is remembered within a task.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Text encoded at once, in bytes.
+ENCODED_BYTES = 1_000_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -283,8 +285,9 @@ def load(spark, path: str):
     return model
 
 
-def encode(docs: DataFrame, path: str = DEFAULT_MODEL) -> DataFrame:
-    """All columns of ``docs`` with ids (array<int>) and piece_score, the sum of the pieces' scores.
+def encode(docs: DataFrame, path: str = DEFAULT_MODEL, check: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ids (array<int>) and piece_score, the sum of the pieces' scores; with ``check``
+    also decoded, the text of the ids as ``decode`` gives it, made in the same pass.
 
     A null or empty text has no ids and a score of 0; repeated rows give equal ids. One narrow pass.
     """
@@ -295,12 +298,16 @@ def encode(docs: DataFrame, path: str = DEFAULT_MODEL) -> DataFrame:
 
         def handle(block):
             ids, many, total = machine.encode_all([x.decode("utf-8", "replace") for x in block])
-            bounds = np.r_[0, np.cumsum(many)].astype(np.int32)
-            return {"ids": pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids)), "piece_score": total}
+            bounds = np.r_[0, np.cumsum(many)]
+            found = {"ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), "piece_score": total}
+            if check:
+                found["decoded"] = [machine.decode(ids[a:b].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            return found
 
         return handle
 
-    return append_columns(docs, make, "ids array<int>, piece_score double")
+    added = "ids array<int>, piece_score double" + ", decoded string" * check
+    return append_columns(docs, make, added, most=ENCODED_BYTES)
 
 
 def decode(encoded: DataFrame, path: str = DEFAULT_MODEL) -> DataFrame:
@@ -323,7 +330,7 @@ def decode(encoded: DataFrame, path: str = DEFAULT_MODEL) -> DataFrame:
 
 def round_trip_report(docs: DataFrame, path: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, n_pieces, piece_score, ids_sha256 (of the ids, comma-joined) and whether decoding gives the text back."""
-    found = decode(encode(docs.select("doc_id", "text"), path), path)
+    found = encode(docs.select("doc_id", "text"), path, check=True)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
