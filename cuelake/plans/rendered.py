@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import splice
@@ -104,3 +104,137 @@ ORACLE_SQL["rendered_verdicts"] = f"""WITH {_SEGMENTS[1:]}
 SELECT 'UNCLOSED_BREAK' AS code, 'error' AS severity, count(*) AS n, count(DISTINCT user_id) AS playlists FROM b WHERE NOT closed
 UNION ALL SELECT 'NO_PROGRAM_DATE_TIME', 'warning', count(DISTINCT user_id), count(DISTINCT user_id) FROM e
 UNION ALL SELECT 'SIGNALLING_ONLY_STREAM', 'info', count(DISTINCT user_id), count(DISTINCT user_id) FROM b"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dash_period_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of each customer's orders, a period an order: its start is the whole price so far, its media a tenth
+    shorter than the price in every third order. Returns gaps and overlaps that the analysis finds, by customer."""
+    from cuelake.plans import dash
+
+    seconds = F.floor("o_totalprice").cast("long")
+    short = F.when(F.col("o_orderkey") % 3 == 0, F.floor(seconds / 10)).otherwise(0)
+    period = F.format_string(
+        '<Period id="o%d" duration="PT%dS"><AdaptationSet mimeType="video/mp4"><SegmentTemplate timescale="1" presentationTimeOffset="0"><SegmentTimeline><S t="%d" d="%d"/></SegmentTimeline></SegmentTemplate><Representation id="v" codecs="avc1"/></AdaptationSet></Period>',
+        F.col("o_orderkey"), seconds, F.col("before"), (seconds - short).cast("long"),
+    )
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _table(spark, sf_dir, "orders").withColumn("before", F.coalesce(F.sum(seconds).over(by), F.lit(0)))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", period.alias("x")))), lambda x: x["x"]), "")
+    docs = rows.groupBy("o_custkey").agg(F.concat(F.lit('<MPD type="static">'), body, F.lit("</MPD>")).alias("body")).withColumnRenamed("o_custkey", "doc_id")
+    found = dash.analyse(docs)
+    gap = F.col("next_start") - F.col("media_start") - F.col("media_duration")
+    gaps = found.periods.where("next_start is not null").withColumn("gap", gap).where(F.abs("gap") > dash.GAP_WARN)
+    return gaps.groupBy(F.col("doc_id").alias("o_custkey")).agg(F.count("*").alias("gaps"), F.sum(F.round("gap").cast("long")).alias("gap_seconds"))
+
+
+QUERIES["dash_period_gaps"] = dash_period_gaps
+ORACLE_SQL["dash_period_gaps"] = """WITH o AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS s,
+ lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nx FROM orders)
+SELECT o_custkey, count(*) AS gaps, CAST(sum(s // 10) AS BIGINT) AS gap_seconds FROM o WHERE nx IS NOT NULL AND o_orderkey % 3 = 0 AND s // 10 > 0 GROUP BY o_custkey"""
+
+
+def vast_pods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A VAST response of each order, an inline ad a line item with its quantity as seconds; items returned are wrappers."""
+    from cuelake.plans import vast
+
+    quantity = F.col("l_quantity").cast("int")
+    ad = F.when(
+        F.col("l_returnflag") == "R", F.format_string('<Ad id="%d"><Wrapper><VASTAdTagURI>http://ads/%d</VASTAdTagURI></Wrapper></Ad>', "l_linenumber", "l_partkey")
+    ).otherwise(
+        F.format_string(
+            '<Ad id="%d"><InLine><Impression>i</Impression><Creatives><Creative><Linear><Duration>00:00:%02d</Duration><MediaFiles><MediaFile type="video/mp4">u</MediaFile></MediaFiles></Linear></Creative></Creatives></InLine></Ad>',
+            "l_linenumber", quantity,
+        )
+    )
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", ad.alias("x")))), lambda x: x["x"]), "")
+    docs = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit('<VAST version="4.0">'), body, F.lit("</VAST>")).alias("body"))
+    return vast.totals(docs).select(F.col("doc_id").alias("l_orderkey"), "ads", "wrappers", F.col("seconds").cast("long").alias("seconds"))
+
+
+QUERIES["vast_pods"] = vast_pods
+ORACLE_SQL["vast_pods"] = """SELECT l_orderkey, count(*) AS ads, count(*) FILTER (WHERE l_returnflag = 'R') AS wrappers,
+CAST(coalesce(sum(CAST(l_quantity AS INTEGER)) FILTER (WHERE l_returnflag <> 'R'), 0) AS BIGINT) AS seconds FROM lineitem GROUP BY l_orderkey"""
+
+
+def inband_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event message box for each event, read as a segment, with the time that it means."""
+    from cuelake.sources import segments
+
+    def boxed(i: int, seconds: float, delay: int) -> bytes:
+        body = b"\0\0\0\0urn:scte:scte35:2013:bin\0\0" + b"".join(x.to_bytes(4, "big") for x in (1000, delay, 0, i)) + splice.write_section(i, seconds)
+        return (len(body) + 8).to_bytes(4, "big") + b"emsg" + body
+
+    events = _events(spark, sf_dir)
+    delay = F.floor(F.col("value") * 10).cast("int")
+    files = events.select(F.col("event_id").cast("string").alias("uri"), F.udf(boxed, "binary", useArrow=True)("event_id", F.round("value", 2), delay).alias("content"))
+    at = events.select(F.lit("all").alias("doc_id"), F.col("event_id").cast("string").alias("uri"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("pdt"))
+    found = segments.signals(segments.cues(files), at)
+    return found.select("event_id", F.round("pdt").cast("long").alias("at_ms"), F.round(F.col("duration") * 100).cast("long").alias("centiseconds"), F.col("section.crc_valid").alias("crc_valid"))
+
+
+QUERIES["inband_cues"] = inband_cues
+ORACLE_SQL["inband_cues"] = """SELECT event_id, CAST(round(epoch_us(ts) / 1000.0 + floor(value * 10)) AS BIGINT) AS at_ms, CAST(round(round(value, 2) * 100) AS BIGINT) AS centiseconds, true AS crc_valid FROM events"""
+
+
+def scte104_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A splice request for each event, written as hex and read again; its findings by code."""
+    from cuelake.sources import scte104
+
+    width = {"kind": 2, "event": 8, "pre": 4, "tenths": 4}
+    value = {"kind": F.when(F.col("event_type") == "signup", 1).otherwise(2), "event": F.col("event_id"), "pre": F.floor(F.col("value") * 100), "tenths": F.floor(F.col("value")) % 7}
+    hexed = {k: F.lpad(F.hex(v.cast("long")), width[k], "0") for k, v in value.items()}
+    text = F.concat(F.lit("ffff001e"), F.lit("00000100000000"), F.lit("01"), F.lit("0101000e"), hexed["kind"], hexed["event"], F.lit("0001"), hexed["pre"], hexed["tenths"], F.lit("000001"))
+    rows = scte104.decoded(_events(spark, sf_dir).select(F.col("event_id").alias("doc_id"), text.alias("message")))
+    return scte104.findings(rows).groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+QUERIES["scte104_requests"] = scte104_requests
+ORACLE_SQL["scte104_requests"] = """SELECT code, 'warning' AS severity, count(*) AS n FROM (
+SELECT 'S104_IMMEDIATE_SPLICE' AS code FROM events WHERE event_type <> 'signup' UNION ALL
+SELECT 'S104_SHORT_PRE_ROLL' FROM events WHERE event_type = 'signup' AND floor(value * 100) < 4000 UNION ALL
+SELECT 'S104_NO_BREAK_DURATION' FROM events WHERE CAST(floor(value) AS BIGINT) % 7 = 0) GROUP BY code"""
+
+
+def monitor_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a poll of its user: failed if an error; the verdict by value; breaks by the id's remainder."""
+    from cuelake.streaming import monitor
+
+    verdict = F.when(F.col("value") > 90, "fail").when(F.col("value") > 70, "warn").otherwise("pass")
+    ok = F.col("event_type") != "error"
+    runs = _events(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("monitor_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), ok.alias("ok"), F.when(ok, verdict).alias("verdict"),
+        F.when(ok & (F.col("value") > 90), 1).otherwise(0).alias("errors"), F.lit(0).alias("warnings"), F.when(ok, F.col("event_id") % 3).cast("int").alias("break_count"),
+        F.array().cast("array<struct<code:string,severity:string>>").alias("findings"), *[F.lit(None).cast(t).alias(n) for n, t in (("fill_rate", "double"), ("not_stitched", "int"), ("passthrough", "int"))],
+    )
+    return monitor.alerts(runs).groupBy("monitor_id", "code").agg(F.count("*").alias("n"))
+
+
+QUERIES["monitor_alerts"] = monitor_alerts
+ORACLE_SQL["monitor_alerts"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS monitor_id, ts, event_type <> 'error' AS ok, event_id % 3 AS b,
+ CASE WHEN value > 90 THEN 2 WHEN value > 70 THEN 1 ELSE 0 END AS v FROM events),
+i AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY monitor_id ORDER BY ts) AS g FROM e),
+f AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY monitor_id, g ORDER BY ts) AS failures FROM i),
+p AS (SELECT *, lag(ok) OVER w AS pok, lag(v) OVER w AS pv, lag(b) OVER w AS pb, lag(failures) OVER w AS pf FROM f WINDOW w AS (PARTITION BY monitor_id ORDER BY ts)),
+a AS (SELECT monitor_id, 'STREAM_RECOVERED' AS code FROM p WHERE ok AND NOT pok AND pf >= 2 UNION ALL SELECT monitor_id, 'VERDICT_DEGRADED' FROM p WHERE ok AND pok AND v > pv
+ UNION ALL SELECT monitor_id, 'SIGNALLING_STOPPED' FROM p WHERE ok AND pok AND pb > 0 AND b = 0 UNION ALL SELECT monitor_id, 'SIGNALLING_RESUMED' FROM p WHERE ok AND pok AND pb = 0 AND b > 0
+ UNION ALL SELECT monitor_id, 'STREAM_UNREACHABLE' FROM p WHERE NOT ok AND failures = 2)
+SELECT monitor_id, code, count(*) AS n FROM a GROUP BY 1, 2"""
+
+
+def pipeline_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Departures of a user take the nearest free return within six hours, in order; checked by a brute-force test."""
+    from cuelake.operators.pairing import greedy_nearest
+
+    events = _events(spark, sf_dir).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    side = lambda kind, name: events.where(F.col("event_type") == kind).groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("event_id").alias("id")))), lambda x: F.struct(x["id"].alias("id"), x["at"].alias("at"))).alias(name)
+    )
+    both = side("signup", "asked").join(side("purchase", "given"), "user_id")
+    return greedy_nearest(both, ["user_id"], "asked", "given", 21600.0).select("user_id", "left_id", "right_id", F.round(F.col("distance") * 1e6).cast("long").alias("distance_us"))
+
+
+QUERIES["pipeline_greedy"] = pipeline_greedy
