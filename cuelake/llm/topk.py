@@ -21,7 +21,7 @@ K = 5
 #: Stand for a missing score (it can be negated) and a missing id.
 NONE, NO_ID = -(1 << 62), np.iinfo(np.int64).max
 #: Sampled rows and centres of the upper levels; rows of a block; rows of a leaf in a block's own tree.
-SAMPLE, CENTRES, BLOCK, LEAF = 2000, 48, 2048, 32
+SAMPLE, CENTRES, BLOCK, LEAF = 2000, 48, 2048, 256
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
