@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.functions.text import given, iso_duration, iso_millis, number
+from cuelake.functions.text import fill_template, given, iso_duration, iso_millis, number
 
 #: Of an adaptation set's timeline so many segments are listed; its totals count all.
 MOST_SEGMENTS = 5000
@@ -102,7 +102,7 @@ def adaptation_sets(docs: DataFrame) -> DataFrame:
         t["_media"].alias("media_template"), t["_initialization"].alias("init_template"), F.coalesce(number(t["_startNumber"]), F.lit(1.0)).cast("long").alias("start_number"),
         F.concat("base", "own", F.concat_ws("", _first(a["BaseURL"]))).alias("base_url"), F.when(~timeline, uniform).alias("segment_duration"), timeline.alias("uses_timeline"),
         number(t["_availabilityTimeOffset"]).alias("ato"), F.when(t["_availabilityTimeComplete"].isNotNull(), t["_availabilityTimeComplete"] != "false").alias("at_complete"),
-        F.array_join(F.array_sort(shape), "|").alias("signature"), _schemes(a["SupplementalProperty"]).alias("supplemental"), _schemes(a["EssentialProperty"]).alias("essential"),
+        F.array_join(F.array_sort(shape), "|").alias("signature"), _first(a["Representation"])["_id"].alias("representation"), number(_first(a["Representation"])["_bandwidth"]).cast("long").alias("bandwidth"), _schemes(a["SupplementalProperty"]).alias("supplemental"), _schemes(a["EssentialProperty"]).alias("essential"),
         _schemes(a["InbandEventStream"]).alias("inband"), (_first(x["runs"])["d"] / scale).alias("first_length"), x["runs"].alias("runs"),
     )
 
@@ -166,3 +166,30 @@ def events(docs: DataFrame) -> DataFrame:
         (F.coalesce(number(e["_presentationTime"]), F.lit(0.0)) / scale).alias("presentation_time"), e["_presentationTime"].isNotNull().alias("pt_explicit"),
         (number(e["_duration"]) / scale).alias("duration"), given(F.regexp_replace(payload, r"\s+", "")).alias("payload"), e["_segmentTypeId"].alias("vendor_type"),
     )
+
+
+#: Of number-addressed sets so many segments are listed.
+MOST_NUMBERED = 2000
+
+
+def addressed(headers: DataFrame, periods_: DataFrame, sets: DataFrame, now_ms: float) -> DataFrame:
+    """(doc_id, period_index, set_index, number, url, start, pdt): segments of each set's first representation, from its
+    timeline or, without one, by number over the period (live: the part of it that is available at ``now_ms``)."""
+    rows = sets.where("media_template is not null and representation is not null").join(headers.select("doc_id", "type", "ast_ms", "spd", "tsbd"), "doc_id")
+    rows = rows.join(periods_.select("doc_id", "period_index", F.col("start").alias("period_start"), F.col("media_duration").alias("period_length")), ["doc_id", "period_index"])
+    fields = lambda n, t: {"RepresentationID": F.col("representation"), "Bandwidth": F.coalesce("bandwidth", F.lit(0)), "Number": n, "Time": t}
+    keep = ["doc_id", "period_index", "set_index", "ast_ms", "base_url", "media_template", "representation", "bandwidth", "timescale"]
+    listed = timeline_segments(sets).join(rows.select(*keep), ["doc_id", "period_index", "set_index"]).withColumn("begin", F.col("t") / F.col("timescale"))
+    each = F.col("segment_duration") / F.col("timescale")
+    live = (F.col("type") == "dynamic") & F.col("ast_ms").isNotNull()
+    edge = (F.lit(now_ms) - F.col("ast_ms")) / 1000 - F.coalesce(F.col("spd"), each * 2)
+    length = F.nullif("period_length", F.lit(0.0))
+    begin = F.when(live, F.greatest(F.col("period_start"), edge - F.coalesce("tsbd", F.lit(60.0)))).otherwise(F.col("period_start"))
+    end = F.when(live, F.least(edge, F.col("period_start") + F.coalesce(length, F.lit(float("inf"))))).otherwise(F.col("period_start") + F.coalesce(length, each * 20))
+    first, last = (F.floor((x - F.col("period_start")) / each).cast("long") for x in (begin, end))
+    plain = rows.where((F.size("runs") == 0) & (each > 0)).withColumns({"k0": first, "k1": last, "_some": end > begin}).where("_some")
+    plain = plain.withColumn("k", F.explode(F.sequence(F.col("k0"), F.least(F.col("k1"), F.col("k0") + MOST_NUMBERED - 1))))
+    plain = plain.select(*keep, (F.col("start_number") + F.col("k")).alias("number"), F.round(F.col("pto") + F.col("k") * F.col("segment_duration")).cast("long").alias("t"), (F.col("period_start") + F.col("k") * each).alias("begin"))
+    both = listed.select(*keep, "number", F.col("t").cast("long").alias("t"), "begin").unionByName(plain)
+    url = F.concat("base_url", fill_template(F.col("media_template"), **fields(F.col("number"), F.col("t"))))
+    return both.select("doc_id", "period_index", "set_index", "number", url.alias("url"), F.col("begin").alias("start"), (F.col("ast_ms") + F.col("begin") * 1000).alias("pdt"))

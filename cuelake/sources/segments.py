@@ -240,3 +240,18 @@ def agreement(found: DataFrame, breaks: DataFrame, probed: DataFrame) -> DataFra
     return out.unionByName(
         emit(loose, [rule(F.col("has_breaks"), "error", "INBAND_SIGNAL_NOT_IN_MANIFEST"), rule(F.col("has_breaks").isNull(), "info", "INBAND_ONLY_SIGNALLING")])
     )
+
+
+def chosen(listed: DataFrame, breaks: DataFrame, most: int) -> DataFrame:
+    """Segments (doc_id, idx, start_time, ...) worth opening, ``most`` a document: those in which a break begins and the ones
+    before them, breaks in order, then others at an even stride."""
+    begun = listed.join(breaks.select("doc_id", "index", F.col("start_time").alias("_at")), "doc_id").where(F.col("start_time") + 0.001 >= F.col("_at"))
+    begun = begun.groupBy("doc_id", "index").agg(F.min("idx").alias("_first"))
+    near = begun.select("doc_id", "index", F.explode(F.array(F.col("_first") - 1, F.col("_first"))).alias("idx")).where("idx >= 0").groupBy("doc_id", "idx").agg(F.min("index").alias("_break"))
+    size = near.groupBy("doc_id").agg(F.count("*").alias("_taken"))
+    total = listed.groupBy("doc_id").agg(F.count("*").alias("_n")).join(size, "doc_id", "left")
+    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / F.greatest(F.lit(1), F.lit(most) - F.coalesce("_taken", F.lit(0)))))
+    rows = listed.join(near, ["doc_id", "idx"], "left").join(total.withColumn("_stride", stride), "doc_id")
+    rows = rows.where(F.col("_break").isNotNull() | (F.col("idx") % F.col("_stride") == 0))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("_break").isNull(), "_break", "idx"))
+    return rows.withColumn("_place", order).where(F.col("_place") <= most).select(*listed.columns)
