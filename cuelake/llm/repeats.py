@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,21 +61,37 @@ def runs(text: bytes) -> tuple[np.ndarray, ...] | None:
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-RUNS = "anchor long, bytes long, key binary, first long, last long, shift long"
+RUNS = "anchor long, bytes long, key binary, firsts array<long>, span long, shift long"
 
 
 def keyed_runs(docs: DataFrame) -> DataFrame:
-    """Runs of every text; the key is a hash of 128 bits of the whole text."""
+    """Runs of every text, equal ones of one text as a single row with all their starts, so that a line repeated over
+    and over is a row for each text; span is last start less first. The key is a hash of 128 bits of the text."""
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch):
-                found = [(xxhash.xxh128_digest(x), y) for x in part.column(0).to_pylist() if (y := runs(x)) is not None]
-                if found:
-                    key = np.repeat(np.arange(len(found)), [len(y[0]) for _, y in found])
-                    columns = [pa.array(np.concatenate(c)) for c in zip(*(y for _, y in found), strict=True)]
-                    keys = pa.array([k for k, _ in found], pa.binary()).take(pa.array(key))
-                    yield pa.RecordBatch.from_arrays([*columns[:2], keys, *columns[2:]], names=["anchor", "bytes", "key", "first", "last", "shift"])
+                keys, columns, starts = [], [], []
+                for text in part.column(0).to_pylist():
+                    found = runs(text)
+                    if found is None:
+                        continue
+                    anchor, whole, first, last, shift = found
+                    order = np.lexsort((first, whole, anchor))
+                    anchor, whole, first, last, shift = (x[order] for x in found)
+                    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])])
+                    keys.append((xxhash.xxh128_digest(text), len(new)))
+                    columns.append((anchor[new], whole[new], last[new] - first[new], shift[new], np.diff(np.r_[new, len(first)])))
+                    starts.append(first)
+                if keys:
+                    anchor, whole, span, shift, many = map(np.concatenate, zip(*columns, strict=True))
+                    key = pa.array([k for k, _ in keys], pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), [n for _, n in keys])))
+                    bounds = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+                    firsts = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(starts)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor), pa.array(whole), key, firsts.cast(pa.list_(pa.field("element", pa.int64()))), pa.array(span), pa.array(shift)],
+                        names=["anchor", "bytes", "key", "firsts", "span", "shift"],
+                    )
 
     return docs.select(text_bytes()).mapInArrow(run, RUNS)
 
@@ -95,31 +112,43 @@ def decided(batches):
         anchor, whole = table["anchor"].to_numpy(), table["bytes"].to_numpy()
         last = np.flatnonzero((anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
-        known, look = _marks(anchor, whole, more)
+        known, look = _marks(anchor, whole, _many(table), more)
         known[cut + 2 :], known[cut : cut + 2], look[cut:] = True, False, False
         yield from _rows(table, known, True)
         yield from _rows(table, look, False)
         more = cut > 0 and anchor[cut - 1] == anchor[-1] or more and anchor[0] == anchor[-1]
         held = table.slice(cut, 2)
     if held is not None:
-        known, look = _marks(held["anchor"].to_numpy(), held["bytes"].to_numpy(), more)
+        known, look = _marks(held["anchor"].to_numpy(), held["bytes"].to_numpy(), _many(held), more)
         yield from _rows(held, known, True)
         yield from _rows(held, look, False)
 
 
-def _marks(anchor: np.ndarray, whole: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray]:
+def _many(table: pa.Table) -> np.ndarray:
+    """How many starts each row has."""
+    return pc.list_value_length(table["firsts"]).to_numpy()
+
+
+def _marks(anchor: np.ndarray, whole: np.ndarray, many: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(anchor)]))
     fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])]
-    twice = ~fresh | np.r_[~fresh[1:], False]
+    twice = ~fresh | np.r_[~fresh[1:], False] | (many > 1)
     several = (np.bincount(group, weights=fresh)[group] > 1) | (group == 0) & more
     return twice, several & fresh
 
 
 def _rows(table: pa.Table, at: np.ndarray, known: bool):
+    """All starts of the rows if they are known to be repeats, else one start of each."""
     if at.any():
-        part = table.filter(pa.array(at)).select(["anchor", "key", "first", "last", "shift"])
-        yield from part.append_column("known", pa.array(np.full(part.num_rows, known))).to_batches()
+        part = table.filter(pa.array(at))
+        many = _many(part) if known else np.ones(part.num_rows, np.int64)
+        first = pc.list_flatten(part["firsts"]).to_numpy() if known else pc.list_element(part["firsts"], 0).to_numpy()
+        row = np.repeat(np.arange(part.num_rows), many)
+        last = first + part["span"].to_numpy()[row]
+        wide = part.select(["anchor", "key", "shift"]).take(pa.array(row))
+        columns = [wide["anchor"], wide["key"], pa.array(first), pa.array(last), wide["shift"], pa.array(np.full(len(first), known))]
+        yield from pa.table(columns, names=["anchor", "key", "first", "last", "shift", "known"]).to_batches()
 
 
 STRINGS = "anchor long, key binary, first long, shift long, part binary"
