@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing.
 
 Every run of SPAN = WINDOW + GRAM - 1 words holds WINDOW hashes of GRAM words; the smallest of each run is kept as a
-fingerprint, on both sides. A span that a document shares with a benchmark item therefore shares a fingerprint at
-the same place in it, so that extending each joined fingerprint by equal words to both sides finds every shared span.
+fingerprint. A span that a document shares with a benchmark item therefore holds a fingerprint of the item at the same
+place, so that looking up every place of a document and extending each one found by equal words to both sides finds
+every shared span, those of repetitive texts included.
 Items of fewer than SPAN words are looked up whole, by the hash of all their words.
 """
 
@@ -80,8 +81,8 @@ def minima(values: np.ndarray) -> np.ndarray:
 class Index:
     """Fingerprints of benchmark items, with the places that they stand for."""
 
-    def __init__(self, items: list[tuple[str, bytes]]):
-        by_text: dict[tuple, list[str]] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]]):
+        by_text: dict[tuple, list[str | None]] = {}
         for item, text in items:
             if found := words(text):
                 by_text.setdefault(tuple(found), []).append(item)
@@ -121,16 +122,10 @@ class Index:
         first = np.cumsum(count) - count
         hits: dict[int, list[tuple[int, int, int]]] = {}
         values = grams(hashes, GRAM)
-        low = minima(values)
-        if len(low):
-            changes = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-            windows = changes[self.among(0, low[changes])]
-            at = np.unique((windows[:, None] + np.arange(WINDOW)).ravel())
-            at = at[np.isin(values[at], low[windows])]
-            doc = np.searchsorted(first + count, at, "right")
-            for p, d, value in zip(at.tolist(), doc.tolist(), values[at].tolist(), strict=True):
-                for k, q in self.places.get(value, ()):
-                    hits.setdefault(d, []).append((p - int(first[d]), k, q))
+        at = self.among(0, values)
+        doc = np.searchsorted(first + count, at, "right")
+        for p, d, value in zip(at.tolist(), doc.tolist(), values[at].tolist(), strict=True):
+            hits.setdefault(d, []).extend((p - int(first[d]), k, q) for k, q in self.places[value])
         for n, known in self.whole.items():
             values = grams(hashes, n)
             at = self.among(n, values)
@@ -159,7 +154,7 @@ class Index:
             if a + b >= min(SPAN, len(item)):
                 spans.append([p - a, p + b])
                 items.add(k)
-        return merged(spans), sorted({x for k in items for x in self.names[k]})
+        return merged(spans), sorted({x for k in items for x in self.names[k]}, key=lambda x: (x is None, x))
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -189,11 +184,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     (ids, as sorted strings, of the items of which some window of SPAN words, or all of fewer, occurs).
 
     A null or empty text has no words and is clean; an item without words is never found; items of one wording are
-    all found; null ids and repeated rows stay. The benchmark's size is measured first: up to
+    all found; null ids and repeated rows stay, and a null item_id is an item as any other (last in items). The benchmark's size is measured first: up to
     ``broadcast_bytes`` it goes to the tasks whole, beyond that fingerprints are joined by a shuffle.
     """
-    items = benchmark.select(F.col("item_id").cast("string"), text_bytes()).where("item_id is not null")
-    size = items.agg(F.sum(F.length("text") + F.length("item_id"))).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("string"), text_bytes())
+    size = items.agg(F.sum(F.length("text") + F.coalesce(F.length("item_id"), F.lit(0)))).first()[0] or 0
     if size > broadcast_bytes:
         return _joined(docs, items)
     known = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.text)) for r in items.collect()])
@@ -267,7 +262,8 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     spans = written(both.mapInArrow(run, schema))
     named = spans.select("_key", "item_key").distinct().join(items.select("item_key", "item_id"), "item_key")
-    found = named.groupBy("_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    item = F.struct(F.col("item_id").isNull().alias("last"), "item_id")
+    found = named.groupBy("_key").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["item_id"]).alias("items"))
     by = Window.partitionBy("_key").orderBy("start", "end")
     runs = spans.select("_key", "start", "end").distinct()
     reached = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))

@@ -169,6 +169,24 @@ def test_contamination_is_that_of_all_windows(spark, docs, limit):
     assert decontam.contamination(docs, bench.limit(0), limit).where("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
+def test_contamination_of_periodic_texts_and_null_items(spark, limit):
+    r = random.Random(7)
+    cycle = lambda k, n: " ".join(f"p{k}w{j % k}" for j in range(n))
+    lines = [" ".join(f"u{r.randint(0, 99)}" for _ in range(n)) for n in (10, 14, 30)]
+    items = [(k, cycle(k, 10 + 3 * k)) for k in range(1, 7)] + [(20, "na " * 10), (None, lines[0]), (None, lines[1]), (21, lines[1]), (22, lines[2])]
+    made = [x for k in range(1, 7) for x in [cycle(k, 100)] * 2 + [cycle(k, 9), "a b " + cycle(k, 40) + " c " + cycle(k, 11)]]
+    made += ["na " * 100, "na " * 100, "na " * 9, lines[0], f"x {lines[1]} y", "na " * 30 + lines[2], lines[2] + " na" * 12, None]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contamination(rows, bench, limit).collect()
+    assert len(found) == len(made)
+    for x in found:
+        hit = sum(s["end"] - s["start"] for s in x["spans"])
+        ids = hashlib.sha256(",".join(str(i) for i in x["items"]).encode()).hexdigest()
+        assert (x["n_words"], hit, len(x["items"]), ids) == plain_hits(made[x["doc_id"]], items), x["doc_id"]
+
+
 def test_quality_learns_and_scores_every_row(spark, docs, empty):
     r = random.Random(4)
     good = [" ".join(r.choice(WORDS) for _ in range(80)) + "." for _ in range(60)]
