@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontam, pii, quality, simhash, unigram
+from cuelake.llm import decontam, neardup, pii, quality, unigram
 from cuelake.llm.common import written
 from cuelake.runtime import ship
 
@@ -18,9 +18,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints hang together."""
+    """One document of each group that hangs together by shingles of five words of a similarity of 0.8 or more."""
     ship(spark)
-    return simhash.one_of_each(docs)
+    return neardup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,9 +45,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of all texts in turn, and the number of words of each text."""
-    joined = np.frombuffer(b" ".join([*texts, b""]).translate(WORD_BYTES), np.uint8)
+def word_hashes(texts: list[bytes], table: bytes = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of all texts in turn, and the number of words of each text. ``table`` makes spaces of bytes
+    between words."""
+    joined = np.frombuffer(b" ".join([*texts, b""]).translate(table), np.uint8)
     if not len(joined):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     _Powers.to(len(joined) + 1)

@@ -249,20 +249,6 @@ def _groups(distinct: DataFrame) -> DataFrame:
     return member.join(group, "root").select("fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id (nulls last), of rows with
-    that id the one with the smallest hash of all columns; rows that agree in everything count once."""
-    names = docs.columns
-    marked = docs.withColumn("_mark", F.xxhash64(*names))
-    prints = written(with_fingerprint(marked.select("doc_id", "_mark", text_bytes())))
-    named = _groups(prints.groupBy("fp").agg(F.min("doc_id").alias("low"))).select("fp", "root")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_mark")
-    first = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("x"))
-    kept = first.select(F.col("x.doc_id").alias("_id"), F.col("x._mark").alias("_kept"))
-    rows = marked.join(kept, (F.col("_mark") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.dropDuplicates(["_mark", "doc_id"]).select(*names)
-
-
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -137,6 +137,38 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [32, 2])
+def test_near_copies_are_those_of_all_shingle_sets(spark, monkeypatch, hot):
+    from cuelake.llm import neardup
+
+    monkeypatch.setattr(neardup, "HOT_KEY", hot)
+    r = random.Random(12)
+    line = lambda n: [f"w{r.randint(0, 3000)}" for _ in range(n)]
+    made, shared = [], line(60)
+    for k in range(14):
+        base = line(r.choice((40, 150, 400))) + (shared if k % 2 else [])
+        for _ in range(5):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), r.randint(0, max(1, len(copy) // 25))):
+                copy[at] = f"z{r.randint(0, 9)}"
+            made.append(" ".join(copy))
+    made += ["", None, " \n", "A b c", "a  b c", "a b d", "x", made[0], made[0].upper()]
+    sets = []
+    for x in made:
+        w = (x or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(made)))
+    for a in range(len(made)):
+        for b in range(a):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                root = [root[b] if x == root[a] else x for x in root]
+    want = sorted(min(i for i, y in enumerate(root) if y == x) for x in set(root))
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    assert sorted(x["doc_id"] for x in neardup.one_of_each(rows).collect()) == want
+    fps = [plain_fingerprint(x) for x in made]
+    assert any((fps[a] ^ fps[b]).bit_count() > 4 and 9 * len(sets[a] & sets[b]) >= 4 * len(sets[a]) + 4 * len(sets[b]) for a in range(70) for b in range(a))
+
+
 def plain_hits(text, items):
     words = RULE.findall((text or "").translate(LOWER))
     hit, ids = set(), set()
