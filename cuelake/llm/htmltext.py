@@ -30,6 +30,13 @@ BLOCK = frozenset(
     "head header hr html iframe legend li main menu nav noscript ol option p pre section select summary table tbody td template tfoot th thead tr ul".split()
 )
 SKIP = frozenset("script style noscript template svg math iframe object head title select textarea button".split())
+#: Elements whose content is text up to their own end tag.
+RAW = frozenset("script style textarea title noscript iframe".split())
+#: All that a head holds; any other tag ends it.
+HEAD = frozenset("title meta link base basefont bgsound style script noscript template".split())
+#: Tags that end an unclosed select, button or drawing.
+BREAKS = frozenset("body article main section nav header footer aside h1 h2 h3 h4 h5 h6 p ul ol table form blockquote pre".split())
+BROKEN = frozenset("select button svg math".split())
 AWAY = frozenset("nav aside footer form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -40,6 +47,10 @@ NAMES = re.compile(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Regions by name that hold articles of others: only a main inside overrides them. Names that tell of another part.
+OTHERS = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|related|recommended|comments?|comment-list|disqus|replies|widget)(?:$|[-_ ])", re.I)
+ELSEWHERE = re.compile(r"(?<!\S)(?:(?:no|with|without|has|hide|show)[-_]\S+|side-by-side\S*)", re.I)
+_TAIL = re.compile(r"<[a-zA-Z/!?]")
 _SPACE = re.compile(r"[\s\xa0]+")
 _WORD = re.compile(r"\w+")
 
@@ -58,18 +69,20 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order, white space inside as one space, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, away, region
+    stack: list[tuple[str, int, int]] = []  # tag, away (1: by name, 2: by the name of others' text, 3: by tag or role), region
     parts: list[str] = []
     linked = anchors = regions = skip = at = 0
+    foreign = False
     heading = False
-    skipping = ""
+    skipping, resume = "", 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            away, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            out.append(Block(text, linked, away, region, heading))
+            away, region = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+            out.append(Block(text, linked, away > 0, region, heading))
         parts.clear()
         linked = 0
 
@@ -80,28 +93,52 @@ def blocks_of(page: str) -> list[Block]:
             if anchors:
                 linked += len(text)
 
-    while m := _TOKEN.search(page, at):
+    while True:
+        m = _TOKEN.search(page, at)
+        if not m:
+            if not skipping or skipping == "head":
+                break
+            unclosed.add(skipping)  # its end tag is missing: read on behind its start tag
+            skipping, at = "", resume
+            continue
         add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         closing = bool(m[1])
+        if skipping == "head" and (tag not in HEAD and tag != "head" or closing and tag == "html"):
+            skipping = ""
+        elif skipping in BROKEN and tag in BREAKS and not foreign:
+            skipping = ""
+        if tag in RAW and not closing and not m[3].endswith("/"):
+            if not skipping and tag in BLOCK:
+                flush()
+            if tag not in unclosed:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
+            if tag in unclosed:
+                start = _TAIL.search(page, at)
+                at = start.start() if start else len(page)
+            continue
         if skipping:
+            if tag in ("foreignobject", "annotation-xml"):
+                foreign = not closing
             if tag == skipping:
-                skip += -1 if closing else 1
+                skip += -1 if closing else 1 if tag not in ("select", "button", "head") else 0
                 if skip <= 0:
                     skipping = ""
             continue
-        if tag in SKIP and not closing:
+        if tag in SKIP and not closing and tag not in unclosed:
             if not m[3].endswith("/"):
                 if tag in BLOCK:
                     flush()
-                if tag in ("script", "style", "textarea", "title", "noscript", "iframe"):
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                else:
-                    skipping, skip = tag, 1
+                skipping, skip, resume, foreign = tag, 1, at, False
             continue
         if tag == "br":
             parts.append(" ")
@@ -119,21 +156,21 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[k:]
                         break
             elif tag not in ("p", "li", "option", "dd", "dt", "tr", "td", "th") or m[3].strip():
-                away = stack[-1][1] if stack else False
-                if not away:
-                    given = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])}
+                away = stack[-1][1] if stack else 0
+                given = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])}
+                name = ELSEWHERE.sub(" ", given.get("class", "") + " " + given.get("id", ""))
+                if away == 1 and tag == "article" and not OTHERS.search(name) or away in (1, 2) and tag == "main":
+                    away = 0
+                if away < 3:
                     inside = any(x[0] in ("article", "main") for x in stack)
-                    away = (
-                        tag in AWAY
-                        or tag == "header" and not inside
-                        or given.get("role", "").lower() in ROLES
-                        or tag not in ("body", "html", "article", "main") and bool(NAMES.search(given.get("class", "") + " " + given.get("id", "")))
-                        or "hidden" in given and tag != "body"
-                    )
+                    if tag in AWAY or tag == "header" and not inside or given.get("role", "").lower() in ROLES or "hidden" in given and tag != "body":
+                        away = 3
+                    elif tag not in ("body", "html", "article", "main") and NAMES.search(name):
+                        away = max(away, 2 if OTHERS.search(name) else 1)
                 if tag in ("p", "li", "option", "dd", "dt", "tr", "td", "th"):
                     if stack and stack[-1][0] == tag:
                         stack.pop()
-                        away = away or (stack[-1][1] if stack else False)
+                        away = away or (stack[-1][1] if stack else 0)
                     stack.append((tag, away, stack[-1][2] if stack else 0))
                 else:
                     if stack and stack[-1][0] == "p":
@@ -142,7 +179,8 @@ def blocks_of(page: str) -> list[Block]:
                     stack.append((tag, away, regions))
             elif stack and stack[-1][0] == tag == "p":
                 stack.pop()
-    add(page[at:] if "<" not in page[at:] else page[at : at + page[at:].index("<")])
+    tail = _TAIL.search(page, at)
+    add(page[at : tail.start()] if tail else page[at:])
     flush()
     return out
 

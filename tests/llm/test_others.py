@@ -59,6 +59,32 @@ def test_main_text(spark):
     assert htmltext.page_report(frame.limit(0)).count() == 0
 
 
+TEXT = "This is the one text of the page, and it is long enough to be read as the main part of it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<head><title>T</title><meta charset=utf-8><script>var x = '<body>';</script><body><p>{TEXT}</p></body>",
+        f"<head><title>T</title><p>{TEXT}</p>",
+        f"<body><div><select><option>1<p>{TEXT}</p></div></body>",
+        f"<body><button>x<p>{TEXT}</p><button>y</button></body>",
+        f"<body><svg><g><text>x</text></g><p>{TEXT}</p></body>",
+        f"<body><object data=x><p>{TEXT}</p></body>",
+        *[f"<body><div class='{x}'><p>{TEXT}</p></div></body>" for x in ("content no-sidebar", "with-sidebar", "side-by-side")],
+        *[f"<body><div class='layout {x}'><{t}><p>{TEXT}</p></{t}></div></body>" for x in ("sidebar", "nav-side") for t in ("article", "main")],
+        f"<p>{TEXT}</p><div id='comments'><article class='comment'><p>{TEXT}</p></article></div>",
+    ],
+)
+def test_valid_pages_keep_their_text(page):
+    assert htmltext.main_text(page) == TEXT
+
+
+def test_text_behind_a_loose_angle_bracket_stays():
+    assert htmltext.main_text("<p>a is < b and much more") == "a is < b and much more"
+    assert htmltext.main_text("<p>kept <a href='x") == "kept"
+
+
 @pytest.mark.parametrize("name", sorted(entries.QUERIES))
 def test_registered_queries_run(spark, name):
     table = {"op4_top_k": None, "op7_main_text": "pages"}.get(name, "documents")
