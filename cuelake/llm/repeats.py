@@ -2,11 +2,17 @@
 
 Suffixes of a corpus can't be sorted in one place, so they are first dealt out by anchors. The anchor of a string of
 LENGTH bytes is its leftmost smallest hash of GRAM bytes; equal strings have equal anchors at equal places, so equal
-strings meet at their anchor's hash. Neighbouring strings with one anchor form a run. Then, in one sorted pass over the
-runs of each anchor, runs of equal bytes are repeats as a whole; where an anchor has runs of different bytes (at
-the ends of passages), their strings are put in suffix order, and the longest previous factor of each, cut off at LENGTH,
-says whether an equal string lies before it; the class's first string is a repeat too if another follows. With
-``keep_first``, later copies only are removed inside each such block.
+strings meet at their anchor's hash. Neighbouring strings with one anchor form a run; runs of equal bytes (by 128 bits of
+hashes) are collapsed into one.
+
+Where an anchor has several different runs, their strings are put in suffix order with the lengths of the common
+prefixes of neighbours. The previous and the next smaller position in that order give each string's longest previous
+factor: where it reaches LENGTH, the string is a later copy. ``keep_first`` removes these only; else the same with the
+order of positions turned round finds the copies that come first, too.
+
+Anchors of more runs than a task should sort together are handled in chunks of that many. Two chunks are compared by cores:
+the bytes that all strings of a block of BLOCK distances from the anchor hold. Only strings of a block whose core is in
+several chunks can be equal to one of another chunk; these are counted by hash in a shuffle.
 """
 
 from __future__ import annotations
@@ -18,16 +24,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import append_columns, arrow_schema, blocks, text_bytes, written
+from cuelake.llm.common import arrow_schema, blocks, text_bytes, written
 from cuelake.llm.decontam import _Powers, mixed
 
 LENGTH, GRAM = 400, 64
-#: Runs of one anchor that are put in suffix order together inside a task; more are counted by a shuffle.
+#: Runs of one anchor that are put in suffix order together inside a task; more are handled in chunks.
 HOT_RUNS = 4096
+#: Distances from the anchor that a block of a chunk's comparison holds.
+BLOCK = 16
 #: Strings sorted at once.
 SORTED = 16_384
 #: Text whose anchors are found at once; a longer one goes in overlapping pieces.
 PIECE = 4_000_000
+#: The order of a text without one: last.
+LAST = np.iinfo(np.int64).max
+
+
+def text_key(text: bytes, order: int) -> bytes:
+    """128 bits that stand for a text; where copies are told apart by their order, for the text of that order."""
+    return xxhash.xxh128_digest(text, order % (1 << 64))
+
+
+def ordered(docs: DataFrame, keep_first: bool) -> DataFrame:
+    """text (bytes) and place: doc_id where the first copy is kept, the same for all texts otherwise."""
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))) if keep_first else F.lit(0).cast("long")
+    return docs.select(text_bytes(), place.alias("place"))
 
 
 def runs(text: bytes) -> tuple[np.ndarray, ...] | None:
@@ -61,18 +82,18 @@ def runs(text: bytes) -> tuple[np.ndarray, ...] | None:
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-RUNS = "anchor long, bytes long, key binary, firsts array<long>, span long, shift long"
+RUNS = "anchor long, bytes long, place long, key binary, firsts array<long>, span long, shift long"
 
 
-def keyed_runs(docs: DataFrame) -> DataFrame:
-    """Runs of every text, equal ones of one text as a single row with all their starts, so that a line repeated over
-    and over is a row for each text; span is last start less first. The key is a hash of 128 bits of the text."""
+def keyed_runs(texts: DataFrame) -> DataFrame:
+    """Runs of every text (of ``ordered``), equal ones of one text as a single row with all their starts, so that a line
+    repeated over and over is a row for each text; span is last start less first."""
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch):
                 keys, columns, starts = [], [], []
-                for text in part.column(0).to_pylist():
+                for text, place in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = runs(text)
                     if found is None:
                         continue
@@ -80,48 +101,54 @@ def keyed_runs(docs: DataFrame) -> DataFrame:
                     order = np.lexsort((first, whole, anchor))
                     anchor, whole, first, last, shift = (x[order] for x in found)
                     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])])
-                    keys.append((xxhash.xxh128_digest(text), len(new)))
+                    keys.append((text_key(text, place), place, len(new)))
                     columns.append((anchor[new], whole[new], last[new] - first[new], shift[new], np.diff(np.r_[new, len(first)])))
                     starts.append(first)
                 if keys:
                     anchor, whole, span, shift, many = map(np.concatenate, zip(*columns, strict=True))
-                    key = pa.array([k for k, _ in keys], pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), [n for _, n in keys])))
+                    row = np.repeat(np.arange(len(keys)), [n for _, _, n in keys])
+                    key = pa.array([k for k, _, _ in keys], pa.binary()).take(pa.array(row))
+                    place = np.array([x for _, x, _ in keys])[row]
                     bounds = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
                     firsts = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(starts)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(whole), key, firsts.cast(pa.list_(pa.field("element", pa.int64()))), pa.array(span), pa.array(shift)],
-                        names=["anchor", "bytes", "key", "firsts", "span", "shift"],
+                        [pa.array(anchor), pa.array(whole), pa.array(place), key, firsts.cast(pa.list_(pa.field("element", pa.int64()))), pa.array(span), pa.array(shift)],
+                        names=["anchor", "bytes", "place", "key", "firsts", "span", "shift"],
                     )
 
-    return docs.select(text_bytes()).mapInArrow(run, RUNS)
-
-
-DECIDED = "anchor long, key binary, first long, last long, shift long, known boolean"
-
-
-def decided(batches):
-    """From runs sorted by anchor and bytes: those that occur twice (known), and those that need a closer look; of a
-    run that occurs twice beside different ones, one copy goes along to be compared with them. Holds one batch,
-    and of the last run two copies at most."""
-    held, more = None, False  # more: the first anchor had other runs before
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-        if not table.num_rows:
-            continue
-        anchor, whole = table["anchor"].to_numpy(), table["bytes"].to_numpy()
-        last = np.flatnonzero((anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        known, look = _marks(anchor, whole, _many(table), more)
-        known[cut + 2 :], known[cut : cut + 2], look[cut:] = True, False, False
-        yield from _rows(table, known, True)
-        yield from _rows(table, look, False)
-        more = cut > 0 and anchor[cut - 1] == anchor[-1] or more and anchor[0] == anchor[-1]
-        held = table.slice(cut, 2)
-    if held is not None:
-        known, look = _marks(held["anchor"].to_numpy(), held["bytes"].to_numpy(), _many(held), more)
-        yield from _rows(held, known, True)
-        yield from _rows(held, look, False)
+    return texts.mapInArrow(run, RUNS)
+
+
+DECIDED = "anchor long, place long, key binary, first long, last long, shift long, known boolean"
+
+
+def decided(keep_first: bool = False):
+    """From runs sorted by anchor, bytes and place: those that occur twice (known; with ``keep_first`` but the first), and
+    those that need a closer look: of each different run the first copy, where an anchor has several. Holds one batch, and
+    of the last run two copies at most."""
+
+    def run(batches):
+        held, more = None, False  # more: the first anchor had other runs before
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            anchor, whole = table["anchor"].to_numpy(), table["bytes"].to_numpy()
+            last = np.flatnonzero((anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            known, look, fresh = _marks(anchor, whole, _many(table), more)
+            known[cut + 2 :], known[cut : cut + 2], look[cut:] = True, False, False
+            yield from _rows(table, known, True, fresh & keep_first)
+            yield from _rows(table, look, False)
+            more = cut > 0 and anchor[cut - 1] == anchor[-1] or more and anchor[0] == anchor[-1]
+            held = table.slice(cut, 2)
+        if held is not None:
+            known, look, fresh = _marks(held["anchor"].to_numpy(), held["bytes"].to_numpy(), _many(held), more)
+            yield from _rows(held, known, True, fresh & keep_first)
+            yield from _rows(held, look, False)
+
+    return run
 
 
 def _many(table: pa.Table) -> np.ndarray:
@@ -129,49 +156,59 @@ def _many(table: pa.Table) -> np.ndarray:
     return pc.list_value_length(table["firsts"]).to_numpy()
 
 
-def _marks(anchor: np.ndarray, whole: np.ndarray, many: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray]:
+def _marks(anchor: np.ndarray, whole: np.ndarray, many: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(anchor)]))
     fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])]
     twice = ~fresh | np.r_[~fresh[1:], False] | (many > 1)
     several = (np.bincount(group, weights=fresh)[group] > 1) | (group == 0) & more
-    return twice, several & fresh
+    return twice, several & fresh, fresh
 
 
-def _rows(table: pa.Table, at: np.ndarray, known: bool):
-    """All starts of the rows if they are known to be repeats, else one start of each."""
+def _rows(table: pa.Table, at: np.ndarray, known: bool, but_first: np.ndarray | None = None):
+    """All starts of the rows if they are known to be repeats (but the first one of some rows), else one start of each."""
     if at.any():
         part = table.filter(pa.array(at))
         many = _many(part) if known else np.ones(part.num_rows, np.int64)
         first = pc.list_flatten(part["firsts"]).to_numpy() if known else pc.list_element(part["firsts"], 0).to_numpy()
         row = np.repeat(np.arange(part.num_rows), many)
+        if but_first is not None and but_first.any():
+            stay = np.ones(len(first), bool)
+            stay[(np.cumsum(many) - many)[but_first[at]]] = False
+            first, row = first[stay], row[stay]
         last = first + part["span"].to_numpy()[row]
-        wide = part.select(["anchor", "key", "shift"]).take(pa.array(row))
-        columns = [wide["anchor"], wide["key"], pa.array(first), pa.array(last), wide["shift"], pa.array(np.full(len(first), known))]
-        yield from pa.table(columns, names=["anchor", "key", "first", "last", "shift", "known"]).to_batches()
+        wide = part.select(["anchor", "place", "key", "shift"]).take(pa.array(row))
+        columns = [wide["anchor"], wide["place"], wide["key"], pa.array(first), pa.array(last), wide["shift"], pa.array(np.full(len(first), known))]
+        yield from pa.table(columns, names=["anchor", "place", "key", "first", "last", "shift", "known"]).to_batches()
 
 
-STRINGS = "anchor long, key binary, first long, shift long, part binary"
+STRINGS = "anchor long, place long, key binary, first long, shift long, part binary"
 
 
-def strings_of(looks: DataFrame, docs: DataFrame) -> DataFrame:
+def strings_of(looks: DataFrame, texts: DataFrame) -> DataFrame:
     """The bytes of runs that need a closer look, cut out of their texts; of equal texts one is read."""
-    keyed = append_columns(docs.select(text_bytes()), lambda: lambda block: {"key": [xxhash.xxh128_digest(x) for x in block]}, "key binary")
-    texts = keyed.dropDuplicates(["key"])
+
+    def keyed(batches):
+        for batch in batches:
+            for part in blocks(batch):
+                keys = [text_key(t, p) for t, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary())], names=["text", "place", "key"])
+
+    long = texts.where(F.length("text") >= LENGTH).mapInArrow(keyed, "text binary, place long, key binary")
     wanted = looks.groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last", "shift")).alias("runs"))
-    both = texts.join(wanted, "key").select("key", "text", "runs")
+    both = long.dropDuplicates(["key"]).join(wanted, "key").select("key", "place", "text", "runs")
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch):
                 out = [
-                    (r["anchor"], x["key"], r["first"], r["shift"], x["text"][r["first"] : r["last"] + LENGTH])
+                    (r["anchor"], x["place"], x["key"], r["first"], r["shift"], x["text"][r["first"] : r["last"] + LENGTH])
                     for x in part.to_pylist()
                     for r in x["runs"]
                 ]
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-                columns = [*zip(*out, strict=True)] or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "key", "first", "shift", "part"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+                columns = [*zip(*out, strict=True)] or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "place", "key", "first", "shift", "part"])
 
     return both.mapInArrow(run, STRINGS)
 
@@ -182,44 +219,88 @@ def suffix_order(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.argsort(np.ascontiguousarray(view[start]).view(f"S{LENGTH}").ravel(), kind="stable")
 
 
-def previous_factors(data: np.ndarray, start: np.ndarray, keep_first: bool = False) -> np.ndarray:
-    """Whether each string's longest previous factor reaches LENGTH, positions being in the order of ``start``; with
-    ``keep_first`` false also for a string that is itself the previous factor of a later one.
-
-    In suffix order, strings with a common prefix of LENGTH are neighbours; the previous or next smaller position
-    among them exists for all but the class's smallest position.
-    """
+def suffix_array(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order of the strings at ``start``, and the length of each one's common prefix with the one before
+    it in that order, cut off at LENGTH."""
     order = suffix_order(data, start)
     view = np.lib.stride_tricks.as_strided(data, (len(data) - LENGTH + 1, LENGTH), (1, 1))
-    sorted_ = view[start[order]]
-    new = np.r_[True, (sorted_[1:] != sorted_[:-1]).any(1)]
-    number = np.cumsum(new) - 1
-    size = np.bincount(number)[number]
-    smallest = np.minimum.reduceat(order, np.flatnonzero(new))[number]
-    out = np.zeros(len(start), bool)
-    out[order] = (size > 1) & ((order != smallest) | (not keep_first))
+    common = np.zeros(len(start), np.int64)
+    for at in range(1, len(order), 4096):
+        rows = order[at - 1 : at + 4096]
+        sorted_ = view[start[rows]]
+        differ = sorted_[1:] != sorted_[:-1]
+        common[at : at + len(rows) - 1] = np.where(differ.any(1), differ.argmax(1), LENGTH)
+    return order, common
+
+
+def _smaller_before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place of the suffix order, the length of its common prefix with the nearest one before it whose
+    position is smaller (0 if there is none). Descends over minima of 2^k places."""
+    n = len(position)
+    lows, shared = [position], [common]
+    while 1 << len(lows) < n:
+        half = 1 << (len(lows) - 1)
+        low, both = lows[-1].copy(), shared[-1].copy()
+        low[half:] = np.minimum(low[half:], lows[-1][:-half])
+        both[half:] = np.minimum(both[half:], shared[-1][:-half])
+        lows.append(low)
+        shared.append(both)
+    at = np.arange(n)  # all of those from here on, before the place, are larger
+    length = np.full(n, LENGTH)
+    for k in range(len(lows) - 1, -1, -1):
+        free = at >= 1 << k
+        before = np.maximum(at - 1, 0)
+        step = free & (lows[k][before] > position)
+        length = np.where(step, np.minimum(length, shared[k][at]), length)
+        at = np.where(step, at - (1 << k), at)
+    return np.where(at > 0, np.minimum(length, common[at]), 0)
+
+
+def previous_factors(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each string of LENGTH bytes at ``start``, cut off at LENGTH; positions are in the
+    order of ``start``. It is the longer of the common prefixes with the previous and the next smaller position in suffix order."""
+    order, common = suffix_array(data, start)
+    return _factors(order, common, order)
+
+
+def next_factors(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The same with positions turned round: the longest prefix that starts again later."""
+    order, common = suffix_array(data, start)
+    return _factors(order, common, -order)
+
+
+def _factors(order: np.ndarray, common: np.ndarray, position: np.ndarray) -> np.ndarray:
+    turned = np.r_[0, common[:0:-1]]
+    longest = np.maximum(_smaller_before(position, common), _smaller_before(position[::-1], turned)[::-1])
+    out = np.zeros(len(order), np.int64)
+    out[order] = longest
     return out
 
 
-FOUND = "key binary, first long, last long, h1 long, h2 long"
+def repeated_strings(data: np.ndarray, start: np.ndarray, keep_first: bool = False) -> np.ndarray:
+    """Whether each string's longest previous factor reaches LENGTH, or, unless the first is kept, its longest next factor."""
+    order, common = suffix_array(data, start)
+    out = _factors(order, common, order) >= LENGTH
+    return out if keep_first else out | (_factors(order, common, -order) >= LENGTH)
+
+
+FOUND = "key binary, first long, last long, place long, chunk long, core binary, part binary"
 
 
 def compared(keep_first: bool = False, hot_runs: int = HOT_RUNS):
-    """From strings of runs sorted by anchor: the starts (first to last) that are repeats; of an anchor with too many
-    runs, every string's hash instead."""
-
-    def some(keys, first, last, h1=None, h2=None):
-        n = len(first)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(first), pa.array(last), none if h1 is None else pa.array(h1), none if h2 is None else pa.array(h2)],
-            names=["key", "first", "last", "h1", "h2"],
-        )
-
-    def together(rows):
-        """Rows of whole anchors: (anchor, key, first, shift, part)."""
-        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        size = np.array([len(r[4]) for r in rows])
+    """From strings of runs sorted by anchor, place and key: the starts (first to last) that are repeats; of an anchor with
+    too many runs, those inside each chunk, and the chunk's blocks with their cores."""
+
+    def some(rows):
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        columns = [*zip(*rows, strict=True)] or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "first", "last", "place", "chunk", "core", "part"])
+
+    def together(rows, chunk=None):
+        """Rows of whole anchors, or of a chunk of one: (anchor, place, key, first, shift, part)."""
+        rows = sorted(rows, key=lambda r: (r[1], r[2], r[3]))
+        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        size = np.array([len(r[5]) for r in rows])
         begin = np.cumsum(size) - size
         many = size - LENGTH + 1
         owner = np.repeat(np.arange(len(rows)), many)
@@ -227,96 +308,135 @@ def compared(keep_first: bool = False, hot_runs: int = HOT_RUNS):
         start = begin[owner] + inside
         repeated = np.zeros(len(start), bool)
         if len(start) <= SORTED:
-            repeated = previous_factors(data, start, keep_first)
+            repeated = repeated_strings(data, start, keep_first)
         else:  # only strings at the same distance from their anchor can be equal
-            distance = inside - np.array([r[3] for r in rows])[owner]
+            distance = inside - np.array([r[4] for r in rows])[owner]
             order = np.argsort(distance, kind="stable")
             cuts = np.flatnonzero(np.diff(distance[order])) + 1
             for part in np.split(order, cuts):
-                repeated[part] = previous_factors(data, start[part], keep_first)
+                repeated[part] = repeated_strings(data, start[part], keep_first)
+        # stretches of repeats, cut where one run's strings end
         edge = np.flatnonzero(np.diff(np.r_[False, repeated, False].astype(np.int8)))
-        a, b = edge[::2], edge[1::2] - 1
-        # a stretch of repeats may pass from one run's strings to the next run's
         cut = np.cumsum(many)
         pieces = []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        for x, y in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True):
             while x <= y:
                 k = owner[x]
                 end = min(y, int(cut[k]) - 1)
-                pieces.append((rows[k][1], rows[k][2] + int(inside[x]), rows[k][2] + int(inside[end])))
+                pieces.append((rows[k][2], rows[k][3] + int(inside[x]), rows[k][3] + int(inside[end]), None, None, None, None))
                 x = end + 1
         if pieces:
-            keys, first, last = zip(*pieces, strict=True)
-            yield some(keys, np.array(first), np.array(last))
-
-    def hashed(rows):
-        for _, key, first, _, part in rows:
-            x = np.frombuffer(part, np.uint8).astype(np.uint64) + np.uint64(1)
-            n = len(x) - LENGTH + 1
-            _Powers.to(len(x) + 1)
-            made = []
-            for salt in (1, 0xC2B2AE3D27D4EB4F):
-                total = np.r_[np.uint64(0), np.cumsum(mixed(x * np.uint64(salt)) * _Powers.up[: len(x)])]
-                made.append(mixed((total[LENGTH:] - total[:-LENGTH]) * _Powers.down[:n]).view(np.int64))
-            at = np.arange(first, first + n)
-            yield some([key] * n, at, at, *made)
+            yield some(pieces)
+        if chunk is not None:
+            yield some(cores(rows, chunk))
+
+    def cores(rows, chunk):
+        """Each different block of a chunk's runs, its first copy standing for all."""
+        seen, out = set(), []
+        for anchor, place, key, first, shift, part in rows:
+            low, high = -shift, len(part) - LENGTH - shift
+            for block in range(low // BLOCK, high // BLOCK + 1):
+                a, b = max(low, block * BLOCK), min(high, block * BLOCK + BLOCK - 1)
+                own = part[a + shift : b + shift + LENGTH]
+                if (a, b, own) not in seen:
+                    seen.add((a, b, own))
+                    core = part[block * BLOCK + BLOCK - 1 + shift : block * BLOCK + shift + LENGTH]
+                    name = xxhash.xxh128_digest(b"%d %d " % (anchor, block) + core)
+                    out.append((key, first + a + shift, first + b + shift, place, chunk, name, own))
+        return out
 
     def run(batches):
-        held, anchor, hot, ready, strings = [], None, False, [], 0
+        held, anchor, chunk, ready, strings = [], None, None, [], 0
+
+        def done():
+            nonlocal ready, strings
+            if chunk is not None:
+                yield from together(held, chunk)
+                return
+            ready += held
+            strings += sum(len(r[5]) - LENGTH + 1 for r in held)
+            if strings > SORTED:
+                yield from together(ready)
+                ready, strings = [], 0
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != anchor:
-                    if hot:
-                        yield from hashed(held)
-                    else:
-                        ready += held
-                        strings += sum(len(r[4]) - LENGTH + 1 for r in held)
-                        if strings > SORTED:
-                            yield from together(ready)
-                            ready, strings = [], 0
-                    held, anchor, hot = [], row[0], False
+                    if held:
+                        yield from done()
+                    held, anchor, chunk = [], row[0], None
+                elif len(held) == hot_runs:
+                    chunk = 0 if chunk is None else chunk
+                    yield from together(held, chunk)
+                    held, chunk = [], chunk + 1
                 held.append(row)
-                if len(held) > hot_runs:
-                    hot = True
-                    yield from hashed(held)
-                    held = []
-        if hot:
-            yield from hashed(held)
-        else:
-            ready += held
+        if held:
+            yield from done()
         if ready:
             yield from together(ready)
 
     return run
 
 
+def across_chunks(blocks_: DataFrame, keep_first: bool) -> DataFrame:
+    """(key, first, last): the strings of blocks (of FOUND) that are equal to one of another chunk."""
+    several = blocks_.groupBy("core").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a < b").select("core")
+    live = blocks_.join(several, "core", "left_semi").select("key", "place", "first", "part")
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, p, f + n, xxhash.xxh128_digest(x[n : n + LENGTH])) for k, p, f, x in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n in range(len(x) - LENGTH + 1)]
+            columns = [*zip(*rows, strict=True)] or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "place", "first", "hash"])
+
+    strings = written(live.mapInArrow(run, "key binary, place long, first long, hash binary"))
+    order = F.struct("place", "key", "first")
+    often = strings.groupBy("hash").agg(F.count("*").alias("many"), F.min(order).alias("low")).where("many > 1").select("hash", "low")
+    equal = strings.join(often, "hash")
+    equal = equal.where(order > F.col("low")) if keep_first else equal
+    return equal.select("key", "first", F.col("first").alias("last"))
+
+
 def repeated_spans(docs: DataFrame, keep_first: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(key, spans): for each different text with repeats, by the 128-bit hash of its bytes, its maximal repeated
-    ranges of bytes in order."""
-    by_anchor = keyed_runs(docs).repartition("anchor").sortWithinPartitions("anchor", "bytes")
-    first = written(by_anchor.mapInArrow(decided, DECIDED))
+    """(key, spans): for each different text with repeats, by ``text_key``, its repeated ranges of bytes."""
+    texts = ordered(docs, keep_first)
+    by_anchor = keyed_runs(texts).repartition("anchor").sortWithinPartitions("anchor", "bytes", "place", "key")
+    first = written(by_anchor.mapInArrow(decided(keep_first), DECIDED))
     looks = first.where("not known").distinct()
-    parts = strings_of(looks, docs).repartition("anchor").sortWithinPartitions("anchor")
+    parts = strings_of(looks, texts).repartition("anchor").sortWithinPartitions("anchor", "place", "key")
     found = written(parts.mapInArrow(compared(keep_first, hot_runs), FOUND))
-    spans = first.where("known").select("key", "first", "last").union(found.where("h1 is null").select("key", "first", "last"))
-    if not found.where("h1 is not null").isEmpty():
-        hashed = found.where("h1 is not null").select("key", "first", "last", "h1", "h2")
-        often = hashed.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-        spans = spans.union(hashed.join(often, ["h1", "h2"]).select("key", "first", "last"))
+    spans = first.where("known").select("key", "first", "last").union(found.where("core is null").select("key", "first", "last"))
+    hot = found.where("core is not null")
+    if not hot.isEmpty():
+        spans = spans.union(across_chunks(hot, keep_first))
     spans = spans.select("key", "first", (F.col("last") + LENGTH).alias("end")).distinct()
     return spans.groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """All columns of ``docs`` with n_bytes, spans (maximal removed ranges of bytes) and kept (the other bytes).
+def without_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS, keep_first: bool = False) -> DataFrame:
+    """All columns of ``docs`` with n_bytes, spans (maximal removed ranges of bytes) and kept (the other bytes); own
+    columns of these names, and any named _key or _place, give way.
 
     A null text counts as empty; texts of fewer than LENGTH bytes keep all. Of equal texts of at least LENGTH bytes
-    nothing is kept. Repeated rows give equal results.
+    nothing is kept. With ``keep_first`` the first copy of each string stays, in the order of doc_id (nulls last) and place;
+    rows that agree in doc_id and text are one document then. Repeated rows give equal results.
     """
-    added = ("key", "spans", "n_bytes", "kept")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
-    keyed = append_columns(docs, lambda: lambda block: {"key": [xxhash.xxh128_digest(x) for x in block]}, "key binary")
-    both = keyed.join(repeated_spans(docs, False, hot_runs), "key", "left")
+    added = ("_key", "_place", "spans", "n_bytes", "kept")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))) if keep_first else F.lit(0)
+    full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["_place long, _key binary"])
+    schema, text = arrow_schema(full), docs.columns.index("text")
+
+    def name(batches):
+        for batch in batches:
+            for part in blocks(batch):
+                texts = [x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()]
+                keys = [text_key(t, p) for t, p in zip(texts, part.column(part.num_columns - 1).to_pylist(), strict=True)]
+                own = [c.cast(f.type) for c, f in zip(part.columns, schema, strict=False)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.binary())], schema=schema)
+
+    keyed = docs.withColumn("_place", place.cast("long")).mapInArrow(name, full).drop("_place")
+    both = keyed.join(repeated_spans(docs, keep_first, hot_runs).withColumnRenamed("key", "_key"), "_key", "left")
 
     at, own = both.columns.index("text"), both.columns.index("spans")
     full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_bytes long, spans array<struct<start long, end long>>, kept binary"])

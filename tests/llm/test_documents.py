@@ -312,49 +312,91 @@ def test_viterbi_is_the_best_of_all_labellings():
         assert tuple(found[row]) == best
 
 
-def plain_removal(all_texts):
+def plain_removal(all_texts, keep_first=False):
     raw = [(x or "").encode() for x in all_texts]
     seen = {}
-    for x in raw:
+    for k, x in enumerate(raw):
         for i in range(len(x) - 399):
-            seen[x[i : i + 400]] = seen.get(x[i : i + 400], 0) + 1
+            seen.setdefault(x[i : i + 400], []).append((k, i))
     out = []
-    for x in raw:
+    for k, x in enumerate(raw):
         gone = bytearray(len(x))
         for i in range(len(x) - 399):
-            if seen[x[i : i + 400]] > 1:
+            places = seen[x[i : i + 400]]
+            if len(places) > 1 and not (keep_first and places[0] == (k, i)):
                 gone[i : i + 400] = b"\1" * 400
         kept = bytes(c for c, y in zip(x, gone, strict=True) if not y)
         out.append((len(x), sum(gone), bytes(gone).replace(b"\0", b" ").split().__len__(), hashlib.sha256(kept).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT_RUNS, 2])
-def test_repeats_are_those_of_all_strings(spark, docs, empty, hot):
-    from pyspark.sql import functions as F
-
+@pytest.fixture(scope="module")
+def repetitive(spark):
     r = random.Random(4)
     line = lambda n: " ".join(f"{r.choice(WORDS)}{r.randint(0, 99)}" for _ in range(n))
     passages = [line(120) for _ in range(4)]
     made = [line(60) + passages[k % 4][r.randint(0, 200) :] + line(40) for k in range(30)]
     made += ["a" * 1000, "ab" * 300, "", None, passages[0], passages[0], "line of text\n" * 80, line(30) + "line of text\n" * 50, "a" * 399, "b" * 400, "b" * 400]
-    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    made += [passages[1][:500] + line(40) for _ in range(6)] + [line(40) + passages[2][-450:] for _ in range(6)]
+    return made
+
+
+@pytest.mark.parametrize(("hot", "keep_first"), [(repeats.HOT_RUNS, False), (2, False), (3, True), (repeats.HOT_RUNS, True)])
+def test_repeats_are_those_of_all_strings(spark, docs, empty, repetitive, hot, keep_first):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(list(enumerate(repetitive)), "doc_id long, text string").repartition(4)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    found = repeats.without_repeats(rows, hot).select("doc_id", "n_bytes", size, F.size("spans"), F.sha2("kept", 256)).collect()
-    want = plain_removal(made)
+    found = repeats.without_repeats(rows, hot, keep_first).select("doc_id", "n_bytes", size, F.size("spans"), F.sha2("kept", 256)).collect()
+    want = plain_removal(repetitive, keep_first)
     assert {x[0]: tuple(x)[1:] for x in found} == dict(enumerate(want))
     assert repeats.repeat_report(docs).count() == docs.count()
     assert repeats.repeat_report(empty).count() == 0
+    clash = rows.selectExpr("*", "1 spans", "'x' kept", "2 key", "3 _key", "4 _place", "5 n_bytes")
+    assert repeats.without_repeats(clash.where("doc_id < 3")).columns == ["doc_id", "text", "key", "n_bytes", "spans", "kept"]
+
+
+def test_runs_of_a_long_text_do_not_hang_on_its_pieces(monkeypatch):
+    text = " ".join(f"w{random.Random(k).randint(0, 999)}" for k in range(3000)).encode()
 
+    def strings():
+        anchor, _, first, last, shift = repeats.runs(text)
+        return {(i, int(a)): int(f + s - i) for a, f, z, s in zip(anchor, first, last, shift, strict=True) for i in range(f, z + 1)}
 
-def test_previous_factors_keep_the_first():
+    whole = strings()
+    monkeypatch.setattr(repeats, "PIECE", 1000)
+    assert strings() == whole and len(whole) == len(text) - 399
+
+
+def test_many_strings_are_sorted_by_distance(monkeypatch):
+    r = random.Random(3)
+    shared = bytes(r.choice(b"abcd") for _ in range(600))
+    rows = [(1, k, b"k%d" % k, 0, 300 + k, shared[: 560 + k] + bytes(r.choice(b"xyz") for _ in range(100))) for k in range(9)]
+    rows = [(a, p, k, f, 100, b"".join([x])) for a, p, k, f, _, x in rows]
+    import pyarrow as pa
+
+    names = ["anchor", "place", "key", "first", "shift", "part"]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=names)
+    together = pa.Table.from_batches(list(repeats.compared()([batch]))).to_pylist()
+    monkeypatch.setattr(repeats, "SORTED", 10)
+    split = pa.Table.from_batches(list(repeats.compared()([batch]))).to_pylist()
+    starts = lambda found: {(x["key"], i) for x in found for i in range(x["first"], x["last"] + 1)}
+    assert starts(together) == starts(split) and starts(split)
+
+
+def test_longest_factors_are_those_of_all_pairs(monkeypatch):
     import numpy as np
 
-    text = b"".join(bytes([65 + k % 26]) for k in range(450)) + b"#" + b"".join(bytes([65 + k % 26]) for k in range(450))
-    data = np.frombuffer(text, np.uint8)
-    start = np.array([0, 10, 451, 461])
-    assert repeats.previous_factors(data, start, keep_first=True).tolist() == [False, False, True, True]
-    assert repeats.previous_factors(data, start).tolist() == [True] * 4
+    monkeypatch.setattr(repeats, "LENGTH", 6)
+    r = random.Random(1)
+    text = bytes(r.choice(b"ab") for _ in range(300))
+    data, start = np.frombuffer(text, np.uint8), np.arange(295)
+
+    def common(i, j):
+        return next((k for k in range(6) if text[i + k] != text[j + k]), 6)
+
+    assert repeats.previous_factors(data, start).tolist() == [max((common(i, j) for j in range(i)), default=0) for i in start]
+    assert repeats.next_factors(data, start).tolist() == [max((common(i, j) for j in range(i + 1, 295)), default=0) for i in start]
 
 
 def test_pieces_round_trip_and_match_a_plain_search(spark, docs, empty):
