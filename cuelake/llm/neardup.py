@@ -9,7 +9,8 @@ come from two searches, and each is verified by both whole sets:
 
 The order puts shingles first that a sample of texts holds least, so that a passage of many texts is a key of none that
 hold enough else. A key of more than HOT_KEY sets is first linked by stars, each around another set, and only the sets
-that are still in different groups are then paired: no pair is left out, and a large group of copies stays linear.
+that are still in different groups are then paired: no pair is left out, and a large group of copies stays linear. Stars
+are repeated while they would leave more than ENOUGH pairs a set.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from cuelake.llm.decontam import grams, word_hashes
 #: The similarity is the fraction 4 / 5, so that comparisons are of whole numbers.
 SHINGLE, SIMILAR = 5, (4, 5)
 HOT_KEY, STARS, SAMPLE = 32, 4, 2000
+TURNS, ENOUGH = 4, 16
+#: A name that no column of a document has.
+MARK = "_near_duplicate_mark"
 #: Lower-cased (A-Z), white space as a space: the words of op2.
 PLAIN_BYTES = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -103,7 +107,7 @@ FOUND = "a long, b long, key long, at long, hot boolean"
 
 def pairs_in(most: int | None):
     """From rows (key, id, at, root) sorted by key and id: pairs of sets of different roots under a key. Rows of a key
-    of more than ``most`` sets come back as they are (hot)."""
+    of more than ``most`` sets come back as they are (hot); such a key is passed on as it comes, never held whole."""
 
     def made(a, b, key, at, hot):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, key, at, np.full(len(a), hot))], names=["a", "b", "key", "at", "hot"])
@@ -111,8 +115,6 @@ def pairs_in(most: int | None):
     def linked(key, ids, at, root):
         if not len(key):
             return
-        new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
-        key, ids, at, root = key[new], ids[new], at[new], root[new]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         end, many = np.repeat(start + size, size), np.repeat(size, size)
@@ -135,14 +137,31 @@ def pairs_in(most: int | None):
 
     def run(batches):
         held = [np.zeros(0, np.int64)] * 4
+        hot = None  # the key that is passed on
+        last = None
         for batch in batches:
             now = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(4)]
             if not len(now[0]):
                 continue
+            # repeated rows of a set (of equal texts in several tasks) follow one another
+            new = np.r_[last != (now[0][0], now[1][0]), (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])]
+            last = (now[0][-1], now[1][-1])
+            now = [x[new] for x in now]
+            if hot is not None and len(now[0]):
+                n = int(np.searchsorted(now[0], hot, "right"))
+                if n:
+                    yield made(now[1][:n], now[1][:n], now[0][:n], now[2][:n], True)
+                    now = [x[n:] for x in now]
+            if not len(now[0]):
+                continue
+            hot = None
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1]))
             yield from linked(*(x[:cut] for x in now))
             held = [x[cut:] for x in now]
+            if most is not None and len(held[0]) > most:
+                yield made(held[1], held[1], held[0], held[2], True)
+                hot, held = held[0][0], [x[:0] for x in held]
         yield from linked(*held)
 
     return run
@@ -153,6 +172,14 @@ def _pairs(rows: DataFrame, most: int | None) -> DataFrame:
     return written(rows.mapInArrow(pairs_in(most), FOUND))
 
 
+def stars(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each set of a key with STARS others, picked by hash, of another root. A key of one root has none."""
+    picks = [F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn * STARS + k))) for k in range(STARS)]
+    chosen = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.array_distinct(F.array(*picks)).alias("z"))
+    both = rows.join(chosen.where("x <> y").select("key", "z"), "key").select("id", "root", F.explode("z").alias("z"))
+    return both.where("root <> z.root").select(F.col("z.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of which the whole sets are similar enough."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
@@ -171,37 +198,41 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
 
 
-def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(a, b): links between sets (id) whose components are those of all pairs that are similar enough. ``prints`` has
-    the id and fingerprint (fp) of each row of ``docs``."""
+def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(node, root): the components of all pairs of sets (id) that are similar enough; sets without any are left out.
+    ``prints`` has the id and fingerprint (fp) of each row of ``docs``."""
     plain = append_columns(docs.select(text_bytes()), lambda: lambda block: {"id": _long([identity(x) for x in shingles(block)])}, "id long")
     found = _pairs(keys(docs).withColumn("root", F.col("id")), HOT_KEY)
+    hot = found.where("hot").select("key", F.col("a").alias("id"), "at")
     named = written(prints.select("fp", "id").distinct())
     low = written(named.groupBy("fp").agg(F.min("id").alias("low")))
     near = simhash.links(low.select("fp"))
     side = lambda name: low.select(F.col("fp").alias(name), F.col("low").alias(f"{name}_id"))
     pairs = near.join(side("a"), "a").join(side("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    pairs = pairs.union(named.join(low, "fp").select("low", "id")).union(found.where("not hot").select("a", "b")).where("a <> b")
+    pairs = pairs.union(named.join(low, "fp").select("low", "id")).union(found.where("not hot").select("a", "b"))
+    pairs = pairs.union(stars(hot.withColumn("root", F.col("id")), 0)).where("a <> b")
     pairs = written(pairs.distinct())
-    hot = found.where("hot").select("key", F.col("a").alias("id"), "at")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct()
     texts = written(plain.join(nodes, "id", "left_semi").dropDuplicates(["id"]).select("id", "text"))
     edges = verified(pairs, texts)
-    if hot.isEmpty():
-        return edges
-    for turn in range(STARS + 1):
+    tree = components(edges)
+    for turn in range(1, TURNS + 1):
+        rows = hot.join(tree, hot.id == tree.node, "left").select("key", "id", "at", F.coalesce("root", "id").alias("root"))
+        rows = written(rows)
+        by_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+        left = by_root.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"), F.sum("n").alias("n")).where("twice > 0")
+        pairs, many = left.agg(F.sum("twice") / 2, F.sum("n")).first()
+        if not many:
+            return tree
+        if pairs <= ENOUGH * many or turn == TURNS:
+            new = _pairs(rows.join(left.select("key"), "key", "left_semi"), None).select("a", "b")
+        else:
+            new = stars(rows, turn)
+        edges = edges.union(verified(new, texts))
         tree = components(edges)
-        rows = written(hot.join(tree, hot.id == tree.node, "left").select("key", "id", "at", F.coalesce("root", "id").alias("root")))
-        several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("z"))
-        several = several.where("x <> y").select("key", F.col("z.id").alias("a"), F.col("z.root").alias("a_root"))
-        if several.isEmpty():
+        if pairs <= ENOUGH * many:
             break
-        if turn < STARS:
-            pairs = rows.join(several, "key").where("root <> a_root").select("a", F.col("id").alias("b")).distinct()
-        else:
-            pairs = _pairs(rows.join(several, "key", "left_semi"), None).select("a", "b")
-        edges = edges.union(verified(pairs, texts))
-    return edges
+    return tree
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -209,7 +240,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     that id the one with the smallest hash of all columns; rows that agree in everything count once. Texts without
     words are one group."""
     names = docs.columns
-    marked = docs.withColumn("_mark", F.xxhash64(*names))
+    marked = docs.withColumn(MARK, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
 
     def make():
         return lambda block: {
@@ -217,10 +248,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             "id": _long([identity(x) for x in shingles(block)]),
         }
 
-    prints = written(append_columns(marked.select("doc_id", "_mark", text_bytes()), make, "fp long, id long").drop("text"))
-    tree = components(links(docs, prints))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_mark")
+    prints = written(append_columns(marked.select("doc_id", MARK, text_bytes()), make, "fp long, id long").drop("text"))
+    tree = groups(docs, prints)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", MARK)
     first = prints.join(tree, prints.id == tree.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min(order).alias("x"))
-    kept = first.select(F.col("x.doc_id").alias("_id"), F.col("x._mark").alias("_kept"))
-    rows = marked.join(kept, (F.col("_mark") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.dropDuplicates(["_mark", "doc_id"]).select(*names)
+    kept = first.select(F.col("x.doc_id").alias("_near_id"), F.col(f"x.{MARK}").alias("_near_kept"))
+    rows = marked.join(kept, (F.col(MARK) == F.col("_near_kept")) & F.col("doc_id").eqNullSafe(F.col("_near_id")))
+    return rows.dropDuplicates([MARK, "doc_id"]).select(*[F.col(f"`{c}`") for c in names])
