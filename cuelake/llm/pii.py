@@ -320,13 +320,17 @@ def find(texts: list[str], field: Field) -> list[tuple[list[tuple[str, int, int]
 FOUND = "base array<struct<kind string, start long, end long>>, spans array<struct<kind string, start long, end long>>"
 
 
+def _trained(docs: DataFrame):
+    field = train()
+    return docs.sparkSession.sparkContext.broadcast((field.weights, field.pairs))
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with base and spans (base ones and those that the field adds), in code points.
 
     Null and empty texts have none; repeated rows give equal spans. One narrow pass; the field's weights are small.
     """
-    trained = train()
-    known = docs.sparkSession.sparkContext.broadcast((trained.weights, trained.pairs))
+    known = _trained(docs)
 
     def make():
         field = Field(*known.value)
@@ -341,27 +345,36 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return append_columns(docs, make, FOUND)
 
 
+def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each span replaced by its kind, of overlapping ones the first."""
+    out, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], s[2], s[0])):
+        if a >= at:
+            out += [text[at:a], f"<{kind}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in its text replaced by its kind in angle brackets, overlapping spans as one; of a changed
-    text, n_chars (if there) is counted anew."""
-    found = personal_data(docs)
-    names = docs.columns
-    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begun = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"],
-        F.struct(
-            F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")).alias("out"),
-            s["end"].alias("at"),
-        ),
-    ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
-    last = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    clean = F.aggregate(spans, begun, step, last)
-    found = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    text, n_chars (if there) is counted anew. Null texts stay null; a column named _masked gives way."""
+    known = _trained(docs)
+    names = [c for c in docs.columns if c != "_masked"]
+
+    def make():
+        field = Field(*known.value)
+
+        def handle(block):
+            texts = [x.decode("utf-8", "replace") for x in block]
+            return {"_masked": [mask(x, spans) if spans else None for x, (_, spans) in zip(texts, find(texts, field), strict=True)]}
+
+        return handle
+
+    found = append_columns(docs, make, "_masked string")
     if "n_chars" in names:
-        size = F.length("text").cast(found.schema["n_chars"].dataType)
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, size).otherwise(F.col("n_chars")))
-    return found.select(*names)
+        size = F.length("_masked").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.coalesce(size, "n_chars"))
+    return found.withColumn("text", F.coalesce("_masked", "text")).select(*[F.col(f"`{c}`") for c in names])
 
 
 def personal_data_report(docs: DataFrame) -> DataFrame:
@@ -375,4 +388,5 @@ def personal_data_report(docs: DataFrame) -> DataFrame:
         *[count(k) for k in KINDS],
         F.sha2(written_as("base"), 256).alias("base_sha256"),
         written_as("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

@@ -110,3 +110,24 @@ def test_pipeline_keeps_clean_documents(spark):
     for _, stage in p.STAGES:
         assert stage(spark, twice.limit(0), SF).count() == 0
     assert p.tokens(spark, p.personal_data(spark, twice, SF), SF).where(F.col("round_trip")).count() == 5
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as p
+
+    plain = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    more = spark.createDataFrame([(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, long, "en", "s", len(long)), (None, "x y z", None, None, None), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5)], plain.schema)
+    names = "score predicted n_words spans items base slots vals _mark fp id key _key _near_id _near_kept _masked _document_0 _document_1 piece_score decoded Score2".split()
+    docs = plain.union(more).select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for k, (_, stage) in enumerate(p.STAGES):
+        rows = {tuple(x[n] for n in names) for x in docs.collect()}
+        after = stage(spark, docs, SF)
+        assert after.columns[: len(docs.columns)] == docs.columns
+        found = after.collect()
+        assert {tuple(x[n] for n in names) for x in found} <= rows and found
+        assert all(x["score"] in (None, f"score{x['doc_id']}") for x in found)
+        if k >= 3:
+            assert len(found) == docs.count()
+    clash = docs.select("*", F.lit("own").alias("ids"), F.lit("own").alias("N_pieces"), F.lit("own").alias("round_trip"))
+    assert p.tokens(spark, clash, SF).columns == [*docs.columns, "ids", "n_pieces", "round_trip"]
