@@ -7,8 +7,8 @@ hashes) are collapsed into one.
 
 Where an anchor has several different runs, their strings are put in suffix order with the lengths of the common
 prefixes of neighbours. The previous and the next smaller position in that order give each string's longest previous
-factor: where it reaches LENGTH, the string is a later copy. ``keep_first`` removes these only; else the same with the
-order of positions turned round finds the copies that come first, too.
+factor: where it reaches LENGTH, the string is a later copy. ``keep_first`` removes these only; else the first copies, that
+such factors lead to, go too.
 
 Anchors of more runs than a task should sort together are handled in chunks of that many. Two chunks are compared by cores:
 the bytes that all strings of a block of BLOCK distances from the anchor hold. Only strings of a block whose core is in
@@ -224,12 +224,20 @@ def suffix_array(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nd
     it in that order, cut off at LENGTH."""
     order = suffix_order(data, start)
     view = np.lib.stride_tricks.as_strided(data, (len(data) - LENGTH + 1, LENGTH), (1, 1))
-    common = np.zeros(len(start), np.int64)
+    wide = np.dtype(np.uint64 if LENGTH % 8 == 0 else np.uint8)
+    common = np.zeros(len(start), np.int32)
     for at in range(1, len(order), 4096):
         rows = order[at - 1 : at + 4096]
-        sorted_ = view[start[rows]]
+        sorted_ = np.ascontiguousarray(view[start[rows]]).view(wide)
         differ = sorted_[1:] != sorted_[:-1]
-        common[at : at + len(rows) - 1] = np.where(differ.any(1), differ.argmax(1), LENGTH)
+        first = differ.argmax(1)
+        row = np.arange(len(first))
+        same = ~differ[row, first]
+        length = first.astype(np.int32) * wide.itemsize
+        if wide.itemsize > 1:  # the first byte that differs is the lowest one of the word
+            odd = sorted_[row + 1, first] ^ sorted_[row, first]
+            length += np.bitwise_count((odd & -odd) - np.uint64(1)).astype(np.int32) // 8
+        common[at : at + len(first)] = np.where(same, LENGTH, length)
     return order, common
 
 
@@ -246,7 +254,7 @@ def _smaller_before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
         lows.append(low)
         shared.append(both)
     at = np.arange(n)  # all of those from here on, before the place, are larger
-    length = np.full(n, LENGTH)
+    length = np.full(n, LENGTH, np.int32)
     for k in range(len(lows) - 1, -1, -1):
         free = at >= 1 << k
         before = np.maximum(at - 1, 0)
@@ -256,32 +264,33 @@ def _smaller_before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.where(at > 0, np.minimum(length, common[at]), 0)
 
 
-def previous_factors(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The longest previous factor of each string of LENGTH bytes at ``start``, cut off at LENGTH; positions are in the
-    order of ``start``. It is the longer of the common prefixes with the previous and the next smaller position in suffix order."""
-    order, common = suffix_array(data, start)
-    return _factors(order, common, order)
+def _factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """In suffix order, the longer of the common prefixes with the previous and the next smaller position."""
+    turned = np.r_[common[:1] * 0, common[:0:-1]]
+    return np.maximum(_smaller_before(position, common), _smaller_before(position[::-1], turned)[::-1])
 
 
-def next_factors(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The same with positions turned round: the longest prefix that starts again later."""
+def previous_factors(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each string of LENGTH bytes at ``start``, cut off at LENGTH; positions are in the
+    order of ``start``."""
     order, common = suffix_array(data, start)
-    return _factors(order, common, -order)
-
-
-def _factors(order: np.ndarray, common: np.ndarray, position: np.ndarray) -> np.ndarray:
-    turned = np.r_[0, common[:0:-1]]
-    longest = np.maximum(_smaller_before(position, common), _smaller_before(position[::-1], turned)[::-1])
-    out = np.zeros(len(order), np.int64)
-    out[order] = longest
+    out = np.zeros(len(start), np.int64)
+    out[order] = _factors(order, common)
     return out
 
 
 def repeated_strings(data: np.ndarray, start: np.ndarray, keep_first: bool = False) -> np.ndarray:
-    """Whether each string's longest previous factor reaches LENGTH, or, unless the first is kept, its longest next factor."""
+    """Whether each string's longest previous factor reaches LENGTH, or, unless the first is kept, that of another one
+    leads to it."""
+    out = np.zeros(len(start), bool)
     order, common = suffix_array(data, start)
-    out = _factors(order, common, order) >= LENGTH
-    return out if keep_first else out | (_factors(order, common, -order) >= LENGTH)
+    whole = common == LENGTH
+    rows = np.flatnonzero(whole | np.r_[whole[1:], False])
+    if len(rows):  # the factors of strings that share less with both neighbours are shorter
+        own = order[rows]
+        later = _factors(own, np.minimum.reduceat(common[: rows[-1] + 1], np.r_[0, rows[:-1] + 1])) >= LENGTH
+        out[own] = later if keep_first else True  # each class of several holds one string that is no later copy
+    return out
 
 
 FOUND = "key binary, first long, last long, place long, chunk long, core binary, part binary"
@@ -353,11 +362,11 @@ def compared(keep_first: bool = False, hot_runs: int = HOT_RUNS):
             if chunk is not None:
                 yield from together(held, chunk)
                 return
-            ready += held
-            strings += sum(len(r[5]) - LENGTH + 1 for r in held)
-            if strings > SORTED:
+            more = sum(len(r[5]) - LENGTH + 1 for r in held)
+            if ready and strings + more > SORTED:
                 yield from together(ready)
                 ready, strings = [], 0
+            ready, strings = ready + held, strings + more
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
