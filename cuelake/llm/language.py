@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import append_columns
 
-SLOTS = 1 << 14
-#: Bounds of what is learned from: texts in all (shared out evenly over the languages), landmarks in all, languages.
-TRAIN_TEXTS, LANDMARKS, LANGUAGES = 1600, 96, 64
+SLOTS = 1 << 15
+#: Bounds of what is learned from, for each language: texts and landmarks. Every language is learned, so the totals grow
+#: with the number of languages only; of many languages, each has fewer (but never under the second number).
+TEXTS, LANDMARKS = (400, 40), (24, 4)
+#: Landmarks and texts in all from which on a language has fewer.
+ALL_TEXTS, ALL_LANDMARKS = 8000, 600
 RIDGE = 1e-3
 UNDECIDED = "und"
 
@@ -38,8 +41,8 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 65 or 91 <= c < 97 or 123 <
 
 def has_letter(text: bytes) -> bool:
     """Whether a character of the text is a letter in Unicode."""
-    if text.translate(None, _NOT_ASCII_LETTERS):
-        plain = text.translate(None, _NOT_ASCII_LETTERS)
+    plain = text.translate(None, _NOT_ASCII_LETTERS)
+    if plain:
         if any(c < 128 for c in plain[:64]) or any(c < 128 for c in plain):
             return True
         return any(c.isalpha() for c in text.decode("utf-8", "replace"))
@@ -49,6 +52,10 @@ def has_letter(text: bytes) -> bool:
 _NOT_ASCII_LETTERS = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122))
 
 
+def share(languages: int, each: tuple[int, int], total: int) -> int:
+    return max(each[1], min(each[0], total // max(1, languages)))
+
+
 class Kernel:
     """Landmarks and one-versus-rest weights. ``matrix`` maps a presence row straight to class values."""
 
@@ -62,7 +69,7 @@ class Kernel:
             return cls([], np.zeros((SLOTS, 0), np.float32))
         rows = rows.astype(np.float32)
         unit = rows / np.sqrt(np.maximum(1, rows.sum(1)))[:, None]
-        per = max(1, LANDMARKS // len(languages))
+        per = share(len(languages), LANDMARKS, ALL_LANDMARKS)
         where: dict[str, list[int]] = {}
         for k, x in enumerate(labels):
             where.setdefault(x, []).append(k)
@@ -86,23 +93,25 @@ class Kernel:
         return value.argmax(1), share.max(1)
 
 
-def train(docs: DataFrame, learn=None, texts: int = TRAIN_TEXTS) -> Kernel:
-    """Learn from at most ``texts`` documents with a lang, chosen by the hash of their doc_id, an equal number of each
-    of at most LANGUAGES languages (the most frequent ones). Of the chosen ones only packed slots reach the driver."""
-    known = docs.where("lang is not null and text is not null")
+def train(docs: DataFrame, learn=None, texts: tuple[int, int] = TEXTS) -> Kernel:
+    """Learn every lang from at most ``texts`` documents of each, chosen by the hash of their doc_id; of rows that share
+    doc_id and lang, one counts (that of the smallest text). Of the chosen ones only packed slots reach the driver."""
+    spark = docs.sparkSession
+    known = docs.where("lang is not null and text is not null and doc_id is not null")
     if learn is not None:
         known = known.where(learn)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return Kernel.fit(np.zeros((0, SLOTS)), [])
-    each = max(1, texts // len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 2.0 * each / r["count"] + 50.0 / r["count"]))])
+    each = share(len(counts), texts, ALL_TEXTS)
+    parts = spark.createDataFrame([(r["lang"], min(1.0, 2.0 * each / r["count"] + 50.0 / r["count"])) for r in counts], "lang string, part double")
     mark = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    some = known.select("doc_id", "lang", mark.alias("mark")).where(F.col("mark") < F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))
+    some = known.select("doc_id", "lang", mark.alias("mark")).join(F.broadcast(parts), "lang").where("mark < part").distinct()
     # about twice as many as wanted are left by now, whatever the corpus
     order = Window.partitionBy("lang").orderBy("mark", "doc_id")
-    chosen = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang").distinct()
+    chosen = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang")
     picked = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    picked = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def make():
         def handle(block):

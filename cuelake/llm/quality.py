@@ -109,13 +109,15 @@ class Machine:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, learn=None) -> Machine:
     """A machine learned from at most ``rows`` texts that have a quality of 0 or 1, chosen by hash among those that
-    the condition ``learn`` (on doc_id) admits. Without any, every score is 0.5 or so."""
+    the condition ``learn`` (on doc_id) admits. Of rows that share a doc_id the smallest text counts, of several labels of
+    a doc_id the larger. Without any, every score is 0.5 or so."""
     known = labels.where("quality in (0, 1) and doc_id is not null")
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def make():
         def handle(block):
@@ -127,8 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, learn=None
     table = append_columns(texts, make, "slots array<int>, vals array<float>").select("doc_id", "quality", "slots", "vals").toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     slots, values = table["slots"].to_pylist(), table["vals"].to_pylist()
-    picked = [(np.array(slots[i], np.int64), np.array(values[i])) for i in order[: 2 * rows]]
-    return Machine().fit(picked, table["quality"].to_numpy()[order[: 2 * rows]].astype(float))
+    picked = [(np.array(slots[i], np.int64), np.array(values[i])) for i in order]
+    return Machine().fit(picked, table["quality"].to_numpy()[order].astype(float))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -6,6 +6,8 @@ radius. Blocks of queries and of candidates are paired from the top: first each
 that promises most, which gives every query a k-th score; then with every block that may still beat the block's worst
 k-th score. Inside a pair, both sides are split on (cover trees over the block's vectors), and node pairs are pruned by
 the same bound:  <q, y> <= <cq, cy> + |cq| ry + |cy| rq + rq ry.
+
+Products are of whole numbers in floating point, which is exact below 2^53; blocks of larger ones are multiplied as integers.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ K = 5
 #: Stand for a missing score (it can be negated) and a missing id.
 NONE, NO_ID = -(1 << 62), np.iinfo(np.int64).max
 #: Sampled rows and centres of the upper levels; rows of a block; rows of a leaf in a block's own tree.
-SAMPLE, CENTRES, BLOCK, LEAF = 2000, 48, 2048, 256
+SAMPLE, CENTRES, BLOCK, LEAF = 2000, 48, 2048, 64
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ class Tree:
         self.norm = float(np.sqrt((self.centre**2).sum()))
         if len(rows) > LEAF and self.radius > 0:
             net = centres(x[rows], 4)
-            near = ((x[rows][:, None, :] - net) ** 2).sum(2).argmin(1)
+            near = ((net**2).sum(1) - 2 * (x[rows] @ net.T)).argmin(1)
             parts = [rows[near == k] for k in range(len(net))]
             if max(map(len, parts)) < len(rows):
                 self.kids = [Tree(x, p) for p in parts if len(p)]
@@ -94,42 +96,68 @@ class Tree:
 class Best:
     """The k best (score, vec_id) of each query so far: higher scores first, then smaller ids."""
 
-    def __init__(self, n: int, worst: np.ndarray):
+    def __init__(self, own: np.ndarray, worst: np.ndarray):
+        n = len(own)
         self.score = np.full((n, K), NONE, np.int64)
         self.id = np.full((n, K), NO_ID, np.int64)
-        self.floor = worst  # k-th scores known from other blocks
+        self.own, self.floor = own, worst  # k-th scores known from other blocks
 
     def kth(self, rows: np.ndarray) -> np.ndarray:
         return np.maximum(self.score[rows, -1], self.floor[rows])
 
-    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        scores = np.where(ids[None, :] == own[rows][:, None], NONE, scores)
-        both = np.concatenate([self.score[rows], scores], axis=1)
-        names = np.concatenate([self.id[rows], np.broadcast_to(ids, scores.shape)], axis=1)
-        names = np.where(both == NONE, NO_ID, names)
-        order = np.lexsort((names, -both), axis=1)[:, :K]
-        self.score[rows] = np.take_along_axis(both, order, 1)
-        self.id[rows] = np.take_along_axis(names, order, 1)
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in the products of ``rows`` with candidates. Only those that reach a row's k-th score are sorted."""
+        scores[ids[None, :] == self.own[rows][:, None]] = NONE
+        least = self.kth(rows)
+        if scores.shape[1] > K:
+            least = np.maximum(least, np.partition(scores, -K, axis=1)[:, -K].astype(np.int64))
+        row, at = np.nonzero((scores >= least[:, None]) & (scores > NONE))
+        if not len(row):
+            return
+        old_row, old = np.nonzero(self.id[rows] != NO_ID)
+        row = np.r_[old_row, row]
+        score = np.r_[self.score[rows[old_row], old], scores[row[len(old) :], at].astype(np.int64)]
+        name = np.r_[self.id[rows[old_row], old], ids[at]]
+        order = np.lexsort((name, -score, row))
+        row, score, name = row[order], score[order], name[order]
+        first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        keep = rank < K
+        self.score[rows[row[keep]], rank[keep]] = score[keep]
+        self.id[rows[row[keep]], rank[keep]] = name[keep]
 
 
 def search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, data: np.ndarray, ids: np.ndarray) -> Best:
-    """Dual-tree search of one block of queries in one block of candidates, best-promising children first."""
-    best = Best(len(queries), floor)
-    exact = queries.astype(np.int64), data.astype(np.int64)
-    queries, data = queries.astype(np.float64), data.astype(np.float64)
-    stack = [(Tree(queries, np.arange(len(queries))), Tree(data, np.arange(len(data))))]
+    """Dual-tree search of one block of queries in one block of candidates. Node pairs go down together, the most promising
+    first; the leaves that a query leaf can't rule out are multiplied with it at once."""
+    best = Best(own, floor)
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, queries.shape[1])
+    exact = (queries.astype(np.float64), data.astype(np.float64)) if most < 2**53 else (queries, data)
+    top = Tree(data.astype(np.float64), np.arange(len(data)))
+    stack = [(Tree(queries.astype(np.float64), np.arange(len(queries))), [top])]
     while stack:
-        a, b = stack.pop()
-        if a.bound(b) < float(best.kth(a.rows).min()) - 1e-6 * (1 + a.norm * b.norm):
-            continue
-        if not a.kids and not b.kids:
-            best.add(a.rows, exact[0][a.rows] @ exact[1][b.rows].T, ids[b.rows], own)
+        a, nodes = stack.pop()
+        if a.kids:
+            stack += [(x, nodes) for x in a.kids]
             continue
-        pairs = [(x, y) for x in (a.kids or [a]) for y in (b.kids or [b])]
-        stack += sorted(pairs, key=lambda p: p[0].bound(p[1]))
+        # down the candidates' tree, a level at a time; the best node's leaf gives a first k-th score
+        while any(b.kids for b in nodes):
+            nodes = [c for b in nodes for c in (b.kids or [b])]
+            nodes = _may_win(a, nodes, best)
+        nodes.sort(key=a.bound, reverse=True)
+        for part in (nodes[:1], nodes[1:]):
+            part = _may_win(a, part, best)
+            if part:
+                rows = np.concatenate([b.rows for b in part])
+                best.add(a.rows, exact[0][a.rows] @ exact[1][rows].T, ids[rows])
     return best
 
 
+def _may_win(a: Tree, nodes: list[Tree], best: Best) -> list[Tree]:
+    least = float(best.kth(a.rows).min()) if len(a.rows) else 0.0
+    return [b for b in nodes if a.bound(b) >= least - 1e-6 * (1 + a.norm * b.norm)]
+
+
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -139,18 +167,21 @@ def _searched(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                queries, data = row["queries"], row["rows"]
-                own = np.array([x["vec_id"] for x in queries])
-                floor = np.array([NONE if x["floor"] is None else x["floor"] for x in queries])
-                ids = np.array([x["vec_id"] for x in data])
-                best = search(np.array([x["v"] for x in queries]), own, floor, np.array([x["v"] for x in data]), ids)
+                queries, data = (batch.column(c)[k].values for c in (0, 1))
+                own, floor, ids = queries.field("vec_id").to_numpy(), queries.field("floor").fill_null(NONE).to_numpy(), data.field("vec_id").to_numpy()
+                width = len(queries.field("v")[0])
+                best = search(matrix(queries.field("v"), width), own, floor, matrix(data.field("v"), width), ids)
                 query, slot = np.nonzero((best.id != NO_ID) & (best.score >= floor[:, None]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own[query]), pa.array(best.id[query, slot]), pa.array(best.score[query, slot])], names=["query_id", "vec_id", "score"]
                 )
 
-    return pairs.join(blocks, "block").select("queries", "rows").mapInArrow(run, FOUND)
+    # whole blocks are few and large rows: dealt out anew, so that a task gets as many of them as another
+    return pairs.join(blocks, "block").select("queries", "rows").repartition(_width(pairs)).mapInArrow(run, FOUND)
+
+
+def _width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def top_k(vectors: DataFrame, is_query=None) -> DataFrame:

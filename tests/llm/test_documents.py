@@ -1,6 +1,7 @@
 """Every operator on documents: brute force on small fixtures, and nulls, empty, long, equal and extra-column rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -260,6 +261,53 @@ def test_language_of_held_out_texts(spark, docs, empty):
     assert {x["lang_pred"] for x in language.language_report(frame.where("doc_id >= 1002").drop("lang").selectExpr("*", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(8)
+    kinds = {f"l{k:02}": [f"{chr(97 + k % 26)}{chr(97 + k // 4)}{x}" for x in ("a", "ob", "uc", "ed", "if")] for k in range(80)}
+    rows = [(n, " ".join(r.choice(kinds[x]) for _ in range(40)), x) for n, x in enumerate([*kinds] * 12)]
+    rows += [(5, rows[5][1], rows[5][2])] * 50 + [(k, "q q q", "rare") for k in range(5000, 5003)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = {x["doc_id"]: x for x in language.language_report(frame).collect()}
+    assert len({x["lang_pred"] for x in found.values()} & {*kinds}) == 80
+    held = [(k, x) for k, _, x in rows if x != "rare" and found[k]["held_out"]]
+    assert sum(found[k]["lang_pred"] == x for k, x in held) >= 0.95 * len(held)
+
+
+def test_kernel_is_nystrom_and_ridge_in_plain_terms():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = (r.random((40, language.SLOTS)) < 0.01 * (1 + np.arange(40)[:, None] % 2)).astype(np.float32)
+    labels = ["ab"[k % 2] for k in range(40)]
+    model = language.Kernel.fit(rows, labels)
+
+    def kernel(x, y):
+        return (x * y).sum() / math.sqrt(max(1, x.sum()) * max(1, y.sum()))
+
+    per = language.share(2, language.LANDMARKS, language.ALL_LANDMARKS)
+    marks = [k for c in "ab" for k in [i for i, x in enumerate(labels) if x == c][:per]]
+    inner = np.array([[kernel(rows[i], rows[j]) for j in marks] for i in marks])
+    values, vectors = np.linalg.eigh(inner)
+    root = vectors @ np.diag(values**-0.5) @ vectors.T
+    maps = np.array([[kernel(x, rows[j]) for j in marks] for x in rows]) @ root
+    target = np.array([[1.0 if x == c else -1.0 for c in "ab"] for x in labels])
+    weight = np.diag([1 / labels.count(x) for x in labels])
+    ridge = np.linalg.solve(maps.T @ weight @ maps + language.RIDGE * np.eye(len(marks)), maps.T @ weight @ target)
+    want = maps @ ridge
+    size = np.sqrt(np.maximum(1, rows.sum(1)))[:, None]
+    assert np.allclose(rows @ model.matrix / size, want, atol=1e-3)
+
+
+def test_training_takes_one_row_of_a_repeated_document(spark):
+    rows = [(1, f"good words of all kinds {k}") for k in range(300)] + [(2, "&&& ### $$$"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0), (1, None), (None, 1)], "doc_id long, quality int")
+    machine = quality.train(docs, labels, rows=5)
+    assert [tuple(x) for x in quality.scored(docs, machine).where("doc_id > 1").select("doc_id", "predicted").orderBy("doc_id").collect()]
+    once = quality.train(docs.groupBy("doc_id").agg({"text": "min"}).withColumnRenamed("min(text)", "text"), labels, rows=5)
+    assert (machine.weights == once.weights).all()
+
+
 def plain_spans(text):
     text = text or ""
     digits = lambda s: re.sub(r"[^0-9]", "", s)
@@ -396,7 +444,8 @@ def test_longest_factors_are_those_of_all_pairs(monkeypatch):
         return next((k for k in range(6) if text[i + k] != text[j + k]), 6)
 
     assert repeats.previous_factors(data, start).tolist() == [max((common(i, j) for j in range(i)), default=0) for i in start]
-    assert repeats.next_factors(data, start).tolist() == [max((common(i, j) for j in range(i + 1, 295)), default=0) for i in start]
+    assert repeats.repeated_strings(data, start, True).tolist() == [any(common(i, j) == 6 for j in range(i)) for i in start]
+    assert repeats.repeated_strings(data, start).tolist() == [any(common(i, j) == 6 for j in range(295) if j != i) for i in start]
 
 
 def test_pieces_round_trip_and_match_a_plain_search(spark, docs, empty):

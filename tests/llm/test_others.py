@@ -39,6 +39,23 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids_other_widths_and_large_numbers(spark):
+    r = random.Random(5)
+    rows = [(k % 150, [r.gauss(0, 3) for _ in range(4)], "x", k) for k in range(300)]
+    rows += [(k, [1.0] * 5, "wide", k) for k in range(1000, 1010)] + [(2000, [], "none", 1), (None, [1.0] * 4, "no id", 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, rank int").repartition(3)
+    valid = [(x["vec_id"], [math.floor(256 * y) for y in x["embedding"]]) for x in frame.collect() if x["vec_id"] is not None and len(x["embedding"]) == 4]
+    want = []
+    for q in (0, 50, 100):
+        a = min(v for k, v in valid if k == q)
+        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), k) for k, b in valid if k != q)
+        want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scored[:5])]
+    assert sorted(map(tuple, topk.top_k(frame).collect())) == want
+    big = [(k, [float(r.randint(-3 * 10**5, 3 * 10**5)) for _ in range(3)]) for k in range(120)]
+    large = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(large).collect())) == brute_top(big)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies on the site and that is why you see this.</div>
 <aside><p>Something in the side bar that is long enough to be read as if it were the text of it.</p></aside>
