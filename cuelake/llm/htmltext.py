@@ -1,11 +1,14 @@
 """Main text of web pages by two passes over blocks.
 
 The page is read once into blocks: pieces of text between block-level tags, each with the path of regions that it
-lies in. First pass: a block inside a region that is never article text (menus, headers and footers of the page,
-sidebars, forms, comments of readers, adverts, by tag, role or name) is bad; of the rest, length, link density and
+lies in. Blocks inside a region that is never article text (menus, headers and footers of the page, sidebars, forms,
+comments of readers, adverts, by tag, role or name) are left out; a long block of few links inside an article or main element is good. First pass: of the rest, length, link density and
 stop-word density make a block good, bad, or undecided when it is short or of middling density. Second pass: an
-undecided block takes the label that its nearest decided neighbours on both sides agree on; where they
-differ, it is good if it lies in the same region as the good one, or is a heading before it.
+undecided block takes the label of its nearest decided neighbours; where those on both sides differ, it takes that of the
+nearer one, and at equal distance, or within the region of the good one, it is good. A heading looks to the block behind it.
+
+Stop-word density tells nothing of a text in a language without a list here: if no block of a page reaches the density of
+a good one and over half of its long blocks fall below that of a bad one, these are undecided rather than bad.
 """
 
 from __future__ import annotations
@@ -40,16 +43,21 @@ BROKEN = frozenset("select button svg math".split())
 AWAY = frozenset("nav aside footer form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|"
-    r"cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|social|related|recommended|comments?|comment-list|disqus|replies|login|signup|search|widget|pagination|pager)(?:$|[-_ ])",
-    re.I,
+#: A class or id is that of a region outside the article if it consists of these words, and at most of PLAIN ones besides.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer masthead "
+    "cookie cookies consent notice alert popup modal newsletter subscribe share social related recommended comment comments disqus replies login signup search widget pagination pager".split()
+)
+PLAIN = frozenset(
+    "a and area bar block bottom box btn button buttons card center column container content count desktop feed fixed form global group header holder icons id inner item items left link links "
+    "list main message middle mobile module more new page panel post posts articles primary reader reading right row secondary section single site slot sticky tag template the thread title to top unit user view wrap wrapper".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Regions by name that hold articles of others: only a main inside overrides them. Names that tell of another part.
-OTHERS = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|related|recommended|comments?|comment-list|disqus|replies|widget)(?:$|[-_ ])", re.I)
-ELSEWHERE = re.compile(r"(?<!\S)(?:(?:no|with|without|has|hide|show)[-_]\S+|side-by-side\S*)", re.I)
+OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo related recommended comment comments disqus replies widget".split())
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+x?[0-9]*")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TAIL = re.compile(r"<[a-zA-Z/!?]")
 _SPACE = re.compile(r"[\s\xa0]+")
 _WORD = re.compile(r"\w+")
@@ -58,11 +66,53 @@ _WORD = re.compile(r"\w+")
 SHORT, DENSE, SPARSE, LINKED = 12, 0.2, 0.05, 0.5
 
 
+def named(names: str) -> tuple[bool, bool]:
+    """Whether one of the classes or ids is that of a region outside the article, and whether it holds others' text."""
+    away = others = False
+    for token in names.split():
+        words = [x.lower() for x in _PART.findall(token)]
+        if all(x in NAMES or x in PLAIN or x[0].isdigit() for x in words):
+            away |= any(x in NAMES for x in words)
+            others |= any(x in OTHERS for x in words)
+    return away, others
+
+
+class Tokens:
+    """Tags and comments of a page, in linear time. A tag without an end outside quotation marks ends at its first >, as
+    do all that follow it."""
+
+    def __init__(self, page: str):
+        self.page, self.loose = page, False
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The next one from ``at`` on: start, end, whether it closes, its name (none for a comment) and attributes."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), False, "", ""
+            if page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                return at, end + 3 if end >= 0 else len(page), False, "", ""
+            if page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at)
+                return None if end < 0 else (at, end + 1, False, "", "")
+            if m := _OPEN.match(page, at):
+                if not self.loose:
+                    if rest := _REST.match(page, m.end()):
+                        return at, rest.end(), bool(m[1]), m[2].lower(), rest[1]
+                    self.loose = True
+                end = page.find(">", m.end())
+                return None if end < 0 else (at, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end])
+            at += 1
+        return None
+
+
 class Block:
-    __slots__ = ("away", "heading", "label", "linked", "region", "text")
+    __slots__ = ("away", "heading", "inside", "label", "linked", "region", "text")
 
-    def __init__(self, text: str, linked: int, away: bool, region: int, heading: bool):
-        self.text, self.linked, self.away, self.region, self.heading = text, linked, away, region, heading
+    def __init__(self, text: str, linked: int, away: bool, region: int, heading: bool, inside: bool):
+        self.text, self.linked, self.away, self.region, self.heading, self.inside = text, linked, away, region, heading, inside
         self.label = ""
 
 
@@ -82,7 +132,7 @@ def blocks_of(page: str) -> list[Block]:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             away, region = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-            out.append(Block(text, linked, away > 0, region, heading))
+            out.append(Block(text, linked, away > 0, region, heading, any(x[0] in ("article", "main") for x in stack)))
         parts.clear()
         linked = 0
 
@@ -93,38 +143,38 @@ def blocks_of(page: str) -> list[Block]:
             if anchors:
                 linked += len(text)
 
+    tokens = Tokens(page)
     while True:
-        m = _TOKEN.search(page, at)
-        if not m:
+        found = tokens.after(at)
+        if not found:
             if not skipping or skipping == "head":
                 break
             unclosed.add(skipping)  # its end tag is missing: read on behind its start tag
             skipping, at = "", resume
             continue
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, end, closing, tag, given = found
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        closing = bool(m[1])
         if skipping == "head" and (tag not in HEAD and tag != "head" or closing and tag == "html"):
             skipping = ""
         elif skipping in BROKEN and tag in BREAKS and not foreign:
             skipping = ""
-        if tag in RAW and not closing and not m[3].endswith("/"):
+        if tag in RAW and not closing and not given.endswith("/"):
             if not skipping and tag in BLOCK:
                 flush()
             if tag not in unclosed:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
                 elif tag in ("script", "style"):
                     at = len(page)
                 else:
                     unclosed.add(tag)
             if tag in unclosed:
-                start = _TAIL.search(page, at)
-                at = start.start() if start else len(page)
+                next_ = _TAIL.search(page, at)
+                at = next_.start() if next_ else len(page)
             continue
         if skipping:
             if tag in ("foreignobject", "annotation-xml"):
@@ -135,7 +185,7 @@ def blocks_of(page: str) -> list[Block]:
                     skipping = ""
             continue
         if tag in SKIP and not closing and tag not in unclosed:
-            if not m[3].endswith("/"):
+            if not given.endswith("/"):
                 if tag in BLOCK:
                     flush()
                 skipping, skip, resume, foreign = tag, 1, at, False
@@ -155,18 +205,18 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
-            elif tag not in ("p", "li", "option", "dd", "dt", "tr", "td", "th") or m[3].strip():
+            elif tag not in ("p", "li", "option", "dd", "dt", "tr", "td", "th") or given.strip():
                 away = stack[-1][1] if stack else 0
-                given = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])}
-                name = ELSEWHERE.sub(" ", given.get("class", "") + " " + given.get("id", ""))
-                if away == 1 and tag == "article" and not OTHERS.search(name) or away in (1, 2) and tag == "main":
+                marks = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(given)}
+                outside, others = named(marks.get("class", "") + " " + marks.get("id", ""))
+                if away == 1 and tag == "article" and not others or away in (1, 2) and tag == "main":
                     away = 0
                 if away < 3:
                     inside = any(x[0] in ("article", "main") for x in stack)
-                    if tag in AWAY or tag == "header" and not inside or given.get("role", "").lower() in ROLES or "hidden" in given and tag != "body":
+                    if tag in AWAY or tag == "header" and not inside or marks.get("role", "").lower() in ROLES or "hidden" in marks and tag != "body":
                         away = 3
-                    elif tag not in ("body", "html", "article", "main") and NAMES.search(name):
-                        away = max(away, 2 if OTHERS.search(name) else 1)
+                    elif tag not in ("body", "html", "article", "main") and outside:
+                        away = max(away, 2 if others else 1)
                 if tag in ("p", "li", "option", "dd", "dt", "tr", "td", "th"):
                     if stack and stack[-1][0] == tag:
                         stack.pop()
@@ -186,50 +236,47 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def classify(found: list[Block]) -> None:
+    """Label every block good or bad."""
+    rest = []
     for b in found:
-        words = _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         if b.away:
             b.label = "bad"
-        elif b.linked > LINKED * len(b.text):
+        else:
+            rest.append(b)
+    dense = sparse = long = 0
+    for b in rest:
+        words = _WORD.findall(b.text.lower())
+        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if b.linked > LINKED * len(b.text):
             b.label = "bad"
         elif len(words) < SHORT:
             b.label = "short"
-        elif stop >= DENSE:
-            b.label = "good"
-        elif stop < SPARSE:
-            b.label = "bad" if b.linked > 0.2 * len(b.text) else "near"
         else:
-            b.label = "near"
-    first = [b.label for b in found]
-    decided = ("good", "bad")
-    before: list[int] = []
-    last = -1
+            b.label = "good" if stop >= DENSE or b.inside else "sparse" if stop < SPARSE else "near"
+            long, dense, sparse = long + 1, dense + (b.label == "good"), sparse + (b.label == "sparse")
+    listed = dense or 2 * sparse <= long
+    for b in rest:
+        if b.label == "sparse":
+            b.label = "bad" if listed or b.linked > 0.2 * len(b.text) else "near"
+    first = [b.label for b in rest]
+    before, last = [], -1
     for k, x in enumerate(first):
         before.append(last)
-        last = k if x in decided else last
-    following = -1
-    for k in range(len(found) - 1, -1, -1):
-        if first[k] in decided:
-            following = k
+        last = k if x in ("good", "bad") else last
+    behind = -1
+    for k in range(len(rest) - 1, -1, -1):
+        if first[k] in ("good", "bad"):
+            behind = k
             continue
-        sides = [i for i in (before[k], following) if i >= 0]
+        sides = [i for i in (before[k], behind) if i >= 0]
         good = [i for i in sides if first[i] == "good"]
-        b = found[k]
-        if not sides:
-            keep = True
-        elif len(good) == len(sides):
-            keep = True
-        elif not good:
-            keep = first[k] == "near" or not any(found[i].region == b.region for i in sides) and not _away_between(found, k, sides)
+        if rest[k].heading and behind >= 0:
+            keep = first[behind] == "good"
+        elif len(good) in (0, len(sides)):
+            keep = not sides or bool(good)
         else:
-            keep = any(found[i].region == b.region for i in good) or b.heading and following in good or first[k] == "near"
-        b.label = "good" if keep else "bad"
-
-
-def _away_between(found: list[Block], k: int, sides: list[int]) -> bool:
-    """Whether a bad neighbour is bad for its links or density rather than for its region."""
-    return any(not found[i].away for i in sides)
+            keep = any(rest[i].region == rest[k].region for i in good) or abs(k - good[0]) <= min(abs(k - i) for i in sides)
+        rest[k].label = "good" if keep else "bad"
 
 
 def main_text(page: str) -> str:

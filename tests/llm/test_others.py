@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,56 @@ def test_stages_keep_columns_of_any_name(spark):
             assert len(found) == docs.count()
     clash = docs.select("*", F.lit("own").alias("ids"), F.lit("own").alias("N_pieces"), F.lit("own").alias("round_trip"))
     assert p.tokens(spark, clash, SF).columns == [*docs.columns, "ids", "n_pieces", "round_trip"]
+
+
+def test_density_decides_outside_of_articles():
+    nonsense = " ".join(f"qx{k}" for k in range(60))
+    middling = "The plan of which many people never heard came about after long talks between several towns."
+    assert htmltext.main_text(f"<div><p>{TEXT}</p><p>{nonsense}</p><p>{TEXT}</p></div>") == f"{TEXT}\n{TEXT}"
+    assert htmltext.main_text(f"<main><p>{TEXT}</p><p>{nonsense}</p></main>") == f"{TEXT}\n{nonsense}"
+    links = "<p><a href=x>One of many links that stand on the page for all of you to read now</a></p>"
+    assert htmltext.main_text(f"<div><p>{TEXT}</p></div><div>{links}<p>{middling}</p>{links}</div>") == TEXT
+    assert htmltext.main_text(f"<div><p>{TEXT}</p><p>{middling}</p><p>Short one.</p><p>{TEXT}</p></div>") == f"{TEXT}\n{middling}\nShort one.\n{TEXT}"
+    assert htmltext.main_text(f"<p>{nonsense}</p><p>{nonsense}</p>") == f"{nonsense}\n{nonsense}"  # a language without a list
+
+
+@pytest.mark.parametrize("name", ["social-policy", "noticeable", "seaside", "share-of-voice", "research", "alertness", "commentary"])
+def test_names_are_whole_words(name):
+    assert htmltext.main_text(f"<div class='{name}'><p>{TEXT}</p></div>") == TEXT
+
+
+@pytest.mark.parametrize("name", ["site-footer", "cookie-notice", "sideBar x", "main_menu", "ad-300x250", "comment-list", "relatedPosts", "share"])
+def test_regions_by_name_are_left_out(name):
+    assert htmltext.main_text(f"<div class='{name}'><p>{TEXT}</p></div><p>{TEXT} So it is.</p>") == f"{TEXT} So it is."
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a '>' " * 150_000, '<a "' * 300_000, "<!-- " * 200_000, "<p><select>" * 100_000, "<![CDATA[" * 100_000])
+def test_long_broken_pages_take_linear_time(page):
+    start = time.perf_counter()
+    htmltext.main_text(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_made_pages_give_back_their_article(spark):
+    r = random.Random(11)
+    stop = "the of and to in is that it for on was with as be".split()
+    sentence = lambda n: " ".join(r.choice(stop) if r.random() < 0.4 else f"word{r.randint(0, 999)}" for _ in range(n))
+    noise = [
+        lambda: f"<nav class=menu><ul>{''.join(f'<li><a href=#>{sentence(2)}</a></li>' for _ in range(5))}</ul></nav>",
+        lambda: f"<div class='ad-slot'><p>{sentence(20)}</p></div>",
+        lambda: f"<aside><p>{sentence(30)}</p></aside>",
+        lambda: f"<form><label>{sentence(3)}</label><p>{sentence(15)}</p></form>",
+        lambda: f"<div id=comments><p>{sentence(25)}</p></div>",
+        lambda: f"<script>var x = '{sentence(5)} </p>';</script><style>p {{ }}</style><!-- {sentence(9)} -->",
+        lambda: f"<p><a href=#>{sentence(14)}</a></p>",
+    ]
+    rows, want = [], {}
+    for k in range(60):
+        parts = [sentence(r.choice((4, 18, 40))) for _ in range(r.randint(3, 12))]
+        parts[0], parts[-1] = sentence(30), sentence(30)
+        body = "".join(f"<p>{x}</p>" + (r.choice(noise[:6])() if r.random() < 0.3 else "") for x in parts)
+        tag = r.choice(("article", "main", "div"))
+        rows.append((k, "u", "".join(x() for x in r.sample(noise, 3)) + f"<{tag}>{body}</{tag}>" + "".join(x() for x in r.sample(noise, 2)), "own"))
+        want[k] = "\n".join(parts)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")
+    assert {x["page_id"]: x["text"] for x in htmltext.page_report(frame).collect()} == want
