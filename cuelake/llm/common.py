@@ -47,7 +47,7 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dic
     """All columns of ``df`` and the ``added`` ones (DDL; a clashing column of ``df`` gives way), made from the UTF-8
     bytes of one text column, null being empty. ``make`` runs once a task; its function gets a block of texts."""
     names = [x.name for x in parsed(added)]
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}])
     full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [added])
     arrow, text = arrow_schema(full), df.columns.index(source)
 
@@ -66,6 +66,14 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dic
     return df.mapInArrow(run, full)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def parsed(schema: str):
     from pyspark.sql.types import StructType
 

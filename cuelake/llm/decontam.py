@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import WORD_BYTES, append_columns, arrow_schema, blocks, text_bytes, words, written
+from cuelake.llm.common import WORD_BYTES, append_columns, arrow_schema, blocks, fresh_name, text_bytes, words, written
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -204,79 +204,114 @@ def _scanned(docs: DataFrame, make) -> DataFrame:
     return append_columns(docs, start, FOUND)
 
 
-def fingerprints(texts: DataFrame, key: str) -> DataFrame:
-    """(fp, key): the kept fingerprints of each text."""
-    return _hashed(texts, key, lambda hashes: minima(grams(hashes, GRAM)))
+PLACES = "fp long, text_key string, place long"
 
 
-def whole_items(items: DataFrame, key: str) -> DataFrame:
-    """(fp, key, n): the hash of all words of each item of fewer than SPAN words."""
-    parts = [
-        _hashed(items, key, lambda hashes, n=n: grams(hashes, n) if len(hashes) == n else hashes[:0]).withColumn("n", F.lit(n))
-        for n in range(1, SPAN)
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
-
+def _hashed(texts: DataFrame, name: str, of, schema: str) -> DataFrame:
+    """Rows of ``of`` (arrays of a text's word hashes to columns) for each text, with its key as column ``name``."""
+    arrow = arrow_schema(schema)
 
-def _hashed(texts: DataFrame, key: str, of) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in blocks(batch):
-                made = [np.unique(of(word_hashes([x])[0])) for x in part.column(1).to_pylist()]
-                row = np.repeat(np.arange(len(made)), [len(x) for x in made])
-                values = np.concatenate(made) if made else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values.view(np.int64)), part.column(0).take(pa.array(row, pa.int64()))], names=["fp", key]
-                )
+                made = [of(word_hashes([x])[0]) for x in part.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(made)), [len(x[0]) for x in made])
+                columns = [np.concatenate(c) for c in zip(*made, strict=True)]
+                found = {n: pa.array(c.view(np.int64)) for n, c in zip([n for n in arrow.names if n != name], columns, strict=True)}
+                found[name] = part.column(0).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([found[n].cast(arrow.field(n).type) for n in arrow.names], schema=arrow)
+
+    return texts.mapInArrow(run, schema)
+
+
+def kept_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and their places: grams that are the smallest of some window, at each place in it."""
+    values = grams(hashes, GRAM)
+    low = minima(values)
+    kept = np.zeros(len(values), bool)
+    for k in range(WINDOW if len(low) else 0):
+        kept[k : k + len(low)] |= values[k : k + len(low)] == low
+    at = np.flatnonzero(kept)
+    return values[at], at
+
+
+def windows(hashes: np.ndarray) -> tuple[np.ndarray]:
+    return (np.unique(grams(hashes, SPAN)),)
+
+
+def short_windows(lengths: list[int]):
+    """The hashes of all runs of so many words, with their places and lengths."""
 
-    return texts.mapInArrow(run, f"fp long, {key} string")
+    def of(hashes):
+        made = [grams(hashes, n) for n in lengths]
+        size = [len(x) for x in made]
+        return np.concatenate(made), np.concatenate([np.arange(n) for n in size]), np.repeat(np.array(lengths, np.int64), size)
+
+    return of
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """As the broadcast way, by a shuffle: fingerprints of distinct texts and items are joined, and each pair of
-    texts is then extended. Results hang on a text alone, so that its MD5 stands for it."""
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    texts = written(keyed.select("_key", text_bytes()).dropDuplicates(["_key"]))
+    """As the broadcast way, by shuffles. Results hang on a text alone, so that its MD5 stands for it.
+
+    Kept places of texts are semi-joined with the items' fingerprints; around the places that are left, the hashes of all
+    runs of SPAN words are joined with those of the items' windows. Items of fewer words are joined by the hash of all their
+    words. No pair of a text and an item is made before a whole window of one is found in the other.
+    """
+    key, n_words, in_spans, in_items = (fresh_name(docs, x) for x in ("text_key", "known_words", "found_spans", "found_items"))
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    texts = written(keyed.select(F.col(key).alias("text_key"), text_bytes()).dropDuplicates(["text_key"]))
     items = items.withColumn("item_key", F.md5("text"))
-    tests = written(items.groupBy("item_key").agg(F.first("text").alias("item_text")).select("item_key", "item_text"))
-    short = written(whole_items(tests, "item_key"))
-    pairs = fingerprints(texts, "_key").join(fingerprints(tests, "item_key"), "fp").select("_key", "item_key")
-    for (n,) in short.select("n").distinct().collect():  # fewer than SPAN values
-        runs = _hashed(texts, "_key", lambda hashes, n=n: grams(hashes, n))
-        pairs = pairs.union(runs.join(short.where(F.col("n") == n), "fp").select("_key", "item_key"))
-    pairs = pairs.distinct()
-    both = pairs.join(texts, "_key").join(tests, "item_key").select("_key", "item_key", "text", "item_text")
-    schema = "_key string, item_key string, start long, end long"
-    arrow = arrow_schema(schema)
+    tests = written(items.groupBy("item_key").agg(F.first("text").alias("text")).select("item_key", "text"))
+    ids = items.select("item_key", "item_id").distinct()
+
+    fps = _hashed(tests, "item_key", lambda hashes: (np.unique(kept_places(hashes)[0]),), "fp long, item_key string").select("fp").distinct()
+    places = _hashed(texts, "text_key", kept_places, PLACES).join(fps, "fp", "left_semi")
+    near = texts.join(places.groupBy("text_key").agg(F.sort_array(F.collect_set("place")).alias("places")), "text_key")
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch):
-                rows = []
                 for x in part.to_pylist():
-                    _, spans, _ = Index([(x["item_key"], x["item_text"])]).scan([x["text"]])[0]
-                    rows += [{"_key": x["_key"], "item_key": x["item_key"], "start": a, "end": b} for a, b in spans]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    spans = written(both.mapInArrow(run, schema))
-    named = spans.select("_key", "item_key").distinct().join(items.select("item_key", "item_id"), "item_key")
+                    values = grams(word_hashes([x["text"]])[0], SPAN)
+                    at = np.unique((np.array(x["places"])[:, None] - np.arange(WINDOW)).ravel())
+                    at = at[(at >= 0) & (at < len(values))]
+                    name = pa.array([x["text_key"]] * len(at), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), name, pa.array(at)], names=["fp", "text_key", "place"])
+
+    whole = _hashed(tests, "item_key", windows, "fp long, item_key string").withColumn("n", F.lit(SPAN).cast("long"))
+    looked = near.select("text_key", "text", "places").mapInArrow(run, PLACES).withColumn("n", F.lit(SPAN).cast("long"))
+    shorter = _hashed(
+        tests, "item_key", lambda hashes: (grams(hashes, len(hashes)), np.full(1, len(hashes))) if 0 < len(hashes) < SPAN else (hashes[:0], np.zeros(0, np.int64)), "fp long, n long, item_key string"
+    )
+    shorter = written(shorter)
+    lengths = [int(r.n) for r in shorter.select("n").distinct().collect()]  # fewer than SPAN values
+    if lengths:
+        whole = whole.unionByName(shorter)
+        looked = looked.unionByName(_hashed(texts, "text_key", short_windows(lengths), PLACES + ", n long"))
+    whole = written(whole)
+    hits = written(looked.join(whole.select("fp", "n").distinct(), ["fp", "n"], "left_semi"))
+    named = hits.select("fp", "n", "text_key").distinct().join(whole, ["fp", "n"]).select("text_key", "item_key").distinct().join(ids, "item_key")
     item = F.struct(F.col("item_id").isNull().alias("last"), "item_id")
-    found = named.groupBy("_key").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["item_id"]).alias("items"))
-    by = Window.partitionBy("_key").orderBy("start", "end")
-    runs = spans.select("_key", "start", "end").distinct()
+    found = named.groupBy("text_key").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["item_id"]).alias("items"))
+    by = Window.partitionBy("text_key").orderBy("start", "end")
+    runs = hits.select("text_key", F.col("place").alias("start"), (F.col("place") + F.col("n")).alias("end")).distinct()
     reached = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     runs = runs.withColumn("new", (F.col("start") > reached).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(by))
-    runs = runs.groupBy("_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = runs.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    runs = runs.groupBy("text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = runs.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     none = F.from_json(F.lit("[]"), "array<struct<start long, end long>>")
-    counted = _scanned(keyed, lambda: Index([])).drop("spans", "items")
-    full = counted.join(spans, "_key", "left").join(found, "_key", "left")
+
+    def counted():
+        return lambda block: {n_words: word_hashes(block)[1]}
+
+    full = append_columns(keyed, counted, f"`{n_words}` long")
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "spans", "items")]
+    full = full.select(*own, F.col(key).alias(key), F.col(n_words).alias(n_words))
+    both = found.join(spans, "text_key", "full").select(F.col("text_key").alias(key), F.col("spans").alias(in_spans), F.col("items").alias(in_items))
+    full = full.join(both, key, "left")
     return full.select(
-        *[c for c in docs.columns if c in full.columns and c not in ("n_words", "spans", "items")], "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        *own, F.col(n_words).alias("n_words"), F.coalesce(in_spans, none).alias("spans"), F.coalesce(in_items, F.array().cast("array<string>")).alias("items")
     )
 
 

@@ -22,15 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import simhash
-from cuelake.llm.common import append_columns, blocks, components, text_bytes, written
+from cuelake.llm.common import append_columns, blocks, components, fresh_name, text_bytes, written
 from cuelake.llm.decontam import grams, word_hashes
 
 #: The similarity is the fraction 4 / 5, so that comparisons are of whole numbers.
 SHINGLE, SIMILAR = 5, (4, 5)
 HOT_KEY, STARS, SAMPLE = 32, 4, 2000
 TURNS, ENOUGH = 4, 16
-#: A name that no column of a document has.
-MARK = "_near_duplicate_mark"
 #: Lower-cased (A-Z), white space as a space: the words of op2.
 PLAIN_BYTES = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -239,8 +237,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id (nulls last), of rows with
     that id the one with the smallest hash of all columns; rows that agree in everything count once. Texts without
     words are one group."""
-    names = docs.columns
-    marked = docs.withColumn(MARK, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    names, mark = docs.columns, fresh_name(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
 
     def make():
         return lambda block: {
@@ -248,10 +246,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             "id": _long([identity(x) for x in shingles(block)]),
         }
 
-    prints = written(append_columns(marked.select("doc_id", MARK, text_bytes()), make, "fp long, id long").drop("text"))
+    prints = written(append_columns(marked.select("doc_id", F.col(mark).alias("mark"), text_bytes()), make, "fp long, id long").drop("text"))
     tree = groups(docs, prints)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", MARK)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     first = prints.join(tree, prints.id == tree.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min(order).alias("x"))
-    kept = first.select(F.col("x.doc_id").alias("_near_id"), F.col(f"x.{MARK}").alias("_near_kept"))
-    rows = marked.join(kept, (F.col(MARK) == F.col("_near_kept")) & F.col("doc_id").eqNullSafe(F.col("_near_id")))
-    return rows.dropDuplicates([MARK, "doc_id"]).select(*[F.col(f"`{c}`") for c in names])
+    kept = first.select(F.col("x.doc_id").alias(fresh_name(marked, "kept_id")), F.col("x.mark").alias(fresh_name(marked, "kept_mark")))
+    rows = marked.join(kept, (F.col(mark) == F.col(kept.columns[1])) & F.col("doc_id").eqNullSafe(F.col(kept.columns[0])))
+    return rows.dropDuplicates([mark, "doc_id"]).select(*[F.col(f"`{c}`") for c in names])

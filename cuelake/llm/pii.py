@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import append_columns
+from cuelake.llm.common import append_columns, fresh_name
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A match starts at the first character of a run that can begin one, which is
@@ -357,24 +357,24 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in its text replaced by its kind in angle brackets, overlapping spans as one; of a changed
-    text, n_chars (if there) is counted anew. Null texts stay null; a column named _masked gives way."""
+    text, n_chars (if there) is counted anew. Null texts stay null."""
     known = _trained(docs)
-    names = [c for c in docs.columns if c != "_masked"]
+    names, made = docs.columns, fresh_name(docs, "masked")
 
     def make():
         field = Field(*known.value)
 
         def handle(block):
             texts = [x.decode("utf-8", "replace") for x in block]
-            return {"_masked": [mask(x, spans) if spans else None for x, (_, spans) in zip(texts, find(texts, field), strict=True)]}
+            return {made: [mask(x, spans) if spans else None for x, (_, spans) in zip(texts, find(texts, field), strict=True)]}
 
         return handle
 
-    found = append_columns(docs, make, "_masked string")
+    found = append_columns(docs, make, f"`{made}` string")
     if "n_chars" in names:
-        size = F.length("_masked").cast(docs.schema["n_chars"].dataType)
+        size = F.length(made).cast(docs.schema["n_chars"].dataType)
         found = found.withColumn("n_chars", F.coalesce(size, "n_chars"))
-    return found.withColumn("text", F.coalesce("_masked", "text")).select(*[F.col(f"`{c}`") for c in names])
+    return found.withColumn("text", F.coalesce(made, "text")).select(*[F.col(f"`{c}`") for c in names])
 
 
 def personal_data_report(docs: DataFrame) -> DataFrame:

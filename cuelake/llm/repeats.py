@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import arrow_schema, blocks, text_bytes, written
+from cuelake.llm.common import arrow_schema, blocks, fresh_name, text_bytes, written
 from cuelake.llm.decontam import _Powers, mixed
 
 LENGTH, GRAM = 400, 64
@@ -424,16 +424,17 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False, hot_runs: int = HO
 
 def without_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS, keep_first: bool = False) -> DataFrame:
     """All columns of ``docs`` with n_bytes, spans (maximal removed ranges of bytes) and kept (the other bytes); own
-    columns of these names, and any named _key or _place, give way.
+    columns of these names give way.
 
     A null text counts as empty; texts of fewer than LENGTH bytes keep all. Of equal texts of at least LENGTH bytes
     nothing is kept. With ``keep_first`` the first copy of each string stays, in the order of doc_id (nulls last) and place;
     rows that agree in doc_id and text are one document then. Repeated rows give equal results.
     """
-    added = ("_key", "_place", "spans", "n_bytes", "kept")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    added = ("spans", "n_bytes", "kept")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
+    key_name, place_name = fresh_name(docs, "key"), fresh_name(docs, "place")
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))) if keep_first else F.lit(0)
-    full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["_place long, _key binary"])
+    full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{place_name}` long, `{key_name}` binary"])
     schema, text = arrow_schema(full), docs.columns.index("text")
 
     def name(batches):
@@ -444,8 +445,8 @@ def without_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS, keep_first: bool
                 own = [c.cast(f.type) for c, f in zip(part.columns, schema, strict=False)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.binary())], schema=schema)
 
-    keyed = docs.withColumn("_place", place.cast("long")).mapInArrow(name, full).drop("_place")
-    both = keyed.join(repeated_spans(docs, keep_first, hot_runs).withColumnRenamed("key", "_key"), "_key", "left")
+    keyed = docs.withColumn(place_name, place.cast("long")).mapInArrow(name, full).drop(place_name)
+    both = keyed.join(repeated_spans(docs, keep_first, hot_runs).withColumnRenamed("key", key_name), key_name, "left")
 
     at, own = both.columns.index("text"), both.columns.index("spans")
     full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_bytes long, spans array<struct<start long, end long>>, kept binary"])

@@ -202,6 +202,16 @@ def test_contamination_is_that_of_all_windows(spark, docs, limit):
     assert decontam.contamination(docs, bench.limit(0), limit).where("size(spans) > 0").count() == 0
 
 
+def test_both_ways_of_contamination_agree_in_all_columns(spark, docs):
+    bench = spark.createDataFrame([(1, " ".join(WORDS)), (2, "né wh in"), (None, "thand"), (3, texts()[4])], "item_id long, text string")
+    names = "text_key", "_text_key", "known_words", "found_spans", "fp", "Items"
+    rows = docs.selectExpr("*", *[f"'{n}' {n}" for n in names])
+    ways = [decontam.contamination(rows, bench, limit) for limit in (decontam.BROADCAST_BYTES, 0)]
+    assert ways[0].columns == ways[1].columns
+    shown = [sorted(str(x.asDict(True)) for x in way.collect()) for way in ways]
+    assert shown[0] == shown[1] and any("start" in x for x in shown[0])
+
+
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
 def test_contamination_of_periodic_texts_and_null_items(spark, limit):
     r = random.Random(7)
@@ -400,8 +410,10 @@ def test_repeats_are_those_of_all_strings(spark, docs, empty, repetitive, hot, k
     assert {x[0]: tuple(x)[1:] for x in found} == dict(enumerate(want))
     assert repeats.repeat_report(docs).count() == docs.count()
     assert repeats.repeat_report(empty).count() == 0
-    clash = rows.selectExpr("*", "1 spans", "'x' kept", "2 key", "3 _key", "4 _place", "5 n_bytes")
-    assert repeats.without_repeats(clash.where("doc_id < 3")).columns == ["doc_id", "text", "key", "n_bytes", "spans", "kept"]
+    clash = rows.selectExpr("*", "1 Spans", "'x' kept", "2 key", "3 _key", "4 place", "5 n_bytes")
+    own = repeats.without_repeats(clash.where("doc_id < 3"))
+    assert own.columns == ["doc_id", "text", "key", "_key", "place", "n_bytes", "spans", "kept"]
+    assert {tuple(x) for x in own.select("key", "_key", "place").collect()} == {(2, 3, 4)}
 
 
 def test_runs_of_a_long_text_do_not_hang_on_its_pieces(monkeypatch):
