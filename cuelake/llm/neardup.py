@@ -7,6 +7,9 @@ come from two searches, and each is verified by both whole sets:
 * common prefixes: with all shingles in one fixed order, sets of a similarity of 0.8 share one of the first fifth of
   each (and one more), and what is left of both from there on must hold their whole overlap. This finds every pair.
 
+Most candidates are ruled out by parities: a set's hashes flip bits of a string about twice as long as the set, and two
+strings never differ in more bits than the sets do in elements. Whole texts are brought together for the others only.
+
 The order puts shingles first that a sample of texts holds least, so that a passage of many texts is a key of none that
 hold enough else. A key of more than HOT_KEY sets is first linked by stars, each around another set, and only the sets
 that are still in different groups are then paired: no pair is left out, and a large group of copies stays linear. Stars
@@ -178,10 +181,53 @@ def stars(rows: DataFrame, turn: int) -> DataFrame:
     return both.where("root <> z.root").select(F.col("z.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
+def parity(found: np.ndarray) -> bytes:
+    """A bit string, as long as the next power of two from twice the set's size on; each element flips the bit that its
+    hash names."""
+    size = max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two parities differ, the longer one folded to the length of the other: the sets differ in no
+    fewer elements."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x)
+    while size > len(y):
+        size //= 2
+        a = (a >> 8 * size) ^ (a & (1 << 8 * size) - 1)
+    return (a ^ b).bit_count()
+
+
+def signed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text, size, parity) of each set of ``nodes`` (id)."""
+
+    def handle(block):
+        sets = [shingles([x])[0] for x in block]
+        return {"id": _long([identity(x) for x in sets]), "size": [len(x) for x in sets], "parity": [parity(x) for x in sets]}
+
+    signed = append_columns(docs.select(text_bytes()), lambda: handle, "id long, size long, parity binary")
+    return written(signed.join(nodes, "id", "left_semi").dropDuplicates(["id"]).select("id", "text", "size", "parity"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of which the whole sets are similar enough."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    side = lambda name, *columns: texts.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    small = pairs.join(side("a", "size", "parity"), "a").join(side("b", "size", "parity"), "b")
+    low, high = SIMILAR
+
+    def may_be(batches):
+        for batch in batches:
+            for part in blocks(batch):
+                size = part.column("a_size").to_numpy() + part.column("b_size").to_numpy()
+                odd = [apart(x, y) for x, y in zip(part.column("a_parity").to_pylist(), part.column("b_parity").to_pylist(), strict=True)]
+                ok = np.array(odd, np.int64) * (low + high) <= size * (high - low)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
+
+    left = written(small.mapInArrow(may_be, "a long, b long"))
 
     def run(batches):
         for batch in batches:
@@ -190,16 +236,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok = []
                 for x, y in zip(*sets, strict=True):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(shared * sum(SIMILAR) >= (len(x) + len(y)) * SIMILAR[0])
+                    ok.append(shared * (low + high) >= (len(x) + len(y)) * low)
                 yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return written(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
+    both = left.join(side("a", "text"), "a").join(side("b", "text"), "b")
+    return written(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"))
 
 
 def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, root): the components of all pairs of sets (id) that are similar enough; sets without any are left out.
     ``prints`` has the id and fingerprint (fp) of each row of ``docs``."""
-    plain = append_columns(docs.select(text_bytes()), lambda: lambda block: {"id": _long([identity(x) for x in shingles(block)])}, "id long")
     found = _pairs(keys(docs).withColumn("root", F.col("id")), HOT_KEY)
     hot = found.where("hot").select("key", F.col("a").alias("id"), "at")
     named = written(prints.select("fp", "id").distinct())
@@ -211,7 +257,7 @@ def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
     pairs = pairs.union(stars(hot.withColumn("root", F.col("id")), 0)).where("a <> b")
     pairs = written(pairs.distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct()
-    texts = written(plain.join(nodes, "id", "left_semi").dropDuplicates(["id"]).select("id", "text"))
+    texts = signed_texts(docs, nodes)
     edges = verified(pairs, texts)
     tree = components(edges)
     for turn in range(1, TURNS + 1):

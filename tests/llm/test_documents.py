@@ -170,6 +170,20 @@ def test_near_copies_are_those_of_all_shingle_sets(spark, monkeypatch, hot):
     assert any((fps[a] ^ fps[b]).bit_count() > 4 and 9 * len(sets[a] & sets[b]) >= 4 * len(sets[a]) + 4 * len(sets[b]) for a in range(70) for b in range(a))
 
 
+def test_parities_never_differ_by_more_than_the_sets():
+    import numpy as np
+
+    from cuelake.llm import neardup
+
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5, 31, 32, 33, 100, 700):
+        for m in (0, 1, 8, 40, 90, 900):
+            x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.r_[x[: min(n, m) // 2], r.integers(0, 1 << 63, m).astype(np.uint64)])
+            assert neardup.apart(neardup.parity(x), neardup.parity(y)) <= len(np.setxor1d(x, y))
+            assert neardup.apart(neardup.parity(x), neardup.parity(x)) == 0
+
+
 def plain_hits(text, items):
     words = RULE.findall((text or "").translate(LOWER))
     hit, ids = set(), set()
