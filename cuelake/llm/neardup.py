@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import simhash
-from cuelake.llm.common import append_columns, blocks, components, fresh_name, text_bytes, written
+from cuelake.llm.common import append_columns, blocks, components, dropped, fresh_name, text_bytes, written
 from cuelake.llm.decontam import grams, word_hashes
 
 #: The similarity is the fraction 4 / 5, so that comparisons are of whole numbers.
@@ -240,42 +240,50 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     both = left.join(side("a", "text"), "a").join(side("b", "text"), "b")
-    return written(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"))
+    found = written(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"))
+    dropped(left)
+    return found
 
 
 def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, root): the components of all pairs of sets (id) that are similar enough; sets without any are left out.
-    ``prints`` has the id and fingerprint (fp) of each row of ``docs``."""
-    found = _pairs(keys(docs).withColumn("root", F.col("id")), HOT_KEY)
+    ``prints`` has the id and fingerprint (fp) of each row of ``docs``. Tables on the way are deleted."""
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        made.append(df)
+        return df
+
+    found = kept(_pairs(keys(docs).withColumn("root", F.col("id")), HOT_KEY))
     hot = found.where("hot").select("key", F.col("a").alias("id"), "at")
-    named = written(prints.select("fp", "id").distinct())
-    low = written(named.groupBy("fp").agg(F.min("id").alias("low")))
+    named = kept(written(prints.select("fp", "id").distinct()))
+    low = kept(written(named.groupBy("fp").agg(F.min("id").alias("low"))))
     near = simhash.links(low.select("fp"))
     side = lambda name: low.select(F.col("fp").alias(name), F.col("low").alias(f"{name}_id"))
     pairs = near.join(side("a"), "a").join(side("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     pairs = pairs.union(named.join(low, "fp").select("low", "id")).union(found.where("not hot").select("a", "b"))
     pairs = pairs.union(stars(hot.withColumn("root", F.col("id")), 0)).where("a <> b")
-    pairs = written(pairs.distinct())
+    pairs = kept(written(pairs.distinct()))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct()
-    texts = signed_texts(docs, nodes)
-    edges = verified(pairs, texts)
+    texts = kept(signed_texts(docs, nodes))
+    edges = kept(verified(pairs, texts))
     tree = components(edges)
     for turn in range(1, TURNS + 1):
         rows = hot.join(tree, hot.id == tree.node, "left").select("key", "id", "at", F.coalesce("root", "id").alias("root"))
-        rows = written(rows)
+        rows = kept(written(rows))
         by_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
         left = by_root.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"), F.sum("n").alias("n")).where("twice > 0")
-        pairs, many = left.agg(F.sum("twice") / 2, F.sum("n")).first()
+        ahead, many = left.agg(F.sum("twice") / 2, F.sum("n")).first()
         if not many:
-            return tree
-        if pairs <= ENOUGH * many or turn == TURNS:
-            new = _pairs(rows.join(left.select("key"), "key", "left_semi"), None).select("a", "b")
-        else:
-            new = stars(rows, turn)
-        edges = edges.union(verified(new, texts))
+            break
+        last = ahead <= ENOUGH * many or turn == TURNS
+        new = kept(_pairs(rows.join(left.select("key"), "key", "left_semi"), None)).select("a", "b") if last else stars(rows, turn)
+        edges = edges.union(kept(verified(new, texts)))
+        made.append(tree)
         tree = components(edges)
-        if pairs <= ENOUGH * many:
+        if last:
             break
+    dropped(*made)
     return tree
 
 
@@ -296,6 +304,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     tree = groups(docs, prints)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     first = prints.join(tree, prints.id == tree.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min(order).alias("x"))
-    kept = first.select(F.col("x.doc_id").alias(fresh_name(marked, "kept_id")), F.col("x.mark").alias(fresh_name(marked, "kept_mark")))
+    kept = written(first.select(F.col("x.doc_id").alias(fresh_name(marked, "kept_id")), F.col("x.mark").alias(fresh_name(marked, "kept_mark"))))
+    dropped(prints, tree)
     rows = marked.join(kept, (F.col(mark) == F.col(kept.columns[1])) & F.col("doc_id").eqNullSafe(F.col(kept.columns[0])))
     return rows.dropDuplicates([mark, "doc_id"]).select(*[F.col(f"`{c}`") for c in names])

@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is null where all are. Repeated rows give repeated rows. Other columns are not read.
     """
     prints = written(with_fingerprint(docs.select(F.col("doc_id").cast("long"), text_bytes())))
-    named = _groups(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    named = _groups(written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"))))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
