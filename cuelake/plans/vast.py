@@ -77,45 +77,42 @@ def totals(docs: DataFrame) -> DataFrame:
     return full.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("ads", "wrappers")], F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
 
 
-def wrapper_chains(docs: DataFrame, fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hops and findings of the chain from each document's first wrapper that names an address. ``fetched`` has
-    (url, ok, body, ms) of known responses; MOST_HOPS joins with it, each carrying the addresses seen so far."""
+def _pointers(rows: DataFrame) -> DataFrame:
+    """(doc_id, next_url, next_follow) of the first wrapper that names an address."""
+    first = vast.ads(vast.responses(rows)).where("wrapper and ad_tag_uri is not null").groupBy("doc_id")
+    return first.agg(F.min_by(F.struct("ad_tag_uri", "follow"), "ad_index").alias("w")).select("doc_id", F.col("w.ad_tag_uri").alias("next_url"), F.col("w.follow").alias("next_follow"))
 
-    def pointer(rows: DataFrame) -> DataFrame:
-        first = vast.ads(vast.responses(rows)).where("wrapper and ad_tag_uri is not null").groupBy("doc_id")
-        return first.agg(F.min_by(F.struct("ad_tag_uri", "follow"), "ad_index").alias("w")).select("doc_id", F.col("w.ad_tag_uri").alias("url"), F.col("w.follow").alias("follow"))
 
+def wrapper_chains(docs: DataFrame, fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hops and findings of the chain from each document's first wrapper that names an address. ``fetched`` has
+    (url, ok, body, ms) of known responses. Each response is read once; MOST_HOPS joins then follow the addresses, and a
+    row keeps what it met on its way."""
+    own = _pointers(fetched.select(F.col("url").alias("doc_id"), "body")).withColumnRenamed("doc_id", "url")
+    known = fetched.select("url", F.coalesce("ok", F.lit(False)).alias("good"), F.coalesce(F.col("body").rlike(r"<(?:[\w-]+:)?VAST[\s>/]"), F.lit(False)).alias("readable"), "ms").join(own, "url", "left")
     none = F.array().cast("array<string>")
-    state = pointer(docs).withColumns({"seen": none, "total_ms": F.lit(0.0), "may": F.lit(True)})
-    hops, found = [], []
-    for depth in range(MOST_HOPS + 1):
-        state = state.where("may")
-        if depth == MOST_HOPS:
-            found.append(emit(state, [rule(F.lit(True), "error", "VAST_WRAPPER_TOO_DEEP")]))
-            break
-        found.append(emit(state, [rule(F.array_contains("seen", F.col("url")), "error", "VAST_WRAPPER_LOOP")]))
-        state = state.where(~F.array_contains("seen", F.col("url"))).join(fetched, "url", "left")
-        good = F.coalesce(F.col("ok"), F.lit(False))
-        readable = F.coalesce(F.col("body").rlike(r"<(?:[\w-]+:)?VAST[\s>/]"), F.lit(False))
-        state = state.withColumn("total_ms", F.col("total_ms") + F.coalesce("ms", F.lit(0.0)))
-        hops.append(state.select("doc_id", F.lit(depth + 1).alias("depth"), "url", good.alias("ok"), "ms"))
-        found.append(
-            emit(
-                state,
-                [
-                    rule(~good, "error", "VAST_WRAPPER_UNRESOLVED"),
-                    rule(good & ~readable, "error", "VAST_WRAPPER_UNPARSEABLE"),
-                    rule((F.col("total_ms") > SLOW_MS) & (F.col("total_ms") - F.coalesce("ms", F.lit(0.0)) <= SLOW_MS), "warning", "VAST_CHAIN_SLOW"),
-                ],
-            )
-        )
-        state = state.where(good & readable)
-        following = pointer(state.select("doc_id", "body")).withColumnsRenamed({"url": "next_url", "follow": "next_follow"})
-        state = state.join(following, "doc_id").select(
-            "doc_id", F.col("next_url").alias("url"), F.col("next_follow").alias("follow"), F.concat("seen", F.array("url")).alias("seen"), "total_ms", F.coalesce("follow", F.lit(True)).alias("may")
+    log = F.array().cast("array<struct<depth:int,url:string,ok:boolean,ms:double,codes:array<string>>>")
+    state = _pointers(docs).select("doc_id", F.col("next_url").alias("url"), F.col("next_follow").alias("follow"), none.alias("seen"), F.lit(0.0).alias("total_ms"), log.alias("log"))
+    for depth in range(1, MOST_HOPS + 1):
+        rows = state.join(known, "url", "left")
+        on, loop, good = F.col("url").isNotNull(), F.array_contains("seen", F.col("url")), F.coalesce("good", F.lit(False))
+        here, total = on & ~loop, F.col("total_ms") + F.coalesce("ms", F.lit(0.0))
+        met = F.array_compact(F.array(
+            F.when(loop, "VAST_WRAPPER_LOOP"), F.when(~loop & ~good, "VAST_WRAPPER_UNRESOLVED"), F.when(~loop & good & ~F.col("readable"), "VAST_WRAPPER_UNPARSEABLE"),
+            F.when(~loop & (total > SLOW_MS) & (F.col("total_ms") <= SLOW_MS), "VAST_CHAIN_SLOW"),
+        ))
+        entry = F.struct(F.when(here, F.lit(depth)).alias("depth"), F.col("url").alias("url"), good.alias("ok"), F.col("ms").cast("double").alias("ms"), met.alias("codes"))
+        goes_on = here & good & F.col("readable") & F.coalesce("follow", F.lit(True))
+        state = rows.select(
+            "doc_id", F.when(goes_on, F.col("next_url")).alias("url"), F.col("next_follow").alias("follow"), F.when(on, F.concat("seen", F.array("url"))).otherwise(F.col("seen")).alias("seen"),
+            F.when(here, total).otherwise(F.col("total_ms")).alias("total_ms"), F.when(on, F.concat("log", F.array(entry))).otherwise(F.col("log")).alias("log"),
         )
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(hops), union(found)
+    none_of = lambda kind: F.lit(None).cast(kind)
+    deep = F.struct(none_of("int").alias("depth"), F.col("url").alias("url"), none_of("boolean").alias("ok"), none_of("double").alias("ms"), F.array(F.lit("VAST_WRAPPER_TOO_DEEP")).alias("codes"))
+    walked = state.select("doc_id", F.explode(F.when(F.col("url").isNotNull(), F.concat("log", F.array(deep))).otherwise(F.col("log"))).alias("x"))
+    hops = walked.where("x.depth is not null").select("doc_id", "x.depth", "x.url", "x.ok", "x.ms")
+    code = F.col("code")
+    found = walked.select("doc_id", F.explode("x.codes").alias("code"))
+    return hops, emit(found, [rule(F.lit(True), F.when(code == "VAST_CHAIN_SLOW", "warning").otherwise("error"), code)])
 
 
 def schedule_findings(docs: DataFrame) -> DataFrame:
