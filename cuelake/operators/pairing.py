@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def paired(events: DataFrame, keys: list[str], order: list[str], polarity: str = "polarity") -> DataFrame:
@@ -97,3 +100,70 @@ def greedy_nearest(pairs: DataFrame, keys: list[str], left: str, right: str, rad
 
     matched = F.aggregate(F.col(left), begun, step)
     return pairs.select(*keys, F.inline(matched))
+
+
+MATCHED = "left_id long, right_id long, distance double"
+
+
+def greedy_events(left: DataFrame, right: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """As ``greedy_nearest`` for events (keys, id, at), of which a key may have any number.
+
+    No match crosses a stretch of more than ``radius`` without an event, so that each key is cut there into groups that
+    are matched apart; a group is streamed in the order of time, and only returns within the radius of the departure at
+    hand are held.
+    """
+    side = lambda rows, n: rows.select(*keys, F.col("id").cast("long").alias("id"), F.col("at").cast("double").alias("at"), F.lit(n).alias("side"))
+    both = side(left, 0).unionByName(side(right, 1))
+    by = Window.partitionBy(*keys).orderBy("at", "side", "id")
+    both = both.withColumn("_new", F.coalesce(F.col("at") - F.lag("at").over(by) > radius, F.lit(True)).cast("int"))
+    both = both.withColumn("_group", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "_group", "at", "side", "id")
+    spread = both.repartition(*keys, "_group").sortWithinPartitions(*keys, "_group", "at", "side", "id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema.fields) + ", " + MATCHED
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        asked: list = []  # departures that wait for the returns after them, oldest first
+        free: list = []  # returns that may still be taken
+        group: list | None = None
+
+        def settle(until: float):
+            """Match the departures of which all returns within the radius are known by now."""
+            while asked and asked[0][1] + radius < until:
+                name, at = asked.pop(0)
+                near = [(abs(t - at), i, n) for n, (t, i) in enumerate(free) if abs(t - at) <= radius]
+                if near:
+                    distance, chosen, n = min(near)
+                    free.pop(n)
+                    yield (*group[:-1], name, chosen, distance)
+                forget(asked[0][1] if asked else until)
+
+        def forget(at: float):
+            while free and free[0][0] < at - radius:
+                free.pop(0)
+
+        def made(rows):
+            columns = [*zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                *name, at, kind, ident = row
+                if name != group:
+                    out += settle(float("inf")) if group is not None else ()
+                    group = name
+                    asked.clear()
+                    free.clear()
+                out += settle(at)
+                if kind:
+                    free.append((at, ident))
+                else:
+                    asked.append((ident, at))
+                if not asked:
+                    forget(at)
+            if out:
+                yield made(out)
+        if group is not None and (out := [*settle(float("inf"))]):
+            yield made(out)
+
+    return spread.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import splice
 from cuelake.functions.text import container, given, iso_millis, number
 from cuelake.operators.findings import emit, emit_array, rule, verdicts
-from cuelake.operators.pairing import paired
+from cuelake.operators.pairing import nearest, paired
 from cuelake.sources import hls
 
 #: Seconds: general tolerance; slack of a target duration; a segment at the front of a window.
@@ -46,16 +46,21 @@ class HlsAnalysis:
         return breaks_of(self.markers, self.segments, self.headers)
 
     @property
-    def breaks(self) -> DataFrame:
+    def extents(self) -> DataFrame:
+        """Breaks without what their segments are made of."""
         return self._broken[0]
 
+    @cached_property
+    def breaks(self) -> DataFrame:
+        return with_media(self.extents, self.segments)
+
     @cached_property
     def interstitials(self) -> DataFrame:
         return interstitials_of(self.markers)
 
     @cached_property
     def findings(self) -> DataFrame:
-        breaks, points = self._broken
+        breaks, points = self.breaks, self._broken[1]
         return (
             _header_rules(self.headers, self.segments, self.markers)
             .unionByName(_segment_rules(self.segments, self.headers))
@@ -140,21 +145,9 @@ def breaks_of(markers: DataFrame, segments: DataFrame, headers: DataFrame) -> tu
     own = own.join(headers.select("doc_id", "end_list", "target_duration"), "doc_id").join(sizes, "doc_id", "left")
     end = F.when(F.col("closed"), F.col("next_event.segment_index")).otherwise(F.coalesce("n", F.lit(0)))
     own = own.withColumn("end_index", end)
-    edges = hls.edge_times(segments).select("doc_id", "idx", "start_time", "discontinuity", "map_uri", "uri")
-    side = lambda name, at: (
-        edges.select(F.col("doc_id"), F.col("idx").alias(at), F.struct("start_time", "discontinuity", "map_uri", "uri").alias(name))
-    )
-    own = own.withColumn("before_index", F.col("segment_index") - 1)
+    edges = hls.edge_times(segments).select("doc_id", "idx", "start_time", "discontinuity")
+    side = lambda name, at: edges.select(F.col("doc_id"), F.col("idx").alias(at), F.struct("start_time", "discontinuity").alias(name))
     own = own.join(side("first", "segment_index"), ["doc_id", "segment_index"], "left").join(side("after", "end_index"), ["doc_id", "end_index"], "left")
-    own = own.join(side("before", "before_index"), ["doc_id", "before_index"], "left")
-    inside = own.select("doc_id", "index", "segment_index", "end_index").join(
-        segments.select("doc_id", "idx", "uri", "map_uri"), "doc_id"
-    ).where("idx >= segment_index and idx < end_index")
-    media = inside.groupBy("doc_id", "index").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "uri"))), lambda x: x["uri"]).alias("media_uris"),
-        F.collect_set("map_uri").alias("inside_maps"), F.collect_set(container(F.col("uri"))).alias("inside_kinds"),
-    )
-    own = own.join(media, ["doc_id", "index"], "left")
     section = F.col("out.signal")
     lead = splice.lead_descriptor(section)
     attr = F.coalesce(F.col("out.duration_attr"), F.col("any_duration"))
@@ -162,7 +155,6 @@ def breaks_of(markers: DataFrame, segments: DataFrame, headers: DataFrame) -> tu
     by_descriptor, by_break = lead["duration_ticks"] / splice.TICKS, insert["break_ticks"] / splice.TICKS
     live = ~F.col("end_list")
     extent = F.coalesce(F.col("after.start_time") - F.col("out.start_time"), F.lit(0.0))
-    compact = lambda *cols: F.filter(F.array(*cols), lambda x: x.isNotNull())
     breaks = own.select(
         "doc_id", "index", F.col("out.start_time").alias("start_time"), F.col("out.pdt").alias("pdt"),
         F.coalesce(by_descriptor, by_break, attr).alias("signalled_duration"),
@@ -171,7 +163,7 @@ def breaks_of(markers: DataFrame, segments: DataFrame, headers: DataFrame) -> tu
         F.greatest(F.lit(0), F.col("end_index") - F.col("segment_index")).alias("segment_count"),
         "closed", (~F.col("closed") & live).alias("in_progress"),
         (live & (F.col("segment_index") == 0) & (F.col("out.start_time") <= SLACK)).alias("window_clipped"),
-        "media_uris", F.col("out.line_number").alias("out_line"), F.col("return_line").alias("in_line"), F.col("after.start_time").alias("end_time"),
+        F.col("out.line_number").alias("out_line"), F.col("return_line").alias("in_line"), F.col("after.start_time").alias("end_time"),
         F.coalesce(F.col("first.discontinuity"), F.lit(False)).alias("discontinuity_at_start"),
         (F.col("closed") & F.coalesce(F.col("after.discontinuity"), F.lit(False))).alias("discontinuity_at_end"),
         section.alias("signal"), attr.alias("duration_attr"), insert["splice_immediate"].alias("splice_immediate"),
@@ -179,13 +171,29 @@ def breaks_of(markers: DataFrame, segments: DataFrame, headers: DataFrame) -> tu
         F.coalesce(lead["event_id"], insert["event_id"]).alias("event_id"), lead["type_id"].alias("segmentation_type"),
         F.coalesce(given(lead["upid_text"]), lead["upid_hex"]).alias("upid"), lead["upid_type"].alias("upid_type"),
         F.when(live & F.col("out.pdt").isNotNull(), (F.coalesce(F.col("edge.pdt"), F.lit(0.0)) + F.col("edge.duration") * 1000 - F.col("out.pdt")) / 1000).alias("edge_distance"),
-        "end_list", "target_duration", "any_discontinuity", "n", "end_index",
-        "inside_maps", compact(F.col("before.map_uri"), F.col("after.map_uri")).alias("outside_maps"),
-        "inside_kinds", compact(container(F.col("before.uri")), container(F.col("after.uri"))).alias("outside_kinds"),
+        "end_list", "target_duration", "any_discontinuity", "n", "segment_index", "end_index",
     )
     return breaks, linked
 
 
+def with_media(breaks: DataFrame, segments: DataFrame) -> DataFrame:
+    """Breaks with the addresses, initialisation maps and containers of their segments, and of those around them."""
+    media = segments.select("doc_id", "idx", "uri", "map_uri")
+    place = F.explode(F.sequence("segment_index", F.col("end_index") - 1)).alias("idx")
+    inside = breaks.where("end_index > segment_index").select("doc_id", "index", place).join(media, ["doc_id", "idx"]).groupBy("doc_id", "index").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("idx", "uri"))), lambda x: x["uri"]).alias("media_uris"),
+        F.collect_set("map_uri").alias("inside_maps"), F.collect_set(container(F.col("uri"))).alias("inside_kinds"),
+    )
+    beside = breaks.select("doc_id", "index", F.explode(F.array(F.struct(F.lit("before").alias("side"), (F.col("segment_index") - 1).alias("idx")), F.struct(F.lit("after").alias("side"), F.col("end_index").alias("idx")))).alias("x"))
+    beside = beside.select("doc_id", "index", "x.side", "x.idx").join(media, ["doc_id", "idx"])
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("side") == "before", 0).otherwise(1).alias("n"), c.alias("c")))), lambda x: x["c"])
+    known = lambda c: F.filter(listed(c), lambda x: x.isNotNull())
+    around = beside.groupBy("doc_id", "index").agg(known(F.col("map_uri")).alias("outside_maps"), known(container(F.col("uri"))).alias("outside_kinds"))
+    none = F.array().cast("array<string>")
+    full = breaks.join(inside, ["doc_id", "index"], "left").join(around, ["doc_id", "index"], "left")
+    return full.withColumns({c: F.coalesce(c, none) for c in ("outside_maps", "outside_kinds")})
+
+
 def interstitials_of(markers: DataFrame) -> DataFrame:
     get = lambda name: given(F.try_element_at(F.col("attrs"), F.lit(name)))
     listed = lambda name: F.filter(F.transform(F.split(F.coalesce(get(name), F.lit("")), ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
@@ -407,10 +415,10 @@ def compare_renditions(renditions: DataFrame, breaks: DataFrame, stats: DataFram
         renditions.where("ordinal > 0").select("stream_id", F.col("ordinal").alias("other")), "stream_id"
     )
     candidate = own.where("ordinal > 0").select("stream_id", F.col("ordinal").alias("other"), F.col("index").alias("their"), F.col("at").alias("their_at"), F.col("length").alias("their_length"))
-    gap = F.abs(F.col("their_at") - F.col("at"))
-    met = wanted.join(candidate, ["stream_id", "other"], "left").groupBy("stream_id", "other", "index", "start_time", "length").agg(
-        F.min(F.when(gap <= 3, F.struct(gap.alias("gap"), F.col("their"), F.col("their_length")))).alias("best")
-    )
+    keys = ["stream_id", "other"]
+    near = nearest(wanted, candidate, keys, "at", "their_at", "index", "their", 3.0)
+    near = near.join(candidate, [*keys, "their"]).select(*keys, "index", F.struct("gap", "their", "their_length").alias("best"))
+    met = wanted.join(near, [*keys, "index"], "left")
     at = {"index": F.col("index"), "at": F.col("start_time")}
     return found.unionByName(
         emit(

@@ -50,7 +50,7 @@ b AS (SELECT user_id, seg, signalled_ms, coalesce(nx = 0, false) AS closed, ns,
 
 def rendered_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ad breaks of the rendered playlists, times in milliseconds."""
-    found = hls.analyse(playlists(_events(spark, sf_dir))).breaks
+    found = hls.analyse(playlists(_events(spark, sf_dir))).extents
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
     return found.select(
         F.col("doc_id").alias("user_id"), F.col("index").cast("long").alias("break_index"), ms("start_time").alias("start_ms"),
@@ -92,18 +92,22 @@ ORACLE_SQL["crc_mpeg"] = "SELECT event_id, event_type <> 'error' AS valid FROM e
 
 
 def rendered_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the rendered playlists by code, over all users."""
+    """All findings of the rendered playlists by code, over all users."""
     found = hls.analyse(playlists(_events(spark, sf_dir))).findings
-    return found.where("code in ('UNCLOSED_BREAK', 'NO_PROGRAM_DATE_TIME', 'SIGNALLING_ONLY_STREAM')").groupBy("code", "severity").agg(
-        F.count("*").alias("n"), F.count_distinct("doc_id").alias("playlists")
-    )
+    return found.groupBy("code", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("playlists"))
 
 
 QUERIES["rendered_verdicts"] = rendered_verdicts
-ORACLE_SQL["rendered_verdicts"] = f"""WITH {_SEGMENTS[1:]}
-SELECT 'UNCLOSED_BREAK' AS code, 'error' AS severity, count(*) AS n, count(DISTINCT user_id) AS playlists FROM b WHERE NOT closed
-UNION ALL SELECT 'NO_PROGRAM_DATE_TIME', 'warning', count(DISTINCT user_id), count(DISTINCT user_id) FROM e
-UNION ALL SELECT 'SIGNALLING_ONLY_STREAM', 'info', count(DISTINCT user_id), count(DISTINCT user_id) FROM b"""
+ORACLE_SQL["rendered_verdicts"] = f"""WITH {_SEGMENTS[1:]},
+y AS (SELECT b.*, coalesce(f.start_ms - s.start_ms, 0) AS actual_ms FROM b LEFT JOIN t s ON s.user_id = b.user_id AND s.seg = b.seg LEFT JOIN t f ON f.user_id = b.user_id AND f.seg = b.ns),
+v AS (SELECT user_id, seg, p, lag(p) OVER (PARTITION BY user_id ORDER BY seg, p) AS pv FROM q),
+u AS (SELECT 'UNCLOSED_BREAK' AS code, 'error' AS severity, user_id FROM b WHERE NOT closed
+UNION ALL SELECT DISTINCT 'NO_PROGRAM_DATE_TIME', 'warning', user_id FROM e UNION ALL SELECT DISTINCT 'SIGNALLING_ONLY_STREAM', 'info', user_id FROM b
+UNION ALL SELECT 'BREAK_OVERRUN', 'warning', user_id FROM y WHERE closed AND actual_ms - signalled_ms > 50000 UNION ALL SELECT 'BREAK_UNDERRUN', 'warning', user_id FROM y WHERE closed AND actual_ms - signalled_ms < -50000
+UNION ALL SELECT 'TARGETDURATION_EXCEEDED', 'error', user_id FROM g WHERE ms > 100001
+UNION ALL SELECT 'ORPHAN_CUE_IN', 'error', user_id FROM v WHERE p = 0 AND coalesce(pv, 0) = 0 UNION ALL SELECT 'NESTED_CUE_OUT', 'error', user_id FROM v WHERE p = 1 AND pv = 1
+UNION ALL SELECT DISTINCT 'DUAL_SIGNALLING', 'info', user_id FROM x WHERE event_type = 'signup' GROUP BY user_id, seg HAVING count(*) > 1)
+SELECT code, severity, count(*) AS n, count(DISTINCT user_id) AS playlists FROM u GROUP BY 1, 2"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -227,14 +231,12 @@ SELECT monitor_id, code, count(*) AS n FROM a GROUP BY 1, 2"""
 
 def pipeline_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures of a user take the nearest free return within six hours, in order; checked by a brute-force test."""
-    from cuelake.operators.pairing import greedy_nearest
+    from cuelake.operators.pairing import greedy_events
 
     events = _events(spark, sf_dir).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    side = lambda kind, name: events.where(F.col("event_type") == kind).groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("event_id").alias("id")))), lambda x: F.struct(x["id"].alias("id"), x["at"].alias("at"))).alias(name)
-    )
-    both = side("signup", "asked").join(side("purchase", "given"), "user_id")
-    return greedy_nearest(both, ["user_id"], "asked", "given", 21600.0).select("user_id", "left_id", "right_id", F.round(F.col("distance") * 1e6).cast("long").alias("distance_us"))
+    side = lambda kind: events.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("id"), "at")
+    found = greedy_events(side("signup"), side("purchase"), ["user_id"], 21600.0)
+    return found.select("user_id", "left_id", "right_id", F.round(F.col("distance") * 1e6).cast("long").alias("distance_us"))
 
 
 QUERIES["pipeline_greedy"] = pipeline_greedy
