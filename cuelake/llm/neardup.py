@@ -4,16 +4,20 @@ Two texts are near duplicates if the Jaccard similarity of their sets of SHINGLE
 come from two searches, and each is verified by both whole sets:
 
 * SimHash links as in op2: most near copies and, by midpoints, large groups of them;
-* common prefixes: with all shingles in one fixed order, sets of a similarity of 0.8 share one of the first fifth of
-  each (and one more), and what is left of both from there on must hold their whole overlap. This finds every pair.
+* rare shingles: a set of n shingles has at most n / 5 that a similar one lacks, so that of its n / 5 + 1 rarest shingles
+  at least one is among as many rarest ones of the similar set. Rarity is the number of sets in the whole corpus, so that
+  shingles of one set only fill most of these places, and a passage of many texts takes none. This finds every pair.
+
+The same holds within a part of all hash values, as long as a set has more than n / 5 shingles in it. Sets of at least
+256 shingles look at such a part (PARTS, by size; ten standard deviations wider than needed), which saves half of the rows.
+Two sets are compared within the part of the smaller one's class of size.
 
 Most candidates are ruled out by parities: a set's hashes flip bits of a string about twice as long as the set, and two
 strings never differ in more bits than the sets do in elements. Whole texts are brought together for the others only.
 
-The order puts shingles first that a sample of texts holds least, so that a passage of many texts is a key of none that
-hold enough else. A key of more than HOT_KEY sets is first linked by stars, each around another set, and only the sets
-that are still in different groups are then paired: no pair is left out, and a large group of copies stays linear. Stars
-are repeated while they would leave more than ENOUGH pairs a set.
+A key of more than HOT_KEY sets is first linked by stars, each around another set, and only the sets that are still in
+different groups are then paired: no pair is left out, and a large group of copies stays linear. Stars are repeated while
+they would leave more than ENOUGH pairs a set.
 """
 
 from __future__ import annotations
@@ -30,8 +34,11 @@ from cuelake.llm.decontam import grams, word_hashes
 
 #: The similarity is the fraction 4 / 5, so that comparisons are of whole numbers.
 SHINGLE, SIMILAR = 5, (4, 5)
-HOT_KEY, STARS, SAMPLE = 32, 4, 2000
-TURNS, ENOUGH = 4, 16
+HOT_KEY, STARS, TURNS, ENOUGH = 32, 4, 2, 256
+#: Share of the hash values that sets of 2^k to 2^(k+1) shingles look at; all below the first k, the last one above.
+PARTS = {8: 0.5, 9: 0.42, 10: 0.36, 11: 0.31, 12: 0.28, 13: 0.26}
+#: Counts of sets from which on a shingle is as common as any.
+COMMON = 1000
 #: Lower-cased (A-Z), white space as a space: the words of op2.
 PLAIN_BYTES = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -55,25 +62,30 @@ def _long(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, and how many. Any order gives the same result."""
-    every = max(1, docs.count() // SAMPLE)
-    rows = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(text_bytes()).limit(SAMPLE).collect()
-    found = shingles([bytes(r.text) for r in rows])
-    values, many = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return values[many > 1], many[many > 1]
+def bound(size: int) -> int:
+    """The first hash value (of 2^64) beyond the part for a class of size."""
+    k = min(size.bit_length() - 1, max(PARTS))
+    return int(PARTS[k] * 2**64) if k in PARTS else 2**64
+
+
+def bounds(size: int) -> tuple[int, int]:
+    """The bound of a set's own class, and that of the class below if a similar set may be in it, else 0."""
+    below = 1 << max(0, size.bit_length() - 1)
+    return bound(size), bound(below - 1) if below > 1 and size * SIMILAR[0] // SIMILAR[1] < below else 0
+
+
+def within(found: np.ndarray, end: int) -> int:
+    return len(found) if end >= 2**64 else int(np.searchsorted(found, np.uint64(end)))
 
 
 def keys(docs: DataFrame) -> DataFrame:
-    """(key, id, at): the prefix of each set; at is the set's size, and in its low 32 bits the shingle's place."""
-    known = docs.sparkSession.sparkContext.broadcast(common(docs))
+    """(key, id): the shingles of each set within the parts that it is compared in."""
 
     def run(batches):
-        frequent, many = known.value
         seen: set[int] = set()
         for batch in batches:
             for part in blocks(batch):
-                key, ids, at = [], [], []
+                key, ids = [], []
                 for found in shingles(part.column(0).to_pylist()):
                     own = identity(found)
                     if own in seen or not len(found):
@@ -81,24 +93,111 @@ def keys(docs: DataFrame) -> DataFrame:
                     seen.add(own)
                     if len(seen) > 200_000:
                         seen.clear()
-                    weight = np.zeros(len(found), np.int64)
-                    if len(frequent):
-                        spot = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                        weight = np.where(frequent[spot] == found, many[spot], 0)
-                    n = len(found)
-                    first = n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1
-                    key.append(found[np.argsort(weight, kind="stable")[:first]])
-                    ids.append(np.full(first, own, np.uint64))
-                    at.append(np.arange(first) | n << 32)
+                    key.append(found[: within(found, max(bounds(len(found))))])
+                    ids.append(np.full(len(key[-1]), own, np.uint64))
                 if key:
-                    columns = [np.concatenate(key).view(np.int64), np.concatenate(ids).view(np.int64), np.concatenate(at)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "at"])
-
-    return docs.select(text_bytes()).mapInArrow(run, "key long, id long, at long")
+                    columns = [np.concatenate(key).view(np.int64), np.concatenate(ids).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id"])
+
+    return docs.select(text_bytes()).mapInArrow(run, "key long, id long")
+
+
+SHARED = "id long, sets int, key long"
+
+
+def shared_keys(batches):
+    """From rows (key, id) sorted by both: those of keys that several sets have, with their number (COMMON at most).
+    Holds one batch and at most COMMON rows besides."""
+
+    def made(key, ids, sets):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sets.astype(np.int32)), pa.array(key)], names=["id", "sets", "key"])
+
+    held = [np.zeros(0, np.int64)] * 2
+    hot = last = None
+    for batch in batches:
+        now = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(2)]
+        if not len(now[0]):
+            continue
+        new = np.r_[last != (now[0][0], now[1][0]), (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])]
+        last = (now[0][-1], now[1][-1])
+        now = [x[new] for x in now]
+        if hot is not None and len(now[0]):
+            n = int(np.searchsorted(now[0], hot, "right"))
+            if n:
+                yield made(now[0][:n], now[1][:n], np.full(n, COMMON))
+                now = [x[n:] for x in now]
+        if not len(now[0]):
+            continue
+        hot = None
+        key, ids = (np.concatenate(x) for x in zip(held, now, strict=True))
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        many = np.diff(np.r_[start, len(key)])
+        sets = np.repeat(many, many)
+        cut = start[-1]
+        several = np.flatnonzero(sets[:cut] > 1)
+        if len(several):
+            yield made(key[several], ids[several], np.minimum(sets[several], COMMON))
+        held = [key[cut:], ids[cut:]]
+        if len(held[0]) >= COMMON:
+            yield made(*held, np.full(len(held[0]), COMMON))
+            hot, held = held[0][0], [x[:0] for x in held]
+    if len(held[0]) > 1:
+        yield made(*held, np.full(len(held[0]), len(held[0])))
+
+
+CHOSEN = "key long, id long, at long, root long"
+
+
+def rarest(batches):
+    """From rows (id, sets, key, size, own, below) sorted by id, sets and key, each set's sizes first (sets 0): the keys
+    among its rarest shingles that another set has, too. Shingles of one set only come before them."""
+
+    def chosen(rows):
+        ids, sets, key, size, own, below = rows
+        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else ids
+        out = []
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(ids)], strict=True):
+            n = int(size[a])
+            if not n or b == a + 1:
+                continue
+            mine = key[a + 1 : b].view(np.uint64)
+            first = n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1
+            take = np.zeros(len(mine), bool)
+            for end, many in zip(bounds(n), (int(own[a]), int(below[a])), strict=True):
+                at = np.flatnonzero(mine < np.uint64(end)) if end < 2**64 else np.arange(len(mine))
+                take[at[: max(0, first - (many - len(at)))]] = True
+            if take.any():
+                out.append((mine[take].view(np.int64), int(ids[a]), n))
+        if out:
+            many = [len(k) for k, _, _ in out]
+            name = np.repeat([i for _, i, _ in out], many)
+            at = np.repeat([n << 32 for _, _, n in out], many)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _, _ in out])), pa.array(name), pa.array(at), pa.array(name)], names=["key", "id", "at", "root"])
+
+    held = [np.zeros(0, np.int64)] * 6
+    for batch in batches:
+        now = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(6)]
+        if not len(now[0]):
+            continue
+        now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        yield from chosen([x[:cut] for x in now])
+        held = [x[cut:] for x in now]
+    yield from chosen(held)
+
+
+def rare_keys(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(key, id, at, root) of CHOSEN; at holds the set's size in its upper half. ``prints`` has id, size, own and below: a
+    set's size and the numbers of its shingles within its bounds."""
+    shared = keys(docs).repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_keys, SHARED)
+    zero = F.lit(0).cast("long")
+    sizes = prints.select("id", F.lit(0).alias("sets"), zero.alias("key"), "size", "own", "below").distinct()
+    both = sizes.unionByName(shared.select("id", "sets", "key", zero.alias("size"), zero.alias("own"), zero.alias("below")))
+    return both.repartition("id").sortWithinPartitions("id", "sets", "key").mapInArrow(rarest, CHOSEN)
 
 
 def enough(at: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether what is left of both sets can hold the overlap that the similarity needs."""
+    """Whether the smaller set can hold the overlap that the similarity needs."""
     left = np.minimum((at >> 32) - (at & 0xFFFFFFFF), (other >> 32) - (other & 0xFFFFFFFF))
     return left * sum(SIMILAR) >= ((at >> 32) + (other >> 32)) * SIMILAR[0]
 
@@ -247,14 +346,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, root): the components of all pairs of sets (id) that are similar enough; sets without any are left out.
-    ``prints`` has the id and fingerprint (fp) of each row of ``docs``. Tables on the way are deleted."""
+    ``prints`` has the id, fingerprint (fp) and sizes of each row of ``docs``. Tables on the way are deleted."""
     made: list[DataFrame] = []
 
     def kept(df: DataFrame) -> DataFrame:
         made.append(df)
         return df
 
-    found = kept(_pairs(keys(docs).withColumn("root", F.col("id")), HOT_KEY))
+    found = kept(_pairs(rare_keys(docs, prints), HOT_KEY))
     hot = found.where("hot").select("key", F.col("a").alias("id"), "at")
     named = kept(written(prints.select("fp", "id").distinct()))
     low = kept(written(named.groupBy("fp").agg(F.min("id").alias("low"))))
@@ -294,13 +393,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     names, mark = docs.columns, fresh_name(docs, "mark")
     marked = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
 
-    def make():
-        return lambda block: {
+    def handle(block):
+        sets = [shingles([x])[0] for x in block]
+        ends = [bounds(len(x)) for x in sets]
+        return {
             "fp": np.fromiter(map(simhash.fingerprint, block), np.uint64, len(block)).view(np.int64),
-            "id": _long([identity(x) for x in shingles(block)]),
+            "id": _long([identity(x) for x in sets]),
+            "size": [len(x) for x in sets],
+            "own": [within(x, end) for x, (end, _) in zip(sets, ends, strict=True)],
+            "below": [within(x, end) if end else 0 for x, (_, end) in zip(sets, ends, strict=True)],
         }
 
-    prints = written(append_columns(marked.select("doc_id", F.col(mark).alias("mark"), text_bytes()), make, "fp long, id long").drop("text"))
+    added = "fp long, id long, size long, own long, below long"
+    prints = written(append_columns(marked.select("doc_id", F.col(mark).alias("mark"), text_bytes()), lambda: handle, added).drop("text"))
     tree = groups(docs, prints)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     first = prints.join(tree, prints.id == tree.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min(order).alias("x"))

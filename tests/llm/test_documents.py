@@ -146,8 +146,8 @@ def test_near_copies_are_those_of_all_shingle_sets(spark, monkeypatch, hot):
     r = random.Random(12)
     line = lambda n: [f"w{r.randint(0, 3000)}" for _ in range(n)]
     made, shared = [], line(60)
-    for k in range(14):
-        base = line(r.choice((40, 150, 400))) + (shared if k % 2 else [])
+    for k in range(18):
+        base = line(r.choice((40, 150, 400, 262, 520))) + (shared if k % 2 else [])
         for _ in range(5):
             copy = list(base)
             for at in r.sample(range(len(copy)), r.randint(0, max(1, len(copy) // 25))):
