@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINDING = "struct<severity string, code string, title string, line_number int, break_index int, at_time double>"
+from cuelake.functions.text import number_text
+from cuelake.operators.texts import DETAILS
+
+FINDING = "struct<severity string, code string, title string, detail string, line_number int, break_index int, at_time double>"
+
+
+#: Beginnings of the codes that are decided by row.
+VARYING = ("UPID_", "VAST_")
 
 
 def rule(when: Column, severity: str | Column, code: str | Column, line: Column | None = None, index: Column | None = None, at: Column | None = None) -> Column:
-    """A finding where the condition holds, else null. The title is the code in words."""
+    """A finding where the condition holds, else null. The title is the code in words; the detail says what it means and where."""
     of = lambda c, kind: F.lit(None).cast(kind) if c is None else c.cast(kind)
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    # a code that a row decides is one of the few about identifiers
+    told = F.lit(DETAILS.get(code)) if isinstance(code, str) else F.try_element_at(F.create_map(*[F.lit(x) for k, v in DETAILS.items() if k.startswith(VARYING) for x in (k, v)]), code)
     code = as_column(code)
+    place = [F.concat(F.lit(n), of(c, "string"), F.lit(".")) for n, c in ((" Line ", line), (" Break ", index)) if c is not None]
+    place += [F.concat(F.lit(" At "), number_text(at), F.lit(" s."))] if at is not None else []
+    detail = F.concat(told, *[F.coalesce(x, F.lit("")) for x in place])
     return F.when(
         F.coalesce(when, F.lit(False)),
         F.struct(
-            as_column(severity).alias("severity"), code.alias("code"), F.lower(F.replace(code, F.lit("_"), F.lit(" "))).alias("title"),
+            as_column(severity).alias("severity"), code.alias("code"), F.lower(F.replace(code, F.lit("_"), F.lit(" "))).alias("title"), detail.alias("detail"),
             of(line, "int").alias("line_number"), of(index, "int").alias("break_index"), of(at, "double").alias("at_time"),
         ),
     )
@@ -45,5 +57,5 @@ def verdicts(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataF
 def grouped(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     """Findings of a document by severity, code and title with their number, gravest first."""
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    many = findings.groupBy(key, "severity", "code", "title").agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"))
+    many = findings.groupBy(key, "severity", "code", "title").agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"), *([F.min("detail").alias("detail")] if "detail" in findings.columns else []))
     return many.withColumn("rank", rank)

@@ -11,10 +11,13 @@ from cuelake.sources import dash
 MOST, LATE_MS, LENGTH = 6, 2000.0, 0.5
 
 
-def resolve(periods: DataFrame, sets: DataFrame, fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Resolutions and findings for the first MOST remote periods of each manifest; ``fetched`` has (href, ok, body, ms)."""
+def resolve(periods: DataFrame, sets: DataFrame, fetched: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """Resolutions and findings for the first ``most`` remote periods of each manifest; ``fetched`` has (href, ok, body, ms).
+    A manifest with more of them has a finding that says so."""
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("period_index"))
-    asked = periods.where("xlink_href is not null").withColumn("_n", order).where(F.col("_n") <= MOST)
+    numbered = periods.where("xlink_href is not null").withColumn("_n", order)
+    asked = numbered.where(F.col("_n") <= most)
+    beyond = emit(numbered.where(F.col("_n") == most + 1), [rule(F.lit(True), "info", "XLINK_NOT_RESOLVED")])
     asked = asked.select("doc_id", "period_index", F.col("xlink_href").alias("href"), "declared_duration").join(fetched, "href", "left")
     key = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("period_index").cast("string"))
     good = F.coalesce(F.col("ok"), F.lit(False)) & (F.length(F.coalesce("body", F.lit(""))) > 0)
@@ -41,4 +44,4 @@ def resolve(periods: DataFrame, sets: DataFrame, fetched: DataFrame) -> tuple[Da
             rule(done & shared, "warning", "XLINK_CODEC_MISMATCH"),
         ],
     )
-    return rows.select("doc_id", "period_index", "href", "good", "ms", "declared_duration", "periods", "seconds"), out
+    return rows.select("doc_id", "period_index", "href", "good", "ms", "declared_duration", "periods", "seconds"), out.unionByName(beyond)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import splice
+from cuelake.functions.text import resolve_uri
 from cuelake.operators.findings import grouped
 from cuelake.operators.pairing import paired
 from cuelake.plans import dash, hls, policy, remote, stitching, vast
+from cuelake.plans.onepath import OnePath
 from cuelake.plans.rendered import _SEGMENTS, playlists
 from cuelake.sources import scte104, segments
 from cuelake.streaming import monitor
@@ -277,7 +279,7 @@ def dash_findings(spark, sf_dir):
     """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey % 8 AS k FROM orders), a AS (SELECT * FROM o WHERE i <= 6),
 f AS (SELECT 'XLINK_RESOLVE_FAILED' AS code, 'error' AS severity FROM a WHERE k = 0 UNION ALL SELECT 'XLINK_RESOLVE_UNPARSEABLE', 'error' FROM a WHERE k = 1 UNION ALL
 SELECT 'XLINK_RESOLVED_EMPTY', 'warning' FROM a WHERE k = 2 UNION ALL SELECT 'XLINK_RESOLVE_SLOW', 'warning' FROM a WHERE k = 3 UNION ALL
-SELECT 'XLINK_DURATION_MISMATCH', 'error' FROM a WHERE k IN (4, 5) UNION ALL SELECT 'XLINK_CODEC_MISMATCH', 'warning' FROM a WHERE k IN (5, 6))
+SELECT 'XLINK_NOT_RESOLVED', 'info' FROM o WHERE i = 7 UNION ALL SELECT 'XLINK_DURATION_MISMATCH', 'error' FROM a WHERE k IN (4, 5) UNION ALL SELECT 'XLINK_CODEC_MISMATCH', 'warning' FROM a WHERE k IN (5, 6))
 SELECT code, severity, count(*) AS n FROM f GROUP BY 1, 2"""
 )
 def remote_periods(spark, sf_dir):
@@ -402,3 +404,39 @@ def requests_and_splices(spark, sf_dir):
     rows = scte104.decoded(events.select(F.col("event_id").alias("doc_id"), "event_id", "k", F.when(F.col("k") == 4, other).otherwise(splice_).alias("message")))
     write = F.udf(lambda i, k: splice.write_section(i + (k == 1), 31.0 if k == 3 else 30.0, k != 2), "binary", useArrow=True)
     return _by_code(scte104.compared(rows.withColumn("section", splice.decode_section(F.base64(write("event_id", "k"))))))
+
+
+# Addresses and one path: a master playlist for ten users, whose variants are their rendered playlists.
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || '/seg' || page_id || '.ts?x=1' WHEN 1 THEN regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || 'v/p' || page_id || '.m3u8'
+ELSE 'http://o/' || page_id END AS uri FROM pages"""
+)
+def resolved_addresses(spark, sf_dir):
+    number = F.col("page_id").cast("string")
+    ref = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/a/../seg"), number, F.lit(".ts?x=1"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("v/./p"), number, F.lit(".m3u8"))).otherwise(F.concat(F.lit("http://o/b/../"), number))
+    return table(spark, sf_dir, "pages").select("page_id", resolve_uri(F.col("url"), ref).alias("uri"))
+
+
+@query(
+    """WITH u AS (SELECT user_id, user_id // 10 AS stream, row_number() OVER (PARTITION BY user_id // 10 ORDER BY user_id) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase'))),
+a AS (SELECT * FROM u WHERE n <= 6) SELECT stream, count(*) AS picked, count(*) FILTER (WHERE user_id % 4 <> 3) AS readable, count(*) FILTER (WHERE user_id % 4 = 3) AS failed,
+CAST((SELECT count(*) FROM u x WHERE x.stream = a.stream) > 6 AS INTEGER) AS cut FROM a GROUP BY stream"""
+)
+def one_path(spark, sf_dir):
+    """Variants of every fourth user could not be fetched; no more than six of a master playlist are taken."""
+    own = playlists(table(spark, sf_dir, "events"))
+    stream = F.expr("doc_id div 10").alias("stream")
+    entry = F.format_string("#EXT-X-STREAM-INF:BANDWIDTH=%d\nu%d.m3u8", F.col("doc_id") + 1000, F.col("doc_id"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("x")))), lambda x: x["x"]), "\n")
+    masters = own.groupBy(stream).agg(F.concat(F.lit("#EXTM3U\n"), body).alias("body"))
+    masters = masters.select(F.col("stream").alias("doc_id"), F.format_string("http://o/%d/master.m3u8", "stream").alias("uri"), "body")
+    url = F.format_string("http://o/%d/u%d.m3u8", F.expr("doc_id div 10"), F.col("doc_id"))
+    fetched = own.select(url.alias("url"), (F.col("doc_id") % 4 != 3).alias("ok"), "body", F.lit(None).cast("string").alias("error"))
+    path = OnePath(masters, fetched)
+    count = lambda code, name: F.count_if(F.col("code") == code).cast("int" if name == "cut" else "long").alias(name)
+    codes = path.across.groupBy("stream_id").agg(count("VARIANT_FETCH_FAILED", "failed"), count("VARIANTS_NOT_ANALYSED", "cut"))
+    picked = path.variants.groupBy(F.col("doc_id").alias("stream_id")).agg(F.count("*").alias("picked"), F.count_if("readable").alias("readable"))
+    full = picked.join(codes, "stream_id", "left")
+    return full.select(F.col("stream_id").alias("stream"), "picked", "readable", F.coalesce("failed", F.lit(0)).cast("long").alias("failed"), F.coalesce("cut", F.lit(0)).cast("int").alias("cut"))

@@ -242,6 +242,22 @@ def agreement(found: DataFrame, breaks: DataFrame, probed: DataFrame) -> DataFra
     )
 
 
+def addressable(listed: DataFrame, docs: DataFrame) -> DataFrame:
+    """A finding for each document of ``docs`` (doc_id) of which no segment (doc_id, uri) has an address."""
+    known = listed.where("uri is not null and uri <> ''").select("doc_id").distinct()
+    return emit(docs.select("doc_id").distinct().join(known, "doc_id", "left_anti"), [rule(F.lit(True), "info", "SEGMENTS_NOT_ADDRESSABLE")])
+
+
+def probe_totals(asked: DataFrame, files: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, asked, read, bytes, cues): segments (doc_id, uri) that were to be opened, those of them that could be
+    (uri, content), their size, and the cues (uri) in them."""
+    cues_of = found.groupBy("uri").agg(F.count("*").alias("n"))
+    rows = asked.select("doc_id", "uri").join(files.select("uri", F.length("content").alias("size")), "uri", "left").join(cues_of, "uri", "left")
+    return rows.groupBy("doc_id").agg(
+        F.count("*").alias("asked"), F.count("size").alias("read"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("cues")
+    )
+
+
 def chosen(listed: DataFrame, breaks: DataFrame, most: int) -> DataFrame:
     """Segments (doc_id, idx, start_time, ...) worth opening, ``most`` a document: those in which a break begins and the ones
     before them, breaks in order, then others at an even stride."""
