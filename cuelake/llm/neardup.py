@@ -153,8 +153,10 @@ def rarest(batches):
     among its rarest shingles that another set has, too. Shingles of one set only come before them."""
 
     def chosen(rows):
-        ids, sets, key, size, own, below = rows
-        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else ids
+        ids, _, key, size, own, below = rows
+        if not len(ids):
+            return
+        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         out = []
         for a, b in zip(start.tolist(), [*start[1:].tolist(), len(ids)], strict=True):
             n = int(size[a])
@@ -162,16 +164,18 @@ def rarest(batches):
                 continue
             mine = key[a + 1 : b].view(np.uint64)
             first = n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1
-            take = np.zeros(len(mine), bool)
+            take, alone = np.zeros(len(mine), bool), None
             for end, many in zip(bounds(n), (int(own[a]), int(below[a])), strict=True):
                 at = np.flatnonzero(mine < np.uint64(end)) if end < 2**64 else np.arange(len(mine))
                 take[at[: max(0, first - (many - len(at)))]] = True
+                # a set that is compared within a part has all of its shingles there counted
+                alone = many - len(at) if alone is None else alone
             if take.any():
-                out.append((mine[take].view(np.int64), int(ids[a]), n))
+                out.append((mine[take].view(np.int64), int(ids[a]), n << 32 | alone))
         if out:
             many = [len(k) for k, _, _ in out]
             name = np.repeat([i for _, i, _ in out], many)
-            at = np.repeat([n << 32 for _, _, n in out], many)
+            at = np.repeat([n for _, _, n in out], many)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _, _ in out])), pa.array(name), pa.array(at), pa.array(name)], names=["key", "id", "at", "root"])
 
     held = [np.zeros(0, np.int64)] * 6
@@ -187,7 +191,8 @@ def rarest(batches):
 
 
 def rare_keys(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(key, id, at, root) of CHOSEN; at holds the set's size in its upper half. ``prints`` has id, size, own and below: a
+    """(key, id, at, root) of CHOSEN; at holds the set's size, and in its low 32 bits how many of its shingles no other set
+    has (within its own class's bound). ``prints`` has id, size, own and below: a
     set's size and the numbers of its shingles within its bounds."""
     shared = keys(docs).repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_keys, SHARED)
     zero = F.lit(0).cast("long")
@@ -197,7 +202,7 @@ def rare_keys(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def enough(at: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether the smaller set can hold the overlap that the similarity needs."""
+    """Whether the shingles that other sets have, too, can make up the overlap that the similarity needs."""
     left = np.minimum((at >> 32) - (at & 0xFFFFFFFF), (other >> 32) - (other & 0xFFFFFFFF))
     return left * sum(SIMILAR) >= ((at >> 32) + (other >> 32)) * SIMILAR[0]
 
