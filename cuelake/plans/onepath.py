@@ -26,7 +26,7 @@ def label(variants: DataFrame) -> DataFrame:
 
 class OnePath:
     """``masters`` are (doc_id, uri, body); ``fetched`` (url, ok, body, error) holds what is known of the addresses that they
-    name. Tables are planned when asked for. A rendition's doc_id is its master's with the variant's place."""
+    name. Tables are planned when asked for; the variants and what is parsed of them are persisted until ``release``. A rendition's doc_id is its master's with the variant's place."""
 
     def __init__(self, masters: DataFrame, fetched: DataFrame, most: int = MOST_VARIANTS):
         self.masters, self.fetched, self.most = masters, fetched, most
@@ -42,7 +42,7 @@ class OnePath:
         rows = rows.withColumn("url", resolve_uri(F.col("base"), F.col("uri"))).join(self.fetched.select("url", "ok", "body", "error"), "url", "left")
         readable = F.coalesce(F.col("ok") & F.ltrim("body").startswith("#EXTM3U"), F.lit(False))
         name = F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("pick").cast("string"))
-        return rows.withColumns({"readable": readable, "rendition_id": name})
+        return rows.withColumns({"readable": readable, "rendition_id": name}).persist()
 
     @cached_property
     def analysis(self) -> hls.HlsAnalysis:
@@ -60,14 +60,18 @@ class OnePath:
     @cached_property
     def across(self) -> DataFrame:
         """stream_id and the findings on a stream as a whole: how its renditions compare, and what could not be read."""
-        cross = hls.compare_renditions(self.renditions, self.analysis.breaks, self.analysis.stats)
+        return hls.compare_renditions(self.renditions, self.analysis.breaks, self.analysis.stats).unionByName(self.reading)
+
+    @cached_property
+    def reading(self) -> DataFrame:
+        """stream_id and the findings on what could not be read, or was left out."""
         streams = self.variants.groupBy(F.col("doc_id").alias("stream_id")).agg(F.count_if("readable").alias("read"))
         found = emit(self.variants.withColumnRenamed("doc_id", "stream_id"), [rule(~F.col("readable"), "warning", "VARIANT_FETCH_FAILED")], ("stream_id",))
         lost = self.masters.select(F.col("doc_id").alias("stream_id")).join(streams, "stream_id", "left")
         none = emit(lost, [rule(F.coalesce("read", F.lit(0)) == 0, "error", "NO_VARIANT_READABLE")], ("stream_id",))
         beyond = self.listed.where("media_type in ('VIDEO', 'AUDIO')").groupBy(F.col("doc_id").alias("stream_id")).agg(F.count("*").alias("n"))
         left = emit(beyond, [rule(F.col("n") > self.most, "info", "VARIANTS_NOT_ANALYSED")], ("stream_id",))
-        return cross.unionByName(found).unionByName(none).unionByName(left)
+        return found.unionByName(none).unionByName(left)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -80,6 +84,10 @@ class OnePath:
     def verdicts(self) -> DataFrame:
         return verdicts(self.masters.withColumnRenamed("doc_id", "stream_id"), self.findings, "stream_id")
 
+    def release(self) -> None:
+        self.analysis.release()
+        self.variants.unpersist()
+
     @cached_property
     def profiles(self) -> DataFrame:
         """(doc_id, codecs, bandwidths, avail_seconds): what an ad has to fit, as the VAST rules take it."""

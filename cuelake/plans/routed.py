@@ -436,7 +436,7 @@ def one_path(spark, sf_dir):
     fetched = own.select(url.alias("url"), (F.col("doc_id") % 4 != 3).alias("ok"), "body", F.lit(None).cast("string").alias("error"))
     path = OnePath(masters, fetched)
     count = lambda code, name: F.count_if(F.col("code") == code).cast("int" if name == "cut" else "long").alias(name)
-    codes = path.across.groupBy("stream_id").agg(count("VARIANT_FETCH_FAILED", "failed"), count("VARIANTS_NOT_ANALYSED", "cut"))
+    codes = path.reading.groupBy("stream_id").agg(count("VARIANT_FETCH_FAILED", "failed"), count("VARIANTS_NOT_ANALYSED", "cut"))
     picked = path.variants.groupBy(F.col("doc_id").alias("stream_id")).agg(F.count("*").alias("picked"), F.count_if("readable").alias("readable"))
     full = picked.join(codes, "stream_id", "left")
     return full.select(F.col("stream_id").alias("stream"), "picked", "readable", F.coalesce("failed", F.lit(0)).cast("long").alias("failed"), F.coalesce("cut", F.lit(0)).cast("int").alias("cut"))
