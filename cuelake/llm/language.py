@@ -64,20 +64,24 @@ class Kernel:
 
     @classmethod
     def fit(cls, rows: np.ndarray, labels: list[str]) -> Kernel:
+        """From presence rows packed to bits, which are unpacked in blocks."""
         languages = sorted(set(labels))
         if not languages:
             return cls([], np.zeros((SLOTS, 0), np.float32))
-        rows = rows.astype(np.float32)
-        unit = rows / np.sqrt(np.maximum(1, rows.sum(1)))[:, None]
+
+        def unit(packed: np.ndarray) -> np.ndarray:
+            row = np.unpackbits(packed, axis=1).astype(np.float32)
+            return row / np.sqrt(np.maximum(1, row.sum(1)))[:, None]
+
         per = share(len(languages), LANDMARKS, ALL_LANDMARKS)
         where: dict[str, list[int]] = {}
         for k, x in enumerate(labels):
             where.setdefault(x, []).append(k)
-        marks = unit[[k for x in languages for k in where[x][:per]]]
+        marks = unit(rows[[k for x in languages for k in where[x][:per]]])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        maps = (unit @ marks.T) @ root
+        maps = np.concatenate([unit(rows[k : k + 256]) @ marks.T for k in range(0, len(rows), 256)]) @ root
         target = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
         count = target.clip(0).sum(0)
         weight = (1 / count)[[languages.index(x) for x in labels]][:, None]  # every language counts alike
@@ -102,7 +106,7 @@ def train(docs: DataFrame, learn=None, texts: tuple[int, int] = TEXTS) -> Kernel
         known = known.where(learn)
     counts = known.groupBy("lang").count().collect()  # a row a language
     if not counts:
-        return Kernel.fit(np.zeros((0, SLOTS)), [])
+        return Kernel.fit(np.zeros((0, SLOTS // 8), np.uint8), [])
     each = share(len(counts), texts, ALL_TEXTS)
     parts = spark.createDataFrame([(r["lang"], min(1.0, 2.0 * each / r["count"] + 50.0 / r["count"])) for r in counts], "lang string, part double")
     mark = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
@@ -125,7 +129,7 @@ def train(docs: DataFrame, learn=None, texts: tuple[int, int] = TEXTS) -> Kernel
     table = append_columns(picked, make, "slots binary").select("doc_id", "lang", "slots").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     packed = np.frombuffer(b"".join(table["slots"].to_pylist()), np.uint8).reshape(-1, SLOTS // 8)
     order = np.argsort(np.random.default_rng(5).random(len(packed)))
-    return Kernel.fit(np.unpackbits(packed[order], axis=1), [table["lang"][int(k)].as_py() for k in order])
+    return Kernel.fit(packed[order], [table["lang"][int(k)].as_py() for k in order])
 
 
 def identified(docs: DataFrame, kernel: Kernel) -> DataFrame:

@@ -143,11 +143,10 @@ def keys(fps: DataFrame) -> DataFrame:
 FOUND = "a long, b long, hot boolean"
 
 
-def pairs_or_hot(batches):
+def pairs_or_hot(most: int = HOT_KEY):
     """From rows sorted by key and role: the linked pairs of each key, or (fp, fp, hot) for every row of a key of
-    more than HOT_KEY rows. Holds one batch and at most HOT_KEY rows besides."""
-    held = [np.zeros(0, np.int64)] * 3
-    hot_key = None
+    more than ``most`` rows. Holds one batch and at most ``most`` rows besides."""
+
 
     def hot(fp):
         return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(fp), pa.array(np.ones(len(fp), bool))], names=["a", "b", "hot"])
@@ -155,7 +154,7 @@ def pairs_or_hot(batches):
     def linked(key, role, fp):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(key)])
-        big = np.repeat(size > HOT_KEY, size)
+        big = np.repeat(size > most, size)
         if big.any():
             yield hot(fp[big])
         end = np.repeat(start + size, size)
@@ -178,24 +177,29 @@ def pairs_or_hot(batches):
                 no = pa.array(np.zeros(both.shape[1], bool))
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), no], names=["a", "b", "hot"])
 
-    for batch in batches:
-        now = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(3)]
-        if hot_key is not None:
-            n = int(np.searchsorted(now[0], hot_key, "right"))
-            if n:
-                yield hot(now[2][:n])
-                now = [x[n:] for x in now]
-        if not len(now[0]):
-            continue
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
         hot_key = None
-        now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        yield from linked(*(x[:cut] for x in now))
-        held = [x[cut:] for x in now]
-        if len(held[0]) > HOT_KEY:
-            yield hot(held[2])
-            hot_key, held = held[0][0], [x[:0] for x in held]
-    yield from linked(*held)
+        for batch in batches:
+            now = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(3)]
+            if hot_key is not None:
+                n = int(np.searchsorted(now[0], hot_key, "right"))
+                if n:
+                    yield hot(now[2][:n])
+                    now = [x[n:] for x in now]
+            if not len(now[0]):
+                continue
+            hot_key = None
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            yield from linked(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+            if len(held[0]) > most:
+                yield hot(held[2])
+                hot_key, held = held[0][0], [x[:0] for x in held]
+        yield from linked(*held)
+
+    return run
 
 
 def midpoints(fps: DataFrame) -> DataFrame:
@@ -214,11 +218,11 @@ def midpoints(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(run, "mid long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, most: int = HOT_KEY) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) whose components are those of all links of at most
     DISTANCE bits."""
     spread = keys(fps).repartition("key").sortWithinPartitions("key", "role")
-    found = written(spread.mapInArrow(pairs_or_hot, FOUND))
+    found = written(spread.mapInArrow(pairs_or_hot(most), FOUND))
     edges = found.where("not hot").select("a", "b").distinct()
     hot = found.where("hot").select(F.col("a").alias("fp")).distinct()
     if hot.isEmpty():

@@ -107,7 +107,8 @@ def test_every_link_shares_a_key(spark):
     assert {tuple(sorted(map(signed, prints[k : k + 2]))) for k in range(0, len(prints), 2)} <= found
 
 
-def test_hot_keys_are_linked_by_midpoints(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1, 3, simhash.HOT_KEY])
+def test_hot_keys_are_linked_by_midpoints(spark, most):
     r = random.Random(2)
     centre = r.getrandbits(63)
     prints = {centre}
@@ -117,14 +118,8 @@ def test_hot_keys_are_linked_by_midpoints(spark, monkeypatch):
             x ^= 1 << bit
         prints.add(x)
     prints = sorted(prints)
-    fps = spark.createDataFrame([(x,) for x in prints], "fp long")
-    hot = list(simhash.pairs_or_hot.__code__.co_names)
-    assert "HOT_KEY" in hot
-    rows = fps.select("fp")
-    mids = simhash.midpoints(rows)
-    lowest = mids.groupBy("mid").agg({"fp": "min"}).withColumnRenamed("min(fp)", "a")
-    edges = mids.join(lowest, "mid").where("fp <> a").selectExpr("a", "fp as b").distinct()
-    tree = {x["node"]: x["root"] for x in components(edges).collect()}
+    fps = spark.createDataFrame([(x,) for x in prints], "fp long").repartition(3)
+    tree = {x["node"]: x["root"] for x in components(simhash.links(fps, most)).collect()}
     root = brute_components(prints)
     for k, x in enumerate(root):
         same = [i for i, y in enumerate(root) if y == x]
@@ -303,7 +298,7 @@ def test_kernel_is_nystrom_and_ridge_in_plain_terms():
     r = np.random.default_rng(3)
     rows = (r.random((40, language.SLOTS)) < 0.01 * (1 + np.arange(40)[:, None] % 2)).astype(np.float32)
     labels = ["ab"[k % 2] for k in range(40)]
-    model = language.Kernel.fit(rows, labels)
+    model = language.Kernel.fit(np.packbits(rows.astype(np.uint8), axis=1), labels)
 
     def kernel(x, y):
         return (x * y).sum() / math.sqrt(max(1, x.sum()) * max(1, y.sum()))
