@@ -77,6 +77,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.warc import archive_report
 
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_unigram": op9_unigram,
     "op10_decontamination": op10_decontamination,
     "op11_lexical_search": op11_lexical_search,
+    "op12_phrases": op12_phrases,
     "op13_warc": op13_warc,
 }
 
@@ -140,6 +147,26 @@ k AS (SELECT doc_id, t, wt * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 *
 r AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM i JOIN k USING (t) GROUP BY item_id, doc_id),
 o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
+    "op12_phrases": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+c AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+x AS (SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS t FROM f WHERE k > 1),
+y AS (SELECT x.*, fl.f AS l, fr.f AS r, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(fl.f AS HUGEINT) * fr.f) AS BIGINT) AS score
+      FROM x JOIN f fl ON fl.lang = x.lang AND fl.phrase = array_to_string(t[1:cut], ' ')
+      JOIN f fr ON fr.lang = x.lang AND fr.phrase = array_to_string(t[cut + 1:], ' ')),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM y),
+e AS (SELECT lang, string_split(phrase, ' ') AS t, f AS a, unnest([1, 2]) AS p FROM f WHERE k = 3),
+o AS (SELECT lang, array_to_string(t[p:p + 1], ' ') AS phrase, max(a) AS longer FROM e GROUP BY 1, 2),
+q AS (SELECT z.lang, z.phrase, a, l, r, score FROM z LEFT JOIN o ON o.lang = z.lang AND o.phrase = z.phrase
+      WHERE best = 1 AND (longer IS NULL OR 100 * longer < 50 * a)),
+v AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+SELECT v.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM v JOIN c ON c.lang = v.lang WHERE rank <= 2000""",
     "op13_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
 k AS (SELECT t, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY t)
