@@ -9,9 +9,11 @@ Three passes over the texts:
 2. The runs that are left are counted by their whole fingerprints, each with a pointer to an occurrence for every block of
    texts that has it: document and word.
 3. Pointers of frequent fingerprints go back to the texts. There the run at the pointer is fingerprinted anew, and its
-   words are read; counts are then summed by the words themselves, so that phrases of equal fingerprints come apart.
+   words are read; counts are then summed by the words themselves.
 
-A block has a fingerprint once, whatever its number, so that no key is hotter than the number of blocks.
+Phrases of equal fingerprints come apart: within a task words are numbered by their bytes, and runs of one fingerprint are
+compared by these numbers before they are counted as one; between tasks the words that were read decide. A task passes a
+phrase on about once, whatever its number, so that no key is hotter than the number of tasks.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ class Runs:
 
     def __init__(self, texts: list[bytes], langs: list[str]):
         self.words = Words(texts, PIECE_BYTES)
-        hashes = self.words.hashes()
+        self.hashes = hashes = self.words.hashes()
         self.piece = np.cumsum(self.words.joined == 10)[self.words.start]
         codes = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(langs)}
         self.lang = np.array([codes[x] for x in langs], np.uint64)[self.words.owner]
@@ -60,6 +62,40 @@ class Runs:
         return b" ".join(found.split(b" ")) if b"  " not in found else b" ".join(x for x in found.split(b" ") if x)
 
 
+class Numbers:
+    """Numbers of words, equal for equal bytes only, within a task."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def of(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        a, b = words.start[first], words.end[first]
+        own = np.array([self.known.setdefault(words.data[x:y], len(self.known)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        out, size = own[which] if len(own) else np.zeros(0, np.int64), words.end - words.start
+        same = size == (b - a)[which]
+        for n in np.unique(size).tolist():
+            some = np.flatnonzero(same & (size == n))
+            for part in np.array_split(some, max(1, len(some) * n // TEXT_BYTES)):
+                steps = np.arange(n)
+                same[part] = (words.joined[words.start[part][:, None] + steps] == words.joined[a[which[part]][:, None] + steps]).all(1)
+        for k in np.flatnonzero(~same).tolist():  # another word of the same hash
+            out[k] = self.known.setdefault(words.data[words.start[k] : words.end[k]], len(self.known))
+        return out
+
+
+def grouped(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal runs (rows of ``ids``, of equal keys) stand together, and where each group starts in it."""
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, key[order][1:] != key[order][:-1]][: len(key)]
+    inner = ids[order]
+    if not (inner == inner[np.flatnonzero(new)[np.cumsum(new) - 1]]).all():
+        order = np.lexsort((*ids.T[::-1], key))
+        inner = ids[order]
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (inner[1:] != inner[:-1]).any(1)]
+    return order, np.flatnonzero(new)
+
+
 def _texts(part: pa.RecordBatch) -> tuple[list[bytes], list[str]]:
     return part.column(0).to_pylist(), part.column(1).to_pylist()
 
@@ -205,23 +241,24 @@ def pointers(docs: DataFrame, table, ranges: int, longest: int) -> DataFrame:
     first one: document, and 16 times the number of its word, plus the number of words."""
 
     def run(batches):
-        bits, held, size = table.value, [], 0
+        bits, held, size, numbers = table.value, [], 0, Numbers()
 
         def may_be(values):
             spot = places(*dealt(values, ranges))
             return (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
 
         def passed():
-            key, doc, at, many = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(key, kind="stable")
-            key, many = key[order], many[order]
-            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            columns = [key[new].view(np.int64), doc[order][new], at[order][new], np.add.reduceat(many, new)] if len(new) else [key.view(np.int64), doc, at, many]
+            key, doc, at, many, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, start = grouped(key, ids)
+            first = order[start]
+            total = np.add.reduceat(many[order], start) if len(start) else many
+            columns = [key[first].view(np.int64), doc[first], at[first], total]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "doc", "at", "many"])
 
         for batch in batches:
             for part in blocks(batch, TEXT_BYTES):
                 runs, names = Runs(*_texts(part)), part.column(2).to_numpy()
+                word = np.r_[numbers.of(runs.words, runs.hashes), np.full(longest, -1)].astype(np.int32)
                 pair = None
                 for n in range(1, longest + 1):
                     values, ok = runs.of(n)
@@ -232,14 +269,15 @@ def pointers(docs: DataFrame, table, ranges: int, longest: int) -> DataFrame:
                         for k in range(n - 1):
                             ok = ok & pair[k : k + len(ok)]
                     at = np.flatnonzero(ok)
-                    key, first, many = np.unique(values[at], return_index=True, return_counts=True)
-                    first = at[first]
+                    ids = np.stack([word[at + k] if k < n else np.full(len(at), -1, np.int32) for k in range(longest)], axis=1)
+                    order, start = grouped(values[at], ids)
+                    first = at[order[start]]
                     owner = runs.words.owner[first]
-                    held.append((key, names[owner], (first - runs.words.base[owner]) * 16 + n, many))
-                    size += len(key)
+                    held.append((values[first], names[owner], (first - runs.words.base[owner]) * 16 + n, np.diff(np.r_[start, len(at)]), ids[order[start]]))
+                    size += len(first)
                 if size > HELD:
                     yield passed()
-                    held, size = [], 0
+                    held, size, numbers = [], 0, Numbers()
         if held:
             yield passed()
 
