@@ -30,7 +30,7 @@ from cuelake.llm.wordspans import Words
 
 LEAST, LONGEST, HALF, FIRST = 10, 3, 50, 2000
 #: Bits of the table of pairs, bytes of text at once, fingerprints that a task gathers before it passes them on.
-BITS, TEXT_BYTES, HELD = 1 << 27, 4_000_000, 3_000_000
+BITS, TEXT_BYTES, HELD = 1 << 27, 2_000_000, 1_000_000
 CHUNK = 1 << 17
 #: Lower-cased (A-Z); the marks that end a piece become line ends, tabs become spaces.
 PIECE_BYTES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
