@@ -148,7 +148,7 @@ def short_counts(docs: DataFrame, ranges: int) -> DataFrame:
                     key, many = np.unique(spot << np.uint64(32) | short, return_counts=True)
                     held.append((key, np.minimum(many, LEAST)))
                     size += len(key)
-                if size > HELD:
+                if size > 3 * HELD:
                     yield _rows(passed(), arrow)
                     held, size = [], 0
         if held:
@@ -247,13 +247,19 @@ def pointers(docs: DataFrame, table, ranges: int, longest: int) -> DataFrame:
             spot = places(*dealt(values, ranges))
             return (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
 
-        def passed():
+        def merged():
+            """What is held, equal runs as one."""
             key, doc, at, many, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             order, start = grouped(key, ids)
             first = order[start]
             total = np.add.reduceat(many[order], start) if len(start) else many
-            columns = [key[first].view(np.int64), doc[first], at[first], total]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "doc", "at", "many"])
+            return key[first], doc[first], at[first], total, ids[first]
+
+        def passed():
+            key, doc, at, many, _ = held[0]
+            for a in range(0, len(key), 500_000):
+                columns = [x[a : a + 500_000] for x in (key.view(np.int64), doc, at, many)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "doc", "at", "many"])
 
         for batch in batches:
             for part in blocks(batch, TEXT_BYTES):
@@ -276,10 +282,13 @@ def pointers(docs: DataFrame, table, ranges: int, longest: int) -> DataFrame:
                     held.append((values[first], names[owner], (first - runs.words.base[owner]) * 16 + n, np.diff(np.r_[start, len(at)]), ids[order[start]]))
                     size += len(first)
                 if size > HELD:
-                    yield passed()
-                    held, size, numbers = [], 0, Numbers()
+                    held, size = [merged()], 0
+                    if len(held[0][0]) > 2 * HELD:
+                        yield from passed()
+                        held, numbers = [], Numbers()
         if held:
-            yield passed()
+            held = [merged()]
+            yield from passed()
 
     return docs.mapInArrow(run, POINTED)
 
