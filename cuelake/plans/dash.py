@@ -9,52 +9,56 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import splice
 from cuelake.functions.text import number
-from cuelake.operators.findings import emit, rule, verdicts
+from cuelake.operators.findings import emit, rule, told, verdicts
+from cuelake.runtime import Tables
 from cuelake.sources import dash
 
 #: Seconds: gaps, skews, presentation offsets, a latency that differs, a window without a stated depth.
 GAP_WARN, GAP_ERROR, SKEW_INFO, SKEW_WARN, PTO, LATENCY, DEPTH = 0.05, 0.5, 0.04, 0.1, 0.001, 1.0, 3600.0
 
 
-class DashAnalysis:
-    """The tables of an analysis of MPDs (doc_id, body), planned when asked for; parsed ones are persisted."""
+class DashAnalysis(Tables):
+    """The tables of an analysis of MPDs (doc_id, body), made when asked for; those that feed others are
+    written, until ``release``."""
 
     def __init__(self, docs: DataFrame):
+        super().__init__()
         self.docs = docs
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return dash.parsed(self.docs).persist()
+        return self._persisted(dash.parsed(self.docs))
 
     @cached_property
     def headers(self) -> DataFrame:
         found = dash.headers(self.parsed)
         chunked = self.sets.groupBy("doc_id").agg(F.bool_or((F.col("at_complete") == F.lit(False)) | (F.col("ato") > 0)).alias("chunked"))
-        return found.join(chunked, "doc_id", "left").withColumn("chunked", F.coalesce("chunked", F.lit(False)))
+        return self._written(found.join(chunked, "doc_id", "left").withColumn("chunked", F.coalesce("chunked", F.lit(False))))
 
     @cached_property
     def sets(self) -> DataFrame:
-        return dash.adaptation_sets(self.parsed).persist()
+        return self._written(dash.adaptation_sets(self.parsed))
 
     @cached_property
     def periods(self) -> DataFrame:
-        return dash.periods(self.parsed, self.sets).persist()
+        return self._written(dash.periods(self.parsed, self.sets))
 
     @cached_property
     def signals(self) -> DataFrame:
-        return signals_of(dash.events(self.parsed), self.periods).persist()
+        return self._written(signals_of(dash.events(self.parsed), self.periods))
 
     @cached_property
     def unique(self) -> DataFrame:
-        return deduplicated(self.signals)
+        return self._written(deduplicated(self.signals))
 
     @cached_property
     def breaks(self) -> DataFrame:
-        return breaks_of(self.unique, self.periods, self.headers)
+        return self._written(breaks_of(self.unique, self.periods, self.headers))
 
     @cached_property
-    def findings(self) -> DataFrame:
-        return (
+    def coded(self) -> DataFrame:
+        """Findings of all rules, without words."""
+        return self._written(
             _header_rules(self.headers, self.sets, self.periods)
             .unionByName(_period_rules(self.periods, self.headers))
             .unionByName(_set_rules(self.sets, self.periods))
@@ -64,17 +68,17 @@ class DashAnalysis:
             .unionByName(_orphans(self.unique, self.periods))
         )
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        return told(self.coded)
+
     @cached_property
     def stats(self) -> DataFrame:
         return stats_of(self.headers, self.periods, self.unique, self.breaks)
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return verdicts(self.docs, self.findings)
-
-    def release(self) -> None:
-        for table in (self.parsed, self.sets, self.periods, self.signals):
-            table.unpersist()
+        return verdicts(self.docs, self.coded)
 
 
 def analyse(docs: DataFrame) -> DashAnalysis:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import splice
 from cuelake.functions.text import container, given, iso_millis, number
-from cuelake.operators.findings import emit, emit_array, rule, verdicts
+from cuelake.operators.findings import emit, emit_array, rule, told, verdicts
 from cuelake.operators.pairing import nearest, paired
+from cuelake.runtime import Tables
 from cuelake.sources import hls
 
 #: Seconds: general tolerance; slack of a target duration; a segment at the front of a window.
@@ -18,32 +19,34 @@ EPS, SLACK = 0.5, 0.001
 VALUES = {"CUE": ("PRE", "POST", "ONCE"), "X-SNAP": ("IN", "OUT"), "X-RESTRICT": ("SKIP", "JUMP")}
 
 
-class HlsAnalysis:
-    """The tables of an analysis of media playlists (doc_id, body), each planned when it is first asked for. The parsed
-    tables feed most others and are persisted; ``release`` gives them up."""
+class HlsAnalysis(Tables):
+    """The tables of an analysis of media playlists (doc_id, body), each made when it is first asked for. Those that feed
+    others are written, so that no plan holds how they came about; ``release`` gives them up."""
 
     def __init__(self, docs: DataFrame):
+        super().__init__()
         self.docs = docs
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return hls.lines(self.docs).persist()  # else its regular expressions run once for each use of an attribute
+        return self._persisted(hls.lines(self.docs))  # else its regular expressions run once for each use of an attribute
 
     @cached_property
     def segments(self) -> DataFrame:
-        return hls.segments(self.tokens).persist()
+        return self._written(hls.segments(self.tokens))
 
     @cached_property
     def headers(self) -> DataFrame:
-        return hls.headers(self.tokens).persist()
+        return self._written(hls.headers(self.tokens))
 
     @cached_property
     def markers(self) -> DataFrame:
-        return decoded(hls.markers(self.tokens, self.segments)).persist()
+        return self._written(decoded(hls.markers(self.tokens, self.segments)))
 
     @cached_property
     def _broken(self) -> tuple[DataFrame, DataFrame]:
-        return breaks_of(self.markers, self.segments, self.headers)
+        points = self._written(linked_points(self.markers))
+        return breaks_of(points, self.segments, self.headers), points
 
     @property
     def extents(self) -> DataFrame:
@@ -52,16 +55,17 @@ class HlsAnalysis:
 
     @cached_property
     def breaks(self) -> DataFrame:
-        return with_media(self.extents, self.segments)
+        return self._written(with_media(self.extents, self.segments))
 
     @cached_property
     def interstitials(self) -> DataFrame:
         return interstitials_of(self.markers)
 
     @cached_property
-    def findings(self) -> DataFrame:
+    def coded(self) -> DataFrame:
+        """Findings of all rules, without words."""
         breaks, points = self.breaks, self._broken[1]
-        return (
+        return self._written(
             _header_rules(self.headers, self.segments, self.markers)
             .unionByName(_segment_rules(self.segments, self.headers))
             .unionByName(_marker_rules(self.markers, self.headers))
@@ -73,17 +77,17 @@ class HlsAnalysis:
             .unionByName(_playlist_rules(breaks, points, self.segments))
         )
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        return told(self.coded)
+
     @cached_property
     def stats(self) -> DataFrame:
         return stats_of(self.docs, self.headers, self.segments, self.markers, self.breaks)
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return verdicts(self.docs, self.findings)
-
-    def release(self) -> None:
-        for table in (self.tokens, self.headers, self.segments, self.markers):
-            table.unpersist()
+        return verdicts(self.docs, self.coded)
 
 
 def analyse(docs: DataFrame) -> HlsAnalysis:
@@ -113,8 +117,8 @@ def polarity(kind: Column, attrs: Column, signal: Column) -> Column:
     )
 
 
-def breaks_of(markers: DataFrame, segments: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Breaks, and the splice points that they come from: one point a segment, a return before a departure."""
+def linked_points(markers: DataFrame) -> DataFrame:
+    """Splice points: one a segment, a return before a departure, each with what the next one is."""
     rank = F.when(F.col("signal.ok"), 0).when(F.col("payload").isNotNull(), 1).otherwise(2)
     out, in_ = F.col("polarity") == 1, F.col("polarity") == 0
     first = lambda cols, when, by: F.min_by(F.struct(*cols), F.when(when, by))
@@ -135,7 +139,11 @@ def breaks_of(markers: DataFrame, segments: DataFrame, headers: DataFrame) -> tu
     last_start = F.last(F.when(F.col("polarity") == 1, F.col("segment_index")), ignorenulls=True).over(
         Window.partitionBy("doc_id").orderBy("segment_index", "polarity").rowsBetween(Window.unboundedPreceding, -1)
     )
-    linked = linked.withColumns({"return_line": F.when(F.col("closed"), next_in), "open_start": last_start})
+    return linked.withColumns({"return_line": F.when(F.col("closed"), next_in), "open_start": last_start})
+
+
+def breaks_of(linked: DataFrame, segments: DataFrame, headers: DataFrame) -> DataFrame:
+    """Breaks of splice points."""
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("segment_index")) - 1
     own = linked.where("polarity = 1").withColumn("index", at)
     sizes = segments.groupBy("doc_id").agg(
@@ -173,7 +181,7 @@ def breaks_of(markers: DataFrame, segments: DataFrame, headers: DataFrame) -> tu
         F.when(live & F.col("out.pdt").isNotNull(), (F.coalesce(F.col("edge.pdt"), F.lit(0.0)) + F.col("edge.duration") * 1000 - F.col("out.pdt")) / 1000).alias("edge_distance"),
         "end_list", "target_duration", "any_discontinuity", "n", "segment_index", "end_index",
     )
-    return breaks, linked
+    return breaks
 
 
 def with_media(breaks: DataFrame, segments: DataFrame) -> DataFrame:

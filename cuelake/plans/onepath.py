@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import codec_family, is_video_codec, resolve_uri
-from cuelake.operators.findings import emit, rule, verdicts
+from cuelake.operators.findings import emit, rule, told, verdicts
 from cuelake.plans import hls
+from cuelake.runtime import Tables
 from cuelake.sources import hls as playlists
 
 #: Variants of a master playlist that are analysed, unless more are asked for.
@@ -24,11 +25,12 @@ def label(variants: DataFrame) -> DataFrame:
     return variants.withColumn("label", F.when(F.col("media_type") == "VIDEO", sight).otherwise(sound))
 
 
-class OnePath:
+class OnePath(Tables):
     """``masters`` are (doc_id, uri, body); ``fetched`` (url, ok, body, error) holds what is known of the addresses that they
-    name. Tables are planned when asked for; the variants and what is parsed of them are persisted until ``release``. A rendition's doc_id is its master's with the variant's place."""
+    name. Tables are made when asked for; the variants and what is parsed of them are written, until ``release``. A rendition's doc_id is its master's with the variant's place."""
 
     def __init__(self, masters: DataFrame, fetched: DataFrame, most: int = MOST_VARIANTS):
+        super().__init__()
         self.masters, self.fetched, self.most = masters, fetched, most
 
     @cached_property
@@ -42,7 +44,7 @@ class OnePath:
         rows = rows.withColumn("url", resolve_uri(F.col("base"), F.col("uri"))).join(self.fetched.select("url", "ok", "body", "error"), "url", "left")
         readable = F.coalesce(F.col("ok") & F.ltrim("body").startswith("#EXTM3U"), F.lit(False))
         name = F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("pick").cast("string"))
-        return rows.withColumns({"readable": readable, "rendition_id": name}).persist()
+        return self._written(rows.withColumns({"readable": readable, "rendition_id": name}))
 
     @cached_property
     def analysis(self) -> hls.HlsAnalysis:
@@ -60,7 +62,8 @@ class OnePath:
     @cached_property
     def across(self) -> DataFrame:
         """stream_id and the findings on a stream as a whole: how its renditions compare, and what could not be read."""
-        return hls.compare_renditions(self.renditions, self.analysis.breaks, self.analysis.stats).unionByName(self.reading)
+        found = hls.compare_renditions(self.renditions, self.analysis.breaks, self._written(self.analysis.stats))
+        return self._written(found.unionByName(self.reading))
 
     @cached_property
     def reading(self) -> DataFrame:
@@ -76,17 +79,21 @@ class OnePath:
     @cached_property
     def findings(self) -> DataFrame:
         """stream_id, rendition_id (null for findings on the whole stream) and the finding."""
-        own = self.analysis.findings.withColumnRenamed("doc_id", "rendition_id").join(self.renditions.select("stream_id", F.col("doc_id").alias("rendition_id")), "rendition_id")
+        return told(self._coded)
+
+    @cached_property
+    def _coded(self) -> DataFrame:
+        own = self.analysis.coded.withColumnRenamed("doc_id", "rendition_id").join(self.renditions.select("stream_id", F.col("doc_id").alias("rendition_id")), "rendition_id")
         across = self.across.withColumn("rendition_id", F.lit(None).cast("string"))
         return own.select(*across.columns).unionByName(across)
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return verdicts(self.masters.withColumnRenamed("doc_id", "stream_id"), self.findings, "stream_id")
+        return verdicts(self.masters.withColumnRenamed("doc_id", "stream_id"), self._coded, "stream_id")
 
     def release(self) -> None:
         self.analysis.release()
-        self.variants.unpersist()
+        super().release()
 
     @cached_property
     def profiles(self) -> DataFrame:

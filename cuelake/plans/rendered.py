@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import splice
 from cuelake.plans import hls
+from cuelake.runtime import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,12 +51,14 @@ b AS (SELECT user_id, seg, signalled_ms, coalesce(nx = 0, false) AS closed, ns,
 
 def rendered_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ad breaks of the rendered playlists, times in milliseconds."""
-    found = hls.analyse(playlists(_events(spark, sf_dir))).extents
+    own = hls.analyse(playlists(_events(spark, sf_dir)))
+    found = own.extents
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
-    return found.select(
+    found = found.select(
         F.col("doc_id").alias("user_id"), F.col("index").cast("long").alias("break_index"), ms("start_time").alias("start_ms"),
         ms("actual_duration").alias("actual_ms"), ms("signalled_duration").alias("signalled_ms"), "closed",
     )
+    return settled(found, own.release)
 
 
 QUERIES["rendered_breaks"] = rendered_breaks
@@ -93,8 +96,9 @@ ORACLE_SQL["crc_mpeg"] = "SELECT event_id, event_type <> 'error' AS valid FROM e
 
 def rendered_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of the rendered playlists by code, over all users."""
-    found = hls.analyse(playlists(_events(spark, sf_dir))).findings
-    return found.groupBy("code", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("playlists"))
+    own = hls.analyse(playlists(_events(spark, sf_dir)))
+    found = own.coded.groupBy("code", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("playlists"))
+    return settled(found, own.release)
 
 
 QUERIES["rendered_verdicts"] = rendered_verdicts
@@ -132,7 +136,8 @@ def dash_period_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dash.analyse(docs)
     gap = F.col("next_start") - F.col("media_start") - F.col("media_duration")
     gaps = found.periods.where("next_start is not null").withColumn("gap", gap).where(F.abs("gap") > dash.GAP_WARN)
-    return gaps.groupBy(F.col("doc_id").alias("o_custkey")).agg(F.count("*").alias("gaps"), F.sum(F.round("gap").cast("long")).alias("gap_seconds"))
+    gaps = gaps.groupBy(F.col("doc_id").alias("o_custkey")).agg(F.count("*").alias("gaps"), F.sum(F.round("gap").cast("long")).alias("gap_seconds"))
+    return settled(gaps, found.release)
 
 
 QUERIES["dash_period_gaps"] = dash_period_gaps

@@ -14,6 +14,8 @@ from cuelake.operators.pairing import paired
 from cuelake.plans import dash, hls, policy, remote, stitching, vast
 from cuelake.plans.onepath import OnePath
 from cuelake.plans.rendered import _SEGMENTS, playlists
+from cuelake.plans.rendered import ORACLE_SQL as _RENDERED
+from cuelake.runtime import settled
 from cuelake.sources import scte104, segments
 from cuelake.streaming import monitor
 
@@ -139,7 +141,7 @@ def rendition_findings(spark, sf_dir):
     stream = F.expr("doc_id div 10")
     place = F.row_number().over(Window.partitionBy(stream).orderBy("doc_id")) - 1
     renditions = own.headers.select("doc_id").distinct().select("doc_id", stream.alias("stream_id"), place.alias("ordinal"))
-    return _by_code(hls.compare_renditions(renditions, own.breaks, own.stats))
+    return settled(_by_code(hls.compare_renditions(renditions, own.breaks, own.stats)), own.release)
 
 
 # Polls: every event is a poll; an error event is a failing analysis, a purchase a warning one.
@@ -269,7 +271,8 @@ def dash_findings(spark, sf_dir):
     )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", text.alias("x")))), lambda x: x["x"]), "")
     docs = rows.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit('<MPD type="static">'), body, F.lit("</MPD>")).alias("body"))
-    return _by_code(dash.analyse(docs).findings)
+    own = dash.analyse(docs)
+    return settled(_by_code(own.coded), own.release)
 
 
 # Remote periods: a customer's first orders are slots of a manifest, what each resolves to follows from the order.
@@ -293,7 +296,7 @@ def remote_periods(spark, sf_dir):
     body = F.when(kind == 1, "sorry").when(kind == 2, "<x/>").otherwise(media(F.when(kind.isin(5, 6), "hvc1").otherwise("avc1"), F.when(kind.isin(4, 5), 40).otherwise(30)))
     fetched = orders.select("href", (kind != 0).alias("ok"), body.alias("body"), F.when(kind == 3, 3000.0).otherwise(10.0).alias("ms"))
     own = dash.analyse(docs)
-    return _by_code(remote.resolve(own.periods, own.sets, fetched)[1])
+    return settled(_by_code(remote.resolve(own.periods, own.sets, fetched)[1]), own.release)
 
 
 # Wrapper chains: a customer's response wraps its nation's, that its region's; region 0 has an inline ad, 1 wraps itself,
@@ -419,12 +422,7 @@ def resolved_addresses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", resolve_uri(F.col("url"), ref).alias("uri"))
 
 
-@query(
-    """WITH u AS (SELECT user_id, user_id // 10 AS stream, row_number() OVER (PARTITION BY user_id // 10 ORDER BY user_id) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase'))),
-a AS (SELECT * FROM u WHERE n <= 6) SELECT stream, count(*) AS picked, count(*) FILTER (WHERE user_id % 4 <> 3) AS readable, count(*) FILTER (WHERE user_id % 4 = 3) AS failed,
-CAST((SELECT count(*) FROM u x WHERE x.stream = a.stream) > 6 AS INTEGER) AS cut FROM a GROUP BY stream"""
-)
-def one_path(spark, sf_dir):
+def _one_path(spark: SparkSession, sf_dir: str) -> OnePath:
     """Variants of every fourth user could not be fetched; no more than six of a master playlist are taken."""
     own = playlists(table(spark, sf_dir, "events"))
     stream = F.expr("doc_id div 10").alias("stream")
@@ -434,9 +432,36 @@ def one_path(spark, sf_dir):
     masters = masters.select(F.col("stream").alias("doc_id"), F.format_string("http://o/%d/master.m3u8", "stream").alias("uri"), "body")
     url = F.format_string("http://o/%d/u%d.m3u8", F.expr("doc_id div 10"), F.col("doc_id"))
     fetched = own.select(url.alias("url"), (F.col("doc_id") % 4 != 3).alias("ok"), "body", F.lit(None).cast("string").alias("error"))
-    path = OnePath(masters, fetched)
+    return OnePath(masters, fetched)
+
+
+@query(
+    """WITH u AS (SELECT user_id, user_id // 10 AS stream, row_number() OVER (PARTITION BY user_id // 10 ORDER BY user_id) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase'))),
+a AS (SELECT * FROM u WHERE n <= 6) SELECT stream, count(*) AS picked, count(*) FILTER (WHERE user_id % 4 <> 3) AS readable, count(*) FILTER (WHERE user_id % 4 = 3) AS failed,
+CAST((SELECT count(*) FROM u x WHERE x.stream = a.stream) > 6 AS INTEGER) AS cut FROM a GROUP BY stream"""
+)
+def one_path(spark, sf_dir):
+    path = _one_path(spark, sf_dir)
     count = lambda code, name: F.count_if(F.col("code") == code).cast("int" if name == "cut" else "long").alias(name)
     codes = path.reading.groupBy("stream_id").agg(count("VARIANT_FETCH_FAILED", "failed"), count("VARIANTS_NOT_ANALYSED", "cut"))
     picked = path.variants.groupBy(F.col("doc_id").alias("stream_id")).agg(F.count("*").alias("picked"), F.count_if("readable").alias("readable"))
     full = picked.join(codes, "stream_id", "left")
-    return full.select(F.col("stream_id").alias("stream"), "picked", "readable", F.coalesce("failed", F.lit(0)).cast("long").alias("failed"), F.coalesce("cut", F.lit(0)).cast("int").alias("cut"))
+    full = full.select(F.col("stream_id").alias("stream"), "picked", "readable", F.coalesce("failed", F.lit(0)).cast("long").alias("failed"), F.coalesce("cut", F.lit(0)).cast("int").alias("cut"))
+    return settled(full, path.release)
+
+
+_PICKED = """WITH pu AS (SELECT user_id, user_id // 10 AS stream, row_number() OVER (PARTITION BY user_id // 10 ORDER BY user_id) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase'))),
+ev AS (SELECT events.* FROM events JOIN pu USING (user_id) WHERE n <= 6 AND user_id % 4 <> 3)"""
+_OWN = f"""SELECT code, severity, n FROM ({_RENDERED["rendered_verdicts"].replace("FROM events", "FROM ev")}) UNION ALL
+SELECT code, severity, n FROM ({_RENDITIONS.replace("FROM events", "FROM ev")}) UNION ALL
+SELECT 'VARIANT_FETCH_FAILED', 'warning', count(*) FROM pu WHERE n <= 6 AND user_id % 4 = 3 UNION ALL
+SELECT 'VARIANTS_NOT_ANALYSED', 'info', count(*) FROM pu WHERE n = 7 UNION ALL
+SELECT 'NO_VARIANT_READABLE', 'error', count(*) FROM (SELECT stream FROM pu WHERE n <= 6 GROUP BY stream HAVING bool_and(user_id % 4 = 3))"""
+
+
+@query(f"{_PICKED} SELECT code, severity, CAST(sum(n) AS BIGINT) AS n FROM ({_OWN}) WHERE n > 0 GROUP BY 1, 2")
+def one_path_findings(spark, sf_dir):
+    """All findings from master playlists on: those of each readable rendition, of renditions against each other, and of
+    what could not be read."""
+    path = _one_path(spark, sf_dir)
+    return settled(_by_code(path.findings), path.release)
