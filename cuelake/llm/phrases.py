@@ -4,16 +4,15 @@ Every run of words gets a Rabin-Karp fingerprint, a difference of prefix sums of
 Three passes over the texts:
 
 1. Words and pairs are counted by short fingerprints in a shuffle, and those that may be frequent mark a table of bits of
-   fixed size. A phrase can't be more frequent than the pairs in it, so that a run with an unmarked pair is left out later;
-   a bit that is set for nothing costs rows, never results.
-2. The runs that are left are counted by their whole fingerprints, each with a pointer to an occurrence for every block of
-   texts that has it: document and word.
-3. Pointers of frequent fingerprints go back to the texts. There the run at the pointer is fingerprinted anew, and its
-   words are read; counts are then summed by the words themselves.
-
-Phrases of equal fingerprints come apart: within a task words are numbered by their bytes, and runs of one fingerprint are
-compared by these numbers before they are counted as one; between tasks the words that were read decide. A task passes a
-phrase on about once, whatever its number, so that no key is hotter than the number of tasks.
+   fixed size.
+2. Longer runs of marked pairs are counted and marked likewise: a phrase can't be more frequent than the pairs in it.
+3. A task gathers the marked runs with their numbers and a pointer to their words, and reads the words once for each
+   phrase that it has. Counts are then summed by the words themselves.
+
+A bit that is set for nothing costs rows in the last pass, never results. Phrases of equal fingerprints come apart: within
+a task words are numbered by their bytes, and runs of one fingerprint are compared by these numbers before they are counted
+as one; between tasks the words decide. A task passes a phrase on about once, whatever its number, so that no key is hotter
+than the number of tasks.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from cuelake.llm.wordspans import Words
 
 LEAST, LONGEST, HALF, FIRST = 10, 3, 50, 2000
 #: Bits of the table of pairs, bytes of text at once, fingerprints that a task gathers before it passes them on.
-BITS, TEXT_BYTES, HELD = 1 << 27, 2_000_000, 1_000_000
+BITS, TEXT_BYTES, HELD = 1 << 27, 2_000_000, 700_000
 CHUNK = 1 << 17
 #: Lower-cased (A-Z); the marks that end a piece become line ends, tabs become spaces.
 PIECE_BYTES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -57,10 +56,6 @@ class Runs:
         sums = (self.total[n:] - self.total[:-n]) * _Powers.down[:many]
         return mixed(sums + self.lang[:many] + np.uint64(n)), self.piece[:many] == self.piece[n - 1 :]
 
-    def text(self, at: int, n: int) -> bytes:
-        found = self.words.data[self.words.start[at] : self.words.end[at + n - 1]]
-        return b" ".join(found.split(b" ")) if b"  " not in found else b" ".join(x for x in found.split(b" ") if x)
-
 
 class Numbers:
     """Numbers of words, equal for equal bytes only, within a task."""
@@ -113,9 +108,22 @@ def places(ranges: np.ndarray, short: np.ndarray) -> np.ndarray:
 COUNTED = "range int, lang string, found binary, many long"
 
 
-def short_counts(docs: DataFrame, ranges: int) -> DataFrame:
+def may_be(table: np.ndarray, values: np.ndarray, ranges: int) -> np.ndarray:
+    spot = places(*dealt(values, ranges))
+    return (table[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def of_pairs(ok: np.ndarray, pair: np.ndarray, n: int) -> np.ndarray:
+    """Which runs of ``n`` words that are ``ok`` consist of pairs that are."""
+    for k in range(n - 1):
+        ok = ok & pair[k : k + len(ok)]
+    return ok
+
+
+def short_counts(docs: DataFrame, ranges: int, longest: int = 2, pairs=None) -> DataFrame:
     """COUNTED: for each range the short forms of words and pairs of a block with their counts (LEAST at most, as bytes
-    behind them); and the number of words of each language under a range of its own."""
+    behind them); and the number of words of each language under a range of its own. With the table of ``pairs``: those
+    of runs of 3 to ``longest`` words, and no numbers of words."""
     arrow = arrow_schema(COUNTED)
 
     def run(batches):
@@ -132,7 +140,7 @@ def short_counts(docs: DataFrame, ranges: int) -> DataFrame:
             own = (key >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]).tolist() if len(own) else []
             rows = []
-            for a, b in zip(cut, [*cut[1:], len(own)], strict=True):
+            for a, b in zip(cut, [*cut[1:], len(own)], strict=False):
                 rows.append((int(own[a]), None, (key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + many[a:b].tobytes(), None))
             return rows
 
@@ -142,8 +150,12 @@ def short_counts(docs: DataFrame, ranges: int) -> DataFrame:
                 runs = Runs(texts, langs)
                 for lang, n in zip(langs, runs.words.many.tolist(), strict=True):
                     words[lang] = words.get(lang, 0) + n
-                for n in (1, 2):
+                if pairs:
+                    values, ok = runs.of(2)
+                    pair = ok & may_be(pairs.value, values, ranges)
+                for n in range(3 if pairs else 1, longest + 1):
                     values, ok = runs.of(n)
+                    ok = of_pairs(ok, pair, n) if pairs else ok
                     spot, short = dealt(values[ok], ranges)
                     key, many = np.unique(spot << np.uint64(32) | short, return_counts=True)
                     held.append((key, np.minimum(many, LEAST)))
@@ -153,6 +165,8 @@ def short_counts(docs: DataFrame, ranges: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield _rows(passed(), arrow)
+        if pairs:
+            return
         yield _rows([(ranges + xxhash.xxh32_intdigest(x.encode()) % ranges, x, None, n) for x, n in words.items()], arrow)
 
     return docs.mapInArrow(run, COUNTED)
@@ -233,53 +247,54 @@ def bit_table(marked: DataFrame) -> np.ndarray:
     return table
 
 
-POINTED = "key long, doc long, at long, many long"
+READ = "lang string, phrase string, words int, many long"
 
 
-def pointers(docs: DataFrame, table, ranges: int, longest: int) -> DataFrame:
-    """POINTED: fingerprints of runs that may be frequent, with their number in a block of texts and a pointer to the
-    first one: document, and 16 times the number of its word, plus the number of words."""
+def marked_phrases(docs: DataFrame, tables: list, ranges: int, longest: int) -> DataFrame:
+    """READ: the runs that are marked in a task's texts, words and pairs in the first of ``tables``, longer ones of such
+    pairs in the second."""
+    arrow = arrow_schema(READ)
 
     def run(batches):
-        bits, held, size, numbers = table.value, [], 0, Numbers()
-
-        def may_be(values):
-            spot = places(*dealt(values, ranges))
-            return (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+        short, long = (x.value for x in tables)
+        held, size, numbers, langs = [], 0, Numbers(), []
 
         def merged():
             """What is held, equal runs as one."""
-            key, doc, at, many, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, lang, many, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             order, start = grouped(key, ids)
             first = order[start]
-            total = np.add.reduceat(many[order], start) if len(start) else many
-            return key[first], doc[first], at[first], total, ids[first]
+            return key[first], lang[first], np.add.reduceat(many[order], start) if len(start) else many, ids[first]
 
         def passed():
-            key, doc, at, many, _ = held[0]
-            for a in range(0, len(key), 500_000):
-                columns = [x[a : a + 500_000] for x in (key.view(np.int64), doc, at, many)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "doc", "at", "many"])
+            _, lang, many, ids = held[0]
+            words = [x.decode("utf-8", "surrogateescape") for x in numbers.known]
+            for a in range(0, len(lang), 200_000):
+                rows = ids[a : a + 200_000]
+                phrases = [" ".join([words[k] for k in x if k >= 0]) for x in rows.tolist()]
+                columns = [pa.array([langs[k] for k in lang[a : a + 200_000].tolist()]), pa.array(phrases), pa.array((rows >= 0).sum(1), pa.int32()), pa.array(many[a : a + 200_000])]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         for batch in batches:
             for part in blocks(batch, TEXT_BYTES):
-                runs, names = Runs(*_texts(part)), part.column(2).to_numpy()
+                texts, names = _texts(part)
+                runs = Runs(texts, names)
+                langs += [x for x in dict.fromkeys(names) if x not in langs]
+                lang = np.array([langs.index(x) for x in names], np.int32)[runs.words.owner]
                 word = np.r_[numbers.of(runs.words, runs.hashes), np.full(longest, -1)].astype(np.int32)
                 pair = None
                 for n in range(1, longest + 1):
                     values, ok = runs.of(n)
-                    if n <= 2:
-                        ok = ok & may_be(values)
-                        pair = ok
-                    else:
-                        for k in range(n - 1):
-                            ok = ok & pair[k : k + len(ok)]
+                    ok = of_pairs(ok, pair, n) if n > 2 else ok
                     at = np.flatnonzero(ok)
+                    at = at[may_be(short if n <= 2 else long, values[at], ranges)]
+                    if n == 2:
+                        pair = np.zeros(len(ok), bool)
+                        pair[at] = True
                     ids = np.stack([word[at + k] if k < n else np.full(len(at), -1, np.int32) for k in range(longest)], axis=1)
                     order, start = grouped(values[at], ids)
-                    first = at[order[start]]
-                    owner = runs.words.owner[first]
-                    held.append((values[first], names[owner], (first - runs.words.base[owner]) * 16 + n, np.diff(np.r_[start, len(at)]), ids[order[start]]))
+                    first = at[order[start]]  # the pointer to an occurrence of each
+                    held.append((values[first], lang[first], np.diff(np.r_[start, len(at)]), ids[order[start]]))
                     size += len(first)
                 if size > HELD:
                     held, size = [merged()], 0
@@ -290,126 +305,22 @@ def pointers(docs: DataFrame, table, ranges: int, longest: int) -> DataFrame:
             held = [merged()]
             yield from passed()
 
-    return docs.mapInArrow(run, POINTED)
-
-
-def frequent(batches):
-    """The rows of POINTED, sorted by key, whose key's numbers add up to LEAST. Holds rows of less than that, and a batch."""
-    held, last, ahead = [np.zeros(0, np.int64)] * 4, None, False
-    for batch in batches:
-        now = [batch.column(k).to_numpy() for k in range(4)]
-        if not len(now[0]):
-            continue
-        if ahead:  # the last key is frequent: its further rows are passed on
-            n = int(np.searchsorted(now[0], last, "right"))
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(x[:n]) for x in now], names=["key", "doc", "at", "many"])
-                now = [x[n:] for x in now]
-            if not len(now[0]):
-                continue
-        now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        start = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
-        total = np.add.reduceat(now[3], start)
-        keep = np.repeat(total >= LEAST, np.diff(np.r_[start, len(now[0])]))
-        last, ahead = now[0][-1], bool(total[-1] >= LEAST)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in now], names=["key", "doc", "at", "many"])
-        held = [x[:0] if ahead else x[start[-1] :] for x in now]
-
-
-READ = "lang string, phrase string, words int, many long"
-
-
-def phrases_at(rows: DataFrame) -> DataFrame:
-    """READ: the words at pointers. ``rows`` has doc, kind (0: a document with lang and text, 1: a pointer with key, at and
-    many). A pointer is read in the text whose run has its fingerprint."""
-    arrow = arrow_schema(READ)
-
-    def read(texts, langs, first, last, doc, key, at, many):
-        """first, last: texts of each document (several only if their 64-bit names clash)."""
-        runs = Runs(texts, langs)
-        base, left, out = runs.words.base, np.ones(len(key), bool), []
-        fingerprints = {int(n): runs.of(int(n))[0] for n in np.unique(at & 15)}
-        for k in range(int((last - first).max(initial=0))):
-            some = np.flatnonzero(left & (first[doc] + k < last[doc]))
-            word, n = base[first[doc[some]] + k] + (at[some] >> 4), at[some] & 15
-            for size, values in fingerprints.items():
-                mine = (n == size) & (word < len(values))
-                good = mine.copy()
-                good[mine] = values[word[mine]].view(np.int64) == key[some[mine]]
-                left[some[good]] = False
-                for p, w in zip(some[good].tolist(), word[good].tolist(), strict=True):
-                    out.append((langs[first[doc[p]] + k], runs.text(w, size).decode("utf-8", "surrogateescape"), size, int(many[p])))
-        if left.any():
-            raise ValueError(f"{int(left.sum())} pointers name no run of words")
-        return _rows(out, arrow)
-
-    def run(batches):
-        kept = None  # rows of the last document, which may go on
-        for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
-            kept = batch if kept is None else pa.concat_batches([kept, batch])
-            docs = kept.column(0).to_numpy()
-            cut = int(np.searchsorted(docs, docs[-1])) if len(docs) else 0
-            if cut:
-                yield from ended(kept.slice(0, cut))
-                kept = kept.slice(cut)
-        if kept is not None and kept.num_rows:
-            yield from ended(kept)
-
-    def ended(rows):
-        """Rows of whole documents, in blocks."""
-        size = np.cumsum([len(x or b"") for x in rows.column(3).to_pylist()])
-        docs = rows.column(0).to_numpy()
-        new = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        block = size[new] // TEXT_BYTES
-        cuts = [0, *new[np.flatnonzero(np.diff(block)) + 1].tolist(), len(docs)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = rows.slice(a, b - a)
-            kinds, name = part.column(1).to_numpy(), part.column(0).to_numpy()
-            texts: dict[tuple, None] = {}
-            for k in np.flatnonzero(kinds == 0).tolist():
-                texts[(int(name[k]), part.column(3)[k].as_py(), part.column(2)[k].as_py())] = None
-            at = np.flatnonzero(kinds == 1)
-            if not len(at):
-                continue
-            names = np.array([k for k, _, _ in texts], np.int64)
-            distinct, doc = np.unique(name[at], return_inverse=True)
-            first, last = np.searchsorted(names, distinct), np.searchsorted(names, distinct, "right")
-            columns = [part.column(k).take(pa.array(at)).to_numpy() for k in (4, 5, 6)]
-            yield read([x for _, x, _ in texts], [x for _, _, x in texts], first, last, doc, *columns)
-
-    sides = rows.repartition("doc").sortWithinPartitions("doc", "kind")
-    return sides.select("doc", "kind", "lang", "text", "key", "at", "many").mapInArrow(run, READ)
-
-
-def once(batches):
-    """Rows (text, lang, doc) without the documents that a task has passed on already (as far as it remembers them)."""
-    seen: set[int] = set()
-    for batch in batches:
-        new = []
-        for x in batch.column(2).to_pylist():
-            new.append(x not in seen)
-            seen.add(x)
-        if len(seen) > 500_000:
-            seen.clear()
-        yield batch.filter(pa.array(new, pa.bool_()))
+    return docs.mapInArrow(run, READ)
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of every run of at most ``longest`` words that occurs LEAST times in its language, words
     joined by spaces; and (lang, n), all words of each language."""
     spark = docs.sparkSession
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    docs = docs.select(text_bytes(), lang).withColumn("doc", F.xxhash64("text", "lang"))
+    docs = docs.select(text_bytes(), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     ranges = min(1 << 16, max(1024, 2 * docs.rdd.getNumPartitions()))
-    marked = written(marks(short_counts(docs.select("text", "lang"), ranges), ranges))
-    table = spark.sparkContext.broadcast(bit_table(marked))
-    found = pointers(docs, table, ranges, longest).repartition("key").sortWithinPartitions("key").mapInArrow(frequent, POINTED)
-    none = lambda kind, *names: [F.lit(None).cast(kind).alias(x) for x in names]
-    texts = docs.mapInArrow(once, "text binary, lang string, doc long").select("doc", F.lit(0).alias("kind"), "lang", "text", *none("long", "key", "at", "many"))
-    spots = found.select("doc", F.lit(1).alias("kind"), *none("string", "lang"), *none("binary", "text"), "key", "at", "many")
-    counts = phrases_at(texts.unionByName(spots)).groupBy("lang", "phrase", "words").agg(F.sum("many").alias("f"))
+    marked = written(marks(short_counts(docs, ranges), ranges))
+    tables = [spark.sparkContext.broadcast(bit_table(marked))]
+    longer = written(marks(short_counts(docs, ranges, longest, tables[0]), ranges))
+    tables.append(spark.sparkContext.broadcast(bit_table(longer)))
+    counts = marked_phrases(docs, tables, ranges, longest).groupBy("lang", "phrase", "words").agg(F.sum("many").alias("f"))
     counts = written(counts.where(F.col("f") >= LEAST))
+    dropped(longer)
     return counts, marked.where("chunk is null").groupBy("lang").agg(F.sum("many").alias("n"))
 
 

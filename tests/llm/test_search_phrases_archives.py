@@ -122,28 +122,23 @@ def test_phrases_of_equal_fingerprints_come_apart(spark):
     assert {x["a"] for x in found.collect()} == {14, 15}
 
 
-def test_phrase_pointers_tell_documents_of_one_name_apart(spark):
-    runs = [phrases.Runs([x], ["en"]) for x in (b"a b c", b"d e f g")]
-    key = [int(runs[0].of(2)[0].view("int64")[1]), int(runs[1].of(3)[0].view("int64")[1])]
-    rows = [(5, 0, "en", b"a b c", None, None, None), (5, 0, "en", b"d e f g", None, None, None), (5, 0, "en", b"a b c", None, None, None)]
-    rows += [(5, 1, None, None, key[0], 1 * 16 + 2, 4), (5, 1, None, None, key[1], 1 * 16 + 3, 6), (6, 0, "en", b"unused", None, None, None)]
-    frame = spark.createDataFrame(rows, "doc long, kind int, lang string, text binary, key long, at long, many long")
-    assert sorted(map(tuple, phrases.phrases_at(frame).collect())) == [("en", "b c", 2, 4), ("en", "e f g", 3, 6)]
-
-
-def test_frequent_fingerprints_over_batches():
-    import pyarrow as pa
-
-    r = random.Random(1)
-    rows = sorted((r.randrange(60), k, k, r.randrange(1, 6)) for k in range(150))
-    total = Counter()
-    for x in rows:
-        total[x[0]] += x[3]
-    cuts = sorted(r.sample(range(150), 20))
-    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, 150], strict=True)] + [[]]
-    batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in p], pa.int64()) for k in range(4)], names=["key", "doc", "at", "many"]) for p in parts]
-    found = [tuple(x.values()) for b in phrases.frequent(batches) for x in b.to_pylist()]
-    assert sorted(found) == [x for x in rows if total[x[0]] >= phrases.LEAST]
+def test_words_of_equal_hashes_have_other_numbers():
+    one, other = colliding()
+    text = phrases.Words([f"{one} b {other}".encode(), f"{other} b".encode()], phrases.PIECE_BYTES)
+    hashes = text.hashes()
+    assert hashes[0] == hashes[2] == hashes[3]
+    found = phrases.Numbers().of(text, hashes).tolist()
+    assert found[0] != found[2] == found[3] != found[1] == found[4]
+
+
+def test_groups_of_one_fingerprint_are_split():
+    import numpy as np
+
+    key, ids = np.array([5, 3, 5, 5, 3], np.uint64), np.array([[1, 2], [0, 0], [1, 3], [1, 2], [0, 0]], np.int32)
+    order, start = phrases.grouped(key, ids)
+    groups = [sorted(x.tolist()) for x in np.split(order, start[1:])]
+    assert sorted(groups) == [[0, 3], [1, 4], [2]]
+    assert [len(x) for x in phrases.grouped(key[:0], ids[:0])] == [0, 0]
 
 
 LONG = "<p>" + "é" * 600 + "</p>"
