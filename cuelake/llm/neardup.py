@@ -10,14 +10,16 @@ come from two searches, and each is verified by both whole sets:
 
 The same holds within a part of all hash values, as long as a set has more than n / 5 shingles in it. Sets of at least
 256 shingles look at such a part (PARTS, by size; ten standard deviations wider than needed), which saves half of the rows.
-Two sets are compared within the part of the smaller one's class of size.
+Two sets are compared within the part of the smaller one's class of size. Where any set of the corpus has too few shingles in
+its part, all sets are compared as a whole.
 
 Most candidates are ruled out by parities: a set's hashes flip bits of a string about twice as long as the set, and two
 strings never differ in more bits than the sets do in elements. Whole texts are brought together for the others only.
 
 A key of more than HOT_KEY sets is first linked by stars, each around another set, and only the sets that are still in
 different groups are then paired: no pair is left out, and a large group of copies stays linear. Stars are repeated while
-they would leave more than ENOUGH pairs a set.
+they would leave more than ENOUGH pairs a set. What is left of a key is paired in squares of BLOCK by BLOCK sets, each of
+which any task can do by itself, and a pair is ruled out by its parities before it becomes a row.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from cuelake.llm.decontam import grams, word_hashes
 
 #: The similarity is the fraction 4 / 5, so that comparisons are of whole numbers.
 SHINGLE, SIMILAR = 5, (4, 5)
-HOT_KEY, STARS, TURNS, ENOUGH = 32, 4, 2, 256
+HOT_KEY, STARS, TURNS, ENOUGH, BLOCK = 32, 4, 2, 256, 512
 #: Share of the hash values that sets of 2^k to 2^(k+1) shingles look at; all below the first k, the last one above.
 PARTS = {8: 0.5, 9: 0.42, 10: 0.36, 11: 0.31, 12: 0.28, 13: 0.26}
 #: Counts of sets from which on a shingle is as common as any.
@@ -68,8 +70,16 @@ def bound(size: int) -> int:
     return int(PARTS[k] * 2**64) if k in PARTS else 2**64
 
 
-def bounds(size: int) -> tuple[int, int]:
-    """The bound of a set's own class, and that of the class below if a similar set may be in it, else 0."""
+def needed(size: int) -> int:
+    """So many of a set's rarest shingles hold one of those of each similar set."""
+    return size - -(-size * SIMILAR[0] // SIMILAR[1]) + 1
+
+
+def bounds(size: int, whole: bool = False) -> tuple[int, int]:
+    """The bound of a set's own class, and that of the class below if a similar set may be in it, else 0. ``whole``: sets
+    are compared as a whole."""
+    if whole:
+        return 2**64, 0
     below = 1 << max(0, size.bit_length() - 1)
     return bound(size), bound(below - 1) if below > 1 and size * SIMILAR[0] // SIMILAR[1] < below else 0
 
@@ -78,7 +88,7 @@ def within(found: np.ndarray, end: int) -> int:
     return len(found) if end >= 2**64 else int(np.searchsorted(found, np.uint64(end)))
 
 
-def keys(docs: DataFrame) -> DataFrame:
+def keys(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(key, id): the shingles of each set within the parts that it is compared in."""
 
     def run(batches):
@@ -93,7 +103,7 @@ def keys(docs: DataFrame) -> DataFrame:
                     seen.add(own)
                     if len(seen) > 200_000:
                         seen.clear()
-                    key.append(found[: within(found, max(bounds(len(found))))])
+                    key.append(found[: within(found, max(bounds(len(found), whole)))])
                     ids.append(np.full(len(key[-1]), own, np.uint64))
                 if key:
                     columns = [np.concatenate(key).view(np.int64), np.concatenate(ids).view(np.int64)]
@@ -148,7 +158,7 @@ def shared_keys(batches):
 CHOSEN = "key long, id long, at long, root long"
 
 
-def rarest(batches):
+def rarest(batches, whole: bool = False):
     """From rows (id, sets, key, size, own, below) sorted by id, sets and key, each set's sizes first (sets 0): the keys
     among its rarest shingles that another set has, too. Shingles of one set only come before them."""
 
@@ -163,9 +173,9 @@ def rarest(batches):
             if not n or b == a + 1:
                 continue
             mine = key[a + 1 : b].view(np.uint64)
-            first = n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1
+            first = needed(n)
             take, alone = np.zeros(len(mine), bool), None
-            for end, many in zip(bounds(n), (int(own[a]), int(below[a])), strict=True):
+            for end, many in zip(bounds(n, whole), (int(own[a]), int(below[a])), strict=True):
                 at = np.flatnonzero(mine < np.uint64(end)) if end < 2**64 else np.arange(len(mine))
                 take[at[: max(0, first - (many - len(at)))]] = True
                 # a set that is compared within a part has all of its shingles there counted
@@ -190,15 +200,24 @@ def rarest(batches):
     yield from chosen(held)
 
 
+def lacking(prints: DataFrame) -> DataFrame:
+    """The rows of ``prints`` whose sets have too few shingles in a part that they are compared in."""
+    first = F.expr(f"size - cast(ceil(size * {SIMILAR[0]} / {SIMILAR[1]}) as long) + 1")
+    return prints.where((F.col("size") > 0) & ((F.col("own") < first) | ((F.col("below") > 0) & (F.col("below") < first))))
+
+
 def rare_keys(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(key, id, at, root) of CHOSEN; at holds the set's size, and in its low 32 bits how many of its shingles no other set
     has (within its own class's bound). ``prints`` has id, size, own and below: a
     set's size and the numbers of its shingles within its bounds."""
-    shared = keys(docs).repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_keys, SHARED)
+    whole = not lacking(prints).isEmpty()
+    if whole:
+        prints = prints.withColumns({"own": F.col("size"), "below": F.lit(0).cast("long")})
+    shared = keys(docs, whole).repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_keys, SHARED)
     zero = F.lit(0).cast("long")
     sizes = prints.select("id", F.lit(0).alias("sets"), zero.alias("key"), "size", "own", "below").distinct()
     both = sizes.unionByName(shared.select("id", "sets", "key", zero.alias("size"), zero.alias("own"), zero.alias("below")))
-    return both.repartition("id").sortWithinPartitions("id", "sets", "key").mapInArrow(rarest, CHOSEN)
+    return both.repartition("id").sortWithinPartitions("id", "sets", "key").mapInArrow(lambda batches: rarest(batches, whole), CHOSEN)
 
 
 def enough(at: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -210,7 +229,7 @@ def enough(at: np.ndarray, other: np.ndarray) -> np.ndarray:
 FOUND = "a long, b long, key long, at long, hot boolean"
 
 
-def pairs_in(most: int | None):
+def pairs_in(most: int):
     """From rows (key, id, at, root) sorted by key and id: pairs of sets of different roots under a key. Rows of a key
     of more than ``most`` sets come back as they are (hot); such a key is passed on as it comes, never held whole."""
 
@@ -223,10 +242,10 @@ def pairs_in(most: int | None):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         end, many = np.repeat(start + size, size), np.repeat(size, size)
-        if most is not None and (hot := many > most).any():
+        if (hot := many > most).any():
             yield made(ids[hot], ids[hot], key[hot], at[hot], True)
         place = np.arange(len(key))
-        right = np.where(many > (most or len(key)), 0, end - place - 1)
+        right = np.where(many > most, 0, end - place - 1)
         total = np.cumsum(right)
         cut = [0, *np.searchsorted(total, np.arange(1_000_000, total[-1], 1_000_000)).tolist(), len(key)]
         for x, y in zip(cut, cut[1:], strict=False):
@@ -264,7 +283,7 @@ def pairs_in(most: int | None):
             cut = int(np.searchsorted(now[0], now[0][-1]))
             yield from linked(*(x[:cut] for x in now))
             held = [x[cut:] for x in now]
-            if most is not None and len(held[0]) > most:
+            if len(held[0]) > most:
                 yield made(held[1], held[1], held[0], held[2], True)
                 hot, held = held[0][0], [x[:0] for x in held]
         yield from linked(*held)
@@ -272,11 +291,73 @@ def pairs_in(most: int | None):
     return run
 
 
-def _pairs(rows: DataFrame, most: int | None) -> DataFrame:
+def _pairs(rows: DataFrame, most: int) -> DataFrame:
     rows = rows.select("key", "id", "at", "root").repartition("key").sortWithinPartitions("key", "id")
     return written(rows.mapInArrow(pairs_in(most), FOUND))
 
 
+SQUARE = ["key", "x", "y"]
+
+
+def squares(rows: DataFrame, parities: DataFrame, block: int) -> DataFrame:
+    """(a, b): the sets of different roots under a key that their parities don't rule out. A key's sets are dealt into
+    blocks of about ``block`` by hash; each pair of blocks is a square of its own, in whatever task it falls, and a task
+    holds the rows of one square at a time."""
+    rows = rows.select("key", "id", "at", "root").dropDuplicates(["key", "id"])
+    many = written(rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    rows = rows.join(many, "key").join(parities.select("id", "parity"), "id")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = own.select("key", "id", "at", "root", "parity", "own", other)
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "at", "root", "parity", "own")
+    dealt = dealt.repartition(*SQUARE).sortWithinPartitions(*SQUARE, "own", "id")
+    low, high = SIMILAR
+
+    def paired(rows):
+        x, y = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        ids, at, root, own = (rows.column(k).to_numpy() for k in (3, 4, 5, 7))
+        start = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (rows.column(0).to_numpy()[1:] != rows.column(0).to_numpy()[:-1])])
+        out = [[], []]
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(x)], strict=True):
+            left = np.arange(a, b)[own[a:b] == x[a]]
+            right = left if x[a] == y[a] else np.arange(a, b)[own[a:b] == y[a]]
+            parity = {}
+            for i in left.tolist():
+                ok = (root[right] != root[i]) & enough(at[right], at[i])
+                if x[a] == y[a]:
+                    ok &= right > i
+                for j in right[ok].tolist():
+                    for k in (i, j):
+                        if k not in parity:
+                            parity[k] = rows.column(6)[k].as_py()
+                    if apart(parity[i], parity[j]) * (low + high) <= ((at[i] >> 32) + (at[j] >> 32)) * (high - low):
+                        out[0].append(ids[i])
+                        out[1].append(ids[j])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None or not held.num_rows else pa.concat_batches([held, pa.RecordBatch.from_arrays(batch.columns, schema=held.schema)])
+            if not held.num_rows:
+                continue
+            last = held.num_rows - 1
+            same = np.ones(held.num_rows, bool)
+            for k in range(3):
+                column = held.column(k).to_numpy()
+                same &= column == column[last]
+            cut = int(np.flatnonzero(same)[0])
+            if cut:
+                yield paired(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield paired(held)
+
+    found = written(dealt.select(*SQUARE, "id", "at", "root", "parity", "own").mapInArrow(run, "a long, b long"))
+    dropped(many)
+    return found
+
+
 def stars(rows: DataFrame, turn: int) -> DataFrame:
     """(a, b): each set of a key with STARS others, picked by hash, of another root. A key of one root has none."""
     picks = [F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn * STARS + k))) for k in range(STARS)]
@@ -381,7 +462,7 @@ def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
         if not many:
             break
         last = ahead <= ENOUGH * many or turn == TURNS
-        new = kept(_pairs(rows.join(left.select("key"), "key", "left_semi"), None)).select("a", "b") if last else stars(rows, turn)
+        new = kept(squares(rows.join(left.select("key"), "key", "left_semi"), texts, BLOCK)) if last else stars(rows, turn)
         edges = edges.union(kept(verified(new, texts)))
         made.append(tree)
         tree = components(edges)

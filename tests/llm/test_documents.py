@@ -133,11 +133,14 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [32, 2])
-def test_near_copies_are_those_of_all_shingle_sets(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "whole"), [(32, False), (2, False), (32, True)])
+def test_near_copies_are_those_of_all_shingle_sets(spark, monkeypatch, hot, whole):
     from cuelake.llm import neardup
 
     monkeypatch.setattr(neardup, "HOT_KEY", hot)
+    monkeypatch.setattr(neardup, "BLOCK", 2 if hot == 2 else 512)
+    if whole:  # as if a set had too few shingles in its part
+        monkeypatch.setattr(neardup, "lacking", lambda prints: prints)
     r = random.Random(12)
     line = lambda n: [f"w{r.randint(0, 3000)}" for _ in range(n)]
     made, shared = [], line(60)
@@ -165,6 +168,30 @@ def test_near_copies_are_those_of_all_shingle_sets(spark, monkeypatch, hot):
     assert any((fps[a] ^ fps[b]).bit_count() > 4 and 9 * len(sets[a] & sets[b]) >= 4 * len(sets[a]) + 4 * len(sets[b]) for a in range(70) for b in range(a))
 
 
+def test_sets_that_lack_shingles_in_their_part(spark):
+    from cuelake.llm import neardup
+
+    rows = [(1, 300, 150, 0), (2, 300, 60, 0), (3, 300, 61, 0), (4, 300, 150, 60), (5, 10, 10, 0), (6, 0, 0, 0), (7, 1, 1, 0)]
+    frame = spark.createDataFrame(rows, "id long, size long, own long, below long")
+    assert sorted(x["id"] for x in neardup.lacking(frame).collect()) == [2, 4]
+    assert neardup.needed(300) == 61 and neardup.bounds(300, True) == (2**64, 0)
+
+
+def test_squares_hold_every_pair_once(spark):
+    from cuelake.llm import neardup
+
+    r = random.Random(3)
+    rows = [(k, i, 40 << 32, r.choice([1, 2, i])) for k in range(3) for i in r.sample(range(200), 50)]
+    frame = spark.createDataFrame(rows + rows[:5], "key long, id long, at long, root long").repartition(3)
+    near = spark.createDataFrame([(i, bytes(8) if i < 180 else b"\xff" * 8) for i in range(200)], "id long, parity binary")
+    want = set()
+    for k, i, _, x in rows:
+        want |= {(min(i, j), max(i, j)) for n, j, _, y in rows if n == k and x != y and i != j and (i < 180) == (j < 180)}
+    for block in (4, 16, 512):
+        found = neardup.squares(frame, near, block).collect()
+        assert {(min(x), max(x)) for x in map(tuple, found)} == want
+
+
 def test_parities_never_differ_by_more_than_the_sets():
     import numpy as np
 
