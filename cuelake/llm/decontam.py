@@ -2,8 +2,8 @@
 
 Every run of SPAN = WINDOW + GRAM - 1 words holds WINDOW hashes of GRAM words; the smallest of each run is kept as a
 fingerprint. A span that a document shares with a benchmark item therefore holds a fingerprint of the item at the same
-place, so that looking up every place of a document and extending each one found by equal words to both sides finds
-every shared span, those of repetitive texts included.
+place, so that looking up every place of a document, and extending each one found to the windows around it, finds every
+shared span, those of repetitive texts included. A window counts if its words are those of an item's window.
 Items of fewer than SPAN words are looked up whole, by the hash of all their words.
 """
 
@@ -88,7 +88,8 @@ class Index:
             if found := words(text):
                 by_text.setdefault(tuple(found), []).append(item)
         self.words, self.names = [*by_text], [*by_text.values()]
-        self.places: dict[int, list[tuple[int, int]]] = {}
+        fingerprints: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # windows of an item and where each begins
         self.whole: dict[int, dict[int, list[int]]] = {}
         for k, sequence in enumerate(self.words):
             hashes, _ = word_hashes([b" ".join(sequence)])
@@ -96,18 +97,30 @@ class Index:
                 short = self.whole.setdefault(len(sequence), {})
                 short.setdefault(int(grams(hashes, len(sequence))[0]), []).append(k)
                 continue
-            values = grams(hashes, GRAM)
-            kept = set(minima(values).tolist())
-            for pos, value in enumerate(values.tolist()):
-                if value in kept:
-                    self.places.setdefault(value, []).append((k, pos))
-        self.sorted = {0: np.array(sorted(self.places), np.uint64)}
+            fingerprints.append(np.unique(minima(grams(hashes, GRAM))))
+            found.append(self._windows(k, grams(hashes, SPAN)))
+        several = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        value, item, place = (several([x[n] for x in found], kind) for n, kind in enumerate((np.uint64, np.int64, np.int64)))
+        order = np.argsort(value, kind="stable")
+        self.windows, self.item, self.place = value[order], item[order], place[order]
+        self.sorted = {0: np.unique(several(fingerprints, np.uint64))}
         self.sorted |= {n: np.array(sorted(x), np.uint64) for n, x in self.whole.items()}
         self.rough = {}
         for n, values in self.sorted.items():
             self.rough[n] = np.zeros(1 << 20, bool)
             self.rough[n][(values & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def _windows(self, k: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, item and place of each different window of an item."""
+        own, (_, first, which) = self.words[k], np.unique(values, return_index=True, return_inverse=True)
+        kept = np.zeros(len(values), bool)
+        kept[first] = True
+        for p in np.flatnonzero(~kept).tolist():  # other words of an equal hash are a window of their own
+            q = int(first[which[p]])
+            kept[p] = own[p : p + SPAN] != own[q : q + SPAN]
+        at = np.flatnonzero(kept)
+        return values[at], np.full(len(at), k), at
+
     def among(self, n: int, values: np.ndarray) -> np.ndarray:
         """Places of values that are fingerprints (n = 0) or whole items of n words."""
         at = np.flatnonzero(self.rough[n][(values & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -122,38 +135,50 @@ class Index:
         hashes, count = word_hashes(texts)
         first = np.cumsum(count) - count
         hits: dict[int, list[tuple[int, int, int]]] = {}
-        values = grams(hashes, GRAM)
-        at = self.among(0, values)
-        doc = np.searchsorted(first + count, at, "right")
-        for p, d, value in zip(at.tolist(), doc.tolist(), values[at].tolist(), strict=True):
-            hits.setdefault(d, []).extend((p - int(first[d]), k, q) for k, q in self.places[value])
+        at = self.among(0, grams(hashes, GRAM))
+        # the windows around the fingerprints, within their text
+        begin = np.unique((at[:, None] - np.arange(WINDOW)).ravel())
+        begin = begin[begin >= 0]
+        doc = np.searchsorted(first + count, begin, "right")
+        inside = (begin >= first[doc]) & (begin + SPAN <= (first + count)[doc]) if len(begin) else np.zeros(0, bool)
+        begin, doc = begin[inside], doc[inside]
+        values = grams(hashes, SPAN)[begin] if len(begin) else np.zeros(0, np.uint64)
+        low, high = np.searchsorted(self.windows, values), np.searchsorted(self.windows, values, "right")
+        some = np.flatnonzero(low < high)
+        for d, p, x, y in zip(doc[some].tolist(), begin[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+            hits.setdefault(d, []).append((p - int(first[d]), x, y))
+        short: dict[int, list[tuple[int, int]]] = {}
         for n, known in self.whole.items():
             values = grams(hashes, n)
             at = self.among(n, values)
             doc = np.searchsorted(first + count, at, "right")
             for p, d, value in zip(at.tolist(), doc.tolist(), values[at].tolist(), strict=True):
-                hits.setdefault(d, []).extend((p - int(first[d]), k, 0) for k in known[value])
+                short.setdefault(d, []).extend((p - int(first[d]), k) for k in known[value])
         out = []
         for d, text in enumerate(texts):
-            spans, items = self._extended(words(text), hits[d]) if d in hits else ([], [])
+            spans, items = self._verified(words(text), hits.get(d, []), short.get(d, [])) if d in hits or d in short else ([], [])
             out.append((int(count[d]), spans, items))
         return out
 
-    def _extended(self, doc: list[bytes], hits: list[tuple[int, int, int]]) -> tuple[list[list[int]], list[str]]:
-        reach: dict[tuple[int, int], int] = {}
+    def _verified(self, doc: list[bytes], hits: list[tuple[int, int, int]], short: list[tuple[int, int]]) -> tuple[list[list[int]], list[str]]:
+        """Spans and items of the windows (place, and bounds among those of one hash) and of the short items (place, item)
+        whose words are there. A window that occurs again is compared with its first occurrence only."""
         spans, items = [], set()
-        for p, k, q in sorted(hits):
+        known: dict[int, list[tuple[int, bool]]] = {}  # by hash: a place of each different window, and whether items have it
+        for p, x, y in hits:
+            own = doc[p : p + SPAN]
+            good = next((g for q, g in known.get(x, ()) if doc[q : q + SPAN] == own), None)
+            if good is None:
+                same = [k for k, q in zip(self.item[x:y].tolist(), self.place[x:y].tolist(), strict=True) if self.words[k][q : q + SPAN] == tuple(own)]
+                items.update(same)
+                good = bool(same)
+                known.setdefault(x, []).append((p, good))
+            if good:
+                spans.append([p, p + SPAN])
+        for p, k in short:
             item = self.words[k]
-            if reach.get((k, p - q), -1) > p:
-                continue
-            a, b = 0, 0
-            while a < min(p, q) and doc[p - a - 1] == item[q - a - 1]:
-                a += 1
-            while b < min(len(doc) - p, len(item) - q) and doc[p + b] == item[q + b]:
-                b += 1
-            reach[k, p - q] = p + max(b, 1)
-            if a + b >= min(SPAN, len(item)):
-                spans.append([p - a, p + b])
+            if tuple(doc[p : p + len(item)]) == item:
+                spans.append([p, p + len(item)])
                 items.add(k)
         return merged(spans), sorted({x for k in items for x in self.names[k]}, key=lambda x: (x is None, x))
 
