@@ -9,6 +9,7 @@ overlaps no base span.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -255,22 +256,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _TRIM = {"email": re.compile(r"[A-Za-z0-9].*[A-Za-z0-9]", re.S), "ip": re.compile(r"[0-9].*[0-9]", re.S), "card": re.compile(r"[0-9].*[0-9]", re.S), "phone": re.compile(r"[(+0-9].*[0-9]", re.S)}
 _FORM = {
-    "email": re.compile(r"[\w.%+-]{1,64}@[\w-]+(?:\.[\w-]+)+"),
+    "email": re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"),
     "ip": re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"),
     "card": re.compile(r"[0-9](?:[\s./-]?[0-9]){12,18}"),
     "phone": re.compile(r"\+?(?:\([0-9]+\)|[0-9]+)(?:[\s./-]{0,2}(?:\([0-9]{2,}\)|[0-9]{2,})){1,5}"),
 }
 
 
+#: Least and most digits of a kind.
+_DIGITS = {"ip": (4, 12), "card": (13, 19), "phone": (9, 15)}
+
+
 def accepted(kind: str, text: str, a: int, b: int) -> tuple[str, int, int] | None:
     """The decoded span without outer punctuation, if its form and digits suit the kind."""
-    if b - a > 320 or kind != "email" and b - a > 48:
-        return None
     m = _TRIM[kind].search(text, a, b)
-    if not m or not _FORM[kind].fullmatch(m[0]):
+    if not m:
         return None
     digits = "".join(c for c in m[0] if c in "0123456789")
-    if kind == "card" and not luhn(digits) or kind == "phone" and not 9 <= len(digits) <= 15:
+    # before the form, so that it is never tried on long runs of digits
+    if kind in _DIGITS and not _DIGITS[kind][0] <= len(digits) <= _DIGITS[kind][1]:
+        return None
+    if not _FORM[kind].fullmatch(m[0]) or kind == "card" and not luhn(digits):
         return None
     if kind == "phone" and "-" not in m[0] and "(" not in m[0] and "+" not in m[0] and "." not in m[0] and " " not in m[0]:
         return None
@@ -279,6 +285,17 @@ def accepted(kind: str, text: str, a: int, b: int) -> tuple[str, int, int] | Non
     return kind, *m.span()
 
 
+def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find(texts: list[str], field: Field) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """For each text the base spans and all spans, both by kind and start."""
     order = {k: i for i, k in enumerate(KINDS)}
@@ -309,10 +326,13 @@ def find(texts: list[str], field: Field) -> list[tuple[list[tuple[str, int, int]
     for k, own in enumerate(base):
         own.sort(key=lambda s: (order[s[0]], s[1]))
         more = []
-        taken = sorted((a, b) for _, a, b in own)
-        for s in added.get(k, ()):
-            if not any(a < s[2] and s[1] < b for a, b in taken):
-                more.append(s)
+        if k in added:
+            taken = disjoint([(a, b) for _, a, b in own])
+            ends = [b for _, b in taken]
+            for s in added[k]:
+                at = bisect_right(ends, s[1])  # the first that ends behind its start
+                if at == len(taken) or taken[at][0] >= s[2]:
+                    more.append(s)
         out.append((own, sorted(own + more, key=lambda s: (order[s[0]], s[1], s[2]))))
     return out
 
