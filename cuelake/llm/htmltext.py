@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +120,9 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order, white space inside as one space, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, away (1: by name, 2: by the name of others' text, 3: by tag or role), region
+    # tag, away (1: by name, 2: by the name of others' text, 3: by tag or role), region, whether within an article or main
+    stack: list[tuple[str, int, int, bool]] = []
+    opened: Counter[str] = Counter()  # tags on the stack
     parts: list[str] = []
     linked = anchors = regions = skip = at = 0
     foreign = False
@@ -131,11 +134,20 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            away, region = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-            out.append(Block(text, linked, away > 0, region, heading, any(x[0] in ("article", "main") for x in stack)))
+            _, away, region, inside = stack[-1] if stack else ("", 0, 0, False)
+            out.append(Block(text, linked, away > 0, region, heading, inside))
         parts.clear()
         linked = 0
 
+    def push(tag: str, away: int, region: int) -> None:
+        stack.append((tag, away, region, tag in ("article", "main") or bool(stack) and stack[-1][3]))
+        opened[tag] += 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     def add(text: str) -> None:
         nonlocal linked
         if text and not skipping:
@@ -201,10 +213,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag in VOID:
                 continue
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                while opened[tag] and pop() != tag:
+                    pass
             elif tag not in ("p", "li", "option", "dd", "dt", "tr", "td", "th") or given.strip():
                 away = stack[-1][1] if stack else 0
                 marks = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(given)}
@@ -212,23 +222,23 @@ def blocks_of(page: str) -> list[Block]:
                 if away == 1 and tag == "article" and not others or away in (1, 2) and tag == "main":
                     away = 0
                 if away < 3:
-                    inside = any(x[0] in ("article", "main") for x in stack)
+                    inside = bool(stack) and stack[-1][3]
                     if tag in AWAY or tag == "header" and not inside or marks.get("role", "").lower() in ROLES or "hidden" in marks and tag != "body":
                         away = 3
                     elif tag not in ("body", "html", "article", "main") and outside:
                         away = max(away, 2 if others else 1)
                 if tag in ("p", "li", "option", "dd", "dt", "tr", "td", "th"):
                     if stack and stack[-1][0] == tag:
-                        stack.pop()
+                        pop()
                         away = away or (stack[-1][1] if stack else 0)
-                    stack.append((tag, away, stack[-1][2] if stack else 0))
+                    push(tag, away, stack[-1][2] if stack else 0)
                 else:
                     if stack and stack[-1][0] == "p":
-                        stack.pop()
+                        pop()
                     regions += 1
-                    stack.append((tag, away, regions))
+                    push(tag, away, regions)
             elif stack and stack[-1][0] == tag == "p":
-                stack.pop()
+                pop()
     tail = _TAIL.search(page, at)
     add(page[at : tail.start()] if tail else page[at:])
     flush()
