@@ -15,9 +15,9 @@ from cuelake.plans import dash, hls, policy, remote, stitching, vast
 from cuelake.plans.onepath import OnePath
 from cuelake.plans.rendered import _SEGMENTS, playlists
 from cuelake.plans.rendered import ORACLE_SQL as _RENDERED
-from cuelake.runtime import settled
+from cuelake.runtime import settled, shared_folder
 from cuelake.sources import scte104, segments
-from cuelake.streaming import monitor
+from cuelake.streaming import lifecycle, monitor, poll
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -174,6 +174,51 @@ def poll_alerts(spark, sf_dir):
     return monitor.alerts(_polls(spark, sf_dir))
 
 
+@query(ORACLE_SQL["poll_alerts"])
+def poll_store_alerts(spark, sf_dir):
+    """The same polls as a stream into the store on disk: half of January is landed and done, then the other half by a stream
+    that is started again. Returns the alerts that are stored."""
+    rows = _polls(spark, sf_dir).select("*", F.when(F.col("at") < 1_705_276_800_000_000, 0).otherwise(1).alias("half"))
+    schema = spark.createDataFrame([], poll.POLLS).schema
+    rows = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], "half")
+    folder = shared_folder(spark)
+    store = poll.Store(spark, f"{folder}/store", 16)
+    for half in (0, 1):
+        rows.where(F.col("half") == half).drop("half").write.mode("append").parquet(f"{folder}/polls")
+        poll.watch(spark.readStream.schema(schema).parquet(f"{folder}/polls"), store, f"{folder}/checkpoint").awaitTermination()
+    return settled(store.alerts.read().select("monitor_id", "at", "severity", "code"), lambda: store.alerts._delete(folder))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id % 40 AS k, epoch_us(ts) // 1000 AS t, CASE WHEN value > 50 THEN value END AS signalled, event_type = 'purchase' AS closed, value * 3 AS distance FROM events),
+p AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS poll_before, lag(t) OVER (PARTITION BY user_id, k ORDER BY t) AS seen_before FROM e),
+s AS (SELECT *, sum(CASE WHEN seen_before IS NULL OR poll_before - seen_before > 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, k ORDER BY t) AS life FROM p),
+c AS (SELECT *, bool_or(closed) OVER w AS shut, last_value(signalled IGNORE NULLS) OVER w AS length FROM s WINDOW w AS (PARTITION BY user_id, k, life ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, k, life ORDER BY t) AS n FROM c WHERE NOT shut AND distance > coalesce(length, 60) + 60)
+SELECT CAST(user_id AS VARCHAR) AS monitor_id, CAST(k AS VARCHAR) AS break_key, CAST(t AS BIGINT) AS "at", 'BREAK_STUCK_OPEN' AS code FROM o WHERE n = 1"""
+)
+def break_lives(spark, sf_dir):
+    """Every event as a poll of its user that shows one break: those that stay open, over the life of each break."""
+    seen = F.struct(
+        (F.col("event_id") % 40).cast("string").alias("break_key"), F.when(F.col("value") > 50, F.col("value")).alias("signalled"), (F.col("event_type") == "purchase").cast("int").alias("closed"), (F.col("value") * 3).alias("edge_distance")
+    )
+    polls = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("monitor_id"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at"), F.lit(False).alias("overrun"), F.array(seen).alias("breaks"))
+    return lifecycle.replayed(polls, spark.createDataFrame([], lifecycle.STORED))[1].select("monitor_id", "break_key", "at", "code")
+
+
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS monitor_id, epoch_us(ts) // 1000 AS t FROM events),
+w AS (SELECT monitor_id, t, (t // 43200000 - k) * 43200000 AS s FROM e, (VALUES (0), (1), (2), (3)) v(k)),
+g AS (SELECT *, t - coalesce(lag(t) OVER (PARTITION BY monitor_id, s ORDER BY t), s + 21600000) AS gap FROM w)
+SELECT monitor_id, CAST(s + 172800000 AS BIGINT) AS until, count(*) AS polls, CAST(8 AS BIGINT) AS expected, round(least(1.0, count(*) / 8.0), 6) AS ratio,
+CAST(greatest(0, round(greatest(max(gap), s + 172800000 - max(t)) / 1000.0)) AS BIGINT) AS longest_gap FROM g GROUP BY monitor_id, s"""
+)
+def sliding_poll_coverage(spark, sf_dir):
+    """Windows of two days, every twelve hours, of users as monitors with a poll every six hours."""
+    runs = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("monitor_id"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at"))
+    return monitor.sliding_coverage(runs, 21_600, 172_800, 43_200).withColumn("ratio", F.round("ratio", 6))
+
+
 def _departures(events: DataFrame) -> DataFrame:
     side = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", 0)
     return paired(events.withColumn("polarity", side).where("polarity is not null"), ["user_id"], ["ts", "event_id"]).where("polarity = 1")

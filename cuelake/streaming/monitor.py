@@ -32,18 +32,39 @@ def _ranked(verdict: Column) -> Column:
     return F.when(verdict == "fail", 2).when(verdict == "warn", 1).when(verdict == "pass", 0)
 
 
-def alerts(runs: DataFrame) -> DataFrame:
-    """monitor_id, at, severity, code of every alert of all runs."""
-    by = Window.partitionBy("monitor_id").orderBy("at")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    codes = F.array_distinct(F.transform(F.coalesce("findings", F.array().cast("array<struct<code:string,severity:string>>")), lambda f: f["code"]))
-    rows = runs.withColumns({"codes": codes, "_good": F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(upto)})
+def once_each(polls: DataFrame) -> DataFrame:
+    """One row for each poll, which is known by monitor and time; of several the one that sorts first by what it says."""
+    said = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in polls.columns])))
+    place = F.row_number().over(Window.partitionBy("monitor_id", "at").orderBy(F.desc("ok"), said))
+    return polls.withColumn("_n", place).where("_n = 1").drop("_n")
+
+
+def with_failures(polls: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Polls with failures: how many have failed in a row up to each, counted on from ``before`` (monitor_id, failures)."""
+    upto = Window.partitionBy("monitor_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = polls.withColumn("_good", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(upto))
     inside = Window.partitionBy("monitor_id", "_good").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("failures", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(inside).cast("int"))
-    old = lambda c: F.lag(c).over(by)
+    if before is None:
+        return rows.drop("_good")
+    rows = rows.join(before.select("monitor_id", F.col("failures").alias("_before")), "monitor_id", "left")
+    start = F.when(F.col("_good") == 0, F.coalesce("_before", F.lit(0))).otherwise(0)
+    return rows.withColumn("failures", (F.col("failures") + start).cast("int")).drop("_good", "_before")
+
+
+def beside_the_last(rows: DataFrame) -> DataFrame:
+    """Polls with failures, each beside the one before it (old_...)."""
+    by = Window.partitionBy("monitor_id").orderBy("at")
+    codes = F.array_distinct(F.transform(F.coalesce("findings", F.array().cast("array<struct<code:string,severity:string>>")), lambda f: f["code"]))
+    rows = rows.withColumn("codes", codes)
     names = ("ok", "verdict", "errors", "break_count", "codes", "failures", "fill_rate")
-    rows = rows.withColumns({f"old_{c}": old(c) for c in names})
-    return _compared(rows)
+    return rows.withColumns({f"old_{c}": F.lag(c).over(by) for c in names})
+
+
+def alerts(runs: DataFrame) -> DataFrame:
+    """monitor_id, at, severity, code of every alert of all runs. A poll is known by monitor and time; told again, it is left
+    out."""
+    return _compared(beside_the_last(with_failures(once_each(runs))))
 
 
 def _compared(rows: DataFrame) -> DataFrame:
@@ -164,6 +185,27 @@ def poll_coverage(runs: DataFrame, interval: float, window: float, now: float) -
     return coverage(runs.withColumn("s", F.col("at") / 1000), "monitor_id", "s", interval, F.lit(now - window), F.lit(now))
 
 
+def sliding_coverage(runs: DataFrame, interval: int, window: int, slide: int, late: str | None = None) -> DataFrame:
+    """monitor_id, until (epoch milliseconds), polls, expected, ratio and longest_gap of every window of ``window`` seconds,
+    one each ``slide`` seconds, that has a poll. For a batch, or with ``late`` (how far behind a poll may come) for a stream.
+
+    The stretch up to the first poll counts beyond one interval, and that behind the last one up to the window's end. A
+    window holds a monitor's times until it is over: as many as it polls in that time."""
+    rows = runs.select("monitor_id", "at", F.timestamp_millis("at").alias("time"))
+    if late is not None:
+        rows = rows.withWatermark("time", late)
+    held = rows.groupBy("monitor_id", F.window("time", f"{window} seconds", f"{slide} seconds").alias("w")).agg(F.sort_array(F.collect_list("at")).alias("times"))
+    start, end = F.unix_millis("w.start"), F.unix_millis("w.end")
+    edges = F.concat(F.array(start + interval * 1000), F.col("times"), F.array(end))
+    gaps = F.zip_with(F.slice(edges, F.lit(2), F.size(edges) - 1), F.slice(edges, F.lit(1), F.size(edges) - 1), lambda b, a: b - a)
+    expected = max(1, round(window / interval))
+    polls = F.size("times").cast("long")
+    return held.select(
+        "monitor_id", end.alias("until"), polls.alias("polls"), F.lit(expected).cast("long").alias("expected"), F.least(F.lit(1.0), polls / expected).alias("ratio"),
+        F.greatest(F.lit(0), F.round(F.array_max(gaps) / 1000)).cast("long").alias("longest_gap"),
+    )
+
+
 def dashboard(monitors: DataFrame, runs: DataFrame, interval: float, window: float, now: float, history: int = 60) -> DataFrame:
     """Every monitor with its last run, its latest runs in order of time, and its coverage."""
     last = runs.groupBy("monitor_id").agg(F.max_by(F.struct("at", "ok", "verdict", "errors", "warnings", "break_count"), "at").alias("last_run"))
