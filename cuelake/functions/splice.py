@@ -1,14 +1,18 @@
 """SCTE-35 splice_info_section: bytes to a struct column and back, CRC-32/MPEG-2, and UPID checks.
 
-Only the bit fields are read in Python (an Arrow-fed function per payload of some tens of bytes); payload sniffing,
-polarity, durations and UPID checks are column expressions.
+Bit fields are read in numpy, a step for all sections of an Arrow batch at once; payload sniffing, polarity, durations and
+UPID checks are column expressions.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cuelake.functions.bitfields import Bytes, Cursors, column, crc32_columns, lists, structs, typed
+
 # Fixed values of the standard.
 COMMANDS = {0: "splice_null", 4: "splice_schedule", 5: "splice_insert", 6: "time_signal", 7: "bandwidth_reservation", 255: "private_command"}
 START_TYPES = (0x10, 0x13, 0x17, 0x20, 0x22, 0x24, 0x26, 0x30, 0x32, 0x34, 0x36, 0x38, 0x3A, 0x3C, 0x3E, 0x40, 0x42, 0x44, 0x46, 0x50)
@@ -34,74 +38,6 @@ SECTION = (
 )
 
 
-def crc32_mpeg(data: bytes) -> int:
-    """CRC of polynomial 04C11DB7, not reflected, from all ones; 0 over a section that ends with its own CRC."""
-    crc = 0xFFFFFFFF
-    for byte in data:
-        crc ^= byte << 24
-        for _ in range(8):
-            crc = (crc << 1 ^ (0x04C11DB7 if crc & 0x80000000 else 0)) & 0xFFFFFFFF
-    return crc
-
-
-class Bits:
-    """Reads unsigned fields from the front of some bytes."""
-
-    def __init__(self, data: bytes):
-        self.value, self.size, self.at = int.from_bytes(data, "big"), 8 * len(data), 0
-
-    def take(self, n: int) -> int:
-        if self.at + n > self.size:
-            raise ValueError("the section ends early")
-        self.at += n
-        return self.value >> (self.size - self.at) & ((1 << n) - 1)
-
-    def flag(self) -> bool:
-        return self.take(1) == 1
-
-
-def _time(bits: Bits) -> int | None:
-    if not bits.flag():
-        bits.take(7)
-        return None
-    bits.take(6)
-    return bits.take(33)
-
-
-def _event(bits: Bits, scheduled: bool) -> dict:
-    """A splice_insert, or one event of a splice_schedule."""
-    event = {"event_id": bits.take(32), "cancel": bits.flag()}
-    bits.take(7)
-    if event["cancel"]:
-        return event
-    event["out_of_network"], event["program_splice"] = bits.flag(), bits.flag()
-    timed = bits.flag()
-    immediate = False
-    if scheduled:
-        bits.take(5)
-    else:
-        immediate = event["splice_immediate"] = bits.flag()
-        bits.take(4)
-    times = 1 if event["program_splice"] else bits.take(8)
-    for _ in range(times):
-        if not event["program_splice"]:
-            bits.take(8)
-        if scheduled:
-            when = bits.take(32)
-            if event["program_splice"]:
-                event["utc_time"] = when
-        elif not immediate:
-            when = _time(bits)
-            if event["program_splice"]:
-                event["pts_time"] = when
-    if timed:
-        event["auto_return"] = bits.flag()
-        bits.take(6)
-        event["break_ticks"] = bits.take(33)
-    event["unique_program_id"], event["avail_num"], event["avails_expected"] = bits.take(16), bits.take(8), bits.take(8)
-    return event
-
-
 def upid_text(kind: int, data: bytes) -> str:
     printable = lambda b: "".join(chr(c) for c in b if 32 <= c < 127)
     if kind in TEXT_UPIDS:
@@ -125,81 +61,162 @@ def upid_text(kind: int, data: bytes) -> str:
     return ""
 
 
-def _segmentation(body: bytes) -> dict:
-    bits = Bits(body)
-    out = {"tag": 2, "event_id": bits.take(32), "cancel": bits.flag(), "type_id": 0, "upid_type": 0, "upid_hex": "", "upid_text": ""}
-    bits.take(7)
-    if out["cancel"]:
-        return out
-    whole, timed = bits.flag(), bits.flag()
-    bits.take(6)
-    if not whole:
-        for _ in range(bits.take(8)):
-            bits.take(48)
-    if timed:
-        out["duration_ticks"] = bits.take(40)
-    out["upid_type"], size = bits.take(8), bits.take(8)
-    upid = bytes(bits.take(8) for _ in range(size))
-    out["upid_hex"], out["upid_text"] = upid.hex(), upid_text(out["upid_type"], upid)
-    out["type_id"], out["segment_num"], out["segments_expected"] = bits.take(8), bits.take(8), bits.take(8)
-    if out["type_id"] in SUB_SEGMENT_TYPES and bits.size - bits.at >= 16:
-        out["sub_segment_num"], out["sub_segments_expected"] = bits.take(8), bits.take(8)
-    return out
+def _event(bits: Cursors, where: np.ndarray, scheduled: bool) -> pa.StructArray:
+    """A splice_insert, or one event of a splice_schedule, in each of the rows."""
+    got = {"event_id": (bits.take(32, where), where), "cancel": (cancel := bits.flag(where), where)}
+    bits.take(7, where)
+    more = where & ~cancel
+    got["out_of_network"], got["program_splice"] = (bits.flag(more), more), (whole := bits.flag(more), more)
+    timed = bits.flag(more)
+    immediate = np.zeros(len(where), bool)
+    if scheduled:
+        bits.take(5, more)
+    else:
+        immediate = bits.flag(more)
+        got["splice_immediate"] = (immediate, more)
+        bits.take(4, more)
+    times = np.where(whole, 1, bits.take(8, more & ~whole))
+    when, stated = np.zeros(len(where), np.int64), np.zeros(len(where), bool)
+    for k in range(int(times[more].max(initial=0))):
+        now = more & (k < times) & bits.good
+        if not now.any():
+            break
+        bits.take(8, now & ~whole)
+        if scheduled:
+            value, known = bits.take(32, now), now
+        else:
+            value, known = bits.time(now & ~immediate)
+        when, stated = np.where(now & whole, value, when), np.where(now & whole, known, stated)
+    got["utc_time" if scheduled else "pts_time"] = (when, more & stated)
+    timed &= more
+    got["auto_return"] = (bits.flag(timed), timed)
+    bits.take(6, timed)
+    got["break_ticks"] = (bits.take(33, timed), timed)
+    for name, n in (("unique_program_id", 16), ("avail_num", 8), ("avails_expected", 8)):
+        got[name] = (bits.take(n, more), more)
+    return structs(typed(_INSERT), got, where)
+
+
+def _descriptors(data: Bytes, rows: np.ndarray, at: np.ndarray, tag: np.ndarray, size: np.ndarray) -> pa.StructArray:
+    """Descriptors that stand at ``at`` in ``rows`` of the data, all at once."""
+    body = data.begin[rows] + at + 2
+    raw = [data.flat_bytes[a : a + n].hex() for a, n in zip(body.tolist(), size.tolist(), strict=True)]
+    own = (tag == 2) & (size >= 5)
+    bits = Cursors(data.flat, body + 4, np.maximum(size - 4, 0))
+    event, cancel = bits.take(32, own), bits.flag(own)
+    bits.take(7, own)
+    more = own & ~cancel
+    whole, timed = bits.flag(more), bits.flag(more)
+    bits.take(6, more)
+    bits.skip(bits.take(8, more & ~whole) * 48, more & ~whole)
+    ticks = bits.take(40, more & timed)
+    kind, length = bits.take(8, more), bits.take(8, more)
+    upid = bits.begin + bits.at // 8
+    bits.skip(length * 8, more)
+    last = [bits.take(8, more) for _ in range(3)]
+    sub = more & bits.good & np.isin(last[0], SUB_SEGMENT_TYPES) & (bits.left() >= 16)
+    parts = [bits.take(8, sub) for _ in range(2)]
+    read = own & bits.good  # what can't be read is kept by its tag and bytes
+    hexed, text = np.full(len(rows), None, object), np.full(len(rows), None, object)
+    hexed[read], text[read] = "", ""
+    for k in np.flatnonzero(read & more & (length > 0)).tolist():
+        value = data.flat_bytes[upid[k] : upid[k] + length[k]]
+        hexed[k], text[k] = value.hex(), upid_text(int(kind[k]), value)
+    full = read & more
+    got = {
+        "tag": (tag, None), "event_id": (event, read), "cancel": (cancel, read), "duration_ticks": (ticks, full & timed), "upid_type": (kind, read), "upid_hex": (hexed, read), "upid_text": (text, read),
+        "type_id": (last[0], read), "segment_num": (last[1], full), "segments_expected": (last[2], full), "sub_segment_num": (parts[0], full & sub), "sub_segments_expected": (parts[1], full & sub), "raw_hex": (raw, None),
+    }
+    return structs(typed(_DESCRIPTOR), got)
+
+
+def read_sections(values: pa.Array) -> pa.Array:
+    """The fields of a batch of sections, each step for all of them at once. A section that can't be read has ok = false and
+    the reason; null gives null."""
+    data = Bytes(values)
+    n, given = len(values), data.given
+    bits = Cursors(data.flat, data.begin, data.size)
+    error = np.full(n, None, object)
+    error[given & (data.size < 14)] = "too short for a section"
+    live = given & (data.size >= 14)
+    table = bits.take(8, live)
+    for k in np.flatnonzero(live & (table != 0xFC)).tolist():
+        error[k] = f"table_id is {int(table[k]):#04x}, not 0xfc"
+    live &= table == 0xFC
+    bits.take(4, live)
+    head = {"section_length": bits.take(12, live), "protocol_version": bits.take(8, live), "encrypted": bits.flag(live), "encryption_algorithm": bits.take(6, live), "pts_adjustment": bits.take(33, live)}
+    bits.take(8, live)
+    head["tier"], length, kind = bits.take(12, live), bits.take(12, live), bits.take(8, live)
+    head["command_type"], begun = kind, bits.at.copy()
+    insert = _event(bits, live & (kind == 5), False)
+    is_time = live & (kind == 6)
+    when, stated = bits.time(is_time)
+    is_schedule = live & (kind == 4)
+    many = bits.take(8, is_schedule)
+    events, owners = [], []
+    for k in range(int(many.max(initial=0))):
+        now = is_schedule & (k < many) & bits.good
+        if not now.any():
+            break
+        events.append(_event(bits, now, True).filter(pa.array(now)))
+        owners.append(np.flatnonzero(now))
+    stated_length = live & bits.good & (length != 0xFFF)
+    bits.at = np.where(stated_length, begun + 8 * length, bits.at)
+    loop = bits.take(16, live)
+    live &= bits.good
+    error[given & ~bits.good & (error == None)] = "the section ends early"  # noqa: E711
+    at = bits.at // 8
+    end = np.minimum(at + loop, data.size)
+    rows = np.flatnonzero(live)
+    found: list[tuple[np.ndarray, ...]] = []
+    at = at[rows]
+    while len(rows):
+        go = at + 2 <= end[rows]
+        rows, at = rows[go], at[go]
+        tag, size = data.byte(rows, at), data.byte(rows, at + 1)
+        go = at + 2 + size <= data.size[rows]
+        rows, at, tag, size = rows[go], at[go], tag[go], size[go]
+        if len(rows):
+            found.append((rows, at, tag, size))
+        at = at + 2 + size
+    of, where, tag, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+    order = np.argsort(of, kind="stable")
+    descriptors = lists(_descriptors(data, of[order], where[order], tag[order], size[order]), np.bincount(of, minlength=n), live)
+    if events:
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        order = order[live[owner[order]]]
+        schedule = lists(pa.concat_arrays(events).take(pa.array(order)), np.bincount(owner, minlength=n), live & is_schedule)
+    else:
+        schedule = lists(structs(typed(_INSERT), {}, np.zeros(0, bool)), np.zeros(n, np.int64), live & is_schedule)
+    whole = head["section_length"] + 3
+    checked = live & (whole >= 4) & (whole <= data.size)
+    last = Cursors(data.flat, data.begin + np.where(checked, whole - 4, 0), np.full(n, 4))
+    crc = last.take(32, checked)
+    valid = checked & (crc32_columns(data, np.where(checked, whole, 0)) == 0)
+    signal = structs({"specified": pa.bool_(), "pts_time": pa.int64()}, {"specified": (stated, is_time), "pts_time": (when, is_time & stated)}, live & is_time)
+    insert = pa.StructArray.from_arrays(insert.flatten(), fields=[insert.type.field(k) for k in range(insert.type.num_fields)], mask=pa.array(~(live & (kind == 5))))
+    plain = typed("section_length int, protocol_version int, encrypted boolean, encryption_algorithm int, pts_adjustment long, tier int, command_type int")
+    made = {"ok": column(live, pa.bool_(), given), "error": pa.array(error, pa.string())}
+    made |= {name: column(head[name], kind_, live) for name, kind_ in plain.items()}
+    made |= {"splice_insert": insert, "time_signal": signal, "schedule": schedule, "descriptors": descriptors, "crc32": column(crc, pa.int64(), live), "crc_valid": column(valid, pa.bool_(), live)}
+    return pa.StructArray.from_arrays([*made.values()], names=[*made], mask=pa.array(~given))
 
 
 def read_section(data: bytes | None) -> dict | None:
-    """The section's fields; a section that can't be read has ok = false and the reason. Null gives null."""
-    if data is None:
-        return None
-    try:
-        return _read(data)
-    except ValueError as e:
-        return {"ok": False, "error": str(e)}
-
-
-def _read(data: bytes) -> dict:
-    if len(data) < 14:
-        raise ValueError("too short for a section")
-    bits = Bits(data)
-    if (table := bits.take(8)) != 0xFC:
-        raise ValueError(f"table_id is {table:#04x}, not 0xfc")
-    bits.take(4)
-    out: dict = {"ok": True, "section_length": bits.take(12), "protocol_version": bits.take(8), "encrypted": bits.flag()}
-    out["encryption_algorithm"], out["pts_adjustment"] = bits.take(6), bits.take(33)
-    bits.take(8)
-    out["tier"], length, kind = bits.take(12), bits.take(12), bits.take(8)
-    out["command_type"], begin = kind, bits.at
-    if kind == 5:
-        out["splice_insert"] = _event(bits, False)
-    elif kind == 6:
-        when = _time(bits)
-        out["time_signal"] = {"specified": when is not None, "pts_time": when}
-    elif kind == 4:
-        out["schedule"] = [_event(bits, True) for _ in range(bits.take(8))]
-    if length != 0xFFF:  # the length is stated: go where it says
-        bits.at = begin + 8 * length
-    loop = bits.take(16)
-    at = bits.at // 8
-    end, out["descriptors"] = at + loop, []
-    while at + 2 <= min(end, len(data)):
-        tag, size = data[at], data[at + 1]
-        body = data[at + 2 : at + 2 + size]
-        if len(body) < size:
-            break
-        found = {"tag": tag}
-        if tag == 2 and size >= 5:
-            try:
-                found = _segmentation(body[4:])
-            except ValueError:
-                found = {"tag": tag}
-        out["descriptors"].append(found | {"raw_hex": body.hex()})
-        at += 2 + size
-    whole = out["section_length"] + 3
-    out["crc32"], out["crc_valid"] = 0, False
-    if 4 <= whole <= len(data):
-        out["crc32"] = int.from_bytes(data[whole - 4 : whole], "big")
-        out["crc_valid"] = crc32_mpeg(data[:whole]) == 0
-    return out
+    """One section, as a dict of all its fields."""
+    return read_sections(pa.array([data], pa.binary()))[0].as_py()
+
+
+def crc32_mpeg(data: bytes) -> int:
+    """CRC of polynomial 04C11DB7, not reflected, from all ones; 0 over a section that ends with its own CRC."""
+    own = Bytes(pa.array([data], pa.binary()))
+    return int(crc32_columns(own, own.size)[0])
+
+
+def crc32_of(values: pa.Array) -> pa.Array:
+    own = Bytes(values)
+    return column(crc32_columns(own, own.size), pa.int64(), own.given)
 
 
 class _Writer:
@@ -253,11 +270,16 @@ def payload_bytes(payload: Column) -> Column:
 
 def decode_section(payload: Column) -> Column:
     """A payload text as a struct of its section."""
-    return F.udf(read_section, SECTION, useArrow=True)(payload_bytes(payload))
+    return decode_bytes(payload_bytes(payload))
+
+
+def decode_bytes(data: Column) -> Column:
+    """The bytes of a section as a struct."""
+    return F.arrow_udf(read_sections, SECTION)(data)
 
 
 def crc_residue(data: Column) -> Column:
-    return F.udf(lambda b: None if b is None else crc32_mpeg(b), "long", useArrow=True)(data)
+    return F.arrow_udf(crc32_of, "long")(data)
 
 
 def segmentation(section: Column) -> Column:
@@ -312,5 +334,5 @@ def upid_problem(kind: Column, hexed: Column, text: Column) -> Column:
 
 def register(spark) -> None:
     """Make the decoders available to SQL."""
-    spark.udf.register("decode_scte35", F.udf(read_section, SECTION, useArrow=True))
-    spark.udf.register("crc32_mpeg", F.udf(lambda b: None if b is None else crc32_mpeg(b), "long", useArrow=True))
+    spark.udf.register("decode_scte35", F.arrow_udf(read_sections, SECTION))
+    spark.udf.register("crc32_mpeg", F.arrow_udf(crc32_of, "long"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.functions.splice import TEXT_UPIDS, TICKS, Bits
+from cuelake.functions.bitfields import Bytes, Cursors, column, lists, structs, typed
+from cuelake.functions.splice import TEXT_UPIDS, TICKS
 from cuelake.operators.findings import emit, rule
 
 #: Known operations; kinds of splice requests that start a break.
@@ -22,56 +25,76 @@ MESSAGE = (
 )
 
 
-def _operation(number: int, body: bytes) -> dict:
-    bits, out = Bits(body), {"op_id": number}
-    try:
-        if number == SPLICE:
-            fields = (("insert_type", 8), ("event_id", 32), ("program_id", 16), ("pre_roll_ms", 16), ("tenths", 16), ("avail_num", 8), ("avails_expected", 8))
-            out["splice"] = {name: bits.take(n) for name, n in fields} | {"auto_return": bits.take(8) == 1}
-        elif number == SEGMENTATION:
-            own = {"event_id": bits.take(32), "cancel": bits.take(8) == 1, "tenths": bits.take(16), "upid_type": bits.take(8)}
-            upid = bytes(bits.take(8) for _ in range(bits.take(8)))
-            text = "".join(chr(c) for c in upid if 32 <= c < 127) if own["upid_type"] in TEXT_UPIDS else ""
-            own |= {"upid_hex": upid.hex(), "upid_text": text, "type_id": bits.take(8), "segment_num": bits.take(8), "segments_expected": bits.take(8)}
-            out["segmentation"] = own
-        else:
-            out["raw_hex"] = body.hex()
-    except ValueError:
-        out["raw_hex"] = body.hex()
-    return out
-
-
-def read_message(data: bytes | None) -> dict | None:
-    if data is None:
-        return None
-    try:
-        if len(data) < 6:
-            raise ValueError("too short for a message")
-        bits = Bits(data)
-        first = bits.take(16)
-        bits.take(16)
-        out: dict = {"ok": True, "multiple": first == MULTIPLE} | {n: bits.take(k) for n, k in (("protocol_version", 8), ("as_index", 8), ("message_number", 8), ("dpi_pid_index", 16))}
-        if first != MULTIPLE:
-            return out | {"operations": [_operation(first, data[bits.at // 8 :])]}
-        bits.take(8)
-        out["time_type"] = bits.take(8)
-        stamp = TIME_BITS.get(out["time_type"], 0)
-        if out["time_type"] == 1:
-            out["utc_seconds"] = bits.take(32)
-            stamp -= 32
-        bits.take(stamp)
-        out["operations"] = []
-        for _ in range(bits.take(8)):
-            if bits.size - bits.at < 32:
-                break
-            number, length = bits.take(16), bits.take(16)
-            at = bits.at // 8
-            body = data[at : at + length]
-            bits.at += 8 * len(body)
-            out["operations"].append(_operation(number, body))
-        return out
-    except ValueError as e:
-        return {"ok": False, "error": str(e)}
+_HEAD = "protocol_version int, as_index int, message_number int, dpi_pid_index int"
+_SPLICE = "insert_type int, event_id long, program_id int, pre_roll_ms int, tenths int, avail_num int, avails_expected int, auto_return boolean"
+_SEGMENT = "event_id long, cancel boolean, tenths int, upid_type int, upid_hex string, upid_text string, type_id int, segment_num int, segments_expected int"
+
+
+def _operations(data: Bytes, number: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.StructArray:
+    """Operations of all messages at once. One that is not known, or ends early, is kept as its bytes."""
+    bits, spliced = Cursors(data.flat, begin, size), number == SPLICE
+    widths = (("insert_type", 8), ("event_id", 32), ("program_id", 16), ("pre_roll_ms", 16), ("tenths", 16), ("avail_num", 8), ("avails_expected", 8))
+    splice = {name: (bits.take(n, spliced), None) for name, n in widths} | {"auto_return": (bits.take(8, spliced) == 1, None)}
+    own = number == SEGMENTATION
+    segment = {"event_id": (bits.take(32, own), None), "cancel": (bits.take(8, own) == 1, None), "tenths": (bits.take(16, own), None), "upid_type": ((kind := bits.take(8, own)), None)}
+    length = bits.take(8, own)
+    at = bits.begin + bits.at // 8
+    bits.skip(length * 8, own)
+    segment |= {name: (bits.take(8, own), None) for name in ("type_id", "segment_num", "segments_expected")}
+    hexed, text = np.full(len(number), "", object), np.full(len(number), "", object)
+    for k in np.flatnonzero(own & bits.good & (length > 0)).tolist():
+        upid = data.flat_bytes[at[k] : at[k] + length[k]]
+        hexed[k] = upid.hex()
+        if kind[k] in TEXT_UPIDS:
+            text[k] = "".join(chr(c) for c in upid if 32 <= c < 127)
+    segment |= {"upid_hex": (hexed, None), "upid_text": (text, None)}
+    read = (spliced | own) & bits.good
+    raw = [None if r else data.flat_bytes[a : a + n].hex() for r, a, n in zip(read.tolist(), begin.tolist(), size.tolist(), strict=True)]
+    parts = {"op_id": column(number, pa.int32()), "raw_hex": pa.array(raw, pa.string()), "splice": structs(typed(_SPLICE), splice, read & spliced), "segmentation": structs(typed(_SEGMENT), segment, read & own)}
+    return pa.StructArray.from_arrays([*parts.values()], names=[*parts])
+
+
+def read_messages(values: pa.Array) -> pa.Array:
+    """The fields of a batch of messages, each step for all of them at once. One that can't be read has ok = false and the
+    reason; null gives null."""
+    data = Bytes(values)
+    n, given = len(values), data.given
+    bits = Cursors(data.flat, data.begin, data.size)
+    live = given & (data.size >= 6)
+    first = bits.take(16, live)
+    bits.take(16, live)
+    head = {name: bits.take(k, live) for name, k in (("protocol_version", 8), ("as_index", 8), ("message_number", 8), ("dpi_pid_index", 16))}
+    several = live & (first == MULTIPLE)
+    bits.take(8, several)
+    kind = bits.take(8, several)
+    utc = bits.take(32, several & (kind == 1))
+    for k, width in TIME_BITS.items():
+        bits.skip(width - 32 if k == 1 else width, several & (kind == k))
+    many = bits.take(8, several)
+    live &= bits.good
+    alone = np.flatnonzero(live & ~several)
+    start = bits.at[alone] // 8
+    found = [(alone, first[alone], data.begin[alone] + start, data.size[alone] - start)]
+    rows = np.flatnonzero(live & several)
+    at = bits.at[rows] // 8
+    turn = 0
+    while len(rows):
+        go = (turn < many[rows]) & (data.size[rows] - at >= 4)
+        rows, at, turn = rows[go], at[go], turn + 1
+        number, length = (data.byte(rows, at + k) << 8 | data.byte(rows, at + k + 1) for k in (0, 2))
+        length = np.minimum(length, data.size[rows] - at - 4)
+        found.append((rows, number, data.begin[rows] + at + 4, length))
+        at = at + 4 + length
+    of, number, begin, size = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(of, kind="stable")
+    operations = lists(_operations(data, number[order], begin[order], size[order]), np.bincount(of, minlength=n), live)
+    error = np.full(n, None, object)
+    error[given & ~live] = "the section ends early"
+    error[given & (data.size < 6)] = "too short for a message"
+    made = {"ok": column(live, pa.bool_(), given), "error": pa.array(error, pa.string()), "multiple": column(several, pa.bool_(), live)}
+    made |= {name: column(head[name], pa.int32(), live) for name in typed(_HEAD)}
+    made |= {"time_type": column(kind, pa.int32(), live & several), "utc_seconds": column(utc, pa.int64(), live & several & (kind == 1)), "operations": operations}
+    return pa.StructArray.from_arrays([*made.values()], names=[*made], mask=pa.array(~given))
 
 
 def message_bytes(text: Column) -> Column:
@@ -80,8 +103,8 @@ def message_bytes(text: Column) -> Column:
     return F.when(plain.rlike("^([0-9A-Fa-f]{2})+$"), F.unhex(plain)).otherwise(F.unbase64(F.regexp_replace(F.trim(text), '^"|"$', "")))
 
 
-def decoded(messages: DataFrame, column: str = "message") -> DataFrame:
-    return messages.withColumn("m", F.udf(read_message, MESSAGE, useArrow=True)(message_bytes(F.col(column))))
+def decoded(messages: DataFrame, name: str = "message") -> DataFrame:
+    return messages.withColumn("m", F.arrow_udf(read_messages, MESSAGE)(message_bytes(F.col(name))))
 
 
 def findings(messages: DataFrame) -> DataFrame:

@@ -204,8 +204,7 @@ def cues(files: DataFrame) -> DataFrame:
 
 def signals(found: DataFrame, segments: DataFrame) -> DataFrame:
     """Decoded cues with the wall-clock time that they mean; ``segments`` gives (doc_id, uri, pdt)."""
-    decode = F.udf(splice.read_section, splice.SECTION, useArrow=True)
-    rows = found.join(segments.select("doc_id", "uri", "pdt"), "uri").withColumn("section", decode("data"))
+    rows = found.join(segments.select("doc_id", "uri", "pdt"), "uri").withColumn("section", splice.decode_bytes(F.col("data")))
     lead = F.try_element_at(splice.segmentation(F.col("section")), F.lit(1))
     insert = F.col("section.splice_insert")
     at = F.coalesce(F.col("section.time_signal.pts_time"), insert["pts_time"]) + F.col("section.pts_adjustment")
