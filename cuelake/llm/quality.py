@@ -9,10 +9,11 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import append_columns, words
+from cuelake.llm.common import append_columns, blocks, text_bytes, words
 
 #: Hashed word slots, slots of the statistics, rank of the interactions.
 WORD_SLOTS, STATS, BINS, RANK = 1 << 15, 12, 8, 6
@@ -119,18 +120,34 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, learn=None
     texts = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
-    def make():
-        def handle(block):
-            made = [features(x) for x in block]
-            return {"slots": [a.tolist() for a, _ in made], "vals": [b.tolist() for _, b in made]}
-
-        return handle
-
-    table = append_columns(texts, make, "slots array<int>, vals array<float>").select("doc_id", "quality", "slots", "vals").toArrow()
-    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-    slots, values = table["slots"].to_pylist(), table["vals"].to_pylist()
-    picked = [(np.array(slots[i], np.int64), np.array(values[i])) for i in order]
-    return Machine().fit(picked, table["quality"].to_numpy()[order].astype(float))
+    # the sample is bounded: one task learns from it, and only the weights come to the driver
+    found = texts.select("doc_id", "quality", text_bytes()).mapInArrow(_featured, "doc_id long, quality long, slots binary, vals binary")
+    learned = found.repartition(1).mapInArrow(_fitted, "bias double, weights binary").collect()
+    machine = Machine()
+    for row in learned:
+        machine.bias, machine.weights = row["bias"], np.frombuffer(row["weights"], np.float64).reshape(SLOTS, 1 + RANK)
+    return machine
+
+
+def _featured(batches):
+    """Rows (doc_id, quality, text) with the features of their texts."""
+    for batch in batches:
+        for part in blocks(batch):
+            made = [features(x) for x in part.column(2).to_pylist()]
+            packed = [pa.array([x[k].astype(t).tobytes() for x in made], pa.binary()) for k, t in enumerate((np.int32, np.float32))]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int64()), *packed], names=["doc_id", "quality", "slots", "vals"])
+
+
+def _fitted(batches):
+    """Bias and weights learned from the rows of ``_featured``, in order of doc_id."""
+    ids, labels, rows = [], [], []
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+        rows += [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+    order = np.argsort(np.array(ids, np.int64), kind="stable")
+    machine = Machine().fit([(rows[i][0].astype(np.int64), rows[i][1].astype(float)) for i in order], np.array(labels, float)[order])
+    yield pa.RecordBatch.from_arrays([pa.array([machine.bias]), pa.array([machine.weights.tobytes()], pa.binary())], names=["bias", "weights"])
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
