@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from cuelake.runtime import gathered
+
 
 def paired(events: DataFrame, keys: list[str], order: list[str], polarity: str = "polarity") -> DataFrame:
     """Events with columns on how they pair: polarity is 1 for a departure and 0 for a return.
@@ -84,29 +89,13 @@ def coverage(polls: DataFrame, key: str, at: str, every: float, start: Column, e
     )
 
 
-def greedy_nearest(pairs: DataFrame, keys: list[str], left: str, right: str, radius: float) -> DataFrame:
-    """Exclusive nearest matches, taken in the order of the left rows: ``pairs`` has for each key the arrays ``left``
-    and ``right`` of struct<id, at>, both in order. Returns keys, left_id, right_id, distance. An order-dependent
-    match is a fold; its arrays are those of one pair of documents.
-    """
-    begun = F.array().cast("array<struct<left_id:bigint,right_id:bigint,distance:double>>")
-
-    def step(acc, x):
-        free = F.filter(F.col(right), lambda y: (F.abs(y["at"] - x["at"]) <= radius) & ~F.exists(acc, lambda m: m["right_id"] == y["id"]))
-        ranked = F.array_sort(F.transform(free, lambda y: F.struct(F.abs(y["at"] - x["at"]).cast("double").alias("distance"), y["id"].cast("bigint").alias("right_id"))))
-        best = F.try_element_at(ranked, F.lit(1))
-        added = F.array(F.struct(x["id"].cast("bigint").alias("left_id"), best["right_id"].alias("right_id"), best["distance"].alias("distance")))
-        return F.when(best.isNull(), acc).otherwise(F.concat(acc, added))
-
-    matched = F.aggregate(F.col(left), begun, step)
-    return pairs.select(*keys, F.inline(matched))
-
-
 MATCHED = "left_id long, right_id long, distance double"
 
 
 def greedy_events(left: DataFrame, right: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """As ``greedy_nearest`` for events (keys, id, at), of which a key may have any number.
+    """Exclusive nearest matches of events (keys, id, at): departures (left) in the order of time take the nearest return
+    (right) within ``radius`` that is still free, of equally near ones that of the smallest id. Returns keys, left_id,
+    right_id, distance.
 
     No match crosses a stretch of more than ``radius`` without an event, so that each key is cut there into groups that
     are matched apart; a group is streamed in the order of time, and only returns within the radius of the departure at
@@ -117,29 +106,30 @@ def greedy_events(left: DataFrame, right: DataFrame, keys: list[str], radius: fl
     by = Window.partitionBy(*keys).orderBy("at", "side", "id")
     both = both.withColumn("_new", F.coalesce(F.col("at") - F.lag("at").over(by) > radius, F.lit(True)).cast("int"))
     both = both.withColumn("_group", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "_group", "at", "side", "id")
-    spread = both.repartition(*keys, "_group").sortWithinPartitions(*keys, "_group", "at", "side", "id")
+    spread = gathered(both, *keys, "_group").sortWithinPartitions(*keys, "_group", "at", "side", "id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema.fields) + ", " + MATCHED
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        asked: list = []  # departures that wait for the returns after them, oldest first
-        free: list = []  # returns that may still be taken
+        asked: deque = deque()  # departures that wait for the returns after them, oldest first
+        times, ids = [], []  # returns that may still be taken, in order of time and id
         group: list | None = None
 
         def settle(until: float):
             """Match the departures of which all returns within the radius are known by now."""
             while asked and asked[0][1] + radius < until:
-                name, at = asked.pop(0)
-                near = [(abs(t - at), i, n) for n, (t, i) in enumerate(free) if abs(t - at) <= radius]
-                if near:
+                name, at = asked.popleft()
+                k = bisect_left(times, at)
+                near = [(abs(times[n] - at), ids[n], n) for n in ([bisect_left(times, times[k - 1])] if k else []) + ([k] if k < len(times) else [])]
+                if near and min(near)[0] <= radius:
                     distance, chosen, n = min(near)
-                    free.pop(n)
+                    del times[n], ids[n]
                     yield (*group[:-1], name, chosen, distance)
                 forget(asked[0][1] if asked else until)
 
         def forget(at: float):
-            while free and free[0][0] < at - radius:
-                free.pop(0)
+            gone = bisect_left(times, at - radius)
+            del times[:gone], ids[:gone]
 
         def made(rows):
             columns = [*zip(*rows, strict=True)]
@@ -153,10 +143,11 @@ def greedy_events(left: DataFrame, right: DataFrame, keys: list[str], radius: fl
                     out += settle(float("inf")) if group is not None else ()
                     group = name
                     asked.clear()
-                    free.clear()
+                    del times[:], ids[:]
                 out += settle(at)
                 if kind:
-                    free.append((at, ident))
+                    times.append(at)
+                    ids.append(ident)
                 else:
                     asked.append((ident, at))
                 if not asked:

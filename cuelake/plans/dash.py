@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import splice
 from cuelake.functions.text import number
 from cuelake.operators.findings import emit, rule, told, verdicts
+from cuelake.operators.matching import InTurn, exclusive
 from cuelake.runtime import Tables
 from cuelake.sources import dash
 
@@ -65,7 +66,7 @@ class DashAnalysis(Tables):
             .unionByName(_structure_rules(self.periods))
             .unionByName(_event_rules(self.signals, self.unique, self.headers))
             .unionByName(_break_rules(self.breaks, self.headers))
-            .unionByName(_orphans(self.unique, self.periods))
+            .unionByName(_orphans(self.unique, self.breaks))
         )
 
     @cached_property
@@ -120,23 +121,13 @@ def deduplicated(signals: DataFrame) -> DataFrame:
 
 def breaks_of(unique: DataFrame, periods: DataFrame, headers: DataFrame) -> DataFrame:
     """Each start takes the first free end of its event id in its period or later, or else the first free one of a later
-    period: a fold over one document's signals."""
-    entry = F.struct(F.col("ord").cast("long").alias("ord"), "event_id", "period_start", F.col("at").alias("at"))
-    start_order = F.struct(F.col("period_start"), F.col("ord"), entry.alias("x"))
-    per = unique.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("is_start"), start_order))), lambda s: s["x"]).alias("starts"),
-        F.array_sort(F.collect_list(F.when(F.col("is_end"), entry))).alias("ends"),
-    )
-    begun = F.array().cast("array<struct<start:bigint,end:bigint,end_at:double>>")
-
-    def step(acc, s):
-        free = F.filter(F.col("ends"), lambda e: ~F.exists(acc, lambda m: m["end"] == e["ord"]))
-        by_id = F.filter(free, lambda e: (e["event_id"] == s["event_id"]) & (e["period_start"] >= s["period_start"]))
-        later = F.filter(free, lambda e: e["period_start"] > s["period_start"])
-        best = F.coalesce(F.try_element_at(by_id, F.lit(1)), F.try_element_at(later, F.lit(1)))
-        return F.concat(acc, F.array(F.struct(s["ord"].alias("start"), best["ord"].alias("end"), best["at"].alias("end_at"))))
-
-    matched = per.select("doc_id", F.posexplode(F.aggregate(F.col("starts"), begun, step)).alias("index", "m")).select("doc_id", "index", F.col("m.start").alias("ord"), F.col("m.end").alias("end_ord"), F.col("m.end_at").alias("end_at"))
+    period."""
+    side = lambda when: unique.where(when).select("doc_id", F.col("ord").alias("id"), F.col("event_id").cast("string").alias("name"), F.col("period_start").alias("at"))
+    taken = exclusive(side("is_start"), side("is_end"), ["doc_id"], taking=InTurn, order="at")
+    ends = unique.select("doc_id", F.col("ord").alias("end_ord"), F.col("at").alias("end_at"))
+    taken = taken.select("doc_id", F.col("left_id").alias("ord"), F.col("right_id").alias("end_ord")).join(ends, ["doc_id", "end_ord"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("period_start", "ord")) - 1
+    matched = unique.where("is_start").select("doc_id", "ord", place.alias("index")).join(taken, ["doc_id", "ord"], "left")
     rows = matched.join(unique, ["doc_id", "ord"]).join(headers.select("doc_id", "type", "ast_ms", "mup", "period_count"), "doc_id")
     rows = rows.join(periods.select("doc_id", "period_index", "media_templates", "video_segments", F.coalesce("declared_duration", "media_duration").alias("period_length")), ["doc_id", "period_index"])
     declared = F.coalesce("signal_length", "duration")
@@ -269,20 +260,13 @@ def _break_rules(breaks: DataFrame, headers: DataFrame) -> DataFrame:
     return found.unionByName(emit(shortest, [rule(_live() & (F.col("mup") > F.col("shortest")), "warning", "MUP_LONGER_THAN_SHORTEST_BREAK")]))
 
 
-def _orphans(unique: DataFrame, periods: DataFrame) -> DataFrame:
-    """Ends that no start takes, but for those of the oldest period. As every start takes one free end if there is any
-    later, an end is left over by the same fold that pairs them."""
-    used = breaks_used(unique)
+def _orphans(unique: DataFrame, breaks: DataFrame) -> DataFrame:
+    """Ends that no start takes, but for those of the oldest period."""
+    used = breaks.where("end_ord is not null").select("doc_id", F.col("end_ord").cast("int").alias("ord"))
     free = unique.where("is_end and period_index > 0").join(used, ["doc_id", "ord"], "left_anti")
     return emit(free, [rule(F.lit(True), "warning", "ORPHAN_BREAK_END", at=F.col("period_start"))])
 
 
-def breaks_used(unique: DataFrame) -> DataFrame:
-    heads = unique.select("doc_id").distinct().select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("type", "string"), ("ast_ms", "double"), ("mup", "double"), ("period_count", "int"))])
-    bare = unique.select("doc_id", "period_index").distinct().select("doc_id", "period_index", F.array().cast("array<string>").alias("media_templates"), F.lit(0).alias("video_segments"), F.lit(None).cast("double").alias("declared_duration"), F.lit(None).cast("double").alias("media_duration"))
-    return breaks_of(unique, bare, heads).where("end_ord is not null").select("doc_id", F.col("end_ord").cast("int").alias("ord"))
-
-
 def stats_of(headers: DataFrame, periods: DataFrame, unique: DataFrame, breaks: DataFrame) -> DataFrame:
     span = periods.groupBy("doc_id").agg(
         F.sum("video_segments").alias("segment_count"), (F.max(F.col("media_start") + F.col("media_duration")) - F.min("media_start")).alias("span"), F.min_by("media_start", "period_index").alias("from"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import splice
 from cuelake.functions.text import given
 from cuelake.operators.findings import emit, rule
+from cuelake.operators.matching import exclusive
 
 #: Milliseconds: a point's largest distance from its break; how far ahead a point is in the future. Seconds: lengths, drift.
 NEAR_MS, AHEAD_MS, LENGTH, DRIFT = 10_000.0, 86_400_000.0, 0.5, 1.0
@@ -15,28 +16,16 @@ NEAR_MS, AHEAD_MS, LENGTH, DRIFT = 10_000.0, 86_400_000.0, 0.5, 1.0
 
 def compare(points: DataFrame, breaks: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
     """Matches (doc_id, ordinal, index, drift) and findings. Points in order take a free break of the same UPID, or else the nearest
-    free one by the clock: a fold over one document's arrays. ``breaks`` are those of the same doc_id."""
+    free one by the clock. ``breaks`` are those of the same doc_id."""
     lead = F.try_element_at(splice.segmentation(F.col("signal")), F.lit(1))
     rows = points.withColumns({
         "upid": F.coalesce(given(lead["upid_text"]), given(lead["upid_hex"])), "type_id": lead["type_id"],
         "expired": F.coalesce(F.col("expires") < now, F.lit(False)), "ahead": F.coalesce(F.col("effective") > now + AHEAD_MS, F.lit(False)),
     })
     live = rows.where("not expired and not ahead")
-    asked = live.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "upid", "match_at"))).alias("asked"))
-    given_ = breaks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "upid", "pdt"))).alias("given"))
-    both = asked.join(given_, "doc_id")
-    begun = F.array().cast("array<struct<ordinal:int,index:int,drift:double>>")
-
-    def step(acc, x):
-        free = F.filter(F.col("given"), lambda b: ~F.exists(acc, lambda m: m["index"] == b["index"]))
-        named = F.try_element_at(F.filter(free, lambda b: b["upid"] == x["upid"]), F.lit(1))
-        timed = F.array_sort(F.transform(F.filter(free, lambda b: F.abs(b["pdt"] - x["match_at"]) <= NEAR_MS), lambda b: F.struct(F.abs(b["pdt"] - x["match_at"]).alias("d"), b["index"].alias("index"))))
-        near = F.try_element_at(timed, F.lit(1))
-        chosen = F.coalesce(named["index"], near["index"])
-        drift = F.when(named["index"].isNull(), near["d"] / 1000)
-        return F.when(chosen.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(x["ordinal"].alias("ordinal"), chosen.alias("index"), drift.cast("double").alias("drift")))))
-
-    matches = both.select("doc_id", F.inline(F.aggregate("asked", begun, step)))
+    asked = live.select("doc_id", F.col("ordinal").alias("id"), F.col("upid").alias("name"), F.col("match_at").alias("at"))
+    taken = exclusive(asked, breaks.select("doc_id", F.col("index").alias("id"), F.col("upid").alias("name"), F.col("pdt").alias("at")), ["doc_id"], NEAR_MS)
+    matches = taken.select("doc_id", F.col("left_id").cast("int").alias("ordinal"), F.col("right_id").cast("int").alias("index"), (F.col("distance") / 1000).alias("drift"))
     of = breaks.select("doc_id", "index", "segmentation_type", "signalled_duration")
     full = live.join(matches, ["doc_id", "ordinal"], "left").join(of, ["doc_id", "index"], "left")
     out = emit(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import media_shape
 from cuelake.operators.findings import emit, rule
-from cuelake.operators.pairing import greedy_nearest
+from cuelake.operators.matching import exclusive
 
 #: Seconds: a counterpart's largest distance; tolerance of a fill and of an alignment.
 MATCH, FILL, ALIGN = 6.0, 0.5, 0.5
@@ -43,10 +43,8 @@ def compare(pairs: DataFrame, breaks: DataFrame, stats: DataFrame, segments: Dat
     inside = F.col("pdt").isNull() | F.col("from").isNull() | ((F.col("pdt") >= F.col("from")) & (F.col("pdt") + length <= F.col("to") + MATCH * 1000))
     own = own.join(frame.select("pair_id", "from", "to"), "pair_id").where(inside).drop("from", "to")
     source, output = own.where("side = 'source'"), own.where("side = 'output'")
-    listed = lambda rows, name: rows.where("pdt is not null").groupBy("pair_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("index").cast("long").alias("id"), (F.col("pdt") / 1000).alias("at")))).alias(name)
-    )
-    met = greedy_nearest(listed(source, "asked").join(listed(output, "given"), "pair_id"), ["pair_id"], "asked", "given", MATCH)
+    clocked = lambda rows: rows.where("pdt is not null").select("pair_id", F.col("index").alias("id"), F.lit(None).alias("name"), (F.col("pdt") / 1000).alias("at"))
+    met = exclusive(clocked(source), clocked(output), ["pair_id"], MATCH)
     shown = F.collect_set(media_shape(F.col("uri")))
     within = output.select("pair_id", "doc_id", F.explode("media_uris").alias("uri")).distinct()
     content = segments.join(sides.where("side = 'output'"), "doc_id").join(within, ["pair_id", "doc_id", "uri"], "left_anti")

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -27,6 +28,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one partition, for a pass that sees partitions as they are. By a hash of the keys: an exchange by the
+    keys themselves is left out where Spark takes the rows to be dealt so already, which a union or a skewed join that
+    is planned anew at run time need not keep."""
+    return df.repartition(F.xxhash64(*keys))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's spark.checkpoint.dir; where that is unset (tests), below /tmp."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"

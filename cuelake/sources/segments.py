@@ -223,24 +223,37 @@ def agreement(found: DataFrame, breaks: DataFrame, probed: DataFrame) -> DataFra
     ok = F.col("section.ok")
     out = emit(found, [rule(~ok, "error", "INBAND_SCTE35_UNDECODABLE"), rule(ok & ~F.col("section.crc_valid"), "warning", "INBAND_SCTE35_CRC_INVALID")])
     opens = found.where(ok & F.coalesce("out_of_network", F.lit(True)))
-    own = breaks.where("not window_clipped").select("doc_id", "index", "start_time", F.col("pdt").alias("break_pdt"), F.col("event_id").alias("break_event"))
-    silent = probed.join(opens.select("doc_id").distinct(), "doc_id", "left_anti").join(own.select("doc_id").distinct(), "doc_id")
+    own = breaks.select("doc_id", "index", "start_time", F.col("pdt").alias("break_pdt"), F.col("event_id").alias("break_event"), "window_clipped")
+    whole = own.where("not window_clipped")
+    silent = probed.join(opens.select("doc_id").distinct(), "doc_id", "left_anti").join(whole.select("doc_id").distinct(), "doc_id")
     out = out.unionByName(emit(silent, [rule(F.lit(True), "info", "NO_INBAND_SCTE35")]))
     gap = F.abs(F.col("pdt") - F.col("break_pdt"))
-    same, near = F.col("event_id") == F.col("break_event"), gap < NEAR_MS
-    met = opens.join(own, "doc_id").where(same | near)
-    best = Window.partitionBy("doc_id", "index").orderBy(F.when(same, 0).otherwise(1), "pdt", "hex")
-    first = met.withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    met = _met(opens, own).withColumn("same", F.coalesce(F.col("event_id") == F.col("break_event"), F.lit(False)))
+    # of the cues of a break the first one with its event id, or else the first one near it
+    rank = F.struct(F.when(F.col("same"), 0).otherwise(1).alias("rank"), "pdt", "hex", "event_id")
+    first = met.where("not window_clipped and break_pdt is not null").groupBy("doc_id", "index").agg(F.min(rank).alias("x"), F.first("start_time").alias("start_time"), F.first("break_pdt").alias("break_pdt"), F.first("break_event").alias("break_event"))
+    first = first.select("doc_id", "index", "start_time", "break_pdt", "break_event", "x.pdt", "x.event_id")
     at = {"index": F.col("index"), "at": F.col("start_time")}
     out = out.unionByName(
         emit(first, [rule(gap / 1000 > DRIFT, "error", "INBAND_MANIFEST_TIME_MISMATCH", **at), rule(F.col("event_id") != F.col("break_event"), "warning", "INBAND_MANIFEST_EVENT_ID_MISMATCH", **at)])
     )
-    loose = opens.join(met.select("doc_id", "uri", "hex").distinct(), ["doc_id", "uri", "hex"], "left_anti").join(own.select("doc_id", F.lit(True).alias("has_breaks")).distinct(), "doc_id", "left")
+    # a break that is cut off by the window is one that the manifest names, too
+    loose = opens.where("pdt is not null").join(met.select("doc_id", "uri", "hex").distinct(), ["doc_id", "uri", "hex"], "left_anti").join(own.select("doc_id", F.lit(True).alias("has_breaks")).distinct(), "doc_id", "left")
     return out.unionByName(
         emit(loose, [rule(F.col("has_breaks"), "error", "INBAND_SIGNAL_NOT_IN_MANIFEST"), rule(F.col("has_breaks").isNull(), "info", "INBAND_ONLY_SIGNALLING")])
     )
 
 
+def _met(cues: DataFrame, breaks: DataFrame) -> DataFrame:
+    """Cues with each break of their document that has their event id, or begins less than NEAR_MS from them: a join by
+    identifier, and one by bins of time, in which a break stands in its own and both beside it. A pair may come twice."""
+    named = cues.where("event_id is not null").join(breaks, (cues.doc_id == breaks.doc_id) & (F.col("event_id") == F.col("break_event"))).drop(breaks.doc_id)
+    bin_ = lambda c: F.floor(F.col(c) / NEAR_MS)
+    dealt = breaks.where("break_pdt is not null").withColumn("_bin", F.explode(F.array(*[bin_("break_pdt") + k for k in (-1, 0, 1)])))
+    timed = cues.where("pdt is not null").withColumn("_bin", bin_("pdt")).join(dealt, ["doc_id", "_bin"]).where(F.abs(F.col("pdt") - F.col("break_pdt")) < NEAR_MS).drop("_bin")
+    return named.unionByName(timed)
+
+
 def addressable(listed: DataFrame, docs: DataFrame) -> DataFrame:
     """A finding for each document of ``docs`` (doc_id) of which no segment (doc_id, uri) has an address."""
     known = listed.where("uri is not null and uri <> ''").select("doc_id").distinct()

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cuelake.runtime import gathered, written
 from cuelake.streaming.monitor import BREAK_TTL_MS, DEFAULT_LENGTH, STUCK_GRACE
 
 SILENT_MS = 7 * 24 * 3600 * 1000
@@ -108,8 +109,6 @@ def replayed(polls: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The store of breaks (STORED) after ``polls`` (monitor_id, at, overrun, breaks), and the breaks to be told (TOLD). Polls
     are sorted by monitor and time, after what is known of it, and streamed: a task holds one batch and one monitor's
     breaks. Monitors that no poll names are left out of the store."""
-    from cuelake.runtime import written
-
     names = polls.select("monitor_id").distinct()
     none = lambda kind, *columns: [F.lit(None).cast(kind).alias(c) for c in columns]
     parts = dict(x.strip().split(" ", 1) for x in STATE.split(","))
@@ -143,7 +142,7 @@ def replayed(polls: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in out.split(", ")])
 
-    both = stored.unionByName(told).repartition("monitor_id").sortWithinPartitions("monitor_id", "kind", "at")
+    both = gathered(stored.unionByName(told), "monitor_id").sortWithinPartitions("monitor_id", "kind", "at")
     found = written(both.mapInArrow(run, out))
     late = found.where("at is not null").select("monitor_id", "at", "break_key", F.lit("error").alias("severity"), F.lit("BREAK_STUCK_OPEN").alias("code"))
     return found.where("at is null").drop("at"), late
