@@ -463,9 +463,10 @@ def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
             break
         last = ahead <= ENOUGH * many or turn == TURNS
         new = kept(squares(rows.join(left.select("key"), "key", "left_semi"), texts, BLOCK)) if last else stars(rows, turn)
-        edges = edges.union(kept(verified(new, texts)))
+        # what is linked already counts once for each set, not once for each link
+        linked = tree.select(F.col("node").alias("a"), F.col("root").alias("b"))
         made.append(tree)
-        tree = components(edges)
+        tree = components(linked.union(kept(verified(new, texts))))
         if last:
             break
     dropped(*made)
