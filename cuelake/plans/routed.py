@@ -510,3 +510,36 @@ def one_path_findings(spark, sf_dir):
     what could not be read."""
     path = _one_path(spark, sf_dir)
     return settled(_by_code(path.findings), path.release)
+
+
+# Descriptors and labels.
+
+
+@query(
+    """SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN 48 WHEN 1 THEN 52 ELSE 16 END AS INTEGER) AS type_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(floor(round(value, 2) * 90000 + 0.5) AS BIGINT) END AS ticks,
+CAST(event_id * 90000 AS BIGINT) AS pts_time, CASE event_id % 2 WHEN 0 THEN 'ID' || lpad(CAST(event_id AS VARCHAR), 9, '0') ELSE '0x' || lpad(lower(to_hex(event_id)), 16, '0') END AS upid, event_type <> 'error' AS crc_valid FROM events"""
+)
+def segmentation_roundtrip(spark, sf_dir):
+    """A time_signal with a segmentation descriptor for each event, written and read again: type by the id, every fifth without a
+    length, identifiers as Ad-ID or as 64 bits."""
+
+    def write(i: int, seconds: float, good: bool) -> bytes:
+        upid = (3, f"ID{i:09d}".encode()) if i % 2 == 0 else (8, i.to_bytes(8, "big"))
+        return splice.write_section(i, None if i % 5 == 0 else seconds, pts=i * 90_000, type_id=(0x30, 0x34, 0x10)[i % 3], upid_type=upid[0], upid=upid[1], valid_crc=good)
+
+    events = table(spark, sf_dir, "events")
+    made = F.udf(write, "binary", useArrow=True)("event_id", F.round("value", 2), F.col("event_type") != "error")
+    found = events.select("event_id", splice.decode_section(F.base64(made)).alias("s"))
+    lead = splice.lead_descriptor(F.col("s"))
+    return found.select("event_id", lead["type_id"].alias("type_id"), lead["duration_ticks"].alias("ticks"), F.col("s.time_signal.pts_time").alias("pts_time"), lead["upid_text"].alias("upid"), F.col("s.crc_valid").alias("crc_valid"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN len(p) = 0 THEN h WHEN left(p[-1], 1) <> '.' THEN p[-1] ELSE coalesce(p[-2], h) END AS label FROM (
+SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || '/.mpd', '/'), lambda x: x <> '') AS p FROM pages)"""
+)
+def address_labels(spark, sf_dir):
+    """The label of the manifest .mpd below each page's address."""
+    from cuelake.functions.text import address_label
+
+    return table(spark, sf_dir, "pages").select("page_id", address_label(F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.lit("/.mpd"))).alias("label"))

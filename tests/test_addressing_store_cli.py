@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from cuelake.__main__ import main
 from cuelake.plans import dash
 from cuelake.sources import landed
@@ -44,3 +47,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(tmp_path)]) == 1 and "TARGETDURATION_EXCEEDED" in capsys.readouterr().out
     (tmp_path / "bad.m3u8").write_text("nothing")
     assert main([str(tmp_path)]) == 2
+
+
+def test_labels_of_addresses_and_times(spark):
+    from cuelake.functions.text import address_label, milliseconds_text
+
+    want = {"https://h/a/b.m3u8?x=1#y": "b.m3u8", "http://h/live/.mpd": "live", "http://h/.mpd": "h", "http://u@h:80/": "h", "HTTP://h": "h", "a/b/c.mpd": "c.mpd", "c:\\x\\y.mpd": "y.mpd", "a/": "a/", "": ""}
+    found = spark.createDataFrame([(x,) for x in want], "u string").select("u", address_label(F.col("u")).alias("l")).collect()
+    assert {x["u"]: x["l"] for x in found} == want
+    assert spark.sql("select 0.0125d s").select(milliseconds_text(F.col("s"))).first()[0] == "12.5ms"
+
+
+def test_compare_on_the_command_line(spark, tmp_path, capsys):
+    from cuelake.__main__ import main
+
+    head = "#EXTM3U\n#EXT-X-TARGETDURATION:6\n#EXT-X-PROGRAM-DATE-TIME:2026-01-01T00:00:00Z\n#EXTINF:6,\nlive_1.ts\n"
+    feed = head + "#EXT-X-CUE-OUT:12\n#EXTINF:6,\nlive_2.ts\n#EXTINF:6,\nlive_3.ts\n#EXT-X-CUE-IN\n#EXTINF:6,\nlive_4.ts\n#EXT-X-ENDLIST"
+    (tmp_path / "feed.m3u8").write_text(feed)
+    (tmp_path / "good.m3u8").write_text(feed.replace("live_2.ts", "ads/x.ts").replace("live_3.ts", "ads/y.ts").replace("#EXT-X-CUE-OUT", "#EXT-X-DISCONTINUITY\n#EXT-X-CUE-OUT"))
+    (tmp_path / "none.m3u8").write_text(feed.replace("#EXT-X-CUE-OUT:12\n", "").replace("#EXT-X-CUE-IN\n", ""))
+    (tmp_path / "text.txt").write_text("hello")
+    path = lambda name: str(tmp_path / name)
+    assert main(["compare", path("feed.m3u8"), path("good.m3u8")]) == 0 and "fill rate 100.0 %, 1 avails" in capsys.readouterr().out
+    assert main(["compare", path("feed.m3u8"), path("none.m3u8"), "--markdown"]) == 1 and "`AVAIL_NOT_STITCHED`" in capsys.readouterr().out
+    assert main(["compare", path("feed.m3u8"), path("text.txt")]) == 2
+    with pytest.raises(SystemExit):
+        main(["a", "b"])
