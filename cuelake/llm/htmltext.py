@@ -65,6 +65,8 @@ _WORD = re.compile(r"\w+")
 
 #: Blocks of fewer words are short; stop-word shares from which a block is good, and below which it is bad.
 SHORT, DENSE, SPARSE, LINKED = 12, 0.2, 0.05, 0.5
+#: So many times at most a page is read, each time without the containers that the last one found.
+CONTAINERS = 5
 
 
 def named(names: str) -> tuple[bool, bool]:
@@ -110,21 +112,41 @@ class Tokens:
 
 
 class Block:
-    __slots__ = ("away", "heading", "inside", "label", "linked", "region", "text")
+    __slots__ = ("away", "hard", "heading", "inside", "label", "linked", "region", "text")
 
-    def __init__(self, text: str, linked: int, away: bool, region: int, heading: bool, inside: bool):
-        self.text, self.linked, self.away, self.region, self.heading, self.inside = text, linked, away, region, heading, inside
+    def __init__(self, text: str, linked: int, away: bool, hard: bool, region: int, heading: bool, inside: bool):
+        self.text, self.linked, self.away, self.hard, self.region, self.heading, self.inside = text, linked, away, hard, region, heading, inside
         self.label = ""
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order, white space inside as one space, character references decoded."""
+    ignored: set[int] = set()
+    for _ in range(CONTAINERS):
+        out, soft = _read(page, ignored)
+        words, articles = [0], [0]
+        for b in out:
+            words.append(words[-1] + (0 if b.hard else len(b.text.split())))
+            articles.append(articles[-1] + b.inside)
+        found = {k for k, (a, b) in soft.items() if 2 * (words[b] - words[a]) > words[-1] and articles[b] - articles[a] == articles[-1]}
+        if not found:
+            break
+        ignored |= found
+    return out
+
+
+def _read(page: str, ignored: set[int]) -> tuple[list[Block], dict[int, tuple[int, int]]]:
+    """Blocks, and of each element that is a region as a form or by its name, by its number, the range of its blocks. Elements
+    that are ``ignored`` are no such regions."""
     out: list[Block] = []
-    # tag, away (1: by name, 2: by the name of others' text, 3: by tag or role), region, whether within an article or main
-    stack: list[tuple[str, int, int, bool]] = []
+    soft: dict[int, tuple[int, int]] = {}
+    begun: list[tuple[int, int]] = []  # number and first block of those that are open
+    # tag, away (1: by name, 2: by the name of others' text, 3: as a form, 4: by tag or role), region, whether within an article
+    # or main, whether it is a form or goes by its name
+    stack: list[tuple[str, int, int, bool, bool]] = []
     opened: Counter[str] = Counter()  # tags on the stack
     parts: list[str] = []
-    linked = anchors = regions = skip = at = 0
+    linked = anchors = regions = skip = at = number = 0
     foreign = False
     heading = False
     skipping, resume = "", 0
@@ -134,18 +156,23 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            _, away, region, inside = stack[-1] if stack else ("", 0, 0, False)
-            out.append(Block(text, linked, away > 0, region, heading, inside))
+            _, away, region, inside, _ = stack[-1] if stack else ("", 0, 0, False, False)
+            out.append(Block(text, linked, away > 0, away > 3, region, heading, inside))
         parts.clear()
         linked = 0
 
-    def push(tag: str, away: int, region: int) -> None:
-        stack.append((tag, away, region, tag in ("article", "main") or bool(stack) and stack[-1][3]))
+    def push(tag: str, away: int, region: int, own: bool) -> None:
+        stack.append((tag, away, region, tag in ("article", "main") or bool(stack) and stack[-1][3], own))
         opened[tag] += 1
+        if own:
+            begun.append((number, len(out)))
 
     def pop() -> str:
-        tag = stack.pop()[0]
+        tag, *_, own = stack.pop()
         opened[tag] -= 1
+        if own:
+            k, first = begun.pop()
+            soft[k] = (first, len(out))
         return tag
 
     def add(text: str) -> None:
@@ -221,28 +248,35 @@ def blocks_of(page: str) -> list[Block]:
                 outside, others = named(marks.get("class", "") + " " + marks.get("id", ""))
                 if away == 1 and tag == "article" and not others or away in (1, 2) and tag == "main":
                     away = 0
-                if away < 3:
+                number += 1
+                own = False
+                if away < 4:
                     inside = bool(stack) and stack[-1][3]
-                    if tag in AWAY or tag == "header" and not inside or marks.get("role", "").lower() in ROLES or "hidden" in marks and tag != "body":
-                        away = 3
-                    elif tag not in ("body", "html", "article", "main") and outside:
-                        away = max(away, 2 if others else 1)
+                    if tag in AWAY and tag != "form" or tag == "header" and not inside or marks.get("role", "").lower() in ROLES or "hidden" in marks and tag != "body":
+                        away = 4
+                    elif number not in ignored:
+                        if tag == "form":
+                            away, own = max(away, 3), True
+                        elif tag not in ("body", "html", "article", "main") and outside:
+                            away, own = max(away, 2 if others else 1), True
                 if tag in ("p", "li", "option", "dd", "dt", "tr", "td", "th"):
                     if stack and stack[-1][0] == tag:
                         pop()
                         away = away or (stack[-1][1] if stack else 0)
-                    push(tag, away, stack[-1][2] if stack else 0)
+                    push(tag, away, stack[-1][2] if stack else 0, own)
                 else:
                     if stack and stack[-1][0] == "p":
                         pop()
                     regions += 1
-                    push(tag, away, regions)
+                    push(tag, away, regions, own)
             elif stack and stack[-1][0] == tag == "p":
                 pop()
     tail = _TAIL.search(page, at)
     add(page[at : tail.start()] if tail else page[at:])
     flush()
-    return out
+    while stack:
+        pop()
+    return out, soft
 
 
 def classify(found: list[Block]) -> None:
@@ -262,7 +296,7 @@ def classify(found: list[Block]) -> None:
         elif len(words) < SHORT:
             b.label = "short"
         else:
-            b.label = "good" if stop >= DENSE or b.inside else "sparse" if stop < SPARSE else "near"
+            b.label = "good" if stop >= DENSE else "near" if b.inside or stop >= SPARSE else "sparse"
             long, dense, sparse = long + 1, dense + (b.label == "good"), sparse + (b.label == "sparse")
     listed = dense or 2 * sparse <= long
     for b in rest:

@@ -202,3 +202,27 @@ def test_made_pages_give_back_their_article(spark):
         want[k] = "\n".join(parts)
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")
     assert {x["page_id"]: x["text"] for x in htmltext.page_report(frame).collect()} == want
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<form id='aspnetForm'><nav>Home and more</nav><article>", "</article></form>"), ("<div class='main-content sidebar-left'><article>", "</article></div>"), ("<form><div class='sidebar'><div class='wrapper sidebar'>", "</div></div></form>"),
+        ("<form>" * 3, "</form>" * 3), ("<div class='modal'><form><div class='popup'>", "</div></form></div>"),
+    ],
+)
+def test_containers_of_a_page_are_no_regions(before, after):
+    """What holds most of a page is not left out as a form or by its name; regions within it are."""
+    text = f"<p>{TEXT}</p>"
+    away = "<nav>Home, News and all of the rest that is in a menu of the site.</nav><div class='newsletter'><p>Sign up for the letter of the week and be the first to know.</p></div>"
+    assert htmltext.main_text(before + text * 3 + away + after) == "\n".join([TEXT] * 3)
+    assert htmltext.main_text(f"<article>{text}</article><form>" + "<p>Sign up for the letter of the week and be the first of all to know.</p>" * 5 + "</form>") == TEXT
+
+
+def test_density_leaves_blocks_of_an_article_open():
+    """A block of few stop words inside an article takes the label of its neighbours; links still make it bad."""
+    odd = "zork blip quux flob gnat wump trill brack snood plim vext crum drell"
+    links = "".join(f"<a href='x'>{w} more</a> " for w in odd.split())
+    page = f"<article><p>{TEXT}</p><p>{odd}</p><p>{TEXT}</p><p>{links}</p></article>"
+    assert htmltext.main_text(page).split("\n") == [TEXT, odd, TEXT]
+
