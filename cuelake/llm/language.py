@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import append_columns
 
 SLOTS = 1 << 15
-#: Bounds of what is learned from, for each language: texts and landmarks. Every language is learned, so the totals grow
-#: with the number of languages only; of many languages, each has fewer (but never under the second number).
-TEXTS, LANDMARKS = (400, 40), (24, 4)
-#: Landmarks and texts in all from which on a language has fewer.
+#: Bounds of what is learned from, for each language: texts and landmarks. Every language is learned; of many languages, each has
+#: fewer (but never under the second number).
+TEXTS, LANDMARKS = (400, 4), (24, 1)
+#: Texts in all from which on a language has fewer, and landmarks in all, of whatever number of languages.
 ALL_TEXTS, ALL_LANDMARKS = 8000, 600
+#: Languages up to which landmarks and weights go to the tasks as one matrix (of 131 KB a language); of more, the landmarks go as
+#: bits (2.4 MB at most), and the weights by themselves (2.4 KB a language).
+AS_MATRIX = 64
 RIDGE = 1e-3
 UNDECIDED = "und"
 
@@ -56,11 +59,19 @@ def share(languages: int, each: tuple[int, int], total: int) -> int:
     return max(each[1], min(each[0], total // max(1, languages)))
 
 
+def unit(packed: np.ndarray) -> np.ndarray:
+    """Presence rows of unit length, from rows packed to bits."""
+    row = np.unpackbits(packed, axis=1).astype(np.float32)
+    return row / np.sqrt(np.maximum(1, row.sum(1)))[:, None]
+
+
 class Kernel:
-    """Landmarks and one-versus-rest weights. ``matrix`` maps a presence row straight to class values."""
+    """Landmarks and one-versus-rest weights. ``matrix`` maps a presence row to class values; with ``marks``, landmarks packed to
+    bits, it maps a row's kernel values with them."""
 
-    def __init__(self, languages: list[str], matrix: np.ndarray):
-        self.languages, self.matrix = languages, matrix
+    def __init__(self, languages: list[str], matrix: np.ndarray, marks: np.ndarray | None = None):
+        self.languages, self.matrix, self.marks = languages, matrix, marks
+        self.unit = None if marks is None else unit(marks).T.copy()
 
     @classmethod
     def fit(cls, rows: np.ndarray, labels: list[str]) -> Kernel:
@@ -68,30 +79,34 @@ class Kernel:
         languages = sorted(set(labels))
         if not languages:
             return cls([], np.zeros((SLOTS, 0), np.float32))
-
-        def unit(packed: np.ndarray) -> np.ndarray:
-            row = np.unpackbits(packed, axis=1).astype(np.float32)
-            return row / np.sqrt(np.maximum(1, row.sum(1)))[:, None]
-
-        per = share(len(languages), LANDMARKS, ALL_LANDMARKS)
         where: dict[str, list[int]] = {}
         for k, x in enumerate(labels):
             where.setdefault(x, []).append(k)
-        marks = unit(rows[[k for x in languages for k in where[x][:per]]])
+        per = share(len(languages), LANDMARKS, ALL_LANDMARKS)
+        chosen = [k for x in languages for k in where[x][:per]]
+        if len(chosen) > ALL_LANDMARKS:  # one of each of some languages: the texts come in no order
+            chosen = sorted(chosen)[:ALL_LANDMARKS]
+        marks = unit(rows[chosen])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
         maps = np.concatenate([unit(rows[k : k + 256]) @ marks.T for k in range(0, len(rows), 256)]) @ root
-        target = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
-        count = target.clip(0).sum(0)
-        weight = (1 / count)[[languages.index(x) for x in labels]][:, None]  # every language counts alike
-        weights = np.linalg.solve(maps.T @ (weight * maps) + RIDGE * np.eye(maps.shape[1]), maps.T @ (weight * target))
-        return cls(languages, (marks.T @ (root @ weights)).astype(np.float32))
+        number = {x: k for k, x in enumerate(languages)}
+        own = np.array([number[x] for x in labels])
+        weight = 1 / np.bincount(own)[own][:, None]  # every language counts alike
+        weighed = weight * maps
+        # the targets are 1 for a text's own language and -1 for every other one
+        sums = np.zeros((len(languages), maps.shape[1]))
+        np.add.at(sums, own, weighed)
+        weights = np.linalg.solve(maps.T @ weighed + RIDGE * np.eye(maps.shape[1]), 2 * sums.T - weighed.sum(0)[:, None])
+        if len(languages) <= AS_MATRIX:
+            return cls(languages, (marks.T @ (root @ weights)).astype(np.float32))
+        return cls(languages, (root @ weights).astype(np.float32), rows[chosen])
 
     def predict(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best class of each presence row, and its softmax share."""
-        unit = np.sqrt(np.maximum(1, rows.sum(1, dtype=np.float32)))[:, None]
-        value = 4 * (rows @ self.matrix) / unit
+        size = np.sqrt(np.maximum(1, rows.sum(1, dtype=np.float32)))[:, None]
+        value = 4 * ((rows if self.marks is None else rows @ self.unit) @ self.matrix) / size
         share = np.exp(value - value.max(1, keepdims=True))
         share /= share.sum(1, keepdims=True)
         return value.argmax(1), share.max(1)
@@ -136,13 +151,14 @@ def identified(docs: DataFrame, kernel: Kernel) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score (0 to 1, the predicted language's softmax share).
 
     Only the whole text is read. A text that is null or has no letter is ``und`` with a score of 0, as is
-    every text if nothing was learned. Repeated rows get equal results. One narrow pass; the matrix is of fixed size.
+    every text if nothing was learned. Repeated rows get equal results. One narrow pass; what goes to the tasks is
+    8 MB at most for AS_MATRIX languages, and beyond that 2.4 MB and 2.4 KB for each language.
     """
-    known = docs.sparkSession.sparkContext.broadcast((kernel.languages, kernel.matrix))
+    known = docs.sparkSession.sparkContext.broadcast((kernel.languages, kernel.matrix, kernel.marks))
 
     def make():
-        languages, matrix = known.value
-        model = Kernel(languages, matrix)
+        languages = known.value[0]
+        model = Kernel(*known.value)
 
         def handle(block):
             names, scores = [], []

@@ -133,6 +133,34 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_very_many_languages_keep_what_goes_to_tasks_small():
+    """Landmarks stay bounded, both forms of a kernel give equal values, and languages are told apart."""
+    import numpy as np
+
+    from cuelake.llm import language
+
+    r = random.Random(8)
+    many = 700
+    own = {f"l{k}": "".join(chr(r.randrange(0x100, 0x3000)) for _ in range(60)) for k in range(many)}
+    labels, texts = [], []
+    for name, letters in own.items():
+        for _ in range(4):
+            labels.append(name)
+            texts.append("".join(r.choice(letters) for _ in range(120)).encode())
+    order = list(range(len(labels)))
+    r.shuffle(order)
+    rows = np.zeros((len(texts), language.SLOTS), np.uint8)
+    for n, k in enumerate(order):
+        language.presence(texts[k], rows[n])
+    packed, labels = np.packbits(rows, axis=1), [labels[k] for k in order]
+    model = language.Kernel.fit(packed, labels)
+    assert model.marks.shape == (language.ALL_LANDMARKS, language.SLOTS // 8) and model.matrix.shape == (language.ALL_LANDMARKS, many)
+    best, share = model.predict(rows[:200].astype(np.float32))
+    assert np.mean([model.languages[b] == x for b, x in zip(best, labels, strict=False)]) > 0.7 and (share <= 1).all()
+    whole = language.Kernel(model.languages, (language.unit(model.marks).T @ model.matrix).astype(np.float32))
+    assert (whole.predict(rows[:50].astype(np.float32))[0] == best[:50]).mean() > 0.95
+
+
 @pytest.mark.parametrize(("hot", "whole"), [(32, False), (2, False), (32, True)])
 def test_near_copies_are_those_of_all_shingle_sets(spark, monkeypatch, hot, whole):
     from cuelake.llm import neardup
