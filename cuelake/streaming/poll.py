@@ -21,6 +21,7 @@ from cuelake.operators.pairing import latest
 from cuelake.runtime import dropped, written
 from cuelake.streaming import monitor
 from cuelake.streaming.buckets import BUCKETS, Buckets
+from cuelake.streaming.store import patched
 
 BREAK = "array<struct<break_key: string, signalled: double, closed: int, edge_distance: double>>"
 POLLS = (
@@ -49,9 +50,7 @@ class Store:
 
     def patch(self, patch: DataFrame) -> None:
         """Change the columns of ``patch`` where it has a value; monitors that are not there stay away."""
-        from cuelake.streaming.store import patched
-
-        self.monitors.upsert(patch, lambda old, _: patched(old, patch)) if set(patch.columns) == set(self.monitors.schema.names) else self.monitors.change(patch, lambda old: patched(old, patch))
+        self.monitors.change(patch, lambda old: patched(old, patch))
 
     def delete(self, gone: DataFrame) -> None:
         """Monitors with all that is stored of them; the monitors go last, so that a deletion that was cut off is told again."""
