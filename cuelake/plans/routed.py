@@ -17,7 +17,7 @@ from cuelake.plans.rendered import _SEGMENTS, playlists
 from cuelake.plans.rendered import ORACLE_SQL as _RENDERED
 from cuelake.runtime import settled, shared_folder
 from cuelake.sources import scte104, segments
-from cuelake.streaming import lifecycle, monitor, poll
+from cuelake.streaming import lifecycle, monitor, poll, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -182,11 +182,11 @@ def poll_store_alerts(spark, sf_dir):
     schema = spark.createDataFrame([], poll.POLLS).schema
     rows = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], "half")
     folder = shared_folder(spark)
-    store = poll.Store(spark, f"{folder}/store", 16)
+    kept = poll.Store(spark, f"{folder}/store", 16)
     for half in (0, 1):
         rows.where(F.col("half") == half).drop("half").write.mode("append").parquet(f"{folder}/polls")
-        poll.watch(spark.readStream.schema(schema).parquet(f"{folder}/polls"), store, f"{folder}/checkpoint").awaitTermination()
-    return settled(store.alerts.read().select("monitor_id", "at", "severity", "code"), lambda: store.alerts._delete(folder))
+        poll.watch(spark.readStream.schema(schema).parquet(f"{folder}/polls"), kept, f"{folder}/checkpoint").awaitTermination()
+    return settled(kept.alerts.read().select("monitor_id", "at", "severity", "code"), lambda: kept.alerts._delete(folder))
 
 
 @query(
@@ -543,3 +543,25 @@ def address_labels(spark, sf_dir):
     from cuelake.functions.text import address_label
 
     return table(spark, sf_dir, "pages").select("page_id", address_label(F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.lit("/.mpd"))).alias("label"))
+
+
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS monitor_id, epoch_us(ts) AS t, event_id, event_type, value FROM events),
+r AS (SELECT monitor_id, least(count(*), 50) AS runs, max(t) AS newest FROM e GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY monitor_id ORDER BY t DESC) AS n FROM e WHERE value > 80),
+a AS (SELECT monitor_id, count(*) AS alerts, min(t) AS oldest FROM k WHERE n <= 10 GROUP BY 1),
+b AS (SELECT monitor_id, count(*) AS open, min(CAST(event_id AS VARCHAR)) AS first FROM e WHERE event_type = 'signup' GROUP BY 1)
+SELECT r.monitor_id, CAST(r.runs AS INTEGER) AS runs, CAST(r.newest AS BIGINT) AS newest_run, CAST(coalesce(a.alerts, 0) AS INTEGER) AS alerts, CAST(a.oldest AS BIGINT) AS oldest_alert,
+CAST(coalesce(b.open, 0) AS INTEGER) AS open_breaks, b.first AS first_break FROM r LEFT JOIN a USING (monitor_id) LEFT JOIN b USING (monitor_id)"""
+)
+def monitor_details(spark, sf_dir):
+    """Users as monitors: 50 runs, ten alerts of large values, and the signups as open breaks of each."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("monitor_id"), _micros("ts").alias("at"), "event_id", "event_type", "value")
+    breaks = events.where("event_type in ('signup', 'purchase')").select("monitor_id", F.col("event_id").cast("string").alias("break_key"), (F.col("event_type") == "purchase").cast("int").alias("closed"))
+    alerts = events.where("value > 80").select("monitor_id", "at", F.col("event_type").alias("code"))
+    found = store.details(events.select("monitor_id").distinct(), events.select("monitor_id", "at", "event_id"), alerts, breaks, 50, 10)
+    at = lambda c, n: F.try_element_at(F.col(c), F.lit(n))["at"]
+    return found.select(
+        "monitor_id", F.size("runs").alias("runs"), at("runs", 1).alias("newest_run"), F.size("alerts").alias("alerts"), at("alerts", -1).alias("oldest_alert"), F.size("open_breaks").alias("open_breaks"),
+        F.try_element_at(F.col("open_breaks"), F.lit(1))["break_key"].alias("first_break"),
+    )

@@ -23,6 +23,8 @@ from cuelake.streaming import monitor
 from cuelake.streaming.buckets import BUCKETS, Buckets
 from cuelake.streaming.store import patched
 
+#: Seconds: the shortest and the longest interval between polls.
+INTERVALS = (15, 3600)
 BREAK = "array<struct<break_key: string, signalled: double, closed: int, edge_distance: double>>"
 POLLS = (
     "monitor_id string, at long, ok boolean, error string, verdict string, errors int, warnings int, infos int, break_count int, protocol string, "
@@ -49,7 +51,10 @@ class Store:
         self.monitors.add(full)
 
     def patch(self, patch: DataFrame) -> None:
-        """Change the columns of ``patch`` where it has a value; monitors that are not there stay away."""
+        """Change the columns of ``patch`` where it has a value; monitors that are not there stay away. An interval is held within
+        INTERVALS."""
+        if "interval_seconds" in patch.columns:
+            patch = patch.withColumn("interval_seconds", F.least(F.greatest("interval_seconds", F.lit(INTERVALS[0])), F.lit(INTERVALS[1])))
         self.monitors.change(patch, lambda old: patched(old, patch))
 
     def delete(self, gone: DataFrame) -> None:

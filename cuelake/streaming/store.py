@@ -52,3 +52,21 @@ def unacknowledged(alerts: DataFrame) -> DataFrame:
 
 def open_breaks(breaks: DataFrame) -> DataFrame:
     return breaks.where("closed = 0")
+
+
+def details(monitors: DataFrame, runs: DataFrame, alerts: DataFrame, breaks: DataFrame, most_runs: int = 200, most_alerts: int = 100) -> DataFrame:
+    """Every monitor with its latest runs and alerts, newest first, and its open breaks by key; empty arrays where it has none."""
+
+    def newest(rows: DataFrame, most: int, name: str, *then: str) -> DataFrame:
+        kept = latest(rows, ["monitor_id"], [F.desc("at"), *then], most)
+        own = [c for c in kept.columns if c != "monitor_id"]
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("_order"), *[F.col(c).alias(f"_{c}") for c in then], F.struct(*own).alias("row"))))
+        return kept.groupBy("monitor_id").agg(F.transform(listed, lambda x: x["row"]).alias(name))
+
+    held = open_breaks(breaks)
+    keys = ["break_key", *[c for c in held.columns if c not in ("monitor_id", "break_key")]]
+    held = held.groupBy("monitor_id").agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("open_breaks"))
+    full = monitors
+    for part in (newest(runs, most_runs, "runs"), newest(alerts, most_alerts, "alerts", "code"), held):
+        full = full.join(part, "monitor_id", "left")
+    return full.withColumns({c: F.coalesce(c, F.array().cast(full.schema[c].dataType)) for c in ("runs", "alerts", "open_breaks")})

@@ -42,6 +42,17 @@ def test_store(spark):
     assert store.unacknowledged(alerts).first()["unacknowledged"] == 3
 
 
+def test_details_of_a_monitor(spark):
+    monitors = spark.createDataFrame([("a", "x"), ("b", "y")], "monitor_id string, label string")
+    runs = spark.createDataFrame([("a", k, True) for k in range(5)], "monitor_id string, at long, ok boolean")
+    alerts = spark.createDataFrame([("a", 3, "Z"), ("a", 3, "B"), ("a", 1, "C")], "monitor_id string, at long, code string")
+    breaks = spark.createDataFrame([("a", "event:2", 0), ("a", "event:1", 0), ("a", "event:3", 1)], "monitor_id string, break_key string, closed int")
+    found = {x["monitor_id"]: x for x in store.details(monitors, runs, alerts, breaks, 3, 2).collect()}
+    assert [x["at"] for x in found["a"]["runs"]] == [4, 3, 2] and [(x["at"], x["code"]) for x in found["a"]["alerts"]] == [(3, "B"), (3, "Z")]
+    assert [x["break_key"] for x in found["a"]["open_breaks"]] == ["event:1", "event:2"]
+    assert found["b"]["label"] == "y" and found["b"]["runs"] == found["b"]["alerts"] == found["b"]["open_breaks"] == []
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "bad.m3u8").write_text("#EXTM3U\n#EXT-X-TARGETDURATION:6\n#EXTINF:9,\na\n#EXT-X-ENDLIST")
     assert main([str(tmp_path)]) == 1 and "TARGETDURATION_EXCEEDED" in capsys.readouterr().out
