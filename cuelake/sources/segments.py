@@ -25,7 +25,8 @@ CUES = (
     "uri string, carriage string, pid int, owner string, scheme string, emsg_id long, timescale long, delta long, presentation_time long, decode_time long, "
     "anchor long, cue_pts long, data binary"
 )
-_EMPTY = dict.fromkeys(x.split()[0] for x in CUES.split(", "))
+#: Cues that a task passes on at once.
+MOST_CUES = 5000
 
 
 def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
@@ -180,26 +181,34 @@ def transport_cues(data: bytes) -> Iterator[dict]:
     yield from (c | {"anchor": anchor} for c in cues)
 
 
+def found_in(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Cues of batches of segments (uri, content); those of many segments make one batch."""
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.get(f.name) for x in rows], f.type) for f in arrow], schema=arrow)
+
+    for batch in batches:
+        out: list[dict] = []
+        for uri, data in zip(batch.column(0).to_pylist(), (x.as_py() or b"" for x in batch.column(1)), strict=True):
+            if is_transport(data):
+                out += [x | {"uri": uri} for x in transport_cues(data)]
+            else:
+                start = decode_time(data)
+                out += [x | {"uri": uri, "carriage": "emsg", "decode_time": start} for x in event_messages(data) if "scte35" in x["scheme"].lower()]
+            if len(out) >= MOST_CUES:
+                yield made(out)
+                out = []
+        if out:
+            yield made(out)
+
+
 def cues(files: DataFrame) -> DataFrame:
     """Cues of segments (uri, content), undecoded."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(CUES))
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = row["content"] or b""
-                if is_transport(data):
-                    found = list(transport_cues(data))
-                else:
-                    start = decode_time(data)
-                    found = [x | {"carriage": "emsg", "decode_time": start} for x in event_messages(data) if "scte35" in x["scheme"].lower()]
-                if found:
-                    yield pa.RecordBatch.from_pylist([_EMPTY | {"uri": row["uri"]} | x for x in found], schema=arrow)
-
-    return files.select("uri", "content").mapInArrow(run, CUES)
+    return files.select("uri", "content").mapInArrow(lambda batches: found_in(batches, arrow), CUES)
 
 
 def signals(found: DataFrame, segments: DataFrame) -> DataFrame:
