@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.functions.text import codec_family, is_video_codec, number
+from cuelake.functions.text import clock_duration, codec_family, is_video_codec, number
 from cuelake.operators.findings import emit, rule
 from cuelake.sources import vast
 
@@ -68,13 +68,18 @@ def findings(docs: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
 
 
 def totals(docs: DataFrame) -> DataFrame:
-    """Ads, wrappers and linear seconds of each readable response."""
-    responses = vast.responses(docs).where("readable")
-    found = vast.ads(responses)
-    many = found.groupBy("doc_id").agg(F.count("*").alias("ads"), F.count_if("wrapper").alias("wrappers"))
-    seconds = vast.creatives(found).where("kind = 'linear'").groupBy("doc_id").agg(F.sum(F.coalesce("duration", F.lit(0.0))).alias("seconds"))
-    full = responses.select("doc_id").join(many, "doc_id", "left").join(seconds, "doc_id", "left")
-    return full.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("ads", "wrappers")], F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+    """Ads, wrappers and linear seconds of each readable response, which is parsed once and summed up by itself."""
+    first = lambda array: F.try_element_at(array, F.lit(1))
+    ads = F.col("v.Ad")
+    bodies = F.transform(ads, lambda a: F.coalesce(first(a["InLine"]), first(a["Wrapper"])))
+    creatives = F.flatten(F.transform(F.flatten(F.filter(F.transform(bodies, lambda b: b["Creatives"]), lambda c: c.isNotNull())), lambda c: F.coalesce(c["Creative"], F.array().cast(vast.CREATIVE_LENGTHS))))
+    lengths = F.transform(creatives, lambda c: F.coalesce(clock_duration(F.trim(first(first(c["Linear"])["Duration"]))), F.lit(0.0)))
+    rows = vast.responses(docs, vast.LENGTHS).where("readable")
+    wrappers = F.size(F.filter(ads, lambda a: a["Wrapper"].isNotNull() & a["InLine"].isNull()))
+    return rows.select(
+        "doc_id", *[F.when(ads.isNull(), 0).otherwise(c).cast("long").alias(n) for n, c in (("ads", F.size(ads)), ("wrappers", wrappers))],
+        F.coalesce(F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)).alias("seconds"),
+    )
 
 
 def _pointers(rows: DataFrame) -> DataFrame:

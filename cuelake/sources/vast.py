@@ -30,10 +30,16 @@ def _texts(array: Column) -> Column:
     return F.filter(F.transform(F.coalesce(array, F.array().cast("array<string>")), F.trim), lambda x: x != "")
 
 
-def responses(docs: DataFrame) -> DataFrame:
+#: Of a response only what its length is made of.
+CREATIVE_LENGTHS = "array<struct<_none:string,Linear:array<struct<_none:string,Duration:array<string>>>>>"
+_LENGTH = f"array<struct<_none:string,Creatives:array<struct<_none:string,Creative:{CREATIVE_LENGTHS}>>>>"
+LENGTHS = f"Ad array<struct<_none:string,InLine:{_LENGTH},Wrapper:{_LENGTH}>>"
+
+
+def responses(docs: DataFrame, schema: str = VAST) -> DataFrame:
     """(doc_id, readable, v): readable is whether the root is a VAST element."""
     readable = F.coalesce(F.col("body").rlike(r"<(?:[\w-]+:)?VAST[\s>/]"), F.lit(False))
-    parsed = F.from_xml("body", VAST, {"ignoreNamespace": "true", "rowTag": "VAST"})
+    parsed = F.from_xml("body", schema, {"ignoreNamespace": "true", "rowTag": "VAST"})
     return docs.select("doc_id", readable.alias("readable"), F.when(readable, parsed).alias("v"))
 
 

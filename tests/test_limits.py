@@ -82,3 +82,31 @@ def test_cues_of_many_segments_leave_a_task_together():
     found = [*segments.found_in(iter([files]), to_arrow_schema(StructType.fromDDL(segments.CUES)))]
     assert [x.num_rows for x in found] == [5000, 2000]
     assert [(x["uri"], x["emsg_id"], x["carriage"], x["anchor"]) for x in found[1].slice(0, 1).to_pylist()] == [("5000", 5000, "emsg", None)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_duration_is_matched_twice_at_most(spark):
+    from cuelake.functions.text import iso_duration
+
+    texts = {"PT1H2M3.5S": 3723.5, "-P1DT1S": -86401.0, "P1Y2M": 36_720_000.0, "P": 0.0, "PT1.2.3S": 0.0, "PT": 0.0, "5": None, "PT5S\n": 5.0, None: None, "PT1S,": None}
+    found = spark.createDataFrame([(x,) for x in texts], "x string").select("x", iso_duration(F.col("x")).alias("s"))
+    assert {r["x"]: r["s"] for r in found.collect()} == texts
+    assert _plan(found).count(r"^(-)?P") <= 4  # 2, or as many again where a condition is repeated
+
+
+def test_a_response_is_parsed_once_for_its_totals(spark):
+    from cuelake.plans import vast
+
+    linear = lambda t: f"<Creative><Linear><Duration>{t}</Duration></Linear></Creative>"
+    ad = lambda body: f"<Ad><InLine><Creatives>{body}</Creatives></InLine></Ad>"
+    bodies = {
+        "two": ad(linear("00:00:10") + linear("00:01:00.5")) + "<Ad><Wrapper><VASTAdTagURI>u</VASTAdTagURI></Wrapper></Ad>", "odd": ad(linear("x") + "<Creative><NonLinearAds/></Creative>") + ad(linear("7")),
+        "empty": "", "bare": "<Ad/>", "none": "<Ad><InLine/></Ad>",
+    }
+    docs = spark.createDataFrame([(k, f'<VAST version="4.0">{v}</VAST>') for k, v in bodies.items()] + [("other", "<x/>")], "doc_id string, body string")
+    found = vast.totals(docs)
+    assert {x["doc_id"]: tuple(x)[1:] for x in found.collect()} == {"two": (2, 1, 70.5), "odd": (2, 0, 7.0), "empty": (0, 0, 0.0), "bare": (1, 0, 0.0), "none": (1, 0, 0.0)}
+    assert _plan(found).count("from_xml") + _plan(found).count("xmltostructs") <= 1
