@@ -29,7 +29,7 @@ from cuelake.llm.wordspans import Words
 
 LEAST, LONGEST, HALF, FIRST = 10, 3, 50, 2000
 #: Bits of the table of pairs, bytes of text at once, fingerprints that a task gathers before it passes them on.
-BITS, TEXT_BYTES, HELD = 1 << 27, 2_000_000, 700_000
+BITS, TEXT_BYTES, HELD = 1 << 27, 1_000_000, 450_000
 CHUNK = 1 << 17
 #: Lower-cased (A-Z); the marks that end a piece become line ends, tabs become spaces.
 PIECE_BYTES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -135,7 +135,7 @@ def short_counts(docs: DataFrame, ranges: int, longest: int = 2, pairs=None) ->
             order = np.argsort(key, kind="stable")
             key, many = key[order], many[order]
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            many = np.minimum(np.add.reduceat(many, new), LEAST).astype(np.uint8) if len(new) else many.astype(np.uint8)
+            many = np.minimum(np.add.reduceat(many, new, dtype=np.int64), LEAST).astype(np.uint8) if len(new) else many.astype(np.uint8)
             key = key[new]
             own = (key >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]).tolist() if len(own) else []
@@ -158,7 +158,7 @@ def short_counts(docs: DataFrame, ranges: int, longest: int = 2, pairs=None) ->
                     ok = of_pairs(ok, pair, n) if pairs else ok
                     spot, short = dealt(values[ok], ranges)
                     key, many = np.unique(spot << np.uint64(32) | short, return_counts=True)
-                    held.append((key, np.minimum(many, LEAST)))
+                    held.append((key, np.minimum(many, LEAST).astype(np.uint8)))
                     size += len(key)
                 if size > 3 * HELD:
                     yield _rows(passed(), arrow)

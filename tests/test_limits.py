@@ -110,3 +110,17 @@ def test_a_response_is_parsed_once_for_its_totals(spark):
     found = vast.totals(docs)
     assert {x["doc_id"]: tuple(x)[1:] for x in found.collect()} == {"two": (2, 1, 70.5), "odd": (2, 0, 7.0), "empty": (0, 0, 0.0), "bare": (1, 0, 0.0), "none": (1, 0, 0.0)}
     assert _plan(found).count("from_xml") + _plan(found).count("xmltostructs") <= 1
+
+
+def test_fingerprints_of_a_block_take_bounded_memory():
+    import tracemalloc
+
+    from cuelake.llm import phrases
+
+    text = b"word other third, " * (phrases.TEXT_BYTES // 18)
+    tracemalloc.start()
+    runs = phrases.Runs([text], ["x"])
+    runs.of(2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50e6  # 39 MB; 79 MB with blocks of 2 MB
