@@ -3,6 +3,8 @@
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cuelake.operators import matching
@@ -90,3 +92,35 @@ def test_groups_stay_together_behind_joins_and_unions(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(found) == n and all(x["left_id"] == x["right_id"] for x in found)
+
+
+@pytest.mark.parametrize("held", [3, 100_000])
+def test_blocks_give_the_matches_of_a_loop(spark, monkeypatch, held):
+    """Without names stretches are told for a block at once; groups are cut by batches, and streamed beyond ``HELD`` rows."""
+    monkeypatch.setattr(matching, "HELD", held)
+    r = random.Random(held)
+    when = lambda: r.choice((None, float("nan"), *[r.randrange(400) / 2 for _ in range(12)]))
+    make = lambda n: [(i, None, when()) for i in range(n)]
+    groups = {None if k == 0 else f"g{k}": (make(r.randrange(0, 30)), make(r.randrange(0, 30))) for k in range(60)}
+    groups["inf"] = ([(0, None, float("inf")), (1, None, 5.0)], [(0, None, 5.0), (1, None, float("-inf"))])
+    side = lambda n: spark.createDataFrame([(k, *x) for k, rows in groups.items() for x in rows[n]], ROW).repartition(5)
+    fixed = lambda rows: [(i, n, None if t is None or t != t else t) for i, n, t in rows]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        for radius in (0.0, 0.5, 3.0, 1000.0):
+            found = sorted(map(tuple, matching.exclusive(side(0), side(1), ["k"], radius).collect()), key=str)
+            assert found == sorted([(k, *m) for k, (a, b) in groups.items() for m in plain_nearest(fixed(a), fixed(b), radius)], key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_block_of_many_small_groups_is_told_at_once():
+    n = 400_000
+    key, second = np.repeat(np.arange(n // 4), 4), np.tile([0, 1, 0, 1], n // 4)
+    side = np.tile([0, 0, 1, 1], n // 4)
+    at = second * 600.0 + side
+    block = pa.table([pa.array(key), pa.array(side, pa.int32()), pa.array(second.astype(float)), pa.array(second), pa.nulls(n, pa.string()), pa.array(at)], names=["k", "side", "turn", "id", "name", "at"])
+    start = time.perf_counter()
+    rows, taken, distance, unknown = matching.matches_of(block, 1, 6.0, matching.Nearest)
+    assert time.perf_counter() - start < 2
+    assert len(rows) == n // 2 and (taken == second[rows]).all() and (distance == 1.0).all() and not unknown.any()

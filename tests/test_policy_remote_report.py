@@ -37,6 +37,21 @@ def test_policies(spark):
     ])
 
 
+def test_policies_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(body):
+        read.add(1)
+        return body
+
+    docs = landed.pasted(spark, {f"d{k}": f'<Media xmlns="urn:scte:224" id="m">{point("a", 'matchTime="2026-01-01T00:00:01Z"')}</Media>' for k in range(5)})
+    docs = docs.withColumn("body", F.udf(counted, "string").asNondeterministic()("body"))
+    breaks = spark.createDataFrame([(f"d{k}", 0, None, NOW, None, 30.0) for k in range(5)], "doc_id string, index int, upid string, pdt double, segmentation_type int, signalled_duration double")
+    own = policy.Governed(scte224.points(docs), breaks, NOW)
+    assert own.findings.count() == 0 and own.matches.count() == 5 and read.value == 5
+    own.release()
+
+
 def test_remote_periods(spark):
     media = lambda codec, seconds: f'<Period duration="PT{seconds}S"><AdaptationSet mimeType="video/mp4"><Representation codecs="{codec}"/></AdaptationSet></Period>'
     slots = "".join(f'<Period duration="PT30S" xlink:href="{h}"/>' for h in ("good", "long", "other", "empty", "text", "gone"))
