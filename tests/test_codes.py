@@ -163,3 +163,27 @@ def test_every_code_has_a_meaning(spark):
     for code, text in DETAILS.items():
         assert found[code]["detail"] == f"{text} Line 3. At 1.5 s." and found[code]["title"] == code.lower().replace("_", " ")
     assert found["NO_SUCH_CODE"]["detail"] is None
+
+
+def test_breaks_of_stitched_pairs_are_read_once(spark):
+    """Both sides, the clock and the matches come from one reading; what both lack, take and leave is told."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        read.add(1)
+        return name
+
+    lone = lambda doc, index, at, length, uri: (doc, index, at / 1000, at, None, None, length, length, False, True, [uri], None)
+    rows = [lone("s", 0, 0.0, 30.0, "http://s/show1.ts"), lone("s", 1, 90_000.0, 20.0, "http://s/show2.ts"), lone("s", 2, 200_000.0, 10.0, "http://s/show3.ts"), lone("o", 0, 1_000.0, 30.0, "http://o/ad1.ts"), lone("o", 1, 91_000.0, 5.0, "http://o/show9.ts"), lone("o", 2, 300_000.0, 5.0, "http://o/ad2.ts")]
+    schema = "doc_id string, index int, start_time double, pdt double, event_id long, segmentation_type int, signalled_duration double, actual_duration double, window_clipped boolean, discontinuity_at_start boolean, media_uris array<string>, signal struct<ok: boolean>"
+    breaks = spark.createDataFrame(rows, schema).withColumn("doc_id", F.udf(counted, "string").asNondeterministic()("doc_id"))
+    pairs = spark.createDataFrame([("p", "s", "o"), ("q", "none", "empty")], "pair_id string, source_id string, output_id string")
+    stats = spark.createDataFrame([(x, 0.0, 1e9) for x in ("s", "o", "none", "empty")], "doc_id string, window_start_pdt double, window_end_pdt double")
+    media = spark.createDataFrame([("o", "http://o/show1.ts")], "doc_id string, uri string")
+    own = stitching.compare(pairs, breaks, stats, media)
+    avails = {(x["status"], x["index"], x["pdt"], x["alignment"], x["stitched"], x["signalled"]) for x in own.avails.collect()}
+    assert avails == {("filled", 0, 0.0, 1.0, 30.0, 30.0), ("passthrough", 1, 90_000.0, 1.0, 5.0, 20.0), ("not-stitched", 2, 200_000.0, None, None, 10.0), ("unsignalled", 2, 300_000.0, None, 5.0, None)}
+    assert found_codes(own.findings, "pair_id") == {"p": {"STITCH_MISALIGNED", "AVAIL_PASSED_THROUGH", "AVAIL_NOT_STITCHED", "UNSIGNALLED_AVAIL_IN_OUTPUT"}}
+    assert {x["pair_id"]: x["signalled"] for x in own.summary.collect()} == {"p": 3, "q": 0}
+    assert read.value == len(rows)
+    own.release()
