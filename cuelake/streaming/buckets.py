@@ -1,9 +1,9 @@
 """A keyed table on disk: Parquet in one folder for each bucket of monitors; a change rewrites the buckets that it touches.
 
-A change is first written whole to a folder of its own and takes effect from there by a dynamic overwrite of partitions. Where
-a driver is lost on the way, the next one that opens the table finds the written change and applies it anew; what was not
-written whole never counts. Every rewritten bucket holds a mark besides its rows, so that a bucket that has become empty is
-overwritten, too.
+A change is first written whole to a folder of its own and takes effect from there as its buckets are moved to the place of
+the old ones, so that rows are written once. Where a driver is lost on the way, the next one that opens the table finds the
+buckets that are not moved yet and goes on; what was not written whole never counts. Every rewritten bucket holds a mark
+besides its rows, so that a bucket that has become empty is replaced, too.
 """
 
 from __future__ import annotations
@@ -18,6 +18,11 @@ from pyspark.sql.types import StructType
 BUCKETS = 64
 
 
+def none_of(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows, which Spark knows before it plans what is joined with them."""
+    return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 class Buckets:
     """The table in ``folder`` with rows of ``schema`` (DDL), of which ``key`` names are those that a row is known by;
     the first one deals rows into buckets."""
@@ -47,8 +52,13 @@ class Buckets:
     def _settle(self) -> None:
         """Apply a change that was written whole, and forget one that was not."""
         if self._exists(f"{self._change}/_SUCCESS"):
-            rows = self.spark.read.schema(self._files).parquet(self._change)
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+            change, files = self._path(self._change)
+            files.mkdirs(self._path(self.folder)[0])
+            for own in [x.getPath() for x in files.listStatus(change) if x.getPath().getName().startswith("bucket=")]:
+                place, _ = self._path(f"{self.folder}/{own.getName()}")
+                files.delete(place, True)
+                if not files.rename(own, place):
+                    raise OSError(f"{own.toString()} can't be moved to {place.toString()}")
         if self._exists(self._change):
             self._delete(self._change)
 
@@ -58,7 +68,7 @@ class Buckets:
     def read(self, touched: DataFrame | None = None) -> DataFrame:
         """All rows, or those of the buckets of ``touched`` (bucket), at most ``buckets`` of them."""
         if not self._exists(self.folder):
-            return self.spark.createDataFrame([], self.schema)
+            return none_of(self.spark, self.schema)
         rows = self.spark.read.schema(self._files).parquet(self.folder)
         if touched is not None:
             rows = rows.where(F.col("bucket").isin([r[0] for r in touched.distinct().collect()]))

@@ -128,11 +128,11 @@ def poll_batch(store: Store, polls: DataFrame, name: str, send: Callable[[list[d
     told = written(batch_alerts(counted, before))
     breaks, late = stuck_alerts(counted, store.breaks.of(counted), told)
     late = written(late)
-    alerts = told.select("monitor_id", "at", "code", "severity", F.lit(None).cast("string").alias("detail"))
-    lost = counted.where("ok and not output_ok").select("monitor_id", "at", F.lit("PIPELINE_OUTPUT_UNREACHABLE").alias("code"), F.col("output_error").alias("_error"))
-    alerts = alerts.join(lost, ["monitor_id", "at", "code"], "left").withColumn("detail", F.coalesce("_error", "detail")).drop("_error")
-    alerts = alerts.unionByName(late.select("monitor_id", "at", "code", "severity", F.concat(F.lit("Break "), "break_key").alias("detail")))
-    alerts = alerts.groupBy("monitor_id", "at", "code").agg(F.min("severity").alias("severity"), F.array_join(F.array_sort(F.collect_set("detail")), ", ").alias("detail"))
+    # a code is told once of a poll, but for breaks that stay open, which are told together
+    lost = counted.where("ok and not output_ok").select("monitor_id", "at", F.lit("PIPELINE_OUTPUT_UNREACHABLE").alias("code"), F.coalesce("output_error", F.lit("")).alias("detail"))
+    alerts = told.select("monitor_id", "at", "code", "severity").join(lost, ["monitor_id", "at", "code"], "left").withColumn("detail", F.coalesce("detail", F.lit("")))
+    stuck = late.groupBy("monitor_id", "at", "code").agg(F.min("severity").alias("severity"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("Break "), "break_key"))), ", ").alias("detail"))
+    alerts = alerts.unionByName(stuck)
     alerts = written(alerts.withColumns({"acknowledged": F.lit(0), "alert_id": F.xxhash64("monitor_id", "at", "code")}))
     breaks = written(breaks)
     behind = dated.where(~in_time).drop("_last").withColumn("failures", F.lit(None).cast("int"))
