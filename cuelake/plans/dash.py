@@ -28,7 +28,7 @@ class DashAnalysis(Tables):
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return self._persisted(dash.parsed(self.docs))
+        return self._written(dash.parsed(self.docs))
 
     @cached_property
     def headers(self) -> DataFrame:

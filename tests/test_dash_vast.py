@@ -1,6 +1,7 @@
 import base64
 
 import pytest
+from pyspark.sql import functions as F
 
 from cuelake.functions.splice import write_section
 from cuelake.plans import dash, vast
@@ -130,3 +131,17 @@ def test_schedules(spark):
     for row in vast.schedule_findings(landed.pasted(spark, texts)).collect():
         codes.setdefault(row["doc_id"], set()).add(row["code"])
     assert codes == {"none": {"VMAP_NO_BREAKS"}, "odd": {"VMAP_NO_TIME_OFFSET", "VMAP_NO_AD_SOURCE", "VMAP_DUPLICATE_OFFSET"}}
+
+
+def test_manifests_are_written_and_not_held_in_memory(spark):
+    """Parsed manifests take more memory than executors have; they are parsed once and given up by ``release``."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(body):
+        read.add(1)
+        return body
+
+    docs = landed.pasted(spark, {"d": mpd(period("a", 0, 20))}).withColumn("body", F.udf(counted, "string").asNondeterministic()("body"))
+    own = dash.analyse(docs)
+    assert not own.parsed.is_cached and own.coded.count() >= 0 and own.periods.count() == 1 and read.value == 1
+    own.release()
