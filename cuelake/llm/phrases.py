@@ -9,6 +9,12 @@ Three passes over the texts:
 3. A task gathers the marked runs with their numbers and a pointer to their words, and reads the words once for each
    phrase that it has. Counts are then summed by the words themselves.
 
+So read, a phrase is told by every task that has it: rows are phrases times tasks. Of a language of many words, only its
+words are read so; longer phrases first have to show that they may be among the best. Their fingerprints are counted once more,
+each with the number of occurrences that a score of SCORES needs at least, given lower bounds of the words' own counts,
+and only those that have it are read (and the longer phrases around them, and the parts they are scored by). If fewer than
+the asked number turn out to have that score, the next lower one is tried for that language, and at last all are read.
+
 A bit that is set for nothing costs rows in the last pass, never results. Phrases of equal fingerprints come apart: within
 a task words are numbered by their bytes, and runs of one fingerprint are compared by these numbers before they are counted
 as one; between tasks the words decide. A task passes a phrase on about once, whatever its number, so that no key is hotter
@@ -31,6 +37,8 @@ LEAST, LONGEST, HALF, FIRST = 10, 3, 50, 2000
 #: Bits of the table of pairs, bytes of text at once, fingerprints that a task gathers before it passes them on.
 BITS, TEXT_BYTES, HELD = 1 << 27, 1_000_000, 450_000
 CHUNK = 1 << 17
+#: Slots of the table of lower bounds. Languages of fewer words are read whole. Scores that are tried for the others in turn.
+SLOTS, FEW_WORDS, SCORES = 1 << 24, 1 << 20, (100_000, 1_000)
 #: Lower-cased (A-Z); the marks that end a piece become line ends, tabs become spaces.
 PIECE_BYTES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -63,19 +71,21 @@ class Numbers:
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def of(self, words: Words, hashes: np.ndarray) -> np.ndarray:
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        a, b = words.start[first], words.end[first]
+    def of(self, words: Words, hashes: np.ndarray, at=slice(None)) -> np.ndarray:
+        """Of the words at ``at``."""
+        start, end = words.start[at], words.end[at]
+        distinct, first, which = np.unique(hashes[at], return_index=True, return_inverse=True)
+        a, b = start[first], end[first]
         own = np.array([self.known.setdefault(words.data[x:y], len(self.known)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-        out, size = own[which] if len(own) else np.zeros(0, np.int64), words.end - words.start
+        out, size = own[which] if len(own) else np.zeros(0, np.int64), end - start
         same = size == (b - a)[which]
         for n in np.unique(size).tolist():
             some = np.flatnonzero(same & (size == n))
             for part in np.array_split(some, max(1, len(some) * n // TEXT_BYTES)):
                 steps = np.arange(n)
-                same[part] = (words.joined[words.start[part][:, None] + steps] == words.joined[a[which[part]][:, None] + steps]).all(1)
+                same[part] = (words.joined[start[part][:, None] + steps] == words.joined[a[which[part]][:, None] + steps]).all(1)
         for k in np.flatnonzero(~same).tolist():  # another word of the same hash
-            out[k] = self.known.setdefault(words.data[words.start[k] : words.end[k]], len(self.known))
+            out[k] = self.known.setdefault(words.data[start[k] : end[k]], len(self.known))
         return out
 
 
@@ -120,6 +130,14 @@ def of_pairs(ok: np.ndarray, pair: np.ndarray, n: int) -> np.ndarray:
     return ok
 
 
+def summed(key: np.ndarray, many: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sum of ``many`` and the minimum of ``least`` of each."""
+    order = np.argsort(key, kind="stable")
+    key, many, least = key[order], many[order], least[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return (key[new], np.add.reduceat(many, new, dtype=np.int64), np.minimum.reduceat(least, new)) if len(new) else (key, many.astype(np.int64), least)
+
+
 def short_counts(docs: DataFrame, ranges: int, longest: int = 2, pairs=None) -> DataFrame:
     """COUNTED: for each range the short forms of words and pairs of a block with their counts (LEAST at most, as bytes
     behind them); and the number of words of each language under a range of its own. With the table of ``pairs``: those
@@ -180,20 +198,21 @@ def _rows(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 MARKED = "chunk int, bits binary, lang string, many long"
 
 
-def marks(counted: DataFrame, ranges: int) -> DataFrame:
-    """MARKED of COUNTED: places within chunks of the table of what occurs LEAST times, and the words of languages."""
+def marks(counted: DataFrame, ranges: int, needs: bool = False) -> DataFrame:
+    """MARKED of COUNTED: places within chunks of the table of what occurs LEAST times, and the words of languages. With
+    ``needs``: of what occurs as often as it needs to (``needed``)."""
     arrow = arrow_schema(MARKED)
 
     def run(batches):
         now, blobs, found, words = None, [], [], {}
 
         def ended():
-            short = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 5) for x in blobs])
-            many = np.concatenate([np.frombuffer(x, np.uint8, len(x) // 5, len(x) // 5 * 4) for x in blobs])
-            order = np.argsort(short, kind="stable")
-            short, many = short[order], many[order]
-            new = np.flatnonzero(np.r_[True, short[1:] != short[:-1]])
-            often = short[new][np.add.reduceat(many, new, dtype=np.int64) >= LEAST].astype(np.uint64)
+            width, kind = (8, np.uint16) if needs else (5, np.uint8)
+            short = np.concatenate([np.frombuffer(x, np.uint32, len(x) // width) for x in blobs])
+            many = np.concatenate([np.frombuffer(x, kind, len(x) // width, len(x) // width * 4) for x in blobs])
+            least = np.concatenate([np.frombuffer(x, np.uint16, len(x) // width, len(x) // width * 6) for x in blobs]) if needs else np.full(len(short), LEAST)
+            short, many, least = summed(short, many, least)
+            often = short[many >= np.maximum(least, LEAST)].astype(np.uint64)
             return places(np.full(len(often), now, np.uint64), often)
 
         def passed():
@@ -250,13 +269,16 @@ def bit_table(marked: DataFrame) -> np.ndarray:
 READ = "lang string, phrase string, words int, many long"
 
 
-def marked_phrases(docs: DataFrame, tables: list, ranges: int, longest: int) -> DataFrame:
+def marked_phrases(docs: DataFrame, tables: list, ranges: int, longest: int, sizes: tuple = (), wanted: tuple = ()) -> DataFrame:
     """READ: the runs that are marked in a task's texts, words and pairs in the first of ``tables``, longer ones of such
-    pairs in the second."""
+    pairs in the second. With ``sizes``: those of so many words. With tables ``wanted``: pairs that are marked in one of
+    these too, and longer runs that are or that hold such a pair."""
+    sizes = sizes or tuple(range(1, longest + 1))
     arrow = arrow_schema(READ)
 
     def run(batches):
         short, long = (x.value for x in tables)
+        chosen = [x.value for x in wanted]
         held, size, numbers, langs = [], 0, Numbers(), []
 
         def merged():
@@ -281,9 +303,9 @@ def marked_phrases(docs: DataFrame, tables: list, ranges: int, longest: int) ->
                 runs = Runs(texts, names)
                 langs += [x for x in dict.fromkeys(names) if x not in langs]
                 lang = np.array([langs.index(x) for x in names], np.int32)[runs.words.owner]
-                word = np.r_[numbers.of(runs.words, runs.hashes), np.full(longest, -1)].astype(np.int32)
-                pair = None
-                for n in range(1, longest + 1):
+                pair = near = None
+                told = []
+                for n in range(1 if 1 in sizes else 2, max(sizes) + 1):
                     values, ok = runs.of(n)
                     ok = of_pairs(ok, pair, n) if n > 2 else ok
                     at = np.flatnonzero(ok)
@@ -291,10 +313,28 @@ def marked_phrases(docs: DataFrame, tables: list, ranges: int, longest: int) ->
                     if n == 2:
                         pair = np.zeros(len(ok), bool)
                         pair[at] = True
+                    if chosen and n > 1:
+                        own = np.any([may_be(x, values[at], ranges) for x in chosen], axis=0)
+                        if n == 2:
+                            near = np.zeros(len(ok), bool)
+                            near[at[own]] = True
+                        else:
+                            own |= np.any([near[at + k] for k in range(n - 1)], axis=0)
+                        at = at[own]
+                    if n in sizes:
+                        told.append((n, at, values[at]))
+                used = np.zeros(len(runs.piece), bool)
+                for n, at, _ in told:
+                    for k in range(n):
+                        used[at + k] = True
+                used = np.flatnonzero(used)
+                word = np.full(len(runs.piece) + longest, -1, np.int32)
+                word[used] = numbers.of(runs.words, runs.hashes, used)
+                for n, at, values in told:
                     ids = np.stack([word[at + k] if k < n else np.full(len(at), -1, np.int32) for k in range(longest)], axis=1)
-                    order, start = grouped(values[at], ids)
+                    order, start = grouped(values, ids)
                     first = at[order[start]]  # the pointer to an occurrence of each
-                    held.append((values[first], lang[first], np.diff(np.r_[start, len(at)]), ids[order[start]]))
+                    held.append((values[order[start]], lang[first], np.diff(np.r_[start, len(at)]), ids[order[start]]))
                     size += len(first)
                 if size > HELD:
                     held, size = [merged()], 0
@@ -308,20 +348,165 @@ def marked_phrases(docs: DataFrame, tables: list, ranges: int, longest: int) ->
     return docs.mapInArrow(run, READ)
 
 
+def slots(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two slots of the table of lower bounds for each fingerprint of a word."""
+    return tuple((mixed(values ^ np.uint64(x)) & np.uint64(SLOTS - 1)).astype(np.int64) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+
+def low_counts(ones: DataFrame) -> np.ndarray:
+    """A table of SLOTS bytes whatever the input: 4 log2 of the smallest count, rounded down, of the words (READ, counted)
+    that share a slot, 0 where there is none. The larger one of a word's two slots is a lower bound of its count."""
+    schema = "chunk int, at binary, low binary"
+    arrow = arrow_schema(schema)
+
+    def smallest(at, low):
+        at, _, low = summed(at, low, low)
+        return at, low
+
+    def spread(batches):
+        for batch in batches:
+            texts = [x.encode() for x in batch.column(1).to_pylist()]
+            if not texts:
+                continue
+            values, _ = Runs(texts, batch.column(0).to_pylist()).of(1)
+            low = np.floor(4 * np.log2(batch.column(2).to_numpy())).astype(np.uint8)
+            at, low = smallest(np.concatenate(slots(values)), np.r_[low, low])
+            cut = np.searchsorted(at, np.arange(0, SLOTS + CHUNK, CHUNK)).tolist()
+            inner = (at % CHUNK).astype(np.uint32)
+            yield _rows([(k, inner[a:b].tobytes(), low[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b], arrow)
+
+    def joined(batches):
+        now, blobs = None, []
+
+        def ended():
+            at, low = smallest(*(np.concatenate([np.frombuffer(x[k], kind) for x in blobs]) for k, kind in ((0, np.uint32), (1, np.uint8))))
+            return _rows([(now, at.tobytes(), low.tobytes())], arrow)
+
+        for batch in batches:
+            for chunk, *blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if blobs and chunk != now:
+                    yield ended()
+                    blobs = []
+                now = chunk
+                blobs.append(blob)
+        if blobs:
+            yield ended()
+
+    table = np.zeros(SLOTS, np.uint8)
+    found = ones.select("lang", "phrase", "f").mapInArrow(spread, schema).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(joined, schema)
+    for row in found.toLocalIterator():
+        table[row["chunk"] * CHUNK + np.frombuffer(row["at"], np.uint32).astype(np.int64)] = np.frombuffer(row["low"], np.uint8)
+    return table
+
+
+def needed(docs: DataFrame, tables: list, lows, ranges: int, longest: int, least: int) -> DataFrame:
+    """COUNTED of the marked runs of 2 to ``longest`` words: short forms, counts, and the counts without which they can't
+    have a score of ``least`` (two bytes each; numbers beyond those count as the largest).
+
+    A pair occurs a times and its words l and r times, so that a * a must be l * r * least / 10^6. Of a longer run the
+    rest without its first word, or without its last, occurs a times at least: a must be l * least / 10^6."""
+    arrow, most = arrow_schema(COUNTED), (1 << 16) - 1
+
+    def run(batches):
+        short, long = (x.value for x in tables)
+        low = lows.value
+        held, size = [], 0
+
+        def passed():
+            key, many, need = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            many = np.minimum(many, most).astype(np.uint16)
+            own = (key >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]).tolist() if len(own) else []
+            inner = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            return _rows([(int(own[a]), None, inner[a:b].tobytes() + many[a:b].tobytes() + need[a:b].tobytes(), None) for a, b in zip(cut, [*cut[1:], len(own)], strict=False)], arrow)
+
+        for batch in batches:
+            for part in blocks(batch, TEXT_BYTES):
+                runs = Runs(*_texts(part))
+                one, other = slots(runs.of(1)[0])
+                words, pair = 2.0 ** (np.maximum(low[one], low[other]) / 4), None
+                for n in range(2, longest + 1):
+                    values, ok = runs.of(n)
+                    ok = of_pairs(ok, pair, n) if n > 2 else ok
+                    at = np.flatnonzero(ok)
+                    at = at[may_be(short if n <= 2 else long, values[at], ranges)]
+                    if n == 2:
+                        pair = np.zeros(len(ok), bool)
+                        pair[at] = True
+                    a, b = words[at], words[at + n - 1]
+                    need = np.sqrt(a * b * least / 1e6) if n == 2 else np.maximum(a, b) * least / 1e6
+                    need = np.minimum(np.ceil(need * (1 - 1e-9)), most).astype(np.uint16)
+                    spot, inner = dealt(values[at], ranges)
+                    held.append(summed(spot << np.uint64(32) | inner, np.ones(len(at), np.uint8), need))
+                    size += len(held[-1][0])
+                if size > 2 * HELD:
+                    yield passed()
+                    held, size = [], 0
+        if held:
+            yield passed()
+
+    return docs.mapInArrow(run, COUNTED)
+
+
+def parts_table(longer: DataFrame, ranges: int) -> np.ndarray:
+    """The table of bits of the pairs in the phrases of ``longer``."""
+    arrow = arrow_schema(MARKED)
+
+    def run(batches):
+        for batch in batches:
+            for part in blocks(batch):
+                values, ok = Runs([x.encode() for x in part.column(1).to_pylist()], part.column(0).to_pylist()).of(2)
+                at = np.unique(places(*dealt(values[ok], ranges)))
+                cut = np.searchsorted(at, np.arange(0, BITS + 1, CHUNK)).tolist()
+                inner = (at % CHUNK).astype(np.uint32)
+                yield _rows([(k, inner[a:b].tobytes(), None, None) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b], arrow)
+
+    return bit_table(longer.select("lang", "phrase").mapInArrow(run, MARKED))
+
+
+def summed_up(read: DataFrame) -> DataFrame:
+    """(lang, phrase, words, f) of what occurs LEAST times, written."""
+    return written(read.groupBy("lang", "phrase", "words").agg(F.sum("many").alias("f")).where(F.col("f") >= LEAST))
+
+
+class Marked:
+    """Texts and the tables of their runs of at most ``longest`` words that may occur LEAST times."""
+
+    def __init__(self, docs: DataFrame, longest: int):
+        self.share = docs.sparkSession.sparkContext.broadcast
+        self.docs = docs = docs.select(text_bytes(), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+        self.longest, self.ranges = longest, min(1 << 16, max(1024, 2 * docs.rdd.getNumPartitions()))
+        marked = written(marks(short_counts(docs, self.ranges), self.ranges))
+        self.tables = [self.share(bit_table(marked))]
+        longer = written(marks(short_counts(docs, self.ranges, longest, self.tables[0]), self.ranges))
+        self.tables.append(self.share(bit_table(longer)))
+        dropped(longer)
+        self.words = marked.where("chunk is null").groupBy("lang").agg(F.sum("many").alias("n"))
+
+    def counts(self, docs: DataFrame, sizes: tuple = (), wanted: tuple = ()) -> DataFrame:
+        return summed_up(marked_phrases(docs, self.tables, self.ranges, max(sizes, default=self.longest), sizes, wanted))
+
+    def best_counts(self, docs: DataFrame, ones: DataFrame, lows, least: int) -> DataFrame:
+        """Counts of all phrases that may have a score of ``least``, of their parts and of what is longer and holds them."""
+        may = written(marks(needed(docs, self.tables, lows, self.ranges, self.longest, least), self.ranges, needs=True))
+        wanted = [self.share(bit_table(may))]
+        dropped(may)
+        counts = ones
+        if self.longest > 2:
+            longer = self.counts(docs, (3,), wanted)
+            wanted.append(self.share(parts_table(longer, self.ranges)))
+            counts = ones.union(longer)
+        counts = counts.union(self.counts(docs, (2,), wanted))
+        for x in wanted:
+            x.unpersist()
+        return counts
+
+
 def phrase_counts(docs: DataFrame, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of every run of at most ``longest`` words that occurs LEAST times in its language, words
     joined by spaces; and (lang, n), all words of each language."""
-    spark = docs.sparkSession
-    docs = docs.select(text_bytes(), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    ranges = min(1 << 16, max(1024, 2 * docs.rdd.getNumPartitions()))
-    marked = written(marks(short_counts(docs, ranges), ranges))
-    tables = [spark.sparkContext.broadcast(bit_table(marked))]
-    longer = written(marks(short_counts(docs, ranges, longest, tables[0]), ranges))
-    tables.append(spark.sparkContext.broadcast(bit_table(longer)))
-    counts = marked_phrases(docs, tables, ranges, longest).groupBy("lang", "phrase", "words").agg(F.sum("many").alias("f"))
-    counts = written(counts.where(F.col("f") >= LEAST))
-    dropped(longer)
-    return counts, marked.where("chunk is null").groupBy("lang").agg(F.sum("many").alias("n"))
+    marked = Marked(docs, longest)
+    return marked.counts(marked.docs), marked.words
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, first: int = FIRST) -> DataFrame:
@@ -329,7 +514,31 @@ def collocations(docs: DataFrame, longest: int = LONGEST, first: int = FIRST) ->
 
     Null texts are empty, null languages are ``und``; repeated rows count each time; ties are by a and then by the phrase's
     bytes, so that ranks are defined. Products are decimals of 38 digits, exact for counts up to 10^15."""
-    counts, words = phrase_counts(docs, longest)
+    marked = Marked(docs, longest)
+    large = [x["lang"] for x in marked.words.where(F.col("n") >= FEW_WORDS).collect()] if longest in (2, 3) else []
+    done, found = [], []
+    if large:
+        ones = marked.counts(marked.docs.where(F.col("lang").isin(large)), (1,))
+        lows = marked.share(low_counts(ones))
+        for least in SCORES:
+            open_now = [x for x in large if x not in done]
+            if open_now:
+                inside = F.col("lang").isin(open_now)
+                best = written(ranked(marked.best_counts(marked.docs.where(inside), ones.where(inside), lows, least), first).where(F.col("score") >= least))
+                full = [x["lang"] for x in best.groupBy("lang").count().where(F.col("count") >= first).collect()]
+                done += full
+                found.append(best.where(F.col("lang").isin(full)))
+    rest = ~F.col("lang").isin(done)
+    if not found or not marked.words.where(rest).isEmpty():
+        found.append(ranked(marked.counts(marked.docs.where(rest)), first))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.join(marked.words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def ranked(counts: DataFrame, first: int) -> DataFrame:
+    """The ``first`` phrases of each language, scored by ``counts``."""
     words_of = F.split("phrase", " ")
     part = lambda a, n: F.array_join(F.slice(words_of, a, n), " ")
     candidates = counts.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
@@ -345,5 +554,4 @@ def collocations(docs: DataFrame, longest: int = LONGEST, first: int = FIRST) ->
     inner = inner.groupBy("lang", part(F.col("at"), F.col("size")).alias("phrase")).agg(F.max("a").alias("longer"))
     kept = scored.join(inner, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {HALF} * a")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))
-    best = kept.select("lang", "phrase", "a", "x.l", "x.r", "x.score").withColumn("rank", rank.cast("long")).where(F.col("rank") <= first)
-    return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return kept.select("lang", "phrase", "a", "x.l", "x.r", "x.score").withColumn("rank", rank.cast("long")).where(F.col("rank") <= first)

@@ -113,6 +113,53 @@ def test_phrases_are_those_of_every_run(spark):
     assert phrases.collocations(frame.limit(0)).count() == 0
 
 
+def chance_and_sayings(many, sayings=40, common=("the", "the", "of")):
+    """Texts of words that meet by chance, of ``common`` ones, and of sayings of rare words."""
+    r = random.Random(many)
+    docs = []
+    for _ in range(many):
+        text = " ".join(r.choice([*common, f"w{r.randrange(30)}", f"w{r.randrange(30)}"]) for _ in range(r.randrange(20, 120)))
+        saying = r.randrange(sayings)
+        docs.append((r.choice(["en", "en", "de", "fr"]), f"{text}. the s{saying} t{saying} u{saying % 7}, s{saying} t{saying} W{saying % 5}"))
+    return docs + [("tiny", "one two three. ") for _ in range(12)]
+
+
+@pytest.mark.parametrize(("scores", "first"), [((300_000, 20_000), 40), ((1_000_000, 500_000, 1), 25), ((2,), 2000)])
+def test_phrases_that_cannot_be_among_the_best_change_nothing(spark, monkeypatch, scores, first):
+    """Whatever scores are tried, reached by no language, by some or by all."""
+    monkeypatch.setattr(phrases, "FEW_WORDS", 50, raising=False)
+    monkeypatch.setattr(phrases, "SCORES", scores, raising=False)
+    docs = chance_and_sayings(400)
+    frame = spark.createDataFrame(docs, "lang string, text string").repartition(4)
+    found = phrases.collocations(frame, first=first).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert sorted(map(tuple, found.collect())) == brute_phrases(docs, first)
+
+
+def test_tasks_tell_only_phrases_that_may_be_among_the_best(spark, monkeypatch):
+    """Rows of phrases were phrases times tasks."""
+    docs = [x for x in chance_and_sayings(1500, 3, ()) if x[0] != "tiny"]
+    frame = spark.createDataFrame(docs, "lang string, text string").repartition(8)
+    phrases_of_all = phrases.phrase_counts(frame)[0].where("words > 1").count()
+    rows, real = [], phrases.marked_phrases
+    monkeypatch.setattr(phrases, "marked_phrases", lambda *a: rows.append((x := real(*a)).where("words > 1").count()) or x)
+    monkeypatch.setattr(phrases, "FEW_WORDS", 50, raising=False)
+    monkeypatch.setattr(phrases, "SCORES", (20_000,), raising=False)
+    found = phrases.collocations(frame, first=3).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert sorted(map(tuple, found.collect())) == brute_phrases(docs, 3)
+    assert sum(rows) < phrases_of_all
+
+
+def test_lower_bounds_are_those_of_the_smallest_count(spark):
+    import numpy as np
+
+    words = [(f"w{k}", 10 + k * k * k) for k in range(3000)]
+    table = phrases.low_counts(spark.createDataFrame([("en", w, n) for w, n in words], "lang string, phrase string, f long").repartition(3))
+    values, _ = phrases.Runs([w.encode() for w, _ in words], ["en"] * len(words)).of(1)
+    low = 2.0 ** (np.max([table[x] for x in phrases.slots(values)], axis=0) / 4)
+    many = np.array([n for _, n in words])
+    assert (low <= many * (1 + 1e-12)).all() and (low * 1.2 > many).mean() > 0.99
+
+
 def test_phrases_of_equal_fingerprints_come_apart(spark):
     one, other = colliding()
     docs = [("en", f"{one} x. {other} x")] * 12 + [("en", f"{other} x")] * 3 + [("en", f"{one} x {one}")] * 2
