@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,28 @@ def test_top_k_of_repeated_ids_other_widths_and_large_numbers(spark):
     assert sorted(map(tuple, topk.top_k(large).collect())) == brute_top(big)
 
 
+def test_a_block_meets_the_queries_of_several_groups_at_once():
+    r = np.random.default_rng(3)
+    v = r.integers(-30, 30, (3000, 6)).astype(np.int16)
+    v[500:900] = v[0]  # many equal vectors
+    ids = r.permutation(3000)
+    ids[600:640] = ids[500]  # of one id
+    kept = topk.few_of_equal(ids, v)
+    assert len(kept) < 3000 - 400 + 3 * topk.K
+    asked = r.choice(3000, 700, replace=False)
+    asked[:3] = 500, 0, 700
+    own, floor, group = ids[asked], np.full(700, topk.NONE), np.arange(700) % 3
+    for scale in (1, 1 << 12, 1 << 23):  # products in single and double precision, and as integers
+        x, y = v[asked].astype(np.int64) * scale, v.astype(np.int64) * scale
+        best = topk.search(x, own, floor, y[kept], ids[kept], group)
+        scores = x @ y.T
+        for k in range(700):
+            others = np.flatnonzero(ids != own[k])
+            want = others[np.lexsort((ids[others], -scores[k, others]))][: topk.K]
+            assert best.score[k].tolist() == scores[k, want].tolist() and best.id[k].tolist() == ids[want].tolist()
+    assert [topk.whole_type(*x) for x in ((-32768, 32767), (-32769, 0), (0, 1 << 31))] == ["smallint", "int", "bigint"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies on the site and that is why you see this.</div>
 <aside><p>Something in the side bar that is long enough to be read as if it were the text of it.</p></aside>
