@@ -54,18 +54,18 @@ class DashAnalysis(Tables):
 
     @cached_property
     def breaks(self) -> DataFrame:
-        return self._written(breaks_of(self.unique, self.periods, self.headers))
+        return self._written(breaks_of(self.unique))
 
     @cached_property
     def coded(self) -> DataFrame:
         """Findings of all rules, without words."""
         return self._written(
             _header_rules(self.headers, self.sets, self.periods)
-            .unionByName(_period_rules(self.periods, self.headers))
-            .unionByName(_set_rules(self.sets, self.periods))
+            .unionByName(_period_rules(self.periods))
+            .unionByName(_set_rules(self.periods))
             .unionByName(_structure_rules(self.periods))
-            .unionByName(_event_rules(self.signals, self.unique, self.headers))
-            .unionByName(_break_rules(self.breaks, self.headers))
+            .unionByName(_event_rules(self.signals, self.unique))
+            .unionByName(_break_rules(self.breaks))
             .unionByName(_orphans(self.unique, self.breaks))
         )
 
@@ -87,11 +87,17 @@ def analyse(docs: DataFrame) -> DashAnalysis:
 
 
 def signals_of(events: DataFrame, periods: DataFrame) -> DataFrame:
-    """SCTE-35 events with what they say: type_id, event_id and length; start or end by type."""
+    """SCTE-35 events with what they say: type_id, event_id and length; start or end by type. They have what breaks ask of
+    their period and manifest. Rows of both sides grow with the manifests, and a file of them is much smaller than they are in
+    memory: ``merge`` keeps Spark from taking it for a table to broadcast, here and below."""
     scte = F.col("payload").isNotNull()
     for scheme in dash.SCTE35_SCHEMES:
         scte = scte | F.col("scheme").startswith(scheme)
-    rows = events.join(periods.select("doc_id", "period_index", F.col("start").alias("period_start"), F.col("id").alias("period_id")), ["doc_id", "period_index"])
+    own = periods.where("stream_count > 0").select(
+        "doc_id", "period_index", F.col("start").alias("period_start"), F.col("id").alias("period_id"), "type", "ast_ms", "mup", "period_count", "media_templates", "video_segments",
+        F.coalesce("declared_duration", "media_duration").alias("period_length"),
+    )
+    rows = events.join(own.hint("merge"), ["doc_id", "period_index"])
     rows = rows.withColumns({"is_scte": scte, "signal": F.when(scte & F.col("payload").isNotNull(), splice.decode_section(F.col("payload")))})
     of = lambda ids: F.try_element_at(F.filter(splice.segmentation(F.col("signal")), lambda d: d["type_id"].isin(*ids)), F.lit(1))
     lead = F.coalesce(of(splice.START_TYPES), of(splice.END_TYPES), F.try_element_at(splice.segmentation(F.col("signal")), F.lit(1)))
@@ -119,17 +125,16 @@ def deduplicated(signals: DataFrame) -> DataFrame:
     return rows.where("_n = 1").withColumn("ord", F.row_number().over(order)).drop("_n")
 
 
-def breaks_of(unique: DataFrame, periods: DataFrame, headers: DataFrame) -> DataFrame:
+def breaks_of(unique: DataFrame) -> DataFrame:
     """Each start takes the first free end of its event id in its period or later, or else the first free one of a later
     period."""
     side = lambda when: unique.where(when).select("doc_id", F.col("ord").alias("id"), F.col("event_id").cast("string").alias("name"), F.col("period_start").alias("at"))
     taken = exclusive(side("is_start"), side("is_end"), ["doc_id"], taking=InTurn, order="at")
     ends = unique.select("doc_id", F.col("ord").alias("end_ord"), F.col("at").alias("end_at"))
-    taken = taken.select("doc_id", F.col("left_id").alias("ord"), F.col("right_id").alias("end_ord")).join(ends, ["doc_id", "end_ord"])
+    taken = taken.select("doc_id", F.col("left_id").alias("ord"), F.col("right_id").alias("end_ord")).join(ends.hint("merge"), ["doc_id", "end_ord"])
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("period_start", "ord")) - 1
     matched = unique.where("is_start").select("doc_id", "ord", place.alias("index")).join(taken, ["doc_id", "ord"], "left")
-    rows = matched.join(unique, ["doc_id", "ord"]).join(headers.select("doc_id", "type", "ast_ms", "mup", "period_count"), "doc_id")
-    rows = rows.join(periods.select("doc_id", "period_index", "media_templates", "video_segments", F.coalesce("declared_duration", "media_duration").alias("period_length")), ["doc_id", "period_index"])
+    rows = matched.join(unique.hint("merge"), ["doc_id", "ord"])
     declared = F.coalesce("signal_length", "duration")
     ended, bounded = F.col("end_ord").isNotNull(), F.col("end_ord").isNull() & declared.isNotNull()
     auto = F.coalesce(F.col("signal.splice_insert.auto_return"), F.lit(False))
@@ -175,8 +180,7 @@ def _header_rules(headers: DataFrame, sets: DataFrame, periods: DataFrame) -> Da
     )
 
 
-def _period_rules(periods: DataFrame, headers: DataFrame) -> DataFrame:
-    rows = periods.join(headers.select("doc_id", "type", "tsbd", "mup", "period_count"), "doc_id")
+def _period_rules(periods: DataFrame) -> DataFrame:
     gap = F.col("next_start") - (F.col("media_start") + F.col("media_duration"))
     known = ~(F.col("is_placeholder") & F.col("declared_duration").isNull())
     grade = F.when(F.abs(gap) > GAP_ERROR, "error").otherwise("warning")
@@ -185,7 +189,7 @@ def _period_rules(periods: DataFrame, headers: DataFrame) -> DataFrame:
     edge = _live() & (F.col("period_index") == F.col("period_count") - 1)
     remote, at = F.col("xlink_href").isNotNull(), F.col("start")
     return emit(
-        rows,
+        periods,
         [
             rule(F.col("id").isNull(), "warning", "PERIOD_MISSING_ID", at=at),
             rule(known & (gap > GAP_WARN), grade, "PERIOD_TIMELINE_GAP", at=at),
@@ -207,34 +211,32 @@ def _period_rules(periods: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def _set_rules(sets: DataFrame, periods: DataFrame) -> DataFrame:
-    rows = sets.where("segment_count > 0").join(periods.select("doc_id", "period_index", "start"), ["doc_id", "period_index"])
-    return emit(rows, [rule(F.abs(F.col("pto") / F.col("timescale") - F.col("start")) > PTO, "error", "PTO_MISMATCH", at=F.col("start"))])
+def _set_rules(periods: DataFrame) -> DataFrame:
+    rows = periods.select("doc_id", "start", F.explode("offsets").alias("offset"))
+    return emit(rows, [rule(F.abs(F.col("offset") - F.col("start")) > PTO, "error", "PTO_MISMATCH", at=F.col("start"))])
 
 
 def _structure_rules(periods: DataFrame) -> DataFrame:
     """Neighbouring periods, neither of them a placeholder, by their representations."""
-    after = F.lead("is_placeholder").over(Window.partitionBy("doc_id").orderBy("period_index"))
-    kept = F.lead(F.exists("properties", lambda s: s.startswith(dash.CONTINUITY_SCHEMES[0]) | s.startswith(dash.CONTINUITY_SCHEMES[1]))).over(Window.partitionBy("doc_id").orderBy("period_index"))
-    rows = periods.withColumns({"_after": after, "_kept": kept}).where("next_start is not null and not is_placeholder and not _after")
+    rows = periods.where("next_start is not null and not is_placeholder and not next_is_placeholder")
     changed = F.col("signature") != F.col("next_signature")
     found = emit(rows, [rule(changed, "error", "REPRESENTATION_SET_CHANGED", at=F.col("next_start"))])
-    silent = rows.where(~changed & ~F.coalesce("_kept", F.lit(False))).select("doc_id").distinct()
+    silent = rows.where(~changed & ~F.coalesce("next_is_continuous", F.lit(False))).select("doc_id").distinct()
     return found.unionByName(emit(silent, [rule(F.lit(True), "warning", "NO_PERIOD_CONTINUITY_SIGNAL")]))
 
 
-def _event_rules(signals: DataFrame, unique: DataFrame, headers: DataFrame) -> DataFrame:
+def _event_rules(signals: DataFrame, unique: DataFrame) -> DataFrame:
     at = F.col("period_start")
     ok = F.col("signal.ok")
     found = emit(signals.where("signal is not null"), [rule(~ok, "error", "SCTE35_DECODE_FAILED", at=at), rule(ok & ~F.col("signal.crc_valid"), "warning", "SCTE35_CRC_INVALID", at=at)])
     counts = signals.where("is_scte").groupBy("doc_id").agg(F.count("*").alias("all")).join(unique.groupBy("doc_id").agg(F.count("*").alias("own")), "doc_id")
     found = found.unionByName(emit(counts, [rule(F.col("all") > F.col("own"), "info", "DUPLICATE_EVENT_STREAMS")]))
-    per = signals.groupBy("doc_id", "period_index", "scheme").agg(F.bool_or(F.col("id").isNull()).alias("nameless"), F.count_if(~F.col("pt_explicit")).alias("implicit"))
-    schemes = per.groupBy("doc_id", "scheme").agg(F.bool_or("nameless").alias("nameless"), F.max("implicit").alias("implicit")).join(headers.select("doc_id", "type"), "doc_id")
+    per = signals.groupBy("doc_id", "type", "period_index", "scheme").agg(F.bool_or(F.col("id").isNull()).alias("nameless"), F.count_if(~F.col("pt_explicit")).alias("implicit"))
+    schemes = per.groupBy("doc_id", "type", "scheme").agg(F.bool_or("nameless").alias("nameless"), F.max("implicit").alias("implicit"))
     return found.unionByName(emit(schemes, [rule(_live() & F.col("nameless"), "warning", "EVENT_MISSING_ID"), rule(F.col("implicit") > 1, "warning", "EVENT_AMBIGUOUS_TIME")]))
 
 
-def _break_rules(breaks: DataFrame, headers: DataFrame) -> DataFrame:
+def _break_rules(breaks: DataFrame) -> DataFrame:
     at = {"index": F.col("index"), "at": F.col("start_time")}
     ended = F.col("end_ord").isNotNull()
     delta = F.col("actual_duration") - F.col("signalled_duration")
@@ -256,13 +258,13 @@ def _break_rules(breaks: DataFrame, headers: DataFrame) -> DataFrame:
     problems = breaks.select("doc_id", "index", "start_time", F.explode(splice.segmentation(F.col("signal"))).alias("d"))
     code = splice.upid_problem(F.col("d.upid_type"), F.col("d.upid_hex"), F.coalesce(F.col("d.upid_text"), F.lit("")))
     found = found.unionByName(emit(problems.withColumn("c", code), [rule(F.col("c").isNotNull(), "warning", F.col("c"), **at)]))
-    shortest = breaks.groupBy("doc_id").agg(F.min("actual_duration").alias("shortest")).join(headers.select("doc_id", "type", "mup"), "doc_id")
-    return found.unionByName(emit(shortest, [rule(_live() & (F.col("mup") > F.col("shortest")), "warning", "MUP_LONGER_THAN_SHORTEST_BREAK")]))
+    shortest = breaks.groupBy("doc_id", "live", "mup").agg(F.min("actual_duration").alias("shortest"))
+    return found.unionByName(emit(shortest, [rule(F.col("live") & (F.col("mup") > F.col("shortest")), "warning", "MUP_LONGER_THAN_SHORTEST_BREAK")]))
 
 
 def _orphans(unique: DataFrame, breaks: DataFrame) -> DataFrame:
     """Ends that no start takes, but for those of the oldest period."""
-    used = breaks.where("end_ord is not null").select("doc_id", F.col("end_ord").cast("int").alias("ord"))
+    used = breaks.where("end_ord is not null").select("doc_id", F.col("end_ord").cast("int").alias("ord")).hint("merge")
     free = unique.where("is_end and period_index > 0").join(used, ["doc_id", "ord"], "left_anti")
     return emit(free, [rule(F.lit(True), "warning", "ORPHAN_BREAK_END", at=F.col("period_start"))])
 

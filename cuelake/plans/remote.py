@@ -28,7 +28,8 @@ def resolve(periods: DataFrame, sets: DataFrame, fetched: DataFrame, most: int =
     theirs = dash.adaptation_sets(parsed)
     found = dash.periods(parsed, theirs).groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("periods"), F.sum(F.coalesce("declared_duration", "media_duration")).alias("seconds"))
     shapes = lambda rows, name: rows.select(name, F.explode(F.split("signature", r"\|")).alias("shape")).where("shape <> ''").groupBy(name).agg(F.collect_set("shape").alias("shapes"))
-    content = shapes(sets.join(periods.where("not is_placeholder").select("doc_id", "period_index"), ["doc_id", "period_index"]), "doc_id").withColumnRenamed("shapes", "content")
+    # both grow with the manifests, however small the file of the periods' numbers is: not to be broadcast
+    content = shapes(sets.join(periods.where("not is_placeholder").select("doc_id", "period_index").hint("merge"), ["doc_id", "period_index"]), "doc_id").withColumnRenamed("shapes", "content")
     own = shapes(theirs.withColumnRenamed("doc_id", "key"), "key")
     rows = asked.join(found, "key", "left").join(own, "key", "left").join(content, "doc_id", "left").withColumn("periods", F.coalesce("periods", F.lit(0)))
     shared = (F.size("shapes") > 0) & (F.size("content") > 0) & ~F.arrays_overlap("shapes", "content")

@@ -49,20 +49,28 @@ def _schemes(properties: Column) -> Column:
     return F.transform(F.coalesce(properties, F.array().cast(_PROPERTY)), lambda p: F.concat(p["_schemeIdUri"], F.coalesce(F.concat(F.lit("="), p["_value"]), F.lit(""))))
 
 
+def _type(m: Column) -> Column:
+    return F.when(m["_type"] == "dynamic", "dynamic").otherwise("static")
+
+
+def _period_count(m: Column) -> Column:
+    return F.size(F.coalesce(m["Period"], F.array()))
+
+
 def headers(docs: DataFrame) -> DataFrame:
     m = F.col("m")
     latency = _first(F.filter(F.transform(m["ServiceDescription"], lambda s: _first(s["Latency"])), lambda x: x.isNotNull()))
     return docs.select(
-        "doc_id", F.when(m["_type"] == "dynamic", "dynamic").otherwise("static").alias("type"), m["_profiles"].alias("profiles"),
+        "doc_id", _type(m).alias("type"), m["_profiles"].alias("profiles"),
         iso_millis(m["_availabilityStartTime"]).alias("ast_ms"), iso_millis(m["_publishTime"]).alias("publish_ms"),
         *[iso_duration(m[a]).alias(n) for a, n in (("_minimumUpdatePeriod", "mup"), ("_timeShiftBufferDepth", "tsbd"), ("_suggestedPresentationDelay", "spd"), ("_minBufferTime", "min_buffer"), ("_mediaPresentationDuration", "mpd_duration"))],
         *[number(latency[a]).alias(n) for a, n in (("_target", "target_ms"), ("_min", "min_ms"), ("_max", "max_ms"))], latency.isNotNull().alias("has_latency"),
-        F.size(F.coalesce(m["Period"], F.array())).alias("period_count"),
+        _period_count(m).alias("period_count"),
     )
 
 
-def _raw_periods(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode("m.Period").alias("period_index", "p"), F.concat_ws("", _first(F.col("m.BaseURL"))).alias("base"))
+def _raw_periods(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", *more, F.posexplode("m.Period").alias("period_index", "p"), F.concat_ws("", _first(F.col("m.BaseURL"))).alias("base"))
 
 
 def adaptation_sets(docs: DataFrame) -> DataFrame:
@@ -117,10 +125,12 @@ def timeline_segments(sets: DataFrame) -> DataFrame:
 
 def periods(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Periods with their starts: an implicit one follows the extent of those before. The media's extent is that of the
-    first video set with segments, or else of the first set with any."""
-    p = F.col("p")
-    rows = _raw_periods(docs).select(
-        "doc_id", "period_index", p["_id"].alias("id"), iso_duration(p["_start"]).alias("stated"), iso_duration(p["_duration"]).alias("declared_duration"),
+    first video set with segments, or else of the first set with any. A period has what rules ask of its manifest, of the
+    period after it and of its sets (offsets of those with segments), so that they join neither."""
+    p, m = F.col("p"), F.col("m")
+    whole = [_type(m).alias("type"), iso_millis(m["_availabilityStartTime"]).alias("ast_ms"), iso_duration(m["_minimumUpdatePeriod"]).alias("mup"), iso_duration(m["_timeShiftBufferDepth"]).alias("tsbd"), _period_count(m).alias("period_count")]
+    rows = _raw_periods(docs, *whole).select(
+        "doc_id", "type", "ast_ms", "mup", "tsbd", "period_count", "period_index", p["_id"].alias("id"), iso_duration(p["_start"]).alias("stated"), iso_duration(p["_duration"]).alias("declared_duration"),
         p["_href"].alias("xlink_href"), p["_actuate"].alias("xlink_actuate"), _first(_schemes(p["AssetIdentifier"])).alias("asset_identifier"), _schemes(p["SupplementalProperty"]).alias("supplemental"),
         F.size(F.coalesce(p["AdaptationSet"], F.array())).alias("set_count"), F.size(F.coalesce(p["EventStream"], F.array())).alias("stream_count"),
     )
@@ -132,6 +142,7 @@ def periods(docs: DataFrame, sets: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("signature")), ";").alias("signature"),
         F.count_if(F.col("segment_duration").isNotNull()).alias("uniform_sets"), F.flatten(F.collect_list("supplemental")).alias("set_properties"), F.flatten(F.collect_list("inband")).alias("inband"),
         F.sum(F.when(F.col("mime_type").startswith("video"), F.col("segment_count"))).alias("video_segments"), F.collect_list("media_template").alias("media_templates"),
+        F.collect_list(F.when(timed, F.col("pto") / F.col("timescale"))).alias("offsets"),
     )
     rows = rows.join(per, ["doc_id", "period_index"], "left")
     measured = F.col("ref.media_duration")
@@ -144,11 +155,14 @@ def periods(docs: DataFrame, sets: DataFrame) -> DataFrame:
     following = F.lead("start").over(by)
     length = F.coalesce(measured, "declared_duration", F.when(F.coalesce("uniform_sets", F.lit(0)) > 0, F.greatest(F.lit(0.0), F.coalesce(following - F.col("start"), F.lit(0.0)))), F.lit(0.0))
     skew = F.coalesce(F.array_max(F.transform("lengths", lambda x: F.abs(x - measured))), F.lit(0.0))
+    placeholder = F.col("xlink_href").isNotNull() & (F.col("set_count") == 0)
+    properties = F.concat("supplemental", F.coalesce("set_properties", F.array().cast("array<string>")))
+    continuous = F.exists(properties, lambda x: x.startswith(CONTINUITY_SCHEMES[0]) | x.startswith(CONTINUITY_SCHEMES[1]))
     return rows.select(
-        "doc_id", "period_index", "id", "start", F.col("stated").isNotNull().alias("start_explicit"), "declared_duration", length.alias("media_duration"),
+        "doc_id", "type", "ast_ms", "mup", "tsbd", "period_count", "period_index", "id", "start", F.col("stated").isNotNull().alias("start_explicit"), "declared_duration", length.alias("media_duration"),
         F.coalesce(F.col("ref.first_segment_time") / F.col("ref.timescale"), "start").alias("media_start"), following.alias("next_start"), F.lead("signature").over(by).alias("next_signature"),
-        (F.col("xlink_href").isNotNull() & (F.col("set_count") == 0)).alias("is_placeholder"), "xlink_href", "xlink_actuate", "asset_identifier",
-        F.concat("supplemental", F.coalesce("set_properties", F.array().cast("array<string>"))).alias("properties"), F.coalesce("inband", F.array().cast("array<string>")).alias("inband"),
+        F.lead(placeholder).over(by).alias("next_is_placeholder"), F.lead(continuous).over(by).alias("next_is_continuous"), "offsets", placeholder.alias("is_placeholder"), "xlink_href", "xlink_actuate", "asset_identifier",
+        properties.alias("properties"), F.coalesce("inband", F.array().cast("array<string>")).alias("inband"),
         F.coalesce("signature", F.lit("")).alias("signature"), F.coalesce("uniform_sets", F.lit(0)).alias("uniform_sets"), skew.alias("skew"), "stream_count", F.coalesce("video_segments", F.lit(0)).alias("video_segments"),
         F.coalesce("media_templates", F.array().cast("array<string>")).alias("media_templates"),
     )

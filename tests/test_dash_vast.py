@@ -145,3 +145,28 @@ def test_manifests_are_written_and_not_held_in_memory(spark):
     own = dash.analyse(docs)
     assert not own.parsed.is_cached and own.coded.count() >= 0 and own.periods.count() == 1 and read.value == 1
     own.release()
+
+
+def test_tables_that_grow_with_manifests_are_not_broadcast(spark, monkeypatch):
+    """Files of many alike manifests are a small part of their rows in memory: a join by their size would send all to the driver."""
+    plans, written = [], dash.DashAnalysis._written
+
+    def noted(self, table):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return written(self, table)
+
+    monkeypatch.setattr(dash.DashAnalysis, "_written", noted)
+    one = mpd(period("p", 0, 4, event(binary(event_id=1, seconds=2.0), attrs='id="1" presentationTime="1000"')), period("q", 4, 4))
+    own = dash.analyse(spark.range(300).select(F.col("id").alias("doc_id"), F.lit(one).alias("body")))
+    assert own.coded.where("code = 'NO_ASSET_IDENTIFIER'").count() == 300 and own.breaks.where("mup = 2 and period_count = 2 and period_length = 4 and live").count() == 300
+    sent = []
+    for plan in plans:
+        below = None
+        for line in plan.split("\n"):
+            if "BroadcastExchange" in line:
+                below = True
+            elif below and ("Scan" in line or "Exchange" in line):
+                sent += [line] if "Scan" in line else []  # a table as it is written; behind an exchange Spark knows the rows' size
+                below = None
+    assert not sent
+    own.release()
